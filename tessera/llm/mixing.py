@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from .common import Batches, Texts, text_key, written
 
 
+#: Names of columns that come and go while rows are drawn.
+KEY, DRAW = "__mix_key", "__mix_draw"
+
+
 def targets(words: list[int], weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> list[float]:
     """Target words of each source, in the order of sources."""
     w = np.array([weights[i % len(weights)] for i in range(len(words))], float)
@@ -101,7 +105,7 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
 
 def mixed(docs: DataFrame, shards: int = 64, seed: int = 42, **options) -> DataFrame:
     """The mix itself: the rows of docs as often as drawn, with their columns and (mix_shard, mix_order)."""
-    d = draws(docs, shards=shards, seed=seed, **options).where(F.size("draws") > 0).select("h", "draws").distinct()
-    drawn = docs.withColumn("h", text_key()).join(d, "h").withColumn("one", F.explode("draws"))
-    order = F.xxhash64(F.lit(seed + 2), F.col("one.shard"), F.col("h"), F.col("one.pass"))
-    return drawn.withColumn("mix_shard", F.col("one.shard")).withColumn("mix_order", order).drop("one", "draws", "h")
+    d = draws(docs, shards=shards, seed=seed, **options).where(F.size("draws") > 0).select(F.col("h").alias(KEY), F.col("draws").alias(DRAW)).distinct()
+    drawn = docs.drop("mix_shard", "mix_order").withColumn(KEY, text_key()).join(d, KEY).withColumn(DRAW, F.explode(DRAW))
+    shard, turn = F.col(DRAW)["shard"], F.col(DRAW)["pass"]
+    return drawn.withColumn("mix_shard", shard).withColumn("mix_order", F.xxhash64(F.lit(seed + 2), shard, KEY, turn)).drop(KEY, DRAW)

@@ -88,22 +88,23 @@ def fit(sets: list[np.ndarray], y: np.ndarray, features: int = 512, l2: float =
     a, b = (hit + 0.5) / (pos + 1), (df - hit + 0.5) / (n - pos + 1)
     gain = np.abs(np.log(a / b)) * np.sqrt(np.minimum(df, n - df))
     gain[df < 3] = 0
-    terms = np.unique(hash_words(list(IDENTITY)))
+    terms = sets_of(Texts(pa.array(IDENTITY), lower=True, gaps=NOT_LETTERS))
     chosen = np.argsort(-gain, kind="stable")[:features]
-    words = np.union1d(u[chosen[gain[chosen] > 0]], terms)
+    words = np.union1d(u[chosen[gain[chosen] > 0]], np.concatenate(terms))
     at = np.searchsorted(words, u)
     at[at == len(words)] = 0
     known = words[at] == u
     x = np.zeros((n, len(words)))
     keep = known[col]
     x[row[keep], at[col[keep]]] = 1
-    group = np.searchsorted(words, terms)
-    # A swap of term i for j in m texts changes scores by w_i - w_j: a quadratic form over the terms.
-    m = x[:, group].sum(0) + 1
-    k = len(group)
+    k = len(terms)
+    group = np.zeros((k, len(words)))  # the features that each term brings
+    for i, t in enumerate(terms):
+        group[i, np.searchsorted(words, t)] = 1
+    # A swap of term i for j in m texts changes scores by what i brings less what j brings: a quadratic form.
+    m = x[:, np.searchsorted(words, hash_words(list(IDENTITY)))].sum(0) + 1
     swap = np.diag(m * k + m.sum()) - m[:, None] - m[None, :]
-    penalty = np.zeros((len(words), len(words)))
-    penalty[np.ix_(group, group)] = counterfactual * (swap / k + np.diag(m))
+    penalty = counterfactual * group.T @ (swap / k + np.diag(m)) @ group
     penalty[np.diag_indices(len(words))] += l2
     w, bias = np.zeros(len(words)), float(np.log(rate / (1 - rate)))
     for _ in range(12):  # Newton steps; the penalty makes the Hessian positive
@@ -142,7 +143,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, rows:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with their columns and ``toxicity`` (0 to 1)."""
+    """The rows of docs with their columns and ``toxicity`` (0 to 1), which replaces a column of that name."""
+    docs = docs.drop("toxicity")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
