@@ -81,22 +81,29 @@ def fit(sets: list[np.ndarray], y: np.ndarray, features: int = 512, l2: float =
     rate = (pos + 0.5) / (n + 1)
     if not 0 < pos < n:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))))
-    flat, row = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
-    u, col = np.unique(flat, return_inverse=True)
-    df = np.bincount(col, minlength=len(u))
-    hit = np.bincount(col, weights=y[row], minlength=len(u))
+    u, df, hit = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for lo in range(0, n, 512):  # counts by feature, added up part by part to bound memory
+        part = sets[lo : lo + 512]
+        new, at = np.unique(np.concatenate(part), return_inverse=True)
+        both, count = np.concatenate([u, new]), np.bincount(at, minlength=len(new))
+        toxic = np.bincount(at, weights=np.repeat(y[lo : lo + 512], [len(s) for s in part]), minlength=len(new))
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+        u = both[first]
+        df, hit = (np.add.reduceat(np.concatenate(z)[order], first) if len(first) else z[0] for z in ((df, count), (hit, toxic)))
     a, b = (hit + 0.5) / (pos + 1), (df - hit + 0.5) / (n - pos + 1)
     gain = np.abs(np.log(a / b)) * np.sqrt(np.minimum(df, n - df))
     gain[df < 3] = 0
     terms = sets_of(Texts(pa.array(IDENTITY), lower=True, gaps=NOT_LETTERS))
     chosen = np.argsort(-gain, kind="stable")[:features]
     words = np.union1d(u[chosen[gain[chosen] > 0]], np.concatenate(terms))
-    at = np.searchsorted(words, u)
-    at[at == len(words)] = 0
-    known = words[at] == u
-    x = np.zeros((n, len(words)))
-    keep = known[col]
-    x[row[keep], at[col[keep]]] = 1
+    del u, df, hit, a, b, gain
+    x = np.zeros((n, len(words)), np.float32)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(words, s)
+        at[at == len(words)] = 0
+        x[i, at[words[at] == s]] = 1
     k = len(terms)
     group = np.zeros((k, len(words)))  # the features that each term brings
     for i, t in enumerate(terms):
@@ -111,7 +118,7 @@ def fit(sets: list[np.ndarray], y: np.ndarray, features: int = 512, l2: float =
         p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
         s = np.maximum(p * (1 - p), 1e-6)
         gradient = np.r_[x.T @ (p - y) + penalty @ w, (p - y).sum()]
-        xs = x * s[:, None]
+        xs = x * s[:, None].astype(np.float32)
         h = np.zeros((len(w) + 1, len(w) + 1))
         h[:-1, :-1] = x.T @ xs + penalty
         h[:-1, -1] = h[-1, :-1] = xs.sum(0)
@@ -139,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, rows:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = texts.join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     found = sample.orderBy("doc_id").select("y", "text").mapInArrow(sets, "y int, words binary").collect()
-    return fit([np.frombuffer(bytes(r.words), np.uint64) for r in found], np.array([r.y for r in found], float))
+    return fit([np.frombuffer(r.words, np.uint64) for r in found], np.array([r.y for r in found], float))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
