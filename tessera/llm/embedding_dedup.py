@@ -73,6 +73,22 @@ def codes(x: np.ndarray, k: int, tables: int, probes: int, seed: int = 7) -> np.
     return out
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, safe from overflow."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def stored(row: np.ndarray) -> bytes:
+    """A vector's components, in single precision where that is exact."""
+    short = row.astype("<f4")
+    return b"f" + short.tobytes() if (short == row).all() else b"d" + row.astype("<f8").tobytes()
+
+
+def loaded(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<f4" if b[:1] == b"f" else "<f8", offset=1).astype(np.float64)
+
+
 def _hashed(k: int, tables: int, probes: int):
     def f(batches: Batches) -> Batches:
         for b in batches:
@@ -84,12 +100,10 @@ def _hashed(k: int, tables: int, probes: int):
             for dim in np.unique(size):
                 which = np.flatnonzero(size == dim)
                 x = flat[at[which][:, None] + np.arange(dim)]
-                x /= np.abs(x).max(1, keepdims=True)
-                x /= np.sqrt((x * x).sum(1, keepdims=True))
-                c = codes(x, k, tables, probes).reshape(len(x), -1).view(np.int64)
+                c = codes(unit(x), k, tables, probes).reshape(len(x), -1).view(np.int64)
                 rows.append(which)
                 keys += [r for r in c]
-                vecs += [r.tobytes() for r in x]
+                vecs += [stored(r) for r in x]
             order = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(order)), b.column(2).take(pa.array(order)), pa.array(vecs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["c", "n", "vec", "keys"])
 
@@ -136,10 +150,11 @@ def _bucket(floor: float, tables: int, probes: int):
             if e - s < 2:
                 continue
             rows = order[s:e]
-            size = np.array([len(v.as_buffer()) for v in vecs.take(pa.array(rows))])
+            each = [loaded(v) for v in vecs.take(pa.array(rows)).to_pylist()]
+            size = np.array([len(v) for v in each])
             for dim in np.unique(size):
                 r = rows[size == dim]
-                x = np.frombuffer(b"".join(vecs.take(pa.array(r)).to_pylist()), np.float64).reshape(len(r), -1)
+                x = unit(np.stack([v for v, here in zip(each, size == dim, strict=True) if here]))
                 k = keys.take(pa.array(r)).flatten().to_numpy().reshape(len(r), tables, probes)
                 one = i[r[0]] == j[r[0]]
                 a = np.arange(len(r)) if one else np.flatnonzero(blk[r] == i[r[0]])
