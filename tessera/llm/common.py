@@ -30,6 +30,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GROUP_BYTES = 6_000_000
 #: Entries in a bucket, about.
 BUCKET_ROWS = 250_000
+#: UTF-8 bytes of text that a Python worker looks at together, about; a longer text is one part.
+SLICE_BYTES = 2_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
@@ -267,6 +269,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 Batches = Iterator[pa.RecordBatch]
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Batches:
+    """The rows of a batch in order, in parts of about ``most`` bytes of the texts in column ``text``."""
+    size = batch.column(text).cast(pa.large_string()).cast(pa.large_binary())
+    part = np.cumsum(lengths(size, np.uint8)) // most
+    bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        yield batch.slice(lo, hi - lo)
+
+
 def only(n: int, **columns) -> dict:
     """Null arrays of length n for the other columns."""
     return {k: pa.nulls(n, t) for k, t in columns.items()}

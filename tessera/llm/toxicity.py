@@ -16,12 +16,14 @@ Rows with a null doc_id are scored and never learned from. Other columns are ign
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTERS, Batches, Texts
+from .common import NOT_LETTERS, Batches, Texts, slices, within, written
 
 #: Terms that name groups of people, swapped for one another (lower case, single words).
 IDENTITY = (
@@ -35,6 +37,8 @@ IDENTITY = (
 
 #: Bytes at the beginning of a longer word that are a feature of their own.
 STEMS = (4, 5, 6, 8)
+#: Texts of the sample that must hold a feature.
+LEAST = 3
 
 
 def features_of(t: Texts) -> list[np.ndarray]:
@@ -75,54 +79,59 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, features: int = 512, l2: float = 0.1, counterfactual: float = 4.0, steps: int = 400) -> Model:
-    """Fits the model on sets of word hashes."""
-    n, pos = len(y), float(y.sum())
-    rate = (pos + 0.5) / (n + 1)
-    if not 0 < pos < n:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))))
-    u, df, hit = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-    for lo in range(0, n, 512):  # counts by feature, added up part by part to bound memory
-        part = sets[lo : lo + 512]
-        new, at = np.unique(np.concatenate(part), return_inverse=True)
-        both, count = np.concatenate([u, new]), np.bincount(at, minlength=len(new))
-        toxic = np.bincount(at, weights=np.repeat(y[lo : lo + 512], [len(s) for s in part]), minlength=len(new))
-        order = np.argsort(both, kind="stable")
-        both = both[order]
-        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
-        u = both[first]
-        df, hit = (np.add.reduceat(np.concatenate(z)[order], first) if len(first) else z[0] for z in ((df, count), (hit, toxic)))
+def choose(u: np.ndarray, df: np.ndarray, hit: np.ndarray, n: int, pos: float, features: int) -> np.ndarray:
+    """The features (of ``u``, sorted) that toxic texts hold most differently, with all of the identity terms', sorted.
+
+    ``df`` of ``n`` texts hold a feature and ``hit`` of the ``pos`` toxic ones.
+    """
     a, b = (hit + 0.5) / (pos + 1), (df - hit + 0.5) / (n - pos + 1)
     gain = np.abs(np.log(a / b)) * np.sqrt(np.minimum(df, n - df))
-    gain[df < 3] = 0
-    terms = sets_of(Texts(pa.array(IDENTITY), lower=True, gaps=NOT_LETTERS))
-    chosen = np.argsort(-gain, kind="stable")[:features]
-    words = np.union1d(u[chosen[gain[chosen] > 0]], np.concatenate(terms))
-    del u, df, hit, a, b, gain
-    x = np.zeros((n, len(words)), np.float32)
-    for i, s in enumerate(sets):
-        at = np.searchsorted(words, s)
-        at[at == len(words)] = 0
-        x[i, at[words[at] == s]] = 1
+    gain[df < LEAST] = 0
+    best = np.argsort(-gain, kind="stable")[:features]
+    return np.union1d(u[best[gain[best] > 0]], np.concatenate(_terms()))
+
+
+def _terms() -> list[np.ndarray]:
+    return sets_of(Texts(pa.array(IDENTITY), lower=True, gaps=NOT_LETTERS))
+
+
+def _held(words: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Places in ``words`` of those that the set holds."""
+    return np.searchsorted(words, s[within(s, words)]).astype(np.int32)
+
+
+def _constant(n: int, pos: float) -> Model:
+    rate = (pos + 0.5) / (n + 1)
+    return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))))
+
+
+def solve(words: np.ndarray, held: list[np.ndarray], y: np.ndarray, l2: float = 0.1, counterfactual: float = 4.0, steps: int = 12) -> Model:
+    """Weights of ``words`` from the places that each text holds, by Newton steps."""
+    n, pos, width = len(y), float(y.sum()), len(words)
+    x = np.zeros((n, width), np.uint8)
+    for i, at in enumerate(held):
+        x[i, at] = 1
+    terms = _terms()
     k = len(terms)
-    group = np.zeros((k, len(words)))  # the features that each term brings
+    group = np.zeros((k, width))  # the features that each term brings
     for i, t in enumerate(terms):
         group[i, np.searchsorted(words, t)] = 1
     # A swap of term i for j in m texts changes scores by what i brings less what j brings: a quadratic form.
-    m = x[:, np.searchsorted(words, hash_words(list(IDENTITY)))].sum(0) + 1
+    m = x[:, np.searchsorted(words, hash_words(list(IDENTITY)))].sum(0, dtype=float) + 1
     swap = np.diag(m * k + m.sum()) - m[:, None] - m[None, :]
     penalty = counterfactual * group.T @ (swap / k + np.diag(m)) @ group
-    penalty[np.diag_indices(len(words))] += l2
-    w, bias = np.zeros(len(words)), float(np.log(rate / (1 - rate)))
-    for _ in range(12):  # Newton steps; the penalty makes the Hessian positive
-        p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
-        s = np.maximum(p * (1 - p), 1e-6)
-        gradient = np.r_[x.T @ (p - y) + penalty @ w, (p - y).sum()]
-        xs = x * s[:, None].astype(np.float32)
-        h = np.zeros((len(w) + 1, len(w) + 1))
-        h[:-1, :-1] = x.T @ xs + penalty
-        h[:-1, -1] = h[-1, :-1] = xs.sum(0)
-        h[-1, -1] = s.sum()
+    penalty[np.diag_indices(width)] += l2
+    w, bias = np.zeros(width), _constant(n, pos).bias
+    for _ in range(steps):  # the penalty makes the Hessian positive
+        gradient = np.r_[penalty @ w, 0.0]
+        h = np.zeros((width + 1, width + 1))
+        h[:-1, :-1] = penalty
+        for lo in range(0, n, 1024):  # block by block to bound memory
+            part = x[lo : lo + 1024].astype(np.float32)
+            wide = np.c_[part, np.ones(len(part), np.float32)]
+            p = 1 / (1 + np.exp(-np.clip(part @ w + bias, -30, 30)))
+            gradient += wide.astype(float).T @ (p - y[lo : lo + 1024])
+            h += wide.T @ (wide * np.maximum(p * (1 - p), 1e-6)[:, None].astype(np.float32))
         step = np.linalg.solve(h, gradient)
         step *= min(1, 5 / np.abs(step).max())
         w, bias = w - step[:-1], bias - step[-1]
@@ -131,22 +140,57 @@ def fit(sets: list[np.ndarray], y: np.ndarray, features: int = 512, l2: float =
     return Model(words, w, float(bias))
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, rows: int = 8192) -> Model:
-    """Fits on at most ``rows`` labelled rows of docs that ``train`` (a condition on doc_id) admits."""
+def fit(sets: list[np.ndarray], y: np.ndarray, features: int = 512, **how) -> Model:
+    """Fits the model on sets of word hashes that are at hand."""
+    n, pos = len(y), float(y.sum())
+    if not 0 < pos < n:
+        return _constant(n, pos)
+    u, at = np.unique(np.concatenate(sets), return_inverse=True)
+    hit = np.bincount(at, weights=np.repeat(y, [len(s) for s in sets]), minlength=len(u))
+    words = choose(u, np.bincount(at, minlength=len(u)).astype(float), hit, n, pos, features)
+    return solve(words, [_held(words, s) for s in sets], y, **how)
+
+
+def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, rows: int = 8192, features: int = 512) -> Model:
+    """Fits on at most ``rows`` labelled rows of docs that ``train`` (a condition on doc_id) admits.
+
+    Spark counts the features; the driver sees those of at least ``LEAST`` sample texts and, of each sample text,
+    the places of the chosen ones.
+    """
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     if train is not None:
         y = y.where(train)
     y = y.groupBy("doc_id").agg(F.max("toxic").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sample = written(texts.join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")), "labelled")
+    n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < pos < n:
+        return _constant(n, pos)
 
-    def sets(batches: Batches) -> Batches:
-        for b in batches:
-            t = Texts(b.column(1), lower=True, gaps=NOT_LETTERS)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets_of(t)], pa.binary())], ["y", "words"])
+    def parts(batches: Batches) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+        for batch in batches:
+            for b in slices(batch, 2):
+                yield b, sets_of(Texts(b.column(2), lower=True, gaps=NOT_LETTERS))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    found = sample.orderBy("doc_id").select("y", "text").mapInArrow(sets, "y int, words binary").collect()
-    return fit([np.frombuffer(r.words, np.uint64) for r in found], np.array([r.y for r in found], float))
+    def counted(batches: Batches) -> Batches:
+        for b, sets in parts(batches):
+            if sets:
+                word, at = np.unique(np.concatenate(sets), return_inverse=True)
+                toxic = np.repeat(b.column(1).to_numpy(), [len(s) for s in sets])
+                hit = np.bincount(at, weights=toxic, minlength=len(word)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bincount(at, minlength=len(word))), pa.array(hit)], ["word", "df", "hit"])
+
+    held_by = sample.mapInArrow(counted, "word long, df long, hit long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("hit").alias("hit")).where(F.col("df") >= LEAST).toArrow()
+    u = held_by["word"].to_numpy().view(np.uint64)
+    order = np.argsort(u)
+    words = choose(u[order], *(held_by[k].to_numpy()[order].astype(float) for k in ("df", "hit")), n, pos, features)
+
+    def held(batches: Batches) -> Batches:
+        for b, sets in parts(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_held(words, s).tobytes() for s in sets], pa.binary())], ["doc_id", "y", "held"])
+
+    found = sorted(sample.mapInArrow(held, "doc_id long, y int, held binary").collect())
+    return solve(words, [np.frombuffer(r.held, np.int32) for r in found], np.array([r.y for r in found], float))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -156,8 +200,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def f(batches: Batches) -> Batches:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(b.column(at)))], [*b.schema.names, "toxicity"])
+        for batch in batches:
+            for b in slices(batch, at):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(b.column(at)))], [*b.schema.names, "toxicity"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
