@@ -361,3 +361,19 @@ def test_pipeline(spark, data):
             assert len([r for r in docs.collect() if r.doc_id and 200 <= r.doc_id < 212]) == 1
     assert sizes[0] > sizes[1] > sizes[2]
     assert queries.pipeline(spark, data).count() >= sizes[3]
+
+
+def test_slices_keep_rows_in_order_and_bound_texts():
+    import pyarrow as pa
+
+    from tessera.llm.common import slices
+
+    texts = ["aaaa", None, "", "b" * 50, "cc", "äö", None, "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "text"])
+    for most in (1, 4, 10, 1000):
+        parts = list(slices(batch, 1, most))
+        assert [r for b in parts for r in b.to_pylist()] == batch.to_pylist()
+        for b in parts:
+            sizes = [len((x or "").encode()) for x in b.column(1).to_pylist()]
+            assert sum(sizes[1:]) < most  # only a part's first text may be longer
+    assert sum(b.num_rows for b in slices(batch.slice(0, 0), 1)) == 0
