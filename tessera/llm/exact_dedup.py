@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, text_key, written
+from .common import Batches, slices, text_key, written
 
 #: Contents that stage 1 holds before it starts anew.
 LOCAL_BYTES = 64_000_000
@@ -65,7 +65,7 @@ def _local(batches: Batches) -> Batches:
         groups.clear()
         return out
 
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b, 1)):
         for doc_id, text, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             content = normalised(text)
             digest = hashlib.sha256(content).digest()

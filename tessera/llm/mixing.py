@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Batches, Texts, text_key, written
+from .common import Batches, Texts, slices, text_key, written
 
 
 #: Names of columns that come and go while rows are drawn.
@@ -69,7 +69,7 @@ def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def _sizes(batches: Batches) -> Batches:
-    for b in batches:
+    for b in (part for batch in batches for part in slices(batch, 3)):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(Texts(b.column(3)).counts.astype(np.int64))], ["doc_id", "source", "h", "size"])
 
 

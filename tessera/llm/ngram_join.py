@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, Texts, buckets_for, components, dealt, grouped_texts, groups_for, lengths, mix, packed, runs, text_key, unpacked, windows, written
+from .common import Batches, Texts, buckets_for, components, dealt, grouped_texts, groups_for, lengths, mix, packed, runs, slices, text_key, unpacked, windows, written
 
 #: Cells of the table of counts (a broadcast of one byte each), and the parts in which it is added up.
 CELLS, PARTS = 1 << 22, 64
@@ -68,7 +68,7 @@ def _sets(n: int):
 
     def f(batches: Batches) -> Batches:
         counts = np.zeros(CELLS, np.uint32)
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 2)):
             t = Texts(batch.column(2), lower=True)
             h, bounds = shingles(t, n)
             keys, sizes = np.zeros(t.n, np.int64), np.zeros(t.n, np.int32)
@@ -204,7 +204,7 @@ class NgramJoin:
 
         def entries(batches: Batches) -> Batches:
             seen: set[int] = set()
-            for batch in batches:
+            for batch in (part for b in batches for part in slices(b, 0)):
                 t = Texts(batch.column(0), lower=True)
                 h, bounds = shingles(t, n)
                 parts = []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Batches, Texts, mix, within, written
+from .common import Batches, Texts, mix, slices, within, written
 
 #: Words that a worker keeps encoded (about 20 bytes each).
 KEPT = 6_000_000
@@ -120,9 +120,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
         encoder, part = _encoders[path], TaskContext.get().partitionId()
         used = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            size = 2000
-            for lo in range(0, batch.num_rows, size):
-                rows = batch.slice(lo, size)
+            for rows in slices(batch, 1):
                 t = Texts(rows.column(1), lower=True)
                 ids, n = encoder.ids_of(t)
                 total = np.r_[0, np.cumsum(n)]
