@@ -55,3 +55,30 @@ def weight(volume: Column) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole to two places; null for a whole of zero."""
     return F.round(100 * part / F.when(whole != 0, whole), 2)
+
+
+def is_number(text: Column) -> Column:
+    """Whether text is a finite number without a percent sign; null text is not."""
+    return F.coalesce(fraction(text).isNotNull(), F.lit(False))
+
+
+def direction(text: Column) -> Column:
+    """Input or Output from their usual spellings, else null."""
+    t = F.lower(F.trim(text))
+    return F.when(t.isin("in", "input"), "Input").when(t.isin("out", "output"), "Output")
+
+
+def unit_hint(text: Column) -> Column:
+    """The second item, by commas, inside the first parentheses; null if there is none."""
+    return F.trim(F.get(F.split(F.regexp_extract(text, r"\(([^)]*)\)", 1), ","), F.lit(1)))
+
+
+def root(text: Column) -> Column:
+    """id and version of ``id@version``; without @ the version is null."""
+    parts = F.split(text, "@", 2)
+    return F.struct(F.get(parts, F.lit(0)).alias("id"), F.get(parts, F.lit(1)).alias("version"))
+
+
+def ratio(part: Column, whole: Column) -> Column:
+    """part / whole; null for a whole of zero."""
+    return F.try_divide(part, whole)

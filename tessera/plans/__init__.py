@@ -1 +1,3 @@
 """Life-cycle-assessment analytics on Spark."""
+
+from . import audits, registry  # noqa: F401 (audits registers its queries)

@@ -4,12 +4,12 @@ import duckdb
 import pytest
 
 from tessera.functions import scalars as fn
-from tessera.operators import graph, linear, linking
+from tessera.operators import graph, linear, linking, versions
 from tessera.plans import registry
 from tessera.streaming.events import tumbling_counts
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +86,28 @@ def test_stream_and_table_windows_agree(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("w").selectExpr("sum(n)").first()[0] == tumbling_counts(events).selectExpr("sum(n)").first()[0] == events.count()
+
+
+def test_texts_of_amounts_units_roots_and_directions(spark):
+    data = [(" 1.5 ", "a (b, kg , c) (d, e)", "u@01.00.000", " Input"), ("3%", "none", "u", "OUT"), ("Infinity", "(one)", "u@1@2", "x"), (None, None, None, None)]
+    df = spark.createDataFrame(data, "n string, t string, r string, d string")
+    got = df.select(fn.is_number(df.n).alias("n"), fn.unit_hint(df.t).alias("t"), fn.root(df.r).alias("r"), fn.direction(df.d).alias("d")).collect()
+    assert [r.n for r in got] == [True, False, False, False]
+    assert [r.t for r in got] == ["kg", None, None, None]
+    assert [tuple(r.r) for r in got] == [("u", "01.00.000"), ("u", None), ("u", "1@2"), (None, None)]
+    assert [r.d for r in got] == ["Input", "Output", None, None]
+
+
+def test_versions_exact_latest_missing_and_repeated(spark):
+    have = spark.createDataFrame([("a", "1"), ("a", "2"), ("a", "2"), ("b", "1")], "id string, version string")
+    ask = spark.createDataFrame([("a", "1"), ("a", "9"), ("b", None), ("c", "1"), ("a", "1")], "id string, version string")
+    got = {(r.id, r.version): (r.resolved, r.how) for r in versions.exact_or_latest(ask, have).collect()}
+    assert got == {("a", "1"): ("1", "exact"), ("a", "9"): ("2", "latest"), ("b", None): ("1", "latest"), ("c", "1"): (None, "missing")}
+    assert versions.exact_or_latest(ask, have).count() == 5
+    assert versions.exact_or_latest(ask, have.limit(0)).where("how = 'missing'").count() == 5
+
+
+def test_conflicts_by_state(spark):
+    there = spark.createDataFrame([("a", "1", 0), ("b", "1", 100)], "id string, version string, state int")
+    new = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2")], "id string, version string")
+    assert {(r.id, r.version): r.action for r in versions.conflicts(new, there, [0]).collect()} == {("a", "1"): "replace", ("b", "1"): "reject", ("b", "2"): "insert"}
