@@ -19,10 +19,16 @@ def scale(pivot: Column) -> Column:
     return F.when(pivot != 0, 1 / F.abs(pivot))
 
 
+def number(text: Column) -> Column:
+    """Decimal text, trimmed, as a finite number; anything else, a percent sign included, is null."""
+    t = F.trim(text)
+    x = F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+    return F.when(F.abs(x) != float("inf"), x)
+
+
 def fraction(text: Column) -> Column:
     """A percentage without a percent sign, divided by 100; null unless a finite number."""
-    x = F.when(~text.contains("%"), F.trim(text).try_cast("double"))
-    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x / 100)
+    return number(text) / 100
 
 
 def clean_amount(text: Column) -> Column:
@@ -59,7 +65,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 def is_number(text: Column) -> Column:
     """Whether text is a finite number without a percent sign; null text is not."""
-    return F.coalesce(fraction(text).isNotNull(), F.lit(False))
+    return number(text).isNotNull()
 
 
 def direction(text: Column) -> Column:

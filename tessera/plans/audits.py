@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import graph, versions
+from ..sources import documents
 from ..sources.network import Network
 from .registry import NETWORK, query
 
@@ -307,3 +308,50 @@ def op03(n):
 def op07(n):
     """The hash of a sorted list of identities."""
     return n.table("supplier").groupBy("s_nationkey").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "s_name", "s_suppkey"))), "|"), 256).alias("manifest"))
+
+
+# Documents: an order is a process, its lines are exchanges, line 1 is the reference, each third line has an allocation.
+
+_X = "x AS (SELECT l_orderkey AS id, l_linenumber AS ex, l_partkey AS flow, l_returnflag, l_quantity AS amount, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS c FROM lineitem), g AS (SELECT id, count(*) FILTER (WHERE ex = 1) AS n_ref, max(c) FILTER (WHERE ex = 1) AS piv, bool_or(ex = 1) AND bool_or(ex = 2) AS two FROM x GROUP BY 1)"
+
+
+def _documents(n: Network) -> DataFrame:
+    line = F.col("l_linenumber")
+    entries = F.array(*(F.struct(F.lit(t).alias(documents.TARGET), F.lit(v).alias(documents.SHARE)) for t, v in (("1", "25"), ("2", "75"))))
+    exchange = F.struct(
+        line.cast("string").alias("@dataSetInternalID"),
+        F.when(F.col("l_returnflag") == "R", "Input").otherwise("Output").alias("exchangeDirection"),
+        F.struct(F.col("l_partkey").cast("string").alias("@refObjectId"), F.lit("01.00.000").alias("@version")).alias("referenceToFlowDataSet"),
+        F.col("l_quantity").alias("meanAmount"),
+        F.when(line % 3 == 0, F.struct(entries.alias("allocation"))).alias("allocations"),
+    )
+    d = n.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(exchange).alias("exchange"))
+    reference = F.struct(F.struct(F.lit("1").alias("referenceToReferenceFlow")).alias("quantitativeReference")).alias("processInformation")
+    return d.select("id", F.lit("01.00.000").alias("version"), F.to_json(F.struct(F.struct(reference, F.struct("exchange").alias("exchanges")).alias("processDataSet"))).alias("json"))
+
+
+@query("cp01", "SELECT id, ex::VARCHAR AS exchange_id, CASE WHEN l_returnflag = 'R' THEN 'Input' ELSE 'Output' END AS direction, flow::VARCHAR AS flow_id, amount FROM x", _X)
+def cp01(n):
+    """Exchanges parsed from documents."""
+    return documents.exchanges(_documents(n)).select("id", "exchange_id", "direction", "flow_id", "amount")
+
+
+@query("cp02", "SELECT id, CASE WHEN n_ref = 0 THEN 'missing' WHEN n_ref > 1 THEN 'several' WHEN piv = 0 THEN 'invalid' ELSE 'ok' END AS reference, CASE WHEN n_ref = 1 AND piv <> 0 THEN piv END AS pivot_amount FROM g", _X)
+def cp02(n):
+    """Each process's reference and its pivot."""
+    k = F.col("n_references")
+    status = F.when(k == 0, "missing").when(k > 1, "several").when(F.col("pivot").isNull(), "invalid").otherwise("ok")
+    return documents.processes(_documents(n)).select("id", status.alias("reference"), F.col("pivot").alias("pivot_amount"))
+
+
+@query("cp03", "SELECT CASE WHEN ex % 3 <> 0 THEN 'undeclared' WHEN two THEN 'explicit' ELSE 'error' END AS kind, count(*) AS exchanges, sum(CASE WHEN ex % 3 <> 0 THEN 1.0::DOUBLE WHEN two THEN 0.25 END) AS shares FROM x JOIN g USING (id) GROUP BY 1", _X)
+def cp03(n):
+    """Allocations by kind and the sum of the shares selected."""
+    return documents.exchanges(_documents(n)).groupBy(F.col("allocation_kind").alias("kind")).agg(F.count("*").alias("exchanges"), F.sum("share").alias("shares"))
+
+
+@query("cp04", "SELECT id, ex::VARCHAR AS exchange_id, flow::VARCHAR AS flow_id, round(c / abs(piv) * CASE WHEN ex % 3 = 0 THEN 0.25::DOUBLE ELSE 1 END, 6) AS residual FROM x JOIN g USING (id) WHERE ex <> 1 AND n_ref = 1 AND piv <> 0 AND (ex % 3 <> 0 OR two)", _X)
+def cp04(n):
+    """Residual coefficients of documents."""
+    r = documents.residuals(documents.exchanges(_documents(n)))
+    return r.select("id", "exchange_id", "flow_id", F.round("residual", 6).alias("residual"))

@@ -1,11 +1,14 @@
 """Every query against its SQL, and the hand cases of FIXTURES.md."""
 
+import json
+
 import duckdb
 import pytest
 
 from tessera.functions import scalars as fn
 from tessera.operators import graph, linear, linking, versions
 from tessera.plans import registry
+from tessera.sources import documents
 from tessera.streaming.events import tumbling_counts
 
 DATA = "/root/testdata/sf0.001"
@@ -111,3 +114,68 @@ def test_conflicts_by_state(spark):
     there = spark.createDataFrame([("a", "1", 0), ("b", "1", 100)], "id string, version string, state int")
     new = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2")], "id string, version string")
     assert {(r.id, r.version): r.action for r in versions.conflicts(new, there, [0]).collect()} == {("a", "1"): "replace", ("b", "1"): "reject", ("b", "2"): "insert"}
+
+
+def exchange(k, **more):
+    return {"@dataSetInternalID": k, "exchangeDirection": "Output", "referenceToFlowDataSet": {"@refObjectId": "f", "@version": "1"}, "meanAmount": "2"} | more
+
+
+def document(items, reference="1"):
+    return json.dumps({"processDataSet": {"processInformation": {"quantitativeReference": {"referenceToReferenceFlow": reference}}, "exchanges": {"exchange": items}}})
+
+
+def entry(target=None, share="100"):
+    return ({"@internalReferenceToCoProduct": target} if target is not None else {}) | ({"@allocatedFraction": share} if share is not None else {})
+
+
+@pytest.mark.parametrize(
+    ("allocations", "share", "kind"),
+    [
+        (None, 1.0, "undeclared"),
+        ({"allocation": {}}, 1.0, "empty"),
+        ({"allocation": entry("1")}, 1.0, "explicit"),
+        ({"allocation": [entry("1", "25"), entry("2", 75)]}, 0.25, "explicit"),
+        ({"allocation": [entry("1", "33.333"), entry("2", "33.333"), entry("3", "33.333")]}, 0.33333, "explicit"),
+        ({"allocation": entry("2")}, 0.0, "sparse"),
+        ({"allocation": entry(None, "100%")}, 1.0, "inferred"),
+        ({"allocation": entry(None, 100)}, 1.0, "inferred"),
+        ({"allocation": entry(None, "50")}, None, "error"),
+        ({"allocation": [{}]}, None, "error"),
+        ({"allocation": []}, None, "error"),
+        ({"allocation": "x"}, None, "error"),
+        ({}, None, "error"),
+        ([], None, "error"),
+        ({"allocation": entry("9")}, None, "error"),
+        ({"allocation": entry(" ")}, None, "error"),
+        ({"allocation": [entry("1", "50"), entry("1", "50")]}, None, "error"),
+        ({"allocation": [entry("1", "50"), entry("2", "40")]}, None, "error"),
+        ({"allocation": [entry("1", "150"), entry("2", "-50")]}, None, "error"),
+        ({"allocation": entry("1", "100%")}, None, "error"),
+        ({"allocation": entry("1", None)}, None, "error"),
+    ],
+)
+def test_allocations(spark, allocations, share, kind):
+    more = {} if allocations is None else {"allocations": allocations}
+    df = spark.createDataFrame([("p", "1", document([exchange("1"), exchange("2", **more), exchange("3")]))], "id string, version string, json string")
+    r = documents.exchanges(df).where("exchange_id = '2'").first()
+    assert r.allocation_kind == kind
+    assert r.share == (share if share is None else pytest.approx(share))
+
+
+def test_references_and_amounts_of_documents(spark):
+    data = [
+        ("one", document(exchange("1", exchangeDirection="Input"))),
+        ("listed", document([exchange("1")], ["1"])),
+        ("two listed", document([exchange("1")], ["1", "2"])),
+        ("twice", document([exchange("1"), exchange("1")])),
+        ("none", document([exchange("2")])),
+        ("zero", document([exchange("1", meanAmount=0)])),
+        ("null first", document([exchange("1", resultingAmount=None)])),
+        ("first", document([exchange("1", resultingAmount="3", meanValue="9")])),
+        ("percent", document([exchange("1", meanAmount="5%")])),
+        ("bad", "{"),
+        ("null", None),
+    ]
+    df = spark.createDataFrame([(k, "1", j) for k, j in data], "id string, version string, json string")
+    got = {r.id: (r.n_references, r.pivot) for r in documents.processes(df).collect()}
+    assert got == {"one": (1, -2.0), "listed": (1, 2.0), "two listed": (0, None), "twice": (2, None), "none": (0, None), "zero": (1, None), "null first": (1, None), "first": (1, 3.0), "percent": (1, None), "bad": (0, None), "null": (0, None)}
