@@ -48,3 +48,26 @@ def top_children(edges: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     e = edges.join(scores.select(F.col("process_idx").alias("dst"), "direct"), "dst")
     order = W.partitionBy("src").orderBy(F.desc(F.abs("direct")), "dst")
     return e.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def upstream(edges: DataFrame, scores: DataFrame, roots: DataFrame, depth: int = 4, k: int = 5) -> DataFrame:
+    """Upstream paths of each root: (path, depth, score, ended).
+
+    A node goes on to the ``k`` providers of largest magnitude that are not yet on its path, down to ``depth``. The
+    score adds up the magnitudes of all nodes but the root. ``ended`` is max_depth, no_child, or null for a path that
+    others continue. Each level is one join, written to the shared folder; a root has at most ``k ** depth`` paths.
+    """
+    kids = written(top_children(edges, scores, k).select("src", "dst", F.abs("direct").alias("size")))
+    front = roots.select("node", F.array("node").alias("path"), F.lit(0.0).alias("score"))
+    out = None
+    for d in range(depth + 1):
+        if d < depth:
+            more = front.join(kids, front["node"] == kids["src"]).where(~F.array_contains("path", F.col("dst")))
+            more = written(more.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), (F.col("score") + F.col("size")).alias("score"), F.col("path").alias("parent")))
+            on = front.join(more.select(F.col("parent").alias("p")).distinct(), F.col("path") == F.col("p"), "left")
+            here = on.select("path", F.lit(d).alias("depth"), "score", F.when(F.col("p").isNull(), "no_child").alias("ended"))
+        else:
+            here = front.select("path", F.lit(d).alias("depth"), "score", F.lit("max_depth").alias("ended"))
+        out = here if out is None else out.unionByName(here)
+        front = more.drop("parent") if d < depth else front
+    return out

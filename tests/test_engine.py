@@ -1,5 +1,6 @@
 """Every query against its SQL, and the hand cases of FIXTURES.md."""
 
+import gzip
 import json
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 from tessera.functions import scalars as fn
 from tessera.operators import graph, linear, linking, versions
 from tessera.plans import registry
-from tessera.sources import documents
+from tessera.sources import documents, exports
 from tessera.streaming.events import tumbling_counts
 
 DATA = "/root/testdata/sf0.001"
@@ -179,3 +180,31 @@ def test_references_and_amounts_of_documents(spark):
     df = spark.createDataFrame([(k, "1", j) for k, j in data], "id string, version string, json string")
     got = {r.id: (r.n_references, r.pivot) for r in documents.processes(df).collect()}
     assert got == {"one": (1, -2.0), "listed": (1, 2.0), "two listed": (0, None), "twice": (2, None), "none": (0, None), "zero": (1, None), "null first": (1, None), "first": (1, 3.0), "percent": (1, None), "bad": (0, None), "null": (0, None)}
+
+
+def test_bundle_round_trip(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "id % 7 as value")
+    got = exports.write_bundle(df, str(tmp_path / "bundle"), "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exports.manifest(df.repartition(3), "id").collect()))
+    assert got.count() == 4 and exports.missing_chunks(got, 1000).count() == 0
+    assert [r.chunk for r in exports.missing_chunks(got.where("chunk <> 2"), 1000).collect()] == [2]
+    changed = df.selectExpr("id", "case when id = 5 then 0 else value end as value")
+    assert exports.manifest(changed, "id").join(got, ["chunk", "digest"], "left_anti").count() == 1
+
+
+def test_lines_are_counted(spark, tmp_path):
+    path = str(tmp_path / "x.json.gz")
+    with gzip.open(path, "wt") as f:
+        f.write('{"a": 1}\n{"a": 2}\n')
+    assert exports.read_lines(spark, path, "a long", 2).count() == 2
+    with pytest.raises(ValueError, match="holds 2 rows"):
+        exports.read_lines(spark, path, "a long", 3)
+
+
+def test_upstream_paths_cut_cycles(spark):
+    e = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (0, 3)], "src int, dst int")
+    s = spark.createDataFrame([(0, 9.0), (1, -4.0), (2, 2.0), (3, 1.0)], "process_idx int, direct double")
+    got = {tuple(r.path): (r.score, r.ended) for r in graph.upstream(e, s, spark.createDataFrame([(0,)], "node int"), 3, 2).collect()}
+    assert got == {(0,): (0.0, None), (0, 1): (4.0, None), (0, 3): (1.0, "no_child"), (0, 1, 2): (6.0, "no_child")}
+    one = graph.upstream(e, s, spark.createDataFrame([(0,)], "node int"), 1, 1)
+    assert {(tuple(r.path), r.ended) for r in one.collect()} == {((0,), None), ((0, 1), "max_depth")}
