@@ -4,8 +4,8 @@ Patterns give the base spans (email, ip, card, phone), which always stay. The fi
 hold a digit or an at sign. Neighbouring nodes share chain potentials; nodes whose words are equal or similar (same
 letters and digits without case and punctuation; for numbers, the same last nine digits) share skip potentials,
 however far apart they are. Sum-product messages are passed over this loopy graph, base nodes held at their label,
-so a label that one mention has carries over to mentions that no pattern fits. Nodes outside base spans whose
-label is at least ``sure`` become spans too.
+so a label that one mention has carries over to mentions that no pattern fits. Every text with nodes is inferred, also
+one without base spans or skip edges. Nodes outside base spans whose label is at least ``sure`` become spans too.
 
 Node weights (shapes of words), chain and skip potentials are learned from the base labels of a bounded sample: at
 most ``rows`` texts with an at sign or digit, those with the smallest hash.
@@ -158,10 +158,10 @@ class Model:
         """(start, kind, end, base) of all spans, sorted."""
         base = base_spans(text)
         out = [(s, k, e, True) for s, k, e in base]
-        if base:
+        if _ANY.search(text):
             g = Graph(text, base)
             open_ = np.flatnonzero(g.label == 0)
-            if len(open_) and len(g.skip):
+            if len(open_):
                 p = self.beliefs(g)
                 best = p.argmax(1)
                 for i in open_[(best[open_] > 0) & (p[open_, best[open_]] >= sure)]:

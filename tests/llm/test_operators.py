@@ -293,6 +293,13 @@ def test_field_carries_labels_to_similar_mentions():
     assert model.spans("case 12 of 77 at 3pm") == []
 
 
+def test_field_infers_texts_without_base_spans_or_repeated_words():
+    model = pii.fit([f"write to user{i}@mail{i}.example.com or call +1 (555) 010-{1000 + i} for case {i}" for i in range(80)])
+    for text in ("call (555) 010-7777 or later (555) 010-7777", "call (555) 010-7777 today", "write to a@b.example.com or call (555) 010-7777"):
+        found = [text[s:e] for s, k, e, b in model.spans(text) if not b and pii.KINDS[k] == "phone"]
+        assert found and set(found) <= {"(555)", "555", "010-7777"}, text
+
+
 def test_toxicity(spark, data):
     got = rows(queries.op5_toxicity(spark, data))
     assert len(got) == len(corpus()) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
