@@ -10,7 +10,8 @@ then split among the output shards by a tree: at each node a multivariate-hyperg
 each source's blocks go left, down to the shards. A shard takes disjoint runs of the permuted blocks, and its rows
 are shuffled by a hash within the shard alone.
 
-Only counts by source (one row for each) reach the driver; blocks and rows stay distributed. A reread or a rerun
+Only counts by source (one row for each) reach the driver, and the table of blocks while it has at most ``SENT`` rows;
+rows stay distributed. A reread or a rerun
 gives the same draws, as everything depends on hashes of rows and on the seed.
 
 Defined results: a null text has no words. Sources without words get target 0. Repeated rows are drawn alike.
@@ -19,6 +20,8 @@ Other columns are kept where rows are returned.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +32,9 @@ from .common import Batches, Texts, slices, text_key, written
 
 
 #: Names of columns that come and go while rows are drawn.
-KEY, DRAW = "__mix_key", "__mix_draw"
+KEY, DRAW, SIZE, TARGET = "__mix_key", "__mix_draw", "__mix_size", "__mix_target"
+#: Blocks of all sources up to which their table goes whole to every executor.
+SENT = 1 << 18
 
 
 def targets(words: list[int], weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -73,14 +78,13 @@ def _sizes(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(Texts(b.column(3)).counts.astype(np.int64))], ["doc_id", "source", "h", "size"])
 
 
-def draws(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, blocks: int = 4096, shards: int = 64, seed: int = 42) -> DataFrame:
-    """One row per document: doc_id, source, h, size, source_size, target, draws (array of (pass, shard))."""
+def _dealing(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, blocks: int, shards: int, seed: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows (doc_id, source, h, size), and what adds SIZE, TARGET and DRAW to rows with a source and KEY."""
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_key().alias("h"), F.col("text").cast("string").alias("text"))
     sized = written(keyed.mapInArrow(_sizes, "doc_id long, source string, h long, size long"), "sizes")
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col("h")), F.lit(blocks))
-    sized = sized.withColumn("block", block)
-    table = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
+    block = lambda h: F.pmod(F.xxhash64(F.lit(seed), F.col(h)), F.lit(blocks))
+    table = sized.withColumn("block", block("h")).groupBy("source", "block").agg(F.sum("size").alias("words"))
     table = table.withColumn("order", F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("block")))
     over = W.partitionBy("source").orderBy("order", "block")
     table = written(table.withColumn("rank", F.row_number().over(over) - 1).withColumn("upto", F.sum("words").over(over)).drop("order"), "blocks")
@@ -95,17 +99,34 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
     quota = np.array([p * r.n + cuts.get(r.source, 0) for r, p in zip(sources, passes, strict=True)], np.int64)
     ends = np.cumsum(split(quota, shards, seed), axis=0)
     rows = [(r.source, r.words, float(t), r.n, int(q), ends[:, i].tolist()) for i, (r, t, q) in enumerate(zip(sources, goal, quota, strict=True))]
-    plan = F.broadcast(spark.createDataFrame(rows, "s string, source_size long, target double, n long, quota long, ends array<long>"))
-    ranks = table.select(F.col("source").alias("s2"), F.col("block").alias("b2"), F.col("rank").cast("long").alias("rank"))
-    out = sized.join(ranks, sized["source"].eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2"))).join(plan, sized["source"].eqNullSafe(F.col("s")))
-    copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(int(np.ceil(most)))), lambda i: F.struct(i.alias("pass"), (F.col("rank") + i * F.col("n")).alias("draw"))), lambda x: x["draw"] < F.col("quota"))
-    shard = F.transform(copies, lambda x: F.struct(x["pass"].alias("pass"), F.size(F.filter("ends", lambda e: e <= x["draw"])).alias("shard")))
-    return out.select("doc_id", sized["source"], "h", "size", "source_size", "target", shard.alias("draws"))
-
-
-def mixed(docs: DataFrame, shards: int = 64, seed: int = 42, **options) -> DataFrame:
-    """The mix itself: the rows of docs as often as drawn, with their columns and (mix_shard, mix_order)."""
-    d = draws(docs, shards=shards, seed=seed, **options).where(F.size("draws") > 0).select(F.col("h").alias(KEY), F.col("draws").alias(DRAW)).distinct()
-    drawn = docs.drop("mix_shard", "mix_order").withColumn(KEY, text_key()).join(d, KEY).withColumn(DRAW, F.explode(DRAW))
+    by_source = F.broadcast(spark.createDataFrame(rows, f"__mix_s string, {SIZE} long, {TARGET} double, __mix_n long, __mix_quota long, __mix_ends array<long>"))
+    ranks = table.select(F.col("source").alias("__mix_s2"), F.col("block").alias("__mix_b2"), F.col("rank").cast("long").alias("__mix_rank"))
+    if sum(r.n for r in sources) <= SENT:
+        ranks = F.broadcast(ranks)
+
+    def drawn(given: DataFrame) -> DataFrame:
+        source = given["source"].cast("string")
+        out = given.join(ranks, source.eqNullSafe(F.col("__mix_s2")) & (block(KEY) == F.col("__mix_b2"))).join(by_source, source.eqNullSafe(F.col("__mix_s")))
+        copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(int(np.ceil(most)))), lambda i: F.struct(i.alias("pass"), (F.col("__mix_rank") + i * F.col("__mix_n")).alias("draw"))), lambda x: x["draw"] < F.col("__mix_quota"))
+        shard = F.transform(copies, lambda x: F.struct(x["pass"].alias("pass"), F.size(F.filter("__mix_ends", lambda e: e <= x["draw"])).alias("shard")))
+        return out.select(*(given[f"`{c}`"] for c in given.columns), SIZE, TARGET, shard.alias(DRAW))
+
+    return sized, drawn
+
+
+def draws(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, blocks: int = 4096, shards: int = 64, seed: int = 42) -> DataFrame:
+    """One row per document: doc_id, source, h, size, source_size, target, draws (array of (pass, shard))."""
+    sized, drawn = _dealing(docs, weights, share, most, blocks, shards, seed)
+    return drawn(sized.withColumn(KEY, F.col("h"))).select("doc_id", "source", "h", "size", F.col(SIZE).alias("source_size"), F.col(TARGET).alias("target"), F.col(DRAW).alias("draws"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, blocks: int = 4096, shards: int = 64, seed: int = 42) -> DataFrame:
+    """The mix itself: the rows of docs as often as drawn, with their columns and (mix_shard, mix_order).
+
+    Partition i holds shard i, its rows sorted by mix_order. Texts cross the network once, as often as drawn.
+    """
+    _, drawn = _dealing(docs, weights, share, most, blocks, shards, seed)
+    out = drawn(docs.drop("mix_shard", "mix_order").withColumn(KEY, text_key())).drop(SIZE, TARGET).withColumn(DRAW, F.explode(DRAW))
     shard, turn = F.col(DRAW)["shard"], F.col(DRAW)["pass"]
-    return drawn.withColumn("mix_shard", shard).withColumn("mix_order", F.xxhash64(F.lit(seed + 2), shard, KEY, turn)).drop(KEY, DRAW)
+    out = out.withColumn("mix_shard", shard).withColumn("mix_order", F.xxhash64(F.lit(seed + 2), shard, KEY, turn)).drop(KEY, DRAW)
+    return out.repartitionById(shards, F.col("mix_shard")).sortWithinPartitions("mix_shard", "mix_order")

@@ -194,6 +194,20 @@ def test_mixing(spark, data):
     assert sum(want.values()) == pytest.approx(1.5 * sum(size.values()))
 
 
+def test_mix_is_written_shard_by_shard(spark, data, tmp_path):
+    import corpus_pipeline
+    import pyarrow.parquet as pq
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    mix = [(r.mix_shard, r.mix_order, r.doc_id, r.text) for r in mixing.mixed(docs).collect()]
+    assert [r[:2] for r in mix] == sorted(r[:2] for r in mix) and len({r[0] for r in mix}) > 32
+    corpus_pipeline.mix_sources(spark, docs, data).write.parquet(f"{tmp_path}/mix")
+    files = sorted((tmp_path / "mix").glob("part-*.parquet"))
+    assert [(r["doc_id"], r["text"]) for f in files for r in pq.read_table(f).to_pylist()] == [r[2:] for r in mix]
+    shards = Counter((r["doc_id"], int(s)) for r in rows(queries.op8_mixing(spark, data)) for s in r["shards"].split(",") if s)
+    assert shards == Counter((r[2], r[0]) for r in mix)
+
+
 def test_targets_and_tree():
     assert mixing.targets([10, 100, 1000]) == pytest.approx([20, 200, 1445])
     assert mixing.targets([]) == [] and mixing.targets([0, 5]) == [0, 7.5]
