@@ -7,8 +7,9 @@ however far apart they are. Sum-product messages are passed over this loopy grap
 so a label that one mention has carries over to mentions that no pattern fits. Every text with nodes is inferred, also
 one without base spans or skip edges. Nodes outside base spans whose label is at least ``sure`` become spans too.
 
-Node weights (shapes of words), chain and skip potentials are learned from the base labels of a bounded sample: at
-most ``rows`` texts with an at sign or digit, those with the smallest hash.
+Node weights (shapes of words), chain and skip potentials are learned from the base labels of all texts with an at sign
+or digit. Executors count nodes by shape and label, and edges by labels; the driver sees these counts alone. Their number
+is bounded by the shapes that there are, as the share of digits in a word goes into ``BINS`` bins, each with its mean.
 
 Defined results: a null text is empty and has no spans. Offsets are code points, ends exclusive. Each row is read on
 its own, so repeated rows get equal spans. Other columns are ignored.
@@ -17,15 +18,18 @@ its own, so repeated rows get equal spans. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, text_key
+from .common import Batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
+#: Bins of a word's share of digits, and the unit in which shares are summed.
+BINS, UNIT = 64, 1 << 20
 SPAN = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 # A match starts where its run starts or the one before ended; so each pattern is searched in linear time.
@@ -173,38 +177,70 @@ class Model:
         return sorted(out)
 
 
-def fit(texts: list[str], steps: int = 300, rate: float = 0.5) -> Model:
+def _counts(texts: Iterable[str]) -> np.ndarray:
+    """Rows (what, cell, label, n, ratio): nodes by shape and label with their summed ratios, chain edges and skip edges by labels."""
+    cells, labels, ratios = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    k = len(KINDS) + 1
+    chain, skip = np.zeros((k, k), np.int64), np.zeros(2, np.int64)
+    for text in texts:
+        g = Graph(text, base_spans(text))
+        for lo in range(0, len(g.words), 1 << 16):  # part by part to bound memory
+            x = shapes(g.words[lo : lo + (1 << 16)])
+            cells.append(x[:, :19].astype(np.int64) @ (1 << np.arange(19)) | np.minimum(x[:, 19] * BINS, BINS - 1).astype(np.int64) << 19)
+            ratios.append(np.rint(x[:, 19] * UNIT).astype(np.int64))
+        labels.append(g.label)
+        np.add.at(chain, (g.label[g.chain[:, 0]], g.label[g.chain[:, 1]]), 1)
+        skip += np.bincount(g.label[g.skip[:, 0]] == g.label[g.skip[:, 1]], minlength=2)
+    u, at = np.unique(np.concatenate(cells) * k + np.concatenate(labels), return_inverse=True)
+    ratio = np.zeros(len(u), np.int64)
+    np.add.at(ratio, at, np.concatenate(ratios))
+    node = np.stack([np.zeros_like(u), u // k, u % k, np.bincount(at, minlength=len(u)), ratio], 1)
+    edge = [(1, i, j, chain[i, j], 0) for i in range(k) for j in range(k)] + [(2, 0, i, skip[i], 0) for i in range(2)]
+    return np.concatenate([node, np.array(edge, np.int64)])
+
+
+def _solve(counts: np.ndarray, steps: int = 300, rate: float = 0.5) -> Model:
     """Weights of nodes by logistic regression on base labels, chain and skip potentials by smoothed counts."""
     k = len(KINDS) + 1
-    graphs = [Graph(t, base_spans(t)) for t in texts]
-    x = np.concatenate([shapes(g.words) for g in graphs]) if graphs else np.zeros((0, 20))
-    y = np.concatenate([g.label for g in graphs]) if graphs else np.zeros(0, np.int64)
-    w = np.zeros((20, k))
-    if len(y):
+    _, cell, y, n, ratio = counts[counts[:, 0] == 0].T
+    w, total = np.zeros((20, k)), n.sum()
+    share = np.ones(k) + np.bincount(y, weights=n, minlength=k)
+    if total:
+        x = np.c_[cell[:, None] >> np.arange(19) & 1, ratio / n / UNIT]
         target = np.eye(k)[y]
         for _ in range(steps):
             z = x @ w
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            w -= rate * (x.T @ (p - target) / len(y) + 1e-4 * w)
-    chain, share, alike, pairs = np.ones((k, k)), np.full(k, 1.0), 1.0, 2.0
-    for g in graphs:
-        np.add.at(chain, (g.label[g.chain[:, 0]], g.label[g.chain[:, 1]]), 1)
-        share += np.bincount(g.label, minlength=k)
-        same = g.label[g.skip[:, 0]] == g.label[g.skip[:, 1]]
-        alike, pairs = alike + same.sum(), pairs + len(same)
+            w -= rate * (x.T @ ((p - target) * n[:, None]) / total + 1e-4 * w)
+    chain, alike, pairs = np.ones((k, k)), 1.0, 2.0
+    for what, i, j, m, _ in counts[counts[:, 0] > 0]:
+        if what == 1:
+            chain[i, j] += m
+        else:
+            alike, pairs = alike + j * m, pairs + m
     share /= share.sum()
     chain = chain / chain.sum() / (share[:, None] * share[None, :])
     odds = alike / pairs / max(float((share**2).sum()), 1e-3)
     return Model(w, np.clip(chain, 0.02, 50), float(np.clip(np.log(odds) + 4, 3, 8)))
 
 
-def learn(docs: DataFrame, rows: int = 2000) -> Model:
-    """Fits the field on the bounded sample."""
-    have = docs.select(F.col("text").cast("string").alias("text"), text_key().alias("h")).where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000))
-    keys = have.select("h").orderBy("h").limit(rows)  # keys alone, so that tasks send the driver no texts to choose from
-    sample = have.join(F.broadcast(keys.distinct()), "h").groupBy("h").agg(F.min("text").alias("text"))
-    return fit([r.text for r in sample.orderBy("h").select("text").collect()])
+def fit(texts: list[str], **how) -> Model:
+    """Fits the field on texts that are at hand."""
+    return _solve(_counts(texts), **how)
+
+
+def learn(docs: DataFrame) -> Model:
+    """Fits the field on all texts, whatever their length; repeated texts count as often as they occur."""
+    names = ["what", "cell", "label", "n", "ratio"]
+
+    def f(batches: Batches) -> Batches:
+        for b in (part for batch in batches for part in slices(batch, 0)):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(_counts(b.column(0).to_pylist()).T)], names)
+
+    have = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    counts = have.mapInArrow(f, ", ".join(f"{c} long" for c in names)).groupBy("what", "cell", "label").agg(F.sum("n").alias("n"), F.sum("ratio").alias("ratio")).where("n > 0")
+    return _solve(np.array(sorted(tuple(r) for r in counts.collect()), np.int64).reshape(-1, 5))
 
 
 def found(docs: DataFrame, model: Model) -> DataFrame:

@@ -314,6 +314,14 @@ def test_field_infers_texts_without_base_spans_or_repeated_words():
         assert found and set(found) <= {"(555)", "555", "010-7777"}, text
 
 
+def test_field_learns_from_long_texts(spark):
+    texts = [" ".join([*EN * 200, f"write to user{i}@mail{i}.example.com or call +1 (555) 010-{1000 + i} for case {i}"]) for i in range(40)]
+    assert min(map(len, texts)) > 20_000
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "no digits"])], "doc_id long, text string").repartition(3)
+    model, want = pii.learn(docs), pii.fit(texts)
+    assert np.abs(model.node).max() > 0.1 and np.allclose(model.node, want.node) and np.allclose(model.chain, want.chain) and model.skip == want.skip
+
+
 def test_toxicity(spark, data):
     got = rows(queries.op5_toxicity(spark, data))
     assert len(got) == len(corpus()) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
