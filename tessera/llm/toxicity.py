@@ -152,7 +152,8 @@ def fit(sets: list[np.ndarray], y: np.ndarray, features: int = 512, **how) -> Mo
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, rows: int = 8192, features: int = 512) -> Model:
-    """Fits on at most ``rows`` labelled rows of docs that ``train`` (a condition on doc_id) admits.
+    """Fits on at most ``rows`` labelled rows of docs that ``train`` (a condition on doc_id) admits, and on ``features``
+    features at most besides those of the identity terms; a text with none of them gets the bias alone.
 
     Spark counts the features; the driver sees those of at least ``LEAST`` sample texts and, of each sample text,
     the places of the chosen ones.
