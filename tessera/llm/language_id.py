@@ -5,10 +5,11 @@ word is scored under each candidate by byte trigrams (with the gaps round it); a
 with a penalty for each switch labels spans of mixed-language text. The text's language has most bytes of words
 with a letter; its score is that share.
 
-Learning counts trigrams (hashed to ``CELLS``) and scripts for each language over all labelled rows, whole texts;
-what reaches the driver is one row of fixed size for each language and part.
+Learning counts trigrams (hashed to ``CELLS``) and scripts for each language over all labelled rows, whole texts. The
+tasks' counts are added up in two levels, each in many places; what reaches the driver is one row of fixed size for each
+language and part.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was
+Defined results: a null text, or one without a letter (by Unicode category), is ``und`` with score 0; so is every text if nothing was
 learned. Rows with a null label are not learned from. Words without letters take the label of their neighbours.
 Equal scores go to the language that comes first by code point. Other columns are ignored.
 """
@@ -16,22 +17,35 @@ Equal scores go to the language that comes first by code point. Other columns ar
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, Texts
+from .common import Batches, Texts, slices
 
 CELLS, PARTS = 1 << 17, 64
-#: Lead bytes of letters by script: Latin, Greek, Cyrillic, Armenian and Hebrew, Arabic, Indic and South-East Asian, Kana and CJK, Hangul, other.
-SCRIPTS = ((0xC3, 0xC9), (0xCD, 0xCF), (0xD0, 0xD4), (0xD5, 0xD7), (0xD8, 0xDF), (0xE0, 0xE1), (0xE3, 0xE9), (0xEA, 0xED), (0xEE, 0xF4))
-_SCRIPT = np.full(256, 255, np.uint8)
-_SCRIPT[65:91] = _SCRIPT[97:123] = 0
-for _i, (_a, _b) in enumerate(SCRIPTS):
-    _SCRIPT[_a : _b + 1] = _i
-_OTHER = len(SCRIPTS)
+#: Places into which the tasks' counts go before they are added up, so that no task sees those of all others.
+SALTS = 256
+#: Code points of the scripts by their ranges: Latin, Greek, Cyrillic, Armenian and Hebrew, Arabic and Syriac, Indic,
+#: South-East Asian, Georgian and Ethiopic, Kana, CJK, Hangul. Letters outside are one script more.
+SCRIPTS = (
+    ((0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)),
+    ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    ((0x400, 0x52F), (0x1C80, 0x1C8F), (0xA640, 0xA69F)),
+    ((0x530, 0x5FF), (0xFB13, 0xFB4F)),
+    ((0x600, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)),
+    ((0x900, 0xDFF), (0xA8E0, 0xA8FF)),
+    ((0xE00, 0x109F), (0x1780, 0x17FF), (0xA9E0, 0xAA7F)),
+    ((0x10A0, 0x10FF), (0x1200, 0x139F), (0x1C90, 0x1CBF)),
+    ((0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)),
+    ((0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)),
+    ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)),
+)
+_OTHER = len(SCRIPTS) + 1
 #: Natural-log loss of a switch between languages, and of a word in a script not learned for a language.
 SWITCH, OFF = 12.0, 60.0
 
@@ -48,16 +62,41 @@ def _cells(t: Texts) -> np.ndarray:
     return ((key * np.uint32(0x9E3779B1)) >> np.uint32(15)).astype(np.int64)
 
 
+@cache
+def _script_table() -> np.ndarray:
+    """The script of each code point; 255 for one that is not a letter by its Unicode category."""
+    table = np.array([len(SCRIPTS) if chr(c).isalpha() else 255 for c in range(0x110000)], np.uint8)
+    for i, ranges in enumerate(SCRIPTS):
+        for lo, hi in ranges:
+            table[lo : hi + 1][table[lo : hi + 1] != 255] = i
+    return table
+
+
+def _letters(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Where letters start in a batch's bytes, and their scripts."""
+    table, b = _script_table(), np.r_[t.buf, np.zeros(3, np.uint8)]
+    plain = np.flatnonzero(table[:128][np.minimum(t.buf, 127)] != 255)
+    lead = np.flatnonzero(t.buf >= 0xC2)
+    if not len(lead):
+        return plain, table[t.buf[plain]]
+    x = [b[lead + k].astype(np.int64) & 0x3F for k in range(4)]
+    two, three, four = ((x[0] & 0x1F) << 6) | x[1], ((x[0] & 0x0F) << 12) | (x[1] << 6) | x[2], ((x[0] & 0x07) << 18) | (x[1] << 12) | (x[2] << 6) | x[3]
+    code = np.where(b[lead] < 0xE0, two, np.where(b[lead] < 0xF0, three, np.minimum(four, 0x10FFFF)))
+    script = table[code]
+    lead, script = lead[script != 255], script[script != 255]
+    at = np.r_[plain, lead]
+    order = np.argsort(at, kind="stable")
+    return at[order], np.r_[table[t.buf[plain]], script][order]
+
+
 def _scripts(t: Texts) -> np.ndarray:
     """The script of each word's first letter; 255 without one."""
-    s = _SCRIPT[t.buf]
-    at = np.flatnonzero(s != 255)
+    at, s = _letters(t)
     first = np.searchsorted(at, t.starts)
     ok = first < len(at)
     out = np.full(len(t.starts), 255, np.uint8)
-    where = at[first[ok]]
-    inside = where < t.ends[ok]
-    out[np.flatnonzero(ok)[inside]] = s[where[inside]]
+    inside = at[first[ok]] < t.ends[ok]
+    out[np.flatnonzero(ok)[inside]] = s[first[ok][inside]]
     return out
 
 
@@ -99,11 +138,8 @@ class Model:
         total = share.sum(1)
         best = share.argmax(1)
         score = share[np.arange(t.n), best] / np.maximum(total, 1)
-        out = []
-        for i, x in enumerate(texts.to_pylist() if (total == 0).any() else [None] * t.n):
-            ok = bool(self.langs) and (total[i] > 0 or any(ch.isalpha() for ch in x or ""))
-            out.append(self.langs[best[i]] if ok else "und")
-        return out, np.where([x == "und" for x in out], 0.0, score)
+        known = (total > 0) & bool(self.langs)
+        return [self.langs[i] if ok else "und" for i, ok in zip(best, known, strict=True)], np.where(known, score, 0.0)
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -144,7 +180,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
 
 def _counted(batches: Batches) -> Batches:
     sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for b in batches:
+    for b in (part for batch in batches for part in slices(batch, 1)):
         langs = np.array(b.column(0).to_pylist(), object)
         for lang in sorted(set(langs)):
             t = Texts(b.column(1).filter(pa.array(langs == lang)), lower=True)
@@ -155,10 +191,11 @@ def _counted(batches: Batches) -> Batches:
             c, s = sums.setdefault(lang, (np.zeros(CELLS, np.int64), np.zeros(_OTHER, np.int64)))
             c += np.bincount(cells[np.cumsum(inside[:-1]) > 0], minlength=CELLS)
             s += np.bincount(script[script != 255], minlength=_OTHER)
+    salt = TaskContext.get().partitionId() % SALTS
     for lang, (c, s) in sums.items():
         step = CELLS // PARTS
         blobs = [zlib.compress(c[k * step : (k + 1) * step].tobytes(), 1) for k in range(PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * PARTS), pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(blobs, pa.binary()), pa.array([s.tobytes()] + [None] * (PARTS - 1), pa.binary())], ["lang", "part", "cells", "scripts"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * PARTS), pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(blobs, pa.binary()), pa.array([s.tobytes()] + [None] * (PARTS - 1), pa.binary()), pa.array(np.full(PARTS, salt, np.int32))], ["lang", "part", "cells", "scripts", "salt"])
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -167,20 +204,21 @@ def _summed(table: pa.Table) -> pa.Table:
         c += np.frombuffer(zlib.decompress(x), np.int64)
     for x in table["scripts"].to_pylist():
         s += np.frombuffer(x, np.int64) if x else 0
-    return pa.table({"lang": table["lang"].slice(0, 1).combine_chunks(), "part": table["part"].slice(0, 1).combine_chunks(), "cells": pa.array([c.tobytes()], pa.binary()), "scripts": pa.array([s.tobytes()], pa.binary())})
+    return pa.table({"lang": table["lang"].slice(0, 1).combine_chunks(), "part": table["part"].slice(0, 1).combine_chunks(), "cells": pa.array([zlib.compress(c.tobytes(), 1)], pa.binary()), "scripts": pa.array([s.tobytes()], pa.binary())})
 
 
 def learn(rows: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """Learns from all rows whose label and text are not null."""
     known = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
     kind = "lang string, part int, cells binary, scripts binary"
-    found = known.mapInArrow(_counted, kind).groupBy("lang", "part").applyInArrow(_summed, kind).collect()
+    counted = known.mapInArrow(_counted, f"{kind}, salt int")
+    found = counted.groupBy("lang", "part", "salt").applyInArrow(_summed, kind).groupBy("lang", "part").applyInArrow(_summed, kind).collect()
     langs = sorted({r.lang for r in found})
     counts, scripts = np.zeros((len(langs), CELLS)), np.zeros((len(langs), _OTHER))
     step = CELLS // PARTS
     for r in found:
         i = langs.index(r.lang)
-        counts[i, r.part * step : (r.part + 1) * step] = np.frombuffer(r.cells, np.int64)
+        counts[i, r.part * step : (r.part + 1) * step] = np.frombuffer(zlib.decompress(r.cells), np.int64)
         scripts[i] += np.frombuffer(r.scripts, np.int64)
     return Model(langs, counts, scripts)
 
@@ -190,11 +228,9 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def f(batches: Batches) -> Batches:
-        for b in batches:
-            parts = [b.slice(k, 2500) for k in range(0, b.num_rows, 2500)]
-            for p in parts:
-                langs, score = shared.value.predict(p.column(1))
-                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(langs, pa.string()), pa.array(score.astype(np.float64))], ["doc_id", "lang_pred", "score"])
+        for b in (part for batch in batches for part in slices(batch, 1)):
+            langs, score = shared.value.predict(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(score.astype(np.float64))], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(f, "doc_id long, lang_pred string, score double")
 
@@ -204,7 +240,7 @@ def labelled_spans(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def f(batches: Batches) -> Batches:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1)):
             t, label, _ = shared.value.spans(b.column(1))
             doc = t.doc_of_word()
             new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])]) if len(doc) else np.zeros(0, np.int64)
