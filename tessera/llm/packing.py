@@ -9,8 +9,9 @@ r-th piece of a length takes the r-th slot for that length over all patterns.
 Ranks are exact without a sort over all rows: a task numbers its own pieces of a length, and the counts by
 (task, length) are summed up before it. The pieces are a written table, so the numbers never change.
 
-Tokens: the words between ``0x20, 0x09-0x0D`` never share a token, so each distinct word is encoded once by a
-worker and kept (up to ``KEPT`` words); a text is then looked up as a whole.
+Tokens: where a tokenizer's file says that words between ``0x20, 0x09-0x0D`` never share a token (``WORDWISE``), each
+distinct word is encoded once by a worker and kept (up to ``KEPT`` words); a text is then looked up as a whole. Any other
+tokenizer reads whole texts.
 
 Defined results: a null text is empty and has the end id alone. Repeated rows are packed as often as they come.
 Null doc_ids are packed too. An empty table has no sequences. Other columns are ignored.
@@ -19,6 +20,7 @@ Null doc_ids are packed too. An empty table has no sequences. Other columns are
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 
@@ -36,6 +38,25 @@ KEPT = 6_000_000
 PIECES = "doc_id long, start long, length int, checksum long, doc_tokens long, part int, rank long, ids array<int>"
 
 
+#: Fixed values of a tokenizer's file: the steps before its model by which words are encoded one by one, and that model's word end.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "end_of_word_suffix": "</w>",
+}
+
+
+def _wordwise(path: str) -> bool:
+    """Whether the file has exactly the steps of WORDWISE, and added tokens start with '<' only."""
+    with open(path, encoding="utf-8") as f:
+        j = json.load(f)
+    steps = (j.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = [x for x in steps if x.get("type") == "Split" and x.get("pattern", {}).get("Regex") == WORDWISE["split"] and x.get("behavior") == "Removed" and x.get("invert")]
+    rest = [x for x in steps if x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex")]
+    suffix = j["model"].get("end_of_word_suffix")
+    return j.get("normalizer") == WORDWISE["normalizer"] and len(steps) == 2 and steps == split + rest and suffix == WORDWISE["end_of_word_suffix"] and all(t["content"].startswith("<") for t in j.get("added_tokens", []))
+
+
 class Encoder:
     """Ids of words, with those met before kept in sorted arrays."""
 
@@ -45,6 +66,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.wordwise = _wordwise(path)
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -77,12 +99,30 @@ class Encoder:
             out[i] = enc.ids
         return out
 
-    def ids_of(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a batch of texts (lower-cased but for words with '<'), and how many each word has."""
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch of texts, one text after the other, and how many each text has."""
+        if not self.wordwise:
+            found = [self.tok.encode(x or "", add_special_tokens=False).ids for x in texts.to_pylist()]
+            return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
+        t = Texts(texts, lower=True)
+        ids, n = self._of_words(t)
+        total = np.r_[0, np.cumsum(n)]
+        return ids, total[t.first[1:]] - total[t.first[:-1]]
+
+    def _of_words(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch's words, and how many each has. Words go to the tokenizer lower-cased, but as they are if they
+        hold a '<', or a capital and a code point from U+0300: the tokenizer composes characters before it lower-cases."""
         h = t.hashes()
-        odd = np.flatnonzero(t.raw == ord("<"))
         raw = t.raw.tobytes()
-        odd = np.unique(np.searchsorted(t.starts, odd, side="right") - 1)
+        odd = np.unique(np.searchsorted(t.starts, np.flatnonzero(t.raw == ord("<")), side="right") - 1)
+        marks = np.flatnonzero(t.raw >= 0xCC)
+        if len(marks):
+            marked = np.unique(np.searchsorted(t.starts, marks, side="right") - 1)
+            capitals = np.flatnonzero(t.raw != t.buf)
+            first = np.searchsorted(capitals, t.starts[marked])
+            has = first < len(capitals)
+            has[has] = capitals[first[has]] < t.ends[marked[has]]
+            odd = np.union1d(odd, marked[has])
         for i in odd.tolist():
             h[i] = mix(np.frombuffer(hashlib.blake2b(raw[t.starts[i] : t.ends[i]], digest_size=8).digest(), np.uint64))[0]
         u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -121,16 +161,14 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
         used = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for rows in slices(batch, 1):
-                t = Texts(rows.column(1), lower=True)
-                ids, n = encoder.ids_of(t)
-                total = np.r_[0, np.cumsum(n)]
-                per_doc = total[t.first[1:]] - total[t.first[:-1]]
-                all_ids = np.full(len(ids) + t.n, end_id, "<u4")
-                all_ids[np.arange(len(ids)) + np.repeat(np.arange(t.n), per_doc)] = ids
+                m = rows.num_rows
+                ids, per_doc = encoder.ids_of(rows.column(1))
+                all_ids = np.full(len(ids) + m, end_id, "<u4")
+                all_ids[np.arange(len(ids)) + np.repeat(np.arange(m), per_doc)] = ids
                 sizes = per_doc + 1
                 bounds = np.r_[0, np.cumsum(sizes)]
                 k = -(-sizes // capacity)
-                doc = np.repeat(np.arange(t.n), k)
+                doc = np.repeat(np.arange(m), k)
                 start = (np.arange(len(doc)) - np.repeat(np.cumsum(k) - k, k)) * capacity
                 length = np.minimum(sizes[doc] - start, capacity)
                 b = memoryview(all_ids).cast("B")

@@ -174,11 +174,31 @@ def test_encoder_agrees_on_odd_words():
 
     import pyarrow as pa
 
-    texts = ["It's NAÏVE, don't! <|endoftext|> <|ENDOFTEXT|> a<b x y 12345 ́e é 日本語 ab'll", "…— 'S 've"]
+    marks = ["\u0308", "\u0331", "\u030c", "\u030a", "\u0307", "\u0345", "\u0338"]
+    alphabet = [*"abtTHJWYKIiсЯéÉßΣσςÅ日<>|'’.,0123 ", *marks, "'s", "'T", "don't", "<|endoftext|>", "\xa0", "\u3000", "\x85", "\x1c", "İ", "ﬁ", "👍", "\u200d", "\u2003", "\u212a", " ", " ", "\n"]
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(alphabet, rng.integers(1, 14))) for _ in range(50_000)]
+    texts += [chr(c) + chr(m) for c in range(65, 91) for m in range(0x300, 0x370)]
+    texts += ["It's NAÏVE, don't! <|endoftext|> <|ENDOFTEXT|> a<b x\x1cy 12345 \u0301e é 日本語 ab'll", "…— 'S 've", None, ""]
     enc, tok = packing.Encoder(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
-    for text in texts:
-        ids, _ = enc.ids_of(packing.Texts(pa.array([text]), lower=True))
-        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+    ids, n = enc.ids_of(pa.array(texts))
+    ends = np.cumsum(n)
+    assert enc.wordwise and len(ids) == ends[-1]
+    for text, s, e, want in zip(texts, ends - n, ends, tok.encode_batch([x or "" for x in texts], add_special_tokens=False), strict=True):
+        assert ids[s:e].tolist() == want.ids, ascii(text)
+
+
+def test_other_tokenizers_read_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, texts = packing.Encoder(path), ["Two words", None, " a  b ", ""]
+    ids, n = enc.ids_of(pa.array(texts))
+    assert not enc.wordwise
+    assert ids.tolist() == [i for x in texts for i in Tokenizer.from_file(path).encode(x or "", add_special_tokens=False).ids] and n.tolist()[1] == n.tolist()[3] == 0
 
 
 def test_mixing(spark, data):
@@ -353,6 +373,70 @@ def test_language(spark, data):
             assert r["lang_pred"] == want[r["doc_id"]][2]
 
 
+def test_letters_are_told_by_category():
+    import sys
+
+    import pyarrow as pa
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    at, script = language_id._letters(language_id.Texts(pa.array([every])))
+    assert len(at) == len(script) == sum(c.isalpha() for c in every)
+    model = language_id.Model(["en"], np.ones((1, language_id.CELLS)), np.ones((1, language_id._OTHER)))
+    odd = ["😀", "×", "。", "٣٤", "12 ÷ 3", "²", "_", "", None, "\ue000", "\u0301"]
+    assert model.predict(pa.array(odd, pa.string()))[0] == ["und"] * len(odd)
+    assert model.predict(pa.array(["a×", "日本", "٣ب", "ª", "\U00010400"]))[0] == ["en"] * 5
+
+
+def test_language_against_brute_force(spark, tmp_path):
+    """A plain version, word by word and with all paths' best, of what is learned, scored and chosen."""
+    data = [(i, t, lang) for i, t, lang, _ in corpus() if i is not None and i < 310] + [(500, " ".join(EN[:9] + FR[:9]), None), (501, "Привет мир cat", "ru"), (502, "Привет, мир", "ru"), (503, "мир 日本 7", "ru")]
+    spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows(queries.op7_language_id(spark, str(tmp_path)))}
+
+    def trigrams(text):
+        b = bytes(32 if c in b" \t\n\r\x0b\x0c" else c + 32 * (65 <= c <= 90) for c in text.encode())
+        return [((((b[i - 1] if i else 32) << 16 | b[i] << 8 | (b[i + 1] if i + 1 < len(b) else 32)) * 0x9E3779B1 & 0xFFFFFFFF) >> 15) for i in range(len(b))]
+
+    def script(word):
+        c = next((c for c in word if c.isalpha()), None)
+        return None if c is None else next((k for k, r in enumerate(language_id.SCRIPTS) if any(a <= ord(c) <= b for a, b in r)), len(language_id.SCRIPTS))
+
+    counts, scripts = defaultdict(Counter), defaultdict(Counter)
+    for i, text, lang in data:
+        if lang is not None and text is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            t = trigrams(text)
+            for m in re.finditer(rb"[^ \t-\r]+", text.encode()):
+                counts[lang].update(t[m.start() : m.end()])
+                scripts[lang][script(m[0].decode())] += 1
+    langs = sorted(counts)
+    for x in scripts.values():
+        x.pop(None, None)
+    log = {k: lambda c, k=k, n=sum(counts[k].values()): math.log((counts[k][c] + 0.05) / (n + 0.05 * language_id.CELLS)) for k in langs}
+    known = {s: [k for k in langs if scripts[k][s] >= 0.005 * sum(scripts[k].values())] for s in range(language_id._OTHER)}
+    for i, text, _ in data:
+        t, best = trigrams(text or ""), None
+        share = Counter()
+        found = [(m, script(m[0].decode())) for m in re.finditer(rb"[^ \t-\r]+", (text or "").encode())]
+        path = {}
+        for m, s in found:
+            step = {}
+            for k in langs:
+                x = 0.0 if s is None else sum(log[k](c) for c in t[m.start() : m.end()]) - (language_id.OFF if known[s] and k not in known[s] else 0)
+                prior = max(((v - (language_id.SWITCH if j != k else 0), p) for j, (v, p) in path.items()), default=(0.0, []), key=lambda y: y[0])
+                step[k] = (prior[0] + x, [*prior[1], k])
+            path = step
+        if path:
+            best = max(path.values(), key=lambda y: y[0])[1]
+            for (m, s), k in zip(found, best, strict=True):
+                if s is not None:
+                    share[k] += m.end() - m.start()
+        if not share:
+            assert got[i] == ("und", 0.0)
+        else:
+            top = max(sorted(share), key=lambda k: share[k])
+            assert got[i][0] == top and got[i][1] == pytest.approx(share[top] / sum(share.values())), (i, text[:60])
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(4)
     scores, first = rng.normal(size=(40, 3)).astype(np.float32), np.array([0, 5, 5, 6, 40])
