@@ -10,9 +10,14 @@ then split among the output shards by a tree: at each node a multivariate-hyperg
 each source's blocks go left, down to the shards. A shard takes disjoint runs of the permuted blocks, and its rows
 are shuffled by a hash within the shard alone.
 
-Only counts by source (one row for each) reach the driver, and the table of blocks while it has at most ``SENT`` rows;
-rows stay distributed. A reread or a rerun
-gives the same draws, as everything depends on hashes of rows and on the seed.
+Only counts by source (one row for each) reach the driver. What a block is drawn for is worked out in the table of
+blocks, so rows meet it in one join by (source, block): a source with a third of all rows is in as many places as it has
+blocks. Both tables are broadcast only up to ``SENT`` values. A reread or a rerun gives the same draws, as everything
+depends on hashes of rows and on the seed.
+
+A draw from at least ``LARGE`` blocks halves the sources until each half is below; how many go to a half is then a
+hypergeometric number by its binomial or normal limit (exact to about one part in the square root of ``LARGE``). Quotas
+and shards' sizes are exact at any size.
 
 Defined results: a null text has no words. Sources without words get target 0. Repeated rows are drawn alike.
 Other columns are kept where rows are returned.
@@ -33,8 +38,10 @@ from .common import Batches, Texts, slices, text_key, written
 
 #: Names of columns that come and go while rows are drawn.
 KEY, DRAW, SIZE, TARGET = "__mix_key", "__mix_draw", "__mix_size", "__mix_target"
-#: Blocks of all sources up to which their table goes whole to every executor.
+#: Rows of the table of blocks, and values of the table of sources, up to which these go whole to every executor.
 SENT = 1 << 18
+#: Blocks from which a draw is not made by the library's exact sampler, which takes no more.
+LARGE = 10**9
 
 
 def targets(words: list[int], weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -54,6 +61,30 @@ def targets(words: list[int], weights: tuple[int, ...] = (3, 1, 2), share: float
     return out.tolist()
 
 
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many good ones are among n drawn without replacement."""
+    total, few = good + bad, min(good, bad)
+    if max(good, bad) < LARGE:
+        return int(rng.hypergeometric(good, bad, n))
+    if few < 1_000_000:  # each of the few is drawn or not, almost independently
+        x = int(rng.binomial(few, n / total))
+        x = x if few == good else n - x
+    else:
+        x = round(rng.normal(n * (good / total), (n * (good / total) * (bad / total) * ((total - n) / (total - 1))) ** 0.5))
+    return min(max(x, n - bad, 0), n, good)
+
+
+def _drawn(rng: np.random.Generator, q: np.ndarray, n: int) -> np.ndarray:
+    """How many of n blocks, drawn without replacement, come from each source: multivariate hypergeometric."""
+    if int(q.sum()) < LARGE:
+        return rng.multivariate_hypergeometric(q, n, method="marginals") if len(q) else q
+    if len(q) == 1:
+        return np.array([n], np.int64)
+    mid = len(q) // 2
+    left = _hypergeometric(rng, int(q[:mid].sum()), int(q[mid:].sum()), n)
+    return np.r_[_drawn(rng, q[:mid], left), _drawn(rng, q[mid:], n - left)]
+
+
 def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Quotas (by source) split among shards: an array (shards, sources) whose columns sum to the quotas."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -64,7 +95,7 @@ def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
             out[lo] = q
             return
         mid = (lo + hi) // 2
-        left = rng.multivariate_hypergeometric(q, int(q.sum()) * (mid - lo) // (hi - lo), method="marginals") if q.sum() else q
+        left = _drawn(rng, q, int(q.sum()) * (mid - lo) // (hi - lo))
         node(lo, mid, left)
         node(mid, hi, q - left)
 
@@ -92,24 +123,29 @@ def _dealing(docs: DataFrame, weights: tuple[int, ...], share: float, most: floa
     goal = targets([r.words for r in sources], weights, share, most)
     passes = [int(t // r.words) if r.words else 0 for t, r in zip(goal, sources, strict=True)]
     need = [t - p * r.words for t, p, r in zip(goal, passes, sources, strict=True)]
-    kind = "source string, source_size long, target double, passes long, lack double, n long"
-    plan = spark.createDataFrame([(r.source, r.words, float(t), p, float(x), r.n) for r, t, p, x in zip(sources, goal, passes, need, strict=True)], kind)
-    cut = table.join(F.broadcast(plan), table["source"].eqNullSafe(plan["source"])).where(F.col("upto") - F.col("words") / 2 <= F.col("lack"))
-    cuts = {r.source: r.k for r in cut.where("lack > 0").groupBy(plan["source"]).agg(F.count("*").alias("k")).collect()}
+    names = pa.array([r.source for r in sources], pa.string())
+    n = np.array([r.n for r in sources], np.int64)
+
+    def by_source(width: int, **columns) -> DataFrame:
+        df = spark.createDataFrame(pa.table({"__mix_s": names, **columns}))
+        return F.broadcast(df) if len(sources) * width <= SENT else df
+
+    lack = by_source(1, lack=pa.array(need, pa.float64()))
+    cut = table.join(lack, table["source"].eqNullSafe(lack["__mix_s"])).where((F.col("lack") > 0) & (F.col("upto") - F.col("words") / 2 <= F.col("lack")))
+    cuts = {r.source: r.k for r in cut.groupBy("source").agg(F.count("*").alias("k")).collect()}
     quota = np.array([p * r.n + cuts.get(r.source, 0) for r, p in zip(sources, passes, strict=True)], np.int64)
     ends = np.cumsum(split(quota, shards, seed), axis=0)
-    rows = [(r.source, r.words, float(t), r.n, int(q), ends[:, i].tolist()) for i, (r, t, q) in enumerate(zip(sources, goal, quota, strict=True))]
-    by_source = F.broadcast(spark.createDataFrame(rows, f"__mix_s string, {SIZE} long, {TARGET} double, __mix_n long, __mix_quota long, __mix_ends array<long>"))
-    ranks = table.select(F.col("source").alias("__mix_s2"), F.col("block").alias("__mix_b2"), F.col("rank").cast("long").alias("__mix_rank"))
-    if sum(r.n for r in sources) <= SENT:
-        ranks = F.broadcast(ranks)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sources) + 1) * shards, pa.int32()), pa.array(ends.T.ravel()))
+    plan = by_source(shards, __mix_n=pa.array(n), __mix_quota=pa.array(quota), __mix_ends=lists, **{SIZE: pa.array([r.words for r in sources], pa.int64()), TARGET: pa.array(goal, pa.float64())})
+    copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(int(np.ceil(most)))), lambda i: F.struct(i.alias("pass"), (F.col("rank") + i * F.col("__mix_n")).alias("draw"))), lambda x: x["draw"] < F.col("__mix_quota"))
+    shard = F.transform(copies, lambda x: F.struct(x["pass"].alias("pass"), F.size(F.filter("__mix_ends", lambda e: e <= x["draw"])).alias("shard")))
+    of_block = table.join(plan, table["source"].eqNullSafe(plan["__mix_s"])).select(F.col("source").alias("__mix_s2"), F.col("block").alias("__mix_b2"), SIZE, TARGET, shard.alias(DRAW))
+    if int(n.sum()) <= SENT:
+        of_block = F.broadcast(of_block)
 
     def drawn(given: DataFrame) -> DataFrame:
-        source = given["source"].cast("string")
-        out = given.join(ranks, source.eqNullSafe(F.col("__mix_s2")) & (block(KEY) == F.col("__mix_b2"))).join(by_source, source.eqNullSafe(F.col("__mix_s")))
-        copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(int(np.ceil(most)))), lambda i: F.struct(i.alias("pass"), (F.col("__mix_rank") + i * F.col("__mix_n")).alias("draw"))), lambda x: x["draw"] < F.col("__mix_quota"))
-        shard = F.transform(copies, lambda x: F.struct(x["pass"].alias("pass"), F.size(F.filter("__mix_ends", lambda e: e <= x["draw"])).alias("shard")))
-        return out.select(*(given[f"`{c}`"] for c in given.columns), SIZE, TARGET, shard.alias(DRAW))
+        out = given.join(of_block, given["source"].cast("string").eqNullSafe(F.col("__mix_s2")) & (block(KEY) == F.col("__mix_b2")))
+        return out.select(*(given[f"`{c}`"] for c in given.columns), SIZE, TARGET, DRAW)
 
     return sized, drawn
 
