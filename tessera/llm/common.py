@@ -229,13 +229,17 @@ def grouped_texts(docs: DataFrame, g: int) -> DataFrame:
 
 
 def workdir(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster's executors share; the setting is made here only if it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder in the one that the cluster's executors share (``spark.checkpoint.dir``).
+
+    Where that is unset, a local master gets a folder of its own for the session; a cluster has none that all
+    executors see, so that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}"
 
 
@@ -270,9 +274,8 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Batches:
-    """The rows of a batch in order, in parts of about ``most`` bytes of the texts in column ``text``."""
-    size = batch.column(text).cast(pa.large_string()).cast(pa.large_binary())
-    part = np.cumsum(lengths(size, np.uint8)) // most
+    """The rows of a batch in order, in parts of about ``most`` bytes of the texts (or bytes) in column ``text``."""
+    part = np.cumsum(lengths(batch.column(text), np.uint8)) // most
     bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         yield batch.slice(lo, hi - lo)

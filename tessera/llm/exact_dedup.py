@@ -8,9 +8,11 @@ which compares whole contents, never digests alone:
    fills a third of the corpus is merged in ``salts`` places;
 3. the at most ``salts`` winners of each group are combined globally.
 
-Contents travel compressed (zstd, one level, without a frame checksum): equal bytes are equal contents. Stage 1
-is a written table, so a lost executor costs no second pass. Which row stays is joined back by row numbers, of
-which none is hot: a local row speaks for the rows of one task, a salted one for one row of each task.
+Contents travel compressed (zstd, one level, without a frame checksum): equal bytes are equal contents. Stages 2 and 3
+deal so many partitions as the contents' bytes and rows ask for (``PART_BYTES``, ``PART_ROWS``) and read each sorted by
+digest, so a worker holds the groups of one digest at a time. Stage 1 is a written table, so a lost executor costs no
+second pass. Which row stays is joined back by row numbers, of which none is hot: a local row speaks for the rows of one
+task, a salted one for one row of each task.
 
 Defined results: a null text counts as empty. Null doc_ids come after all others; a group of null doc_ids alone
 has a null keep_id. Of rows with equal doc_id and text one is kept. Other columns are ignored.
@@ -19,16 +21,21 @@ has a null keep_id. Of rows with equal doc_id and text one is kept. Other column
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, slices, text_key, written
+from .common import SLICE_BYTES, Batches, slices, text_key, written
 
 #: Contents that stage 1 holds before it starts anew.
 LOCAL_BYTES = 64_000_000
+#: Compressed contents and rows of a partition in stages 2 and 3, about.
+PART_BYTES, PART_ROWS = 128_000_000, 1_000_000
 LEVEL = 1
 
 
@@ -91,26 +98,37 @@ def _local(batches: Batches) -> Batches:
 
 
 def _merged(last: bool):
-    """Merges rows of equal content in a partition: (rep, winner) for each, contents and counts with the winners."""
+    """Merges rows of equal content in a partition sorted by digest: (rep, winner) for each, contents and counts with the winners."""
+    names = ["rep", "winner", "doc_id", "n", *([] if last else ["digest", "content"])]
+    kinds = [pa.int64()] * 4 + [pa.binary()] * 2
+
+    def of_digest(rows: list[tuple]) -> Iterator[tuple]:
+        groups: dict[bytes, list] = {}
+        for doc_id, rep, n, _, content in rows:
+            group = groups.setdefault(content, [None, None, 0])
+            if group[1] is None or (*_order(doc_id), rep) < (*_order(group[0]), group[1]):
+                group[0], group[1] = doc_id, rep
+            group[2] += n
+        for _, rep, _, digest, content in rows:
+            keep_id, winner, n = groups[content]
+            lead = rep == winner
+            yield (rep, winner, keep_id, n) if last else (rep, winner, keep_id, n if lead else 0, digest, content if lead else None)
 
     def f(batches: Batches) -> Batches:
-        groups: dict[tuple[bytes, bytes], list] = {}
-        members: list[tuple[int, list]] = []
-        for batch in batches:
-            for doc_id, rep, n, digest, content in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                group = groups.setdefault((digest, content), [None, None, 0])
-                if group[1] is None or (*_order(doc_id), rep) < (*_order(group[0]), group[1]):
-                    group[0], group[1] = doc_id, rep
-                group[2] += n
-                members.append((rep, (digest, content)))
-        for at in range(0, len(members), 10_000):
-            part = members[at : at + 10_000]
-            won = [groups[k] for _, k in part]
-            lead = [r == w[1] for (r, _), w in zip(part, won, strict=True)]
-            cols = [pa.array([r for r, _ in part], pa.int64()), pa.array([w[1] for w in won], pa.int64()), pa.array([w[0] for w in won], pa.int64()), pa.array([w[2] if x or last else 0 for x, w in zip(lead, won, strict=True)], pa.int64())]
-            if not last:
-                cols += [pa.array([k[0] for _, k in part], pa.binary()), pa.array([k[1] if x else None for x, (_, k) in zip(lead, part, strict=True)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["rep", "winner", "doc_id", "n", *([] if last else ["digest", "content"])])
+        def rows() -> Iterator[tuple]:
+            for b in (part for batch in batches for part in slices(batch, 4)):
+                yield from zip(*(b.column(k).to_pylist() for k in range(5)), strict=True)
+
+        out, size = [], 0
+        for _, same in groupby(rows(), key=itemgetter(3)):
+            for row in of_digest(list(same)):
+                out.append(row)
+                size += 48 + len(row[-1] or b"") if not last else 48
+                if size > SLICE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=False)], names)
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=False)], names)
 
     return f
 
@@ -118,12 +136,13 @@ def _merged(last: bool):
 def exact_groups(docs: DataFrame, salts: int = 16) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, digest (SHA-256 of the normalised text, binary), h (the row's key)."""
     spark = docs.sparkSession
-    p = int(spark.conf.get("spark.sql.shuffle.partitions"))
     local = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("h")).mapInArrow(_local, "doc_id long, row long, rep long, n long, digest binary, content binary, h long"), "local")
     cols = ("doc_id", "rep", "n", "digest", "content")
-    salted = local.where("n > 0").select("doc_id", F.col("row").alias("rep"), "n", "digest", "content").repartition(p, "digest", F.pmod(F.xxhash64("rep"), F.lit(salts)))
+    size, leads = local.where("n > 0").agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)), F.count("*")).first()
+    p = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES), -(-leads // PART_ROWS))
+    salted = local.where("n > 0").select("doc_id", F.col("row").alias("rep"), "n", "digest", "content").repartition(p, "digest", F.pmod(F.xxhash64("rep"), F.lit(salts))).sortWithinPartitions("digest")
     merged = written(salted.select(*cols).mapInArrow(_merged(False), "rep long, winner long, doc_id long, n long, digest binary, content binary"), "salted")
-    won = merged.where("n > 0").select("doc_id", F.col("winner").alias("rep"), "n", "digest", "content").repartition(p, "digest")
+    won = merged.where("n > 0").select("doc_id", F.col("winner").alias("rep"), "n", "digest", "content").repartition(p, "digest").sortWithinPartitions("digest")
     final = won.select(*cols).mapInArrow(_merged(True), "rep long, winner long, doc_id long, n long")
     to_winner = merged.select("rep", F.col("winner").alias("mid"))
     to_final = final.select(F.col("rep").alias("mid"), F.col("winner").alias("keep_row"), F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"))
