@@ -250,6 +250,26 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this share of all rows is dealt in parts; so at most as many keys are.
+HOT_KEYS = 4096
+
+
+def dealt_join(rows: DataFrame, side: DataFrame, key: str, by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``key`` to ``side``, which holds each key once.
+
+    A key that over 1/``HOT_KEYS`` of all rows have goes to as many tasks as it has such shares: its rows by a hash of
+    the columns ``by``, its row of ``side`` to each. The table of these keys has at most ``HOT_KEYS`` rows, which is why
+    it may be broadcast. ``rows`` should be a written table, as they are counted first.
+    """
+    total = rows.count()
+    hot = rows.groupBy(key).agg(F.count("*").alias("__m")).where(F.col("__m") * HOT_KEYS > total).select(key, F.ceil(F.col("__m") * HOT_KEYS / max(total, 1)).cast("int").alias("__parts"))
+    hot = F.broadcast(written(hot, "hot"))
+    parts = F.coalesce("__parts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("__parts")
+    right = side.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [key, "__part"], how).drop("__part")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, comp) for every node with an edge, comp the smallest node that it reaches.
 

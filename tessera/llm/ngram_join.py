@@ -10,10 +10,15 @@ similar sets share one of these. Pairs that share a prefix member pass a length
 are made distinct, and are verified once: a suffix filter (a lower bound of the Hamming distance from member
 counts in hash ranges) and then the exact intersection.
 
-Skew. A prefix member that more than ``SMALL`` classes share would give a square of pairs. There, every class is
+Skew. A prefix member that more than ``SMALL`` classes share would give a square of pairs. There, every class is first
 paired only with the ``PIVOTS`` classes that hold it earliest in their order. What the links then found leave in
-different components is paired in a second round, so that no link between components is lost; pairs within one
-component need no test. Links within such a list are therefore not counted, components are exact.
+different components is paired in a second round, in blocks of ``BLOCK`` classes, so that no link between components is
+lost; pairs within one component need no test. The Jaccard distance is a metric, so two classes whose distances to
+one pivot differ by more than a link allows are not paired either. Links within such a list are therefore not counted,
+components are exact; with ``links`` all pairs of these lists are tested, in the same blocks, and counted.
+
+Of a pair, the class with fewer partners is the one that the other's set is sent to, and a set that many groups ask for is
+passed on by ``FAN`` groups each: a pivot's partners never meet in one place.
 
 A set is named by 64 bits of hash; two unequal sets share a name with probability of about ``N * N / 2**65``.
 
@@ -27,15 +32,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, Texts, buckets_for, components, dealt, grouped_texts, groups_for, lengths, mix, packed, runs, slices, text_key, unpacked, windows, written
+from .common import Batches, Texts, buckets_for, components, dealt, dealt_join, grouped_texts, groups_for, lengths, mix, packed, runs, slices, text_key, unpacked, windows, written
 
 #: Cells of the table of counts (a broadcast of one byte each), and the parts in which it is added up.
 CELLS, PARTS = 1 << 22, 64
-#: Classes that may share a prefix member before pivots stand for all pairs; pivots.
-SMALL, PIVOTS = 48, 4
+#: Places into which the tasks' counts go before they are added up, so that no task sees those of all others.
+SALTS = 64
+#: Classes that may share a prefix member before pivots stand for all pairs; pivots; classes of a block of the second round.
+SMALL, PIVOTS, BLOCK = 48, 4, 1024
+#: Groups that one copy of a set is passed on to.
+FAN = 1024
 ENTRY = np.dtype([("tok", "<u4"), ("key", "<u8"), ("n", "<u4"), ("pos", "<u4")])
 FOUND = "kind int, a long, b long, tok long, n int, pos int"
 
@@ -67,7 +77,7 @@ def _sets(n: int):
     """Names and sizes of sets, and this task's counts of members by cell."""
 
     def f(batches: Batches) -> Batches:
-        counts = np.zeros(CELLS, np.uint32)
+        counts, salt = np.zeros(CELLS, np.uint32), TaskContext.get().partitionId() % SALTS
         for batch in (part for b in batches for part in slices(b, 2)):
             t = Texts(batch.column(2), lower=True)
             h, bounds = shingles(t, n)
@@ -81,9 +91,9 @@ def _sets(n: int):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(sizes), pa.array(np.diff(t.offsets)), pa.nulls(t.n, pa.int32()), pa.nulls(t.n, pa.binary())], NAMES)
         if counts.any():
             some = [k for k in range(PARTS) if counts[k * CELLS // PARTS : (k + 1) * CELLS // PARTS].any()]
-            blobs = [zlib.compress(counts[k * CELLS // PARTS : (k + 1) * CELLS // PARTS].tobytes(), 1) for k in some]
+            blobs = [zlib.compress(counts[k * CELLS // PARTS : (k + 1) * CELLS // PARTS].astype(np.uint64).tobytes(), 1) for k in some]
             m = len(some)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], NAMES)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, x) for x in (pa.int64(), pa.int64(), pa.int64())), pa.array([salt] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], NAMES)
 
     return f
 
@@ -92,12 +102,16 @@ NAMES = ["doc_id", "h", "key", "n", "bytes", "part", "counts"]
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    """A part of the table of counts, in steps of an eighth of an octave."""
-    total = np.zeros(CELLS // PARTS, np.float64)
+    """A part of the table of counts, added up over tasks."""
+    total = np.zeros(CELLS // PARTS, np.uint64)
     for chunk in table["counts"].to_pylist():
-        total += np.frombuffer(zlib.decompress(chunk), np.uint32)
-    steps = np.minimum(np.floor(8 * np.log2(1 + total)), 255).astype(np.uint8)
-    return pa.table({"part": table["part"].slice(0, 1).combine_chunks(), "steps": pa.array([steps.tobytes()], pa.binary())})
+        total += np.frombuffer(zlib.decompress(chunk), np.uint64)
+    return pa.table({"part": table["part"].slice(0, 1).combine_chunks(), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def _steps(counts: bytes) -> np.ndarray:
+    """Counts in steps of an eighth of an octave."""
+    return np.minimum(np.floor(8 * np.log2(1 + np.frombuffer(zlib.decompress(counts), np.uint64).astype(np.float64))), 255).astype(np.uint8)
 
 
 def rare_first(members: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -123,15 +137,16 @@ def _pairs_in(e: np.ndarray, bucket: int, num: int, den: int) -> pa.Table:
         good = (np.minimum(nx, ny) * den >= np.maximum(nx, ny) * num) & (np.minimum(nx - x["pos"], ny - y["pos"]) >= need)
         left.append(x["key"][good])
         right.append(y["key"][good])
-    hot = []
+    hot, pivots, others, lists = [], [], [], []
     for at, k in zip(s[m > SMALL].tolist(), m[m > SMALL].tolist(), strict=True):
         part = e[at : at + k]
         hot.append(part)
         for p in part[np.argsort(part["pos"], kind="stable")[:PIVOTS]]:
             n = part["n"].astype(np.int64)
             good = (part["key"] != p["key"]) & (np.minimum(n, int(p["n"])) * den >= np.maximum(n, int(p["n"])) * num)
-            left.append(part["key"][good])
-            right.append(np.full(int(good.sum()), p["key"]))
+            others.append(part["key"][good])
+            pivots.append(np.full(int(good.sum()), p["key"]))
+            lists.append(part["tok"][good])
     a = np.concatenate(left).view(np.int64) if left else np.zeros(0, np.int64)
     b = np.concatenate(right).view(np.int64) if right else np.zeros(0, np.int64)
     a, b = np.minimum(a, b), np.maximum(a, b)
@@ -141,16 +156,18 @@ def _pairs_in(e: np.ndarray, bucket: int, num: int, den: int) -> pa.Table:
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
         a, b = a[new], b[new]
     h = np.concatenate(hot) if hot else np.zeros(0, ENTRY)
-    k, j = len(a), len(h)
-    names = (h["tok"].astype(np.int64) << 31) | bucket
+    p, q = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (pivots, others))
+    name = lambda tok: (tok.astype(np.int64) << 31) | bucket
+    k, j, m = len(a), len(h), len(p)
+    none = np.zeros(k, np.int64)
     return pa.table(
         {
-            "kind": np.repeat(np.array([0, 1], np.int32), [k, j]),
-            "a": np.r_[a, h["key"].view(np.int64) if j else np.zeros(0, np.int64)],
-            "b": np.r_[b, np.zeros(j, np.int64)],
-            "tok": np.r_[np.zeros(k, np.int64), names],
-            "n": np.r_[np.zeros(k, np.int32), h["n"].astype(np.int32)],
-            "pos": np.r_[np.zeros(k, np.int32), h["pos"].astype(np.int32)],
+            "kind": np.repeat(np.array([0, 1, 2], np.int32), [k, j, m]),
+            "a": np.r_[a, h["key"].astype(np.uint64).view(np.int64), p],
+            "b": np.r_[b, np.zeros(j, np.int64), q],
+            "tok": np.r_[none, name(h["tok"]), name(np.concatenate(lists)) if m else none[:0]],
+            "n": np.r_[none, h["n"], np.zeros(m, np.int64)].astype(np.int32),
+            "pos": np.r_[none, h["pos"], np.zeros(m, np.int64)].astype(np.int32),
         }
     )
 
@@ -158,27 +175,26 @@ def _pairs_in(e: np.ndarray, bucket: int, num: int, den: int) -> pa.Table:
 _RANGES = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60)).astype(np.uint64)
 
 
-def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """Whether two sorted sets of hashes are so similar; the suffix filter goes first."""
+def shared(x: np.ndarray, y: np.ndarray, least: int = 0) -> int:
+    """Common members of two sorted sets of hashes; -1 if the suffix filter tells that there are fewer than ``least``."""
     nx, ny = len(x), len(y)
-    need = -(-num * (nx + ny) // (num + den))
-    if min(nx, ny) < need:
-        return False
-    cx, cy = np.diff(np.r_[0, np.searchsorted(x, _RANGES), nx]), np.diff(np.r_[0, np.searchsorted(y, _RANGES), ny])
-    if int(np.minimum(cx, cy).sum()) < need:
-        return False
+    if least:
+        if min(nx, ny) < least:
+            return -1
+        cx, cy = np.diff(np.r_[0, np.searchsorted(x, _RANGES), nx]), np.diff(np.r_[0, np.searchsorted(y, _RANGES), ny])
+        if int(np.minimum(cx, cy).sum()) < least:
+            return -1
     small, large = (x, y) if nx <= ny else (y, x)
     at = np.searchsorted(large, small)
     at[at == len(large)] = 0
-    both = int((large[at] == small).sum())
-    return den * both >= num * (nx + ny - both)
+    return int((large[at] == small).sum())
 
 
 class NgramJoin:
     """One join; the steps are methods so that tests can look at them."""
 
-    def __init__(self, docs: DataFrame, n: int = 5, num: int = 4, den: int = 5):
-        self.docs, self.n, self.num, self.den = docs, n, num, den
+    def __init__(self, docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, links: bool = False):
+        self.docs, self.n, self.num, self.den, self.links = docs, n, num, den, links
         self.spark: SparkSession = docs.sparkSession
         self.sizes = None
 
@@ -188,10 +204,12 @@ class NgramJoin:
         schema = "doc_id long, h long, key long, n int, bytes long, part int, counts binary"
         both = written(keyed.mapInArrow(_sets(self.n), schema), "sets")
         self.sizes = both.where("part is null").select("doc_id", "h", "key", "n", "bytes")
-        parts = both.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_summed, "part int, steps binary").collect()
+        counted = both.where("part is not null").select("part", F.col("n").alias("salt"), "counts")
+        kind = "part int, counts binary"
+        parts = counted.groupBy("part", "salt").applyInArrow(_summed, kind).groupBy("part").applyInArrow(_summed, kind).collect()
         steps = np.zeros(CELLS, np.uint8)
         for r in parts:
-            steps[r.part * CELLS // PARTS : (r.part + 1) * CELLS // PARTS] = np.frombuffer(r.steps, np.uint8)
+            steps[r.part * CELLS // PARTS : (r.part + 1) * CELLS // PARTS] = _steps(r.counts)
         self.steps = self.spark.sparkContext.broadcast(steps)
         total, members = self.sizes.agg(F.sum("bytes"), F.sum("n")).first()
         self.g = groups_for(self.spark, total or 0)
@@ -199,7 +217,7 @@ class NgramJoin:
         self.reps = self.sizes.where("n > 0").groupBy("key").agg(F.min("h").alias("h"))
 
     def indexed(self) -> DataFrame:
-        """Candidate pairs (kind 0) and the entries of hot prefix members (kind 1)."""
+        """Candidate pairs (kind 0), the entries of hot prefix members (kind 1) and their pairs with pivots, a the pivot (kind 2)."""
         n, num, den, b, steps = self.n, self.num, self.den, self.b, self.steps
 
         def entries(batches: Batches) -> Batches:
@@ -238,15 +256,22 @@ class NgramJoin:
         return written(first.groupBy("b").applyInArrow(pairs, FOUND), "pairs")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (a, b) that link. Each set goes once to each group that has to look at it."""
+        """The distinct pairs (a, b, exact) that link, and those whose distance is asked for: (a, b, link, distance)."""
         n, num, den, g = self.n, self.num, self.den, self.g
         texts = grouped_texts(self.docs, g)
-        place = F.pmod(F.col("h"), F.lit(g)).cast("int")
-        a = self.reps.select(F.col("key").alias("a"), F.col("h").alias("ha"))
-        to = self.reps.select(F.col("key").alias("b"), F.col("h").alias("hb"), place.alias("gb"))
-        asked = pairs.join(to, "b").join(a, "a")
-        wanted = asked.groupBy(F.pmod(F.col("ha"), F.lit(g)).cast("int").alias("g"), "a", "ha", "gb").agg(F.count("*").alias("k"))
-        tests = asked.select(F.col("gb").alias("g"), "a", "b", F.col("hb").alias("h"), F.lit(None).cast("binary").alias("members"))
+        partners = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("d"))
+        ends = written(partners.join(self.reps, "key"), "ends")
+        side = lambda x: ends.select(F.col("key").alias(x), F.col("h").alias(f"h{x}"), F.col("d").alias(f"d{x}"))
+        both = written(dealt_join(pairs, side("a"), "a", ["b"]), "asked")
+        both = dealt_join(both, side("b"), "b", ["a"])
+        swap = (F.col("db") > F.col("da")) | ((F.col("db") == F.col("da")) & (F.col("b") < F.col("a")))
+        turned = {x: F.when(swap, F.col(x[:-1] + "b")).otherwise(F.col(x)).alias(x) for x in ("a", "ha", "da")} | {x: F.when(swap, F.col(x[:-1] + "a")).otherwise(F.col(x)).alias(x) for x in ("b", "hb")}
+        group = lambda h: F.pmod(F.col(h), F.lit(g)).cast("int")
+        asked = written(both.select(*turned.values(), "exact").withColumn("gb", group("hb")), "turned")
+        copies = F.ceil(F.least("da", F.lit(g)) / FAN).cast("int")
+        wanted = asked.select("a", "ha", copies.alias("copies"), "gb").distinct().withColumn("copy", F.pmod(F.xxhash64("gb"), F.col("copies")).cast("int"))
+        wanted = wanted.groupBy(group("ha").alias("g"), "a", "ha", "copies", "copy").agg(F.collect_list("gb").alias("to"))
+        tests = asked.select(F.col("gb").alias("g"), "a", "b", F.col("hb").alias("h"), "exact", F.lit(None).cast("binary").alias("members"))
 
         def sets_of(texts: pa.Table, hs: np.ndarray) -> dict[int, np.ndarray]:
             """Sorted sets by row key."""
@@ -258,66 +283,101 @@ class NgramJoin:
             return {int(k): np.unique(h[bounds[i] : bounds[i + 1]]) for i, k in enumerate(need)}
 
         def send(texts: pa.Table, wanted: pa.Table) -> pa.Table:
-            if not len(wanted):
-                return SENT.empty_table()
-            hs = wanted["ha"].to_numpy()
-            sets = {k: v.tobytes() for k, v in sets_of(texts, hs).items()}
-            k = len(wanted)
-            return pa.table({"g": wanted["gb"].combine_chunks(), "a": wanted["a"].combine_chunks(), "b": pa.nulls(k, pa.int64()), "h": pa.nulls(k, pa.int64()), "members": pa.array([sets[int(x)] for x in hs], pa.binary())}).cast(SENT)
+            hs = wanted["ha"].to_numpy() if len(wanted) else np.zeros(0, np.int64)
+            sets = {k: v.tobytes() for k, v in sets_of(texts, hs).items()} if len(hs) else {}
+            return wanted.select(["a", "copies", "copy", "to"]).append_column("members", pa.array([sets[int(x)] for x in hs], pa.binary())).cast(SENT)
 
         def test(texts: pa.Table, given: pa.Table) -> pa.Table:
             if not len(given):
-                return LINKS.empty_table()
+                return TESTED.empty_table()
             is_set = given["members"].is_valid()
             sent, asked = given.filter(is_set), given.filter(pa.compute.invert(is_set))
             theirs = {k: np.frombuffer(v, np.uint64) for k, v in zip(sent["a"].to_pylist(), sent["members"].to_pylist(), strict=True)}
             hs = asked["h"].to_numpy()
             own = sets_of(texts, hs)
-            a, b = asked["a"].to_numpy(), asked["b"].to_numpy()
-            good = np.array([similar(theirs[int(x)], own[int(h)], num, den) for x, h in zip(a, hs, strict=True)], bool)
-            return pa.table({"a": a[good], "b": b[good]})
-
-        sets = texts.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(send, "g int, a long, b long, h long, members binary")
-        given = sets.unionByName(tests)
-        return texts.groupBy("g").cogroup(given.groupBy("g")).applyInArrow(test, "a long, b long")
-
-    def labelled(self) -> DataFrame:
-        """(key, comp) of the classes that link with another."""
+            link, distance = np.zeros(len(asked), bool), np.ones(len(asked))
+            exact = asked["exact"].to_numpy()
+            for i, (a, h) in enumerate(zip(asked["a"].to_numpy().tolist(), hs.tolist(), strict=True)):
+                x, y = theirs[a], own[h]
+                total = len(x) + len(y)
+                k = shared(x, y, 0 if exact[i] else -(-num * total // (num + den)))
+                link[i] = k >= 0 and den * k >= num * (total - k)
+                distance[i] = 1 - k / (total - k) if k >= 0 else 1
+            some = link | exact
+            return pa.table({"a": asked["a"].to_numpy()[some], "b": asked["b"].to_numpy()[some], "link": link[some], "distance": distance[some]}).cast(TESTED)
+
+        sets = written(texts.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(send, "a long, copies int, copy int, to array<int>, members binary"), "sent")
+        p = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        far = sets.where("copies > 1").repartition(p, "a", "copy")
+        given = sets.where("copies = 1").unionByName(far).select(F.explode("to").alias("g"), "a", F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("h"), F.lit(False).alias("exact"), "members")
+        given = given.unionByName(tests)
+        return texts.groupBy("g").cogroup(given.groupBy("g")).applyInArrow(test, "a long, b long, link boolean, distance double")
+
+    def second(self, known: DataFrame, distances: DataFrame) -> DataFrame:
+        """Pairs of the second round: from each list (tok), classes of different components that the filters leave; all of them with ``links``."""
+        open_ = known.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
+        open_ = open_ if self.links else open_.where("lo <> hi")
+        rows = known.join(open_.select("tok", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "tok").join(distances, ["tok", "key"], "left")
+        rows = written(rows.withColumn("blk", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")), "open")
+        met = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).drop("o", "parts")
+        x = met.where("blk = i").drop("blk")
+        y = met.where("blk = j").select("tok", "i", "j", *(F.col(c).alias(f"{c}2") for c in ("key", "n", "pos", "comp", "to_pivots")))
+        short = F.least("n", "n2") * self.den >= F.greatest("n", "n2") * self.num
+        need = F.ceil(F.lit(self.num) * (F.col("n") + F.col("n2")) / F.lit(self.num + self.den))
+        rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need
+        apart = lambda p: F.abs(F.col("to_pivots")[p] - F.col("to_pivots2")[p]) > 1 - self.num / self.den + 1e-9
+        far = F.coalesce(F.exists(F.map_keys("to_pivots"), lambda p: F.coalesce(apart(p), F.lit(False))), F.lit(False))
+        once = (F.col("i") < F.col("j")) | (F.col("key") < F.col("key2"))
+        pairs = x.join(y, ["tok", "i", "j"]).where(once & (F.col("key") != F.col("key2")) & short & rest & ~far)
+        pairs = pairs if self.links else pairs.where("comp <> comp2")
+        return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+
+    def labelled(self) -> tuple[DataFrame, DataFrame]:
+        """(key, comp) of the classes that link with another, and the links found (a, b)."""
         found = self.indexed()
-        first = written(found.where("kind = 0").select("a", "b").distinct(), "distinct")
-        links = written(self.verified(first), "links")
+        plain = found.where("kind = 0").select("a", "b", F.lit(False).alias("exact"))
+        pivots = found.where("kind = 2").select("tok", F.col("a").alias("pivot"), F.col("b").alias("key"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        first = plain.unionByName(pivots.select("a", "b", F.lit(True).alias("exact")))
+        first = written(first.groupBy("a", "b").agg(F.max("exact").alias("exact")), "distinct")
+        tested = written(self.verified(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "link", "distance"), "tested")
+        links = tested.where("link").select("a", "b")
         labels = components(links)
         hot = found.where("kind = 1").select("tok", F.col("a").alias("key"), "n", "pos")
-        known = hot.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        open_ = known.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-        rest = written(known.join(open_, "tok"), "open")
-        need = F.ceil(F.lit(self.num) * (F.col("n") + F.col("n2")) / F.lit(self.num + self.den))
-        short = F.least("n", "n2") * self.den >= F.greatest("n", "n2") * self.num
-        other = rest.select("tok", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
-        more = rest.join(other, "tok").where((F.col("comp") < F.col("comp2")) & short & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need))
-        more = more.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        more = written(more, "more")
+        known = written(hot.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key")), "hot")
+        distances = pivots.join(tested, ["a", "b"]).groupBy("tok", "key").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "distance"))).alias("to_pivots"))
+        more = written(self.second(known, distances).join(first.select("a", "b"), ["a", "b"], "left_anti").withColumn("exact", F.lit(False)), "more")
         if not more.limit(1).count():
-            return labels
-        return components(links.unionByName(written(self.verified(more), "links")))
+            return labels, links
+        links = links.unionByName(written(self.verified(more), "tested").where("link").select("a", "b"))
+        return components(links), links
 
     def run(self) -> DataFrame:
-        """One row per document: doc_id, h (the row's key), n_shingles, component_id, comp (names the component; null for empty sets)."""
+        """One row per document: doc_id, h (the row's key), n_shingles, component_id, comp (names the component; null for empty
+        sets), and n_links (other documents linked directly) if ``links``."""
         self.measured()
-        labels = self.labelled()
-        ids = self.sizes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+        labels, links = self.labelled()
+        ids = self.sizes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
         ids = ids.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         ends = ids.groupBy("comp").agg(F.min("least").alias("component_id"))
-        named = ids.join(ends, "comp").select("key", "comp", "component_id")
-        out = self.sizes.join(named.withColumnRenamed("key", "k2"), (F.col("key") == F.col("k2")) & (F.col("n") > 0), "left")
-        return out.select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "comp")
+        named = ids.join(ends, "comp").select("key", "comp", "component_id", "copies")
+        if self.links:
+            ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            others = ways.join(ids.select(F.col("key").alias("b"), F.col("copies").alias("k")), "b").groupBy(F.col("a").alias("key")).agg(F.sum("k").alias("k"))
+            named = named.join(others, "key", "left").withColumn("n_links", F.coalesce("k", F.lit(0)) + F.col("copies") - 1).drop("k")
+        else:
+            named = named.withColumn("n_links", F.lit(None).cast("long"))
+        named = written(named.drop("copies"), "named")
+        out = dealt_join(self.sizes.where("n > 0"), named, "key", ["h"])
+        none = self.sizes.where("n = 0").select("*", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        columns = ["doc_id", "h", F.col("n").cast("long").alias("n_shingles"), "component_id", "comp", *(["n_links"] if self.links else [])]
+        return out.unionByName(none).select(*columns)
 
 
 WIDE = np.dtype([("h", "<u8"), ("key", "<u8"), ("n", "<u4"), ("pos", "<u4")])
-SENT = pa.schema([("g", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("members", pa.binary())])
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+SENT = pa.schema([("a", pa.int64()), ("copies", pa.int32()), ("copy", pa.int32()), ("to", pa.list_(pa.field("element", pa.int32()))), ("members", pa.binary())])
+TESTED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("link", pa.bool_()), ("distance", pa.float64())])
 
 
-def similar_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def similar_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, links: bool = False) -> DataFrame:
     """Components of documents whose sets of n-grams have a Jaccard similarity of at least num/den."""
-    return NgramJoin(docs, n, num, den).run()
+    return NgramJoin(docs, n, num, den, links).run()

@@ -103,25 +103,72 @@ def test_exact_dedup(spark, data):
         assert [r["doc_id"] for r in mine if r["kept"]] == [mine[0]["keep_id"]]
 
 
-@pytest.mark.parametrize("small", [48, 3])
-def test_ngram_join(spark, data, monkeypatch, small):
-    monkeypatch.setattr(ngram_join, "SMALL", small)
-    docs = corpus()
+def plain_links(docs, n, num, den):
+    """Sets, and for each document those that it links with."""
     sets = []
     for r in docs:
         w = [x.lower() if x.isascii() else x for x in words(r[1])]
-        sets.append({tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set())
-    label = list(range(len(docs)))
-    for i in range(len(docs)):
-        for j in range(i):
-            if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and label[i] != label[j]:
-                a, b = label[i], label[j]
-                label = [b if x == a else x for x in label]
-    ids = defaultdict(list)
-    for k, r in zip(label, docs, strict=True):
-        ids[k].append(math.inf if r[0] is None else r[0])
-    want = Counter((r[0], len(s), None if min(ids[k]) == math.inf else min(ids[k])) for r, s, k in zip(docs, sets, label, strict=True))
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    link = [[j for j in range(len(docs)) if i != j and sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])] for i in range(len(docs))]
+    return sets, link
+
+
+def least_reached(ids, link):
+    out = []
+    for i in range(len(ids)):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in set(link[todo.pop()]) - seen:
+                seen.add(j)
+                todo.append(j)
+        out.append(min((ids[j] for j in seen if ids[j] is not None), default=None))
+    return out
+
+
+@pytest.mark.parametrize("small", [48, 3])
+def test_ngram_join(spark, data, monkeypatch, small):
+    from tessera.llm import common
+
+    docs = corpus()
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    if small == 3:  # hot lists, blocks, relays and hot keys all come into play
+        monkeypatch.setattr(ngram_join, "BLOCK", 3)
+        monkeypatch.setattr(ngram_join, "FAN", 1)
+        monkeypatch.setattr(common, "HOT_KEYS", 10)
+    sets, link = plain_links(docs, 4, 85, 100)
+    least = least_reached([r[0] for r in docs], link)
+    want = Counter((r[0], len(s), c) for r, s, c in zip(docs, sets, least, strict=True))
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(queries.op4_ngram_join(spark, data))) == want
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    want = Counter((r[0], c, len(k)) for r, c, k in zip(docs, least, link, strict=True))
+    assert Counter((r["doc_id"], r["component_id"], r["n_links"]) for r in rows(ngram_join.similar_groups(table, 4, 85, 100, links=True))) == want
+
+
+def test_ngram_join_of_clusters_that_share_frequent_words(spark, monkeypatch):
+    """Many near copies of a few texts whose words are all frequent: lists stay open, pivots' distances keep clusters apart."""
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    rng = np.random.default_rng(11)
+    heads = [rng.choice(["a", "b", "c"], 60).tolist() for _ in range(4)]
+    docs = []
+    for i in range(80):
+        w = list(heads[i % 4])
+        w[int(rng.integers(60))] = "abc"[int(rng.integers(3))]
+        docs.append((i, " ".join(w)))
+    _, link = plain_links(docs, 3, 4, 5)
+    got = rows(ngram_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), 3, 4, 5, links=True))
+    least = least_reached([r[0] for r in docs], link)
+    assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in got} == {i: (c, len(k)) for i, (c, k) in enumerate(zip(least, link, strict=True))}
+
+
+def test_hot_keys_are_joined_whole(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 8)
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(999, None)], "i long, k string")
+    right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "k string, v int")
+    got = Counter((r["k"], r["v"]) for r in rows(common.dealt_join(left, right, "k", ["i"])))
+    assert got == {("hot", 1): 200, ("k0", 2): 1, ("k3", 3): 1}
+    assert common.dealt_join(left, right, "k", ["i"], "left").count() == 301
 
 
 def test_lm_scoring(spark, data):
