@@ -88,3 +88,8 @@ def root(text: Column) -> Column:
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole; null for a whole of zero."""
     return F.try_divide(part, whole)
+
+
+def uuid(kind: int, number: Column) -> Column:
+    """An id in the form of a UUID from a kind and a number, for tables that have numbers alone."""
+    return F.format_string("%08x-0000-4000-8000-%012x", F.lit(kind), number.cast("long"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from ..sources.tables import written
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Sorted distinct targets of each source, with the running offset of a compressed row."""
+    """Sorted distinct targets of each source, and how many these are."""
     out = edges.select("src", "dst").distinct().groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("targets"))
     return out.withColumn("degree", F.size("targets"))
 
@@ -50,24 +53,97 @@ def top_children(edges: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     return e.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def upstream(edges: DataFrame, scores: DataFrame, roots: DataFrame, depth: int = 4, k: int = 5) -> DataFrame:
-    """Upstream paths of each root: (path, depth, score, ended).
+def shown(scores: DataFrame, root: int, eps: float = 1e-12) -> DataFrame:
+    """Contributions that are not next to nothing, and the root's."""
+    return scores.where((F.abs("direct") > eps) | (F.col("process_idx") == root))
+
+
+def largest_first(group: str) -> W:
+    return W.partitionBy(group).orderBy(F.desc(F.abs("direct")), "location", "process_idx")
+
+
+def by_rank(root: str) -> W:
+    return W.partitionBy(root).orderBy(F.desc("score"), "path")
+
+
+def options(depth: int = 4, k: int = 5, cutoff: float = 0.01, nodes: int = 200) -> dict:
+    """The bounds of a path search brought into their ranges: depth 1 to 8, children 1 to 20, nodes 10 to 2000, share at most 1."""
+    share = min(cutoff, 1.0) if cutoff >= 0 and cutoff == cutoff and cutoff != float("inf") else 0.01
+    return {"depth": min(max(depth, 1), 8), "k": min(max(k, 1), 20), "cutoff": share, "nodes": min(max(nodes, 10), 2000)}
+
+
+FOUND = "root int, path array<int>, depth int, score double, reason string"
+
+
+@dataclass
+class Branches:
+    """What a path search found: rows (root, path, depth, score, reason); the reason is null for a node that was expanded."""
+
+    found: DataFrame
+    scores: DataFrame
+
+    @property
+    def ends(self) -> DataFrame:
+        """Branches: root, path, score (magnitudes of all nodes but the root) and why they end."""
+        return self.found.where("reason is not null").select("root", "path", "score", "reason")
+
+    @property
+    def nodes(self) -> DataFrame:
+        """Nodes that were expanded with their least depth."""
+        return self.found.where("reason is null").groupBy("root", F.element_at("path", -1).alias("node")).agg(F.min("depth").alias("least_depth"))
+
+    def coverage(self) -> DataFrame:
+        """The share of all contributions that expanded nodes have, by root."""
+        return self.nodes.join(self.scores, F.col("node") == F.col("process_idx")).groupBy("root").agg(F.least(F.sum("share"), F.lit(1.0)).alias("coverage"))
+
+
+def _searched(depth: int, nodes: int):
+    def f(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("order", "root", "path", "depth", "score", "cut", "leaf")), strict=True))
+        inner = {tuple(r[0][:-1]) for r in rows if r[0]}
+        expanded, closed, out = set(), None, []
+        for order, root, path, d, score, cut, leaf in rows:  # a node comes before its children, these by rank
+            if closed is not None and order[: len(closed)] == closed:
+                continue
+            closed = None
+            if cut:
+                out.append((root, path, d, score, "cycle_cut"))
+            elif path[-1] not in expanded and len(expanded) >= nodes:
+                out.append((root, path, d, score, "max_nodes"))
+                closed = order
+            else:
+                expanded.add(path[-1])
+                out.append((root, path, d, score, None))
+                if d == depth:
+                    out.append((root, path, d, score, "max_depth"))
+                elif tuple(order) not in inner:
+                    out.append((root, path, d, score, "leaf" if leaf else "cutoff"))
+        kinds = [pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.float64(), pa.string()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["root", "path", "depth", "score", "reason"])
+
+    return f
+
+
+def branches(edges: DataFrame, scores: DataFrame, roots: DataFrame, depth: int = 4, k: int = 5, cutoff: float = 0.01, nodes: int = 200) -> Branches:
+    """Upstream paths of each root (node), depth first, along contributions (process_idx, direct, share).
 
-    A node goes on to the ``k`` providers of largest magnitude that are not yet on its path, down to ``depth``. The
-    score adds up the magnitudes of all nodes but the root. ``ended`` is max_depth, no_child, or null for a path that
-    others continue. Each level is one join, written to the shared folder; a root has at most ``k ** depth`` paths.
+    A node goes on to the ``k`` providers of largest magnitude with a share of at least ``cutoff``, down to ``depth``. A
+    path that meets itself ends there, and so does one at a new node once ``nodes`` are expanded. Each level is one join, so
+    a root has at most ``k ** depth`` paths; the order of the search, which decides where the bound on nodes falls, is taken
+    from the ranks along each path, root by root.
     """
-    kids = written(top_children(edges, scores, k).select("src", "dst", F.abs("direct").alias("size")))
-    front = roots.select("node", F.array("node").alias("path"), F.lit(0.0).alias("score"))
-    out = None
-    for d in range(depth + 1):
-        if d < depth:
-            more = front.join(kids, front["node"] == kids["src"]).where(~F.array_contains("path", F.col("dst")))
-            more = written(more.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), (F.col("score") + F.col("size")).alias("score"), F.col("path").alias("parent")))
-            on = front.join(more.select(F.col("parent").alias("p")).distinct(), F.col("path") == F.col("p"), "left")
-            here = on.select("path", F.lit(d).alias("depth"), "score", F.when(F.col("p").isNull(), "no_child").alias("ended"))
-        else:
-            here = front.select("path", F.lit(d).alias("depth"), "score", F.lit("max_depth").alias("ended"))
-        out = here if out is None else out.unionByName(here)
-        front = more.drop("parent") if d < depth else front
-    return out
+    bound = options(depth, k, cutoff, nodes)
+    depth = bound["depth"]
+    e = edges.select("src", "dst").distinct()
+    likely = scores.where(F.col("share") >= bound["cutoff"])
+    kids = written(top_children(e, likely, bound["k"]).select("src", F.col("dst").cast("int").alias("dst"), F.abs("direct").alias("size"), "rank"))
+    node = F.col("node").cast("int")
+    front = roots.select(node.alias("root"), node.alias("node"), F.array(node).alias("path"), F.array().cast("array<int>").alias("order"), F.lit(0.0).alias("score"), F.lit(False).alias("cut"))
+    levels = front.withColumn("depth", F.lit(0))
+    for d in range(1, depth + 1):
+        on = front.where(~F.col("cut")).join(kids, front["node"] == kids["src"])
+        front = written(on.select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("order", F.array("rank")).alias("order"), (F.col("score") + F.col("size")).alias("score"), F.array_contains("path", F.col("dst")).alias("cut")))
+        levels = levels.unionByName(front.withColumn("depth", F.lit(d)))
+    with_providers = e.select(F.col("src").cast("int").alias("node")).distinct().withColumn("on", F.lit(True))
+    levels = levels.join(with_providers, "node", "left").withColumn("leaf", F.col("on").isNull()).drop("on")
+    return Branches(written(levels.groupBy("root").applyInArrow(_searched(depth, bound["nodes"]), FOUND)), scores)

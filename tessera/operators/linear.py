@@ -1,12 +1,17 @@
 """Sparse linear algebra on long tables (row_idx, col_idx, value).
 
-Two kernels solve ``h (I - A) = d``: a dense one in a single Arrow task for at most ``DENSE`` unknowns, whose matrix
-has a fixed bound, and a Neumann iteration of joins and sums for any size, one written table for each step. Both
-give the same h; the iteration needs a spectral radius below one.
+``solve`` finds x with ``M x = y`` for every right-hand side of a table. Two kernels give the same x for any nonsingular M:
+LU of a dense matrix, in an Arrow task for each ``RHS`` right-hand sides, for at most ``DENSE`` unknowns, which bounds the
+matrix; and beyond that GMRES with rows scaled by the diagonal, each step joins and sums over written tables. Neither
+asks for a spectral radius below one. Both check the residual, and fail where M is singular.
+
+The driver holds the small projected systems of GMRES: ``RESTART`` numbers squared for each right-hand side.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,7 +19,9 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import written
 
-DENSE = 2000
+#: Unknowns of the dense kernel at most; right-hand sides of one of its tasks; steps of GMRES before it starts anew.
+DENSE, RHS, RESTART = 2000, 128, 40
+VECTORS = "rhs int, idx int, value double"
 
 
 def merged(triplets: DataFrame, eps: float = 1e-15) -> DataFrame:
@@ -23,10 +30,10 @@ def merged(triplets: DataFrame, eps: float = 1e-15) -> DataFrame:
     return triplets.where(near).groupBy("row_idx", "col_idx").agg(F.sum("value").alias("value")).where(near)
 
 
-def identity_minus(a: DataFrame, n: int) -> DataFrame:
-    """M = I - A."""
+def identity_minus(a: DataFrame, n: int, eps: float = 1e-15) -> DataFrame:
+    """M = I - A, without entries within eps of zero."""
     one = a.sparkSession.range(n).select(F.col("id").cast("int").alias("row_idx"), F.col("id").cast("int").alias("col_idx"), F.lit(1.0).alias("value"))
-    return merged(one.unionByName(a.select("row_idx", "col_idx", (-F.col("value")).alias("value"))))
+    return merged(one.unionByName(a.select("row_idx", "col_idx", (-F.col("value")).alias("value"))), eps)
 
 
 def out_of_bounds(a: DataFrame, rows: int, cols: int) -> DataFrame:
@@ -46,36 +53,227 @@ def product(c: DataFrame, b: DataFrame) -> DataFrame:
     return out.select("row_idx", F.col("col2").alias("col_idx"), "value")
 
 
-def _dense(a: pa.Table, d: pa.Table) -> pa.Table:
-    keys = np.unique(np.concatenate([a["row_idx"].to_numpy(), a["col_idx"].to_numpy(), d["col_idx"].to_numpy()]))
-    m = np.eye(len(keys))
-    np.subtract.at(m, (np.searchsorted(keys, a["row_idx"].to_numpy()), np.searchsorted(keys, a["col_idx"].to_numpy())), a["value"].to_numpy())
-    rows = np.unique(d["row_idx"].to_numpy())
-    rhs = np.zeros((len(keys), len(rows)))
-    np.add.at(rhs, (np.searchsorted(keys, d["col_idx"].to_numpy()), np.searchsorted(rows, d["row_idx"].to_numpy())), d["value"].to_numpy())
-    h = np.linalg.solve(m.T, rhs)
-    if not np.isfinite(h).all() or np.abs(m.T @ h - rhs).max(initial=0) > 1e-6 * max(1.0, np.abs(rhs).max(initial=0)):
+def _lu(m: pa.Table, y: pa.Table) -> pa.Table:
+    """x for some right-hand sides, by LU of the whole of M."""
+    keys = np.unique(np.concatenate([m["row_idx"].to_numpy(), m["col_idx"].to_numpy(), y["idx"].to_numpy()]))
+    full = np.zeros((len(keys), len(keys)))
+    np.add.at(full, (np.searchsorted(keys, m["row_idx"].to_numpy()), np.searchsorted(keys, m["col_idx"].to_numpy())), m["value"].to_numpy())
+    which = np.unique(y["rhs"].to_numpy())
+    rhs = np.zeros((len(keys), len(which)))
+    np.add.at(rhs, (np.searchsorted(keys, y["idx"].to_numpy()), np.searchsorted(which, y["rhs"].to_numpy())), y["value"].to_numpy())
+    try:
+        x = np.linalg.solve(full, rhs)
+    except np.linalg.LinAlgError as e:
+        raise ValueError("the matrix is singular") from e
+    size = np.abs(full).sum(1).max(initial=0) * np.abs(x).max(0, initial=0) + np.abs(rhs).max(0, initial=0)
+    if not np.isfinite(x).all() or (np.abs(full @ x - rhs).max(0, initial=0) > 1e-9 * np.maximum(size, 1e-300)).any() or (np.abs(x).max(initial=0) > 1e14 * np.abs(rhs).max(initial=0)):
         raise ValueError("the matrix is singular")
-    i, j = np.meshgrid(np.arange(len(rows)), np.arange(len(keys)), indexing="ij")
-    return pa.table({"row_idx": rows[i.ravel()].astype(np.int32), "col_idx": keys[j.ravel()].astype(np.int32), "value": h.T.ravel()})
+    j, i = np.nonzero(x.T)
+    return pa.table({"rhs": which[j].astype(np.int32), "idx": keys[i].astype(np.int32), "value": x.T[j, i]})
+
+
+def _matvec(m: DataFrame, x: DataFrame, value: str = "value") -> DataFrame:
+    v = x.select("rhs", F.col("idx").alias("col_idx"), F.col(value).alias("v"))
+    return m.join(v, "col_idx").groupBy("rhs", F.col("row_idx").alias("idx")).agg(F.sum(F.col("value") * F.col("v")).alias("value"))
+
+
+def _added(x: DataFrame, y: DataFrame, sign: float = 1.0) -> DataFrame:
+    both = x.select("rhs", "idx", "value").unionByName(y.select("rhs", "idx", (sign * F.col("value")).alias("value")))
+    return both.groupBy("rhs", "idx").agg(F.sum("value").alias("value"))
+
+
+def _norms(x: DataFrame) -> dict[int, float]:
+    return {r.rhs: r.n for r in x.groupBy("rhs").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("n")).collect()}
+
+
+def _by_rhs(df: DataFrame, numbers: dict[int, list[float]], name: str) -> DataFrame:
+    """The rows of the right-hand sides that have numbers, with these as an array (a few numbers for each right-hand side)."""
+    table = df.sparkSession.createDataFrame([(k, [float(x) for x in v]) for k, v in numbers.items()], f"rhs int, {name} array<double>")
+    return df.join(F.broadcast(table), "rhs")
 
 
-def adjoint(a: DataFrame, d: DataFrame, n: int, tolerance: float = 1e-14, most: int = 500) -> DataFrame:
+def _gmres(m: DataFrame, y: DataFrame, tolerance: float, cycles: int) -> DataFrame:
+    diagonal = m.where((F.col("row_idx") == F.col("col_idx")) & (F.abs("value") > 1e-12)).select("row_idx", F.col("value").alias("d"))
+    m = written(m.join(diagonal, "row_idx", "left").select("row_idx", "col_idx", (F.col("value") / F.coalesce("d", F.lit(1.0))).alias("value")))
+    y = written(y.join(diagonal.withColumnRenamed("row_idx", "idx"), "idx", "left").select("rhs", "idx", (F.col("value") / F.coalesce("d", F.lit(1.0))).alias("value")))
+    goal = {k: tolerance * v for k, v in _norms(y).items()}
+    x, r = y.where("false"), y
+    for _ in range(cycles):
+        norm = {k: v for k, v in _norms(r).items() if v > goal[k]}
+        if not norm:
+            return x.where("value <> 0")
+        basis = written(_by_rhs(r, {k: [v] for k, v in norm.items()}, "n").select("rhs", "idx", F.array(F.col("value") / F.col("n")[0]).alias("q")))
+        h = {k: np.zeros((RESTART + 1, RESTART)) for k in norm}
+        size = dict.fromkeys(norm, RESTART)
+        for k in range(RESTART):
+            w = _matvec(m, basis.select("rhs", "idx", F.col("q")[k].alias("value")))
+            none = F.array(*[F.lit(0.0)] * (k + 1))
+            both = basis.join(w, ["rhs", "idx"], "full").select("rhs", "idx", F.coalesce("q", none).alias("q"), F.coalesce("value", F.lit(0.0)).alias("w"))
+            both = written(both)
+            dots = [F.sum(F.col("w") * F.col("q")[j]).alias(f"h{j}") for j in range(k + 1)]
+            whole = {}
+            for _again in range(2):  # orthogonalised twice, as one pass loses digits
+                found = {r["rhs"]: [r[f"h{j}"] for j in range(k + 1)] for r in both.groupBy("rhs").agg(*dots).collect()}
+                for key, v in found.items():
+                    h[key][: k + 1, k] += v
+                less = F.aggregate(F.zip_with("q", "c", lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v)
+                both = written(_by_rhs(both, found, "c").select("rhs", "idx", "q", (F.col("w") - less).alias("w")))
+            for r2 in both.groupBy("rhs").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n")).collect():
+                h[r2.rhs][k + 1, k] = whole[r2.rhs] = r2.n
+            left = {}
+            for key in norm:
+                if size[key] == RESTART:
+                    t = h[key][: k + 2, : k + 1]
+                    c = np.linalg.lstsq(t, np.r_[norm[key], np.zeros(k + 1)], rcond=None)[0]
+                    left[key] = float(np.linalg.norm(np.r_[norm[key], np.zeros(k + 1)] - t @ c))
+                    if left[key] <= 0.1 * goal[key] or whole[key] <= 1e-14 * np.abs(t).max():
+                        size[key] = k + 1
+            scale = {key: [1 / n if n > 0 and size[key] == RESTART else 0.0] for key, n in whole.items()}
+            basis = _by_rhs(both, scale, "s").select("rhs", "idx", F.concat("q", F.array(F.col("w") * F.col("s")[0])).alias("q"))
+            if all(v < RESTART for v in size.values()):
+                break
+            basis = written(basis)
+        c = {key: np.linalg.lstsq(h[key][: n + 1, :n], np.r_[norm[key], np.zeros(n)], rcond=None)[0].tolist() for key, n in size.items()}
+        step = _by_rhs(basis, c, "c").select("rhs", "idx", F.aggregate(F.zip_with(F.slice("q", 1, F.size("c")), "c", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v).alias("value"))
+        x = written(_added(x, step))
+        r = written(_added(y, _matvec(m, x), -1.0))
+    raise ValueError("the system is not solved: the matrix may be singular")
+
+
+def solve(m: DataFrame, y: DataFrame, n: int, tolerance: float = 1e-12, cycles: int = 25) -> DataFrame:
+    """x (rhs, idx, value) with M x = y for each right-hand side of y (rhs, idx, value); zeros have no row."""
+    m = m.select(F.col("row_idx").cast("int"), F.col("col_idx").cast("int"), F.col("value").cast("double"))
+    y = y.groupBy(F.col("rhs").cast("int").alias("rhs"), F.col("idx").cast("int").alias("idx")).agg(F.sum(F.col("value").cast("double")).alias("value"))
+    if n > DENSE:
+        return _gmres(m, written(y), tolerance, cycles)
+    block = F.floor(F.col("rhs") / RHS).cast("int")
+    blocks = F.broadcast(y.select(block.alias("block")).distinct())  # one row for each RHS right-hand sides
+    return m.crossJoin(blocks).groupBy("block").cogroup(y.withColumn("part", block).groupBy("part")).applyInArrow(lambda a, b: _lu(a, b), VECTORS)
+
+
+def transposed(m: DataFrame) -> DataFrame:
+    return m.select(F.col("col_idx").alias("row_idx"), F.col("row_idx").alias("col_idx"), "value")
+
+
+def adjoint(a: DataFrame, d: DataFrame, n: int) -> DataFrame:
     """h with h (I - A) = d, for each row of d: all unit solutions' impacts from one solve for each impact."""
-    shape = "row_idx int, col_idx int, value double"
-    a, d = (x.select(F.col("row_idx").cast("int"), F.col("col_idx").cast("int"), F.col("value").cast("double")) for x in (a, d))
-    if n <= DENSE:
-        one = F.lit(0).alias("one")
-        return a.select(one, "*").groupBy("one").cogroup(d.select(one, "*").groupBy("one")).applyInArrow(lambda x, y: _dense(x, y), shape)
-    a, d = written(a), written(d)
-    h = d
-    for _ in range(most):
-        new = written(product(h, a).unionByName(d).groupBy("row_idx", "col_idx").agg(F.sum("value").alias("value")))
-        change = new.join(h.withColumnRenamed("value", "old"), ["row_idx", "col_idx"], "left").agg(F.max(F.abs(F.col("value") - F.coalesce("old", F.lit(0.0)))), F.max(F.abs("value"))).first()
-        h = new
-        if (change[0] or 0) <= tolerance * max(1.0, change[1] or 0):
-            return h
-    raise ValueError("the iteration does not converge")
+    y = d.select(F.col("row_idx").alias("rhs"), F.col("col_idx").alias("idx"), "value")
+    return solve(transposed(identity_minus(a, n)), y, n).select(F.col("rhs").alias("row_idx"), F.col("idx").alias("col_idx"), "value")
+
+
+@dataclass
+class Prepared:
+    """A model whose M = I - A is known to have the structure of a matrix that can be factorised."""
+
+    m: DataFrame
+    b: DataFrame
+    c: DataFrame
+    n: int
+    report: dict
+
+    def solve(self, demand: DataFrame, x: bool = True, g: bool = False, h: bool = False) -> dict[str, DataFrame]:
+        """The vectors asked for (rhs, idx, value): activities x, inventory g = B x, impacts h = C g."""
+        activity = written(solve(self.m, demand, self.n))
+        out = {"x": activity} if x else {}
+        if g or h:
+            inventory = _matvec(self.b, activity)
+            out |= {"g": inventory} if g else {}
+            out |= {"h": _matvec(self.c, inventory)} if h else {}
+        return out
+
+    def solve_all_units(self) -> DataFrame:
+        """h of one unit of every process (rhs the process, idx the impact), by one adjoint solve for each impact."""
+        d = product(self.c, self.b).select(F.col("row_idx").alias("rhs"), F.col("col_idx").alias("idx"), "value")
+        return solve(transposed(self.m), d, self.n).select(F.col("idx").alias("rhs"), F.col("rhs").alias("idx"), "value")
+
+
+def prepare(a: DataFrame, b: DataFrame, c: DataFrame, n: int) -> Prepared:
+    """Builds and checks M; a structure that no factorisation can have (an empty row or column) is an error."""
+    m = written(identity_minus(a, n))
+    report = shape_report(m, n).first().asDict()
+    if report["status"] == "failed_invalid_structure":
+        raise ValueError(f"the matrix has {report['empty_rows']} empty rows and {report['empty_cols']} empty columns")
+    return Prepared(m, merged(b), merged(c), n, report)
+
+
+class Models:
+    """Prepared models by version, with their states: building, ready, failed, or None for one that is not known.
+
+    ``capacity`` bounds the bytes that ready models are estimated at, their factorisation at ``fill`` times their M. A model
+    that is larger alone is refused; room for another is made by dropping the ones not asked for the longest.
+    """
+
+    def __init__(self, capacity: int = 1 << 30, fill: float = 8.0):
+        self.capacity, self.fill = capacity, fill
+        self.models: dict[str, Prepared | None] = {}  # in the order of their last use
+        self.states: dict[str, str] = {}
+        self.sizes: dict[str, int] = {}
+
+    @staticmethod
+    def size_of(a: DataFrame, b: DataFrame, c: DataFrame, n: int, fill: float = 8.0) -> int:
+        entry = 12  # a value and an index
+        return int((a.count() + n) * entry * (1 + fill)) + (b.count() + c.count()) * entry
+
+    def prepare(self, version: str, a: DataFrame, b: DataFrame, c: DataFrame, n: int) -> str:
+        """Prepares a model, anew if it is known, and returns its state."""
+        self.invalidate(version)
+        self.states[version] = "building"
+        size = self.size_of(a, b, c, n, self.fill)
+        try:
+            if size > self.capacity:
+                raise ValueError(f"the model needs {size} bytes of {self.capacity}")
+            model = prepare(a, b, c, n)
+        except ValueError:
+            self.states[version] = "failed"
+            return "failed"
+        while sum(self.sizes.values()) + size > self.capacity:
+            self.invalidate(next(iter(self.models)))
+        self.models[version], self.sizes[version], self.states[version] = model, size, "ready"
+        return "ready"
+
+    def get(self, version: str) -> Prepared:
+        model = self.models.pop(version)  # a KeyError for one that is not prepared
+        self.models[version] = model
+        return model
+
+    def status(self, version: str) -> str | None:
+        return self.states.get(version)
+
+    def invalidate(self, version: str) -> int:
+        """Forgets a model; how many there were."""
+        self.models.pop(version, None)
+        self.sizes.pop(version, None)
+        return int(self.states.pop(version, None) is not None)
+
+
+def residual(m: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
+    """For each right-hand side the norm of M, of x, of y and of M x - y, and the last over what rounding allows (all largest norms)."""
+    rows = m.groupBy("row_idx").agg(F.sum(F.abs("value")).alias("s")).agg(F.max("s").alias("m_norm"))
+    largest = lambda df, name: df.groupBy("rhs").agg(F.max(F.abs("value")).alias(name))
+    out = largest(x, "x_norm").join(largest(y, "y_norm"), "rhs").join(largest(_added(_matvec(m, x), y, -1.0), "r_norm"), "rhs").crossJoin(F.broadcast(rows))
+    whole = F.col("m_norm") * F.col("x_norm") + F.col("y_norm")
+    return out.withColumn("relative", F.when(whole > 0, F.col("r_norm") / whole).otherwise(F.col("r_norm")))
+
+
+def compared(x: DataFrame, y: DataFrame, atol: float = 1e-9, rtol: float = 1e-6) -> DataFrame:
+    """For each right-hand side how far two vectors are apart: size, abs_inf, rel_inf, l2 and whether either bound holds."""
+    pair = x.select("rhs", "idx", F.col("value").alias("p")).join(y.select("rhs", "idx", F.col("value").alias("q")), ["rhs", "idx"], "full").fillna(0.0, ["p", "q"])
+    diff = F.col("p") - F.col("q")
+    out = pair.groupBy("rhs").agg(F.count("*").alias("size"), F.max(F.abs(diff)).alias("abs_inf"), F.greatest(F.max(F.abs("p")), F.lit(1.0)).alias("scale"), F.sqrt(F.sum(diff * diff)).alias("l2"))
+    out = out.withColumn("rel_inf", F.col("abs_inf") / F.col("scale"))
+    return out.withColumn("passed", (F.col("abs_inf") <= atol) | (F.col("rel_inf") <= rtol))
+
+
+def neumann(a: DataFrame, y: DataFrame, steps: int = 200, tolerance: float = 1e-13) -> DataFrame:
+    """x = y + A y + A A y + ..., an independent way to x where the spectral radius is below one."""
+    a, y = written(a), written(y)
+    x = term = y
+    for _ in range(steps):
+        term = written(_matvec(a, term))
+        x = written(_added(x, term))
+        if max(_norms(term).values(), default=0.0) <= tolerance * max(_norms(x).values(), default=1.0):
+            return x
+    raise ValueError("the series does not converge")
 
 
 def shape_report(m: DataFrame, n: int, eps: float = 1e-12) -> DataFrame:

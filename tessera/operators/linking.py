@@ -20,6 +20,34 @@ def candidates(residuals: DataFrame, ports: DataFrame, processes: DataFrame) ->
     return out.select("consumer", "flow", "provider", "residual", "pivot", tier.alias("tier"), "volume", "volume_fallback")
 
 
+def offers(ports: DataFrame) -> DataFrame:
+    """Ports (provider, flow, pivot, volume, volume_fallback, places) by the places that they serve.
+
+    ``places`` is an array of (tier, place), one for each tier, nearest first; the widest tier has one place for all.
+    """
+    return ports.select("flow", F.signum("pivot").alias("sign"), "provider", "pivot", "volume", "volume_fallback", F.inline("places"))
+
+
+def nearest(demands: DataFrame, offers: DataFrame) -> DataFrame:
+    """Demands (consumer, flow, residual, places) with the nearest tier and place that has a port of the opposite sign.
+
+    Adds sign, tier, place, tier_volume, n_candidates and n_valid (ports of all places, and those with a volume of their own).
+    Ports are counted by place before any demand meets them, so no demand is paired with the ports of its flow.
+    """
+    served = offers.groupBy("flow", "sign", "tier", "place").agg(F.count("*").alias("n"), F.count_if(~F.col("volume_fallback")).alias("valid"), F.sum("volume").alias("tier_volume"))
+    d = demands.withColumn("sign", -F.signum("residual"))
+    met = d.select("consumer", "flow", "sign", F.inline("places")).join(served, ["flow", "sign", "tier", "place"])
+    best = met.groupBy("consumer", "flow").agg(F.min_by(F.struct("tier", "place", "tier_volume"), "tier").alias("best"), F.max_by(F.struct("n", "valid"), "tier").alias("all"))
+    out = d.join(best, ["consumer", "flow"], "left").select("*", "best.*", F.coalesce("all.n", F.lit(0)).alias("n_candidates"), F.coalesce("all.valid", F.lit(0)).alias("n_valid"))
+    return out.drop("best", "all")
+
+
+def routed(near: DataFrame, offers: DataFrame) -> DataFrame:
+    """split_by_process_volume: each demand meets the ports of its nearest place alone, weighted by their share of its volume."""
+    out = near.where("tier is not null").drop("places", "n_candidates", "n_valid").join(offers, ["flow", "sign", "tier", "place"])
+    return out.withColumn("weight", F.col("volume") / F.col("tier_volume")).drop("tier_volume", "sign", "place")
+
+
 def best_tier(c: DataFrame) -> DataFrame:
     """The candidates of the nearest tier that a demand has."""
     return c.withColumn("best", F.min("tier").over(W.partitionBy(*DEMAND))).where("tier = best").drop("best")
@@ -52,12 +80,10 @@ def weights(c: DataFrame, rule: str = "split_by_process_volume") -> DataFrame:
     raise ValueError(f"unknown rule {rule}")
 
 
-def decisions(residuals: DataFrame, c: DataFrame) -> DataFrame:
-    """One row for each demand: number of candidates and the kind of decision."""
-    r = residuals.select(F.col("process_idx").alias("consumer"), "flow", F.col("coefficient").alias("residual"))
-    n = c.groupBy(*DEMAND).agg(F.count("*").alias("n_candidates"), F.min("tier").alias("tier"), F.count_if(~F.col("volume_fallback")).alias("n_valid"))
+def decisions(near: DataFrame) -> DataFrame:
+    """One row for each demand of nearest(): number of candidates and the kind of decision."""
     kind = F.when(F.col("n_candidates") == 0, "no_provider").when(F.col("n_candidates") == 1, "unique_provider").otherwise("multi_provider")
-    return r.join(n, list(DEMAND), "left").fillna(0, ["n_candidates", "n_valid"]).withColumn("kind", kind)
+    return near.withColumn("kind", kind)
 
 
 def technosphere(weighted: DataFrame) -> DataFrame:

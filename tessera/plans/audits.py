@@ -357,34 +357,6 @@ def cp04(n):
     return r.select("id", "exchange_id", "flow_id", F.round("residual", 6).alias("residual"))
 
 
-# Upstream paths
-
-_PATHS = (
-    "WITH RECURSIVE " + NETWORK.strip() + _SHARE.rstrip() + ", k AS (SELECT a.col_idx AS src, a.row_idx AS dst, row_number() OVER (PARTITION BY a.col_idx ORDER BY abs(direct) DESC, a.row_idx) AS rank FROM a JOIN s ON s.process_idx = a.row_idx), "
-    "kids AS (SELECT k.src, k.dst, abs(s.direct) AS size FROM k JOIN s ON s.process_idx = k.dst WHERE rank <= 3), "
-    "paths AS (SELECT 0 AS node, [0] AS path, 0 AS depth, 0.0::DOUBLE AS score UNION ALL SELECT kids.dst, list_append(path, kids.dst), depth + 1, score + size FROM paths JOIN kids ON kids.src = node WHERE depth < 3 AND NOT list_contains(path, kids.dst)) "
-)
-
-
-def _paths(n: Network) -> DataFrame:
-    d = linear.product(n.c, n.b).where("row_idx = 0").select(F.col("col_idx").alias("process_idx"), F.col("value").alias("d"))
-    s = graph.contributions(n.processes.select("process_idx", F.col("volume").alias("x")), d)
-    e = n.a.select(F.col("col_idx").alias("src"), F.col("row_idx").alias("dst"))
-    return graph.upstream(e, s, n.spark.range(1).select(F.col("id").cast("int").alias("node")), depth=3, k=3)
-
-
-@query("gr03", _PATHS + "SELECT array_to_string(path, '>') AS path, round(score, 4) AS score, CASE WHEN depth = 3 THEN 'max_depth' ELSE 'no_child' END AS ended FROM paths p WHERE depth = 3 OR NOT EXISTS (SELECT 1 FROM kids WHERE kids.src = p.node AND NOT list_contains(p.path, kids.dst))", "")
-def gr03(n):
-    """The upstream branches of the first process, their scores and why they end."""
-    return _paths(n).where("ended is not null").select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.round("score", 4).alias("score"), "ended")
-
-
-@query("gr05", _PATHS + "SELECT node, min(depth) AS least_depth FROM paths GROUP BY 1", "")
-def gr05(n):
-    """The least depth of each node that the branches reach."""
-    return _paths(n).select(F.element_at("path", -1).alias("node"), "depth").groupBy("node").agg(F.min("depth").alias("least_depth"))
-
-
 @query("ag20", ", f AS (SELECT DISTINCT row_idx AS flow FROM b) SELECT i.impact, count(c.row_idx) AS matched, count(*) - count(c.row_idx) AS unmatched FROM (SELECT DISTINCT row_idx AS impact FROM c) i CROSS JOIN f LEFT JOIN c ON c.row_idx = i.impact AND c.col_idx = f.flow GROUP BY 1")
 def ag20(n):
     """Flows of the biosphere with and without a factor, by impact."""

@@ -121,16 +121,6 @@ def la11(n):
     return h.join(d.select("col_idx", F.col("value").alias("d")), "col_idx", "left").fillna(0.0, ["d"]).select(F.col("col_idx").alias("process_idx"), _r("h").alias("expected"), _r("d").alias("direct"), _r(F.col("h") - F.col("d")).alias("indirect"))
 
 
-@query("la12", "SELECT row_idx AS impact, count(*) AS processes, true AS passed FROM h GROUP BY 1", SOLVED)
-def la12(n):
-    """The residual of h (I - A) = d in the largest norm, against the norms of h and d."""
-    h, d = _impacts(n), _direct(n)
-    left = h.unionByName(linear.product(h, n.a).withColumn("value", -F.col("value"))).unionByName(d.withColumn("value", -F.col("value")))
-    r = left.groupBy("row_idx", "col_idx").agg(F.sum("value").alias("r")).groupBy("row_idx").agg(F.max(F.abs("r")).alias("r"))
-    s = h.groupBy("row_idx").agg(F.max(F.abs("value")).alias("s"), F.count("*").alias("processes"))
-    return s.join(r, "row_idx").select(F.col("row_idx").alias("impact"), "processes", (F.col("r") <= 1e-9 * F.greatest("s", F.lit(1.0))).alias("passed"))
-
-
 @query("jn17", "SELECT row_idx AS impact, col_idx AS process_idx, round(value, 6) AS value FROM d")
 def jn17(n):
     """C B: direct impact of each process."""
@@ -151,18 +141,6 @@ def la09(n):
     return t.groupBy("flow", "direction").agg(F.sum("amount").alias("s")).where("s <> 0").select("flow", "direction", _r("s", 4).alias("amount"))
 
 
-@query("qr01", "SELECT row_idx AS impact, round(value, 6) AS amount FROM h WHERE col_idx = 3", SOLVED)
-def qr01(n):
-    """One process, all impacts."""
-    return _impacts(n).where("col_idx = 3").select(F.col("row_idx").alias("impact"), _r("value").alias("amount"))
-
-
-@query("qr02", "SELECT col_idx AS process_idx, round(value, 6) AS amount FROM h WHERE row_idx = 1 AND col_idx % 3 = 0", SOLVED)
-def qr02(n):
-    """Many processes, one impact."""
-    return linear.adjoint(n.a, _direct(n).where("row_idx = 1"), n.n).where("col_idx % 3 = 0").select(F.col("col_idx").alias("process_idx"), _r("value").alias("amount"))
-
-
 @query("ag23", "SELECT round(max(abs(value)), 6) AS abs_inf, round(sqrt(sum(value * value)), 6) AS l2 FROM d")
 def ag23(n):
     """Norms of the direct impacts."""
@@ -195,7 +173,7 @@ def jn02(n):
 @query("wn06", "SELECT consumer, flow, provider, tier FROM best")
 def wn06(n):
     """Candidates of the nearest tier of each demand."""
-    return linking.best_tier(n.candidates).select("consumer", "flow", "provider", "tier")
+    return n.weighted.select("consumer", "flow", "provider", "tier")
 
 
 @query("wn04", "SELECT consumer, flow, provider, round(weight, 6) AS weight FROM weighted")
@@ -235,7 +213,7 @@ CASE WHEN n_candidates IS NULL THEN 'no_provider' WHEN n_candidates = 1 THEN 'un
 
 
 def _decisions(n: Network) -> DataFrame:
-    return linking.decisions(n.residuals, n.candidates)
+    return linking.decisions(n.nearest)
 
 
 @query("cp06", _DECISION + "SELECT consumer, flow, n_candidates, kind FROM decision")

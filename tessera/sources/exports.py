@@ -40,3 +40,19 @@ def read_lines(spark: SparkSession, path: str, schema: str, rows: int | None = N
     if rows is not None and (n := df.count()) != rows:
         raise ValueError(f"{path} holds {n} rows, not {rows}")
     return df
+
+
+def upserted(stored: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row for each key: the last by ``order`` of what is stored and new. It is aggregated, so a hot key is combined first."""
+    rows = stored.unionByName(new)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("row"))
+    return last.select("row.*")
+
+
+def impact_axis(axis: DataFrame, default: str | None = None) -> DataFrame:
+    """The axis (impact_index, impact_id, impact_key) with ``is_default``: the impact of that id or key, the first one without any."""
+    wanted = (F.col("impact_id") == default) | (F.col("impact_key") == default) if default else F.col("impact_index") == 0
+    out = axis.withColumn("is_default", wanted)
+    if not out.where("is_default").limit(1).count():
+        raise ValueError(f"the axis has no impact {default or 0}")
+    return out

@@ -56,9 +56,24 @@ class Network:
     def candidates(self) -> DataFrame:
         return linking.candidates(self.residuals, self.ports, self.processes)
 
+    def _places(self, rows: DataFrame) -> DataFrame:
+        """Adds the places of a process: its nation, its region, everywhere."""
+        near = self.processes.select("process_idx", "nation", "region", "volume", "volume_fallback")
+        place = lambda tier, c: F.struct(F.lit(tier).alias("tier"), c.cast("string").alias("place"))
+        places = F.array(place(1, F.col("nation")), place(2, F.col("region")), place(3, F.lit("*")))
+        return rows.join(near, "process_idx").withColumn("places", places).drop("nation", "region")
+
+    @cached_property
+    def offers(self) -> DataFrame:
+        return linking.offers(self._places(self.ports).select(F.col("process_idx").alias("provider"), "flow", F.col("coefficient").alias("pivot"), "volume", "volume_fallback", "places"))
+
+    @cached_property
+    def nearest(self) -> DataFrame:
+        return linking.nearest(self._places(self.residuals).select(F.col("process_idx").alias("consumer"), "flow", F.col("coefficient").alias("residual"), "places"), self.offers)
+
     @cached_property
     def weighted(self) -> DataFrame:
-        return linking.weights(self.candidates)
+        return linking.routed(self.nearest, self.offers)
 
     @cached_property
     def a(self) -> DataFrame:

@@ -6,19 +6,49 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows from a table in the folder that the cluster shares (spark.checkpoint.dir): computed once, lineage cut."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``).
+
+    Where that is unset, a local master gets a folder of its own for the session; a cluster has none that all
+    executors see, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/lca/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/lca/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows from a table in the shared folder: computed once, lineage cut."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def page(rows: DataFrame, keys: list[str], after: tuple | None = None, limit: int = 1000) -> DataFrame:
+    """The next ``limit`` rows in the order of ``keys`` after a row's key values: a keyset page, which skips nothing by counting."""
+    if after is not None:
+        rows = rows.where(F.struct(*keys) > F.struct(*(F.lit(v) for v in after)))
+    return rows.orderBy(*keys).limit(limit)
+
+
+def pages(rows: DataFrame, keys: list[str], limit: int = 1000):
+    """All keyset pages, one after the other; the driver sees the last key of each page alone."""
+    after = None
+    while True:
+        part = page(rows, keys, after, limit)
+        last = part.orderBy(*(F.desc(k) for k in keys)).select(*keys).first()
+        if last is None:
+            return
+        yield part
+        after = tuple(last)

@@ -43,6 +43,14 @@ def triplets(spark, data):
     return spark.createDataFrame(data, "row_idx int, col_idx int, value double")
 
 
+def vectors(spark, data):
+    return spark.createDataFrame(data, "rhs int, idx int, value double")
+
+
+def values(df):
+    return {(r.rhs, r.idx): r.value for r in df.collect()}
+
+
 def test_small_system_has_equal_results_by_both_kernels(spark, monkeypatch):
     a, d = triplets(spark, [(0, 1, 0.5), (1, 0, 0.25)]), triplets(spark, [(0, 0, 0.2), (0, 1, 0.3)])
     dense = {r.col_idx: r.value for r in linear.adjoint(a, d, 2).collect()}
@@ -53,9 +61,55 @@ def test_small_system_has_equal_results_by_both_kernels(spark, monkeypatch):
     assert loop == pytest.approx(dense)
 
 
-def test_singular_system_fails(spark):
+def test_published_case_of_one_demand(spark):
+    model = linear.prepare(triplets(spark, [(0, 1, 0.5), (1, 0, 0.25)]), triplets(spark, [(0, 0, 2.0), (0, 1, 3.0)]), triplets(spark, [(0, 0, 0.1)]), 2)
+    got = model.solve(vectors(spark, [(0, 0, 1.0), (0, 1, 2.0)]), x=True, g=True, h=True)
+    assert values(got["x"]) == pytest.approx({(0, 0): 2.2857142857, (0, 1): 2.5714285714})
+    assert values(got["g"]) == pytest.approx({(0, 0): 12.2857142857}) and values(got["h"]) == pytest.approx({(0, 0): 1.22857142857})
+    assert list(model.solve(vectors(spark, [(0, 0, 1.0)]), x=False, h=True)) == ["h"]
+    units = values(model.solve_all_units())
+    assert units[0, 0] + 2 * units[1, 0] == pytest.approx(1.22857142857)
+
+
+@pytest.mark.parametrize("dense", [2000, 0])
+def test_a_spectral_radius_above_one_is_solved(spark, monkeypatch, dense):
+    monkeypatch.setattr(linear, "DENSE", dense)
+    a, d = triplets(spark, [(0, 1, 2.0), (1, 0, 1.5)]), triplets(spark, [(0, 0, 1.0), (0, 1, 1.0)])
+    assert {r.col_idx: r.value for r in linear.adjoint(a, d, 2).collect()} == pytest.approx({0: -1.25, 1: -1.5})
+    zero = triplets(spark, [(0, 0, 1.0), (0, 1, -1.0), (1, 0, 3.0)])  # M has a zero on its diagonal
+    assert values(linear.solve(linear.identity_minus(zero, 2), vectors(spark, [(3, 0, 2.0), (3, 1, 1.0)]), 2)) == pytest.approx({(3, 0): 1 / 3, (3, 1): 2.0})
+
+
+def test_joins_and_sums_agree_with_a_dense_solve(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    n = 30
+    data = [(int(i), int(j), float(v)) for i, j, v in zip(rng.integers(n, size=120), rng.integers(n, size=120), rng.normal(size=120), strict=True)]
+    a, y = triplets(spark, data), vectors(spark, [(k, int(i), 1.0) for k, i in enumerate(rng.integers(n, size=3))])
+    m = linear.identity_minus(a, n)
+    want = values(linear.solve(m, y, n))
+    monkeypatch.setattr(linear, "DENSE", 0)
+    got = values(linear.solve(m, y, n))
+    scale = max(abs(v) for v in want.values())
+    assert all(abs(got.get(k, 0) - want.get(k, 0)) <= 1e-8 * scale for k in want.keys() | got.keys())
+
+
+def test_more_right_hand_sides_than_a_task_takes(spark, monkeypatch):
+    monkeypatch.setattr(linear, "RHS", 2)
+    m = linear.identity_minus(triplets(spark, [(0, 1, 0.5)]), 3)
+    got = values(linear.solve(m, vectors(spark, [(k, k % 3, 1.0) for k in range(7)]), 3))
+    assert got == {(k, k % 3): 1.0 for k in range(7)} | {(k, 0): 0.5 for k in (1, 4)} | {(k, 0): 1.0 for k in (0, 3, 6)}
+
+
+@pytest.mark.parametrize("dense", [2000, 0])
+def test_singular_matrices_fail(spark, monkeypatch, dense):
+    monkeypatch.setattr(linear, "DENSE", dense)
+    m = triplets(spark, [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 0.5), (1, 1, 1.0)])
     with pytest.raises(Exception, match="ingular"):
-        linear.adjoint(triplets(spark, [(0, 0, 1.0)]), triplets(spark, [(0, 0, 1.0)]), 1).collect()
+        linear.solve(m, vectors(spark, [(0, 0, 1.0)]), 2, cycles=2).collect()
+    with pytest.raises(ValueError, match="empty"):
+        linear.prepare(triplets(spark, [(0, 0, 1.0)]), m, m, 1)
 
 
 def test_small_entries_go_before_and_after_the_sum(spark):
@@ -203,13 +257,22 @@ def test_lines_are_counted(spark, tmp_path):
         exports.read_lines(spark, path, "a long", 3)
 
 
-def test_upstream_paths_cut_cycles(spark):
-    e = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (0, 3)], "src int, dst int")
-    s = spark.createDataFrame([(0, 9.0), (1, -4.0), (2, 2.0), (3, 1.0)], "process_idx int, direct double")
-    got = {tuple(r.path): (r.score, r.ended) for r in graph.upstream(e, s, spark.createDataFrame([(0,)], "node int"), 3, 2).collect()}
-    assert got == {(0,): (0.0, None), (0, 1): (4.0, None), (0, 3): (1.0, "no_child"), (0, 1, 2): (6.0, "no_child")}
-    one = graph.upstream(e, s, spark.createDataFrame([(0,)], "node int"), 1, 1)
-    assert {(tuple(r.path), r.ended) for r in one.collect()} == {((0,), None), ((0, 1), "max_depth")}
+def test_branches_end_by_each_bound(spark):
+    e = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (0, 3), (3, 4), (4, 5)], "src int, dst int")
+    d = {0: 9.0, 1: -4.0, 2: 2.0, 3: 1.0, 4: 0.001, 5: 8.0}
+    total = sum(map(abs, d.values()))
+    s = spark.createDataFrame([(k, v, abs(v) / total) for k, v in d.items()], "process_idx int, direct double, share double")
+    root = spark.createDataFrame([(0,)], "node int")
+    found = graph.branches(e, s, root, depth=3)
+    assert {tuple(r.path): (r.score, r.reason) for r in found.ends.collect()} == {(0, 1, 0): (13.0, "cycle_cut"), (0, 1, 2): (6.0, "leaf"), (0, 3): (1.0, "cutoff")}
+    assert {r.node: r.least_depth for r in found.nodes.collect()} == {0: 0, 1: 1, 2: 2, 3: 1}
+    assert found.coverage().first().coverage == pytest.approx(16 / total)
+    assert {(tuple(r.path), r.reason) for r in graph.branches(e, s, root, depth=1, k=1).ends.collect()} == {((0, 1), "max_depth")}
+    wide = spark.createDataFrame([(0, i) for i in range(1, 21)], "src int, dst int")
+    even = spark.createDataFrame([(i, 1.0, 0.05) for i in range(21)], "process_idx int, direct double, share double")
+    reasons = [r.reason for r in graph.branches(wide, even, root, k=20, nodes=10).ends.collect()]
+    assert reasons.count("max_nodes") == 11 and reasons.count("leaf") == 9
+    assert graph.options(0, 99, float("nan"), 5) == {"depth": 1, "k": 20, "cutoff": 0.01, "nodes": 10}
 
 
 def test_survey_ids_are_registered_or_named_in_the_readme():
