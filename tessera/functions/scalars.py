@@ -93,3 +93,9 @@ def ratio(part: Column, whole: Column) -> Column:
 def uuid(kind: int, number: Column) -> Column:
     """An id in the form of a UUID from a kind and a number, for tables that have numbers alone."""
     return F.format_string("%08x-0000-4000-8000-%012x", F.lit(kind), number.cast("long"))
+
+
+def flow_space(kind: Column) -> Column:
+    """Where a flow of a type goes: products and wastes to the technosphere, elementary ones to the biosphere, others are reported."""
+    t = F.lower(kind)
+    return F.when(t.startswith("product") | t.startswith("waste"), "technosphere").when(t.startswith("elementary"), "biosphere").otherwise("reporting")

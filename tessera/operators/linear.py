@@ -40,6 +40,11 @@ def out_of_bounds(a: DataFrame, rows: int, cols: int) -> DataFrame:
     return a.where(~F.col("row_idx").between(0, rows - 1) | ~F.col("col_idx").between(0, cols - 1) | F.isnan("value") | (F.abs("value") == float("inf")))
 
 
+def empty(a: DataFrame, axis: str, n: int) -> DataFrame:
+    """Places (idx) of an axis (row_idx or col_idx) of n that hold no entry."""
+    return a.sparkSession.range(n).select(F.col("id").cast("int").alias("idx")).join(a.select(F.col(axis).alias("idx")).distinct(), "idx", "left_anti")
+
+
 def times(a: DataFrame, x: DataFrame, index: str = "idx") -> DataFrame:
     """A x for a vector (idx, value)."""
     v = x.select(F.col(index).alias("col_idx"), F.col("value").alias("v"))

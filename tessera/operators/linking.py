@@ -90,3 +90,25 @@ def technosphere(weighted: DataFrame) -> DataFrame:
     """A: what each provider makes for one unit of each consumer."""
     value = -F.col("residual") / F.col("pivot") * F.col("weight")
     return weighted.groupBy(F.col("provider").alias("row_idx"), F.col("consumer").alias("col_idx")).agg(F.sum(value).alias("value"))
+
+
+def closure(weighted: DataFrame, eps: float = 1e-12) -> DataFrame:
+    """Demands with their largest activity and whether what providers do, times their pivots, cancels them."""
+    activity = -F.col("residual") / F.col("pivot") * F.col("weight")
+    g = weighted.groupBy(*DEMAND).agg(F.first("residual").alias("r"), F.sum(F.col("pivot") * activity).alias("s"), F.max(activity).alias("largest"))
+    return g.withColumn("closed", F.abs(F.col("r") + F.col("s")) <= eps * F.greatest(F.lit(1.0), F.abs("r")))
+
+
+def biosphere(elementary: DataFrame, mode: str = "gross") -> DataFrame:
+    """B from elementary exchanges (row_idx, col_idx, direction, amount): gross amounts, or signed ones with inputs negative."""
+    if mode not in ("gross", "signed"):
+        raise ValueError(f"unknown mode {mode}")
+    value = F.col("amount") if mode == "gross" else F.when(F.col("direction") == "Input", -F.col("amount")).otherwise(F.col("amount"))
+    return elementary.groupBy("row_idx", "col_idx").agg(F.sum(value).alias("value"))
+
+
+def active_factors(factors: DataFrame, elementary: DataFrame, directed: bool = False) -> DataFrame:
+    """Factors (row_idx, col_idx, direction, value) of flows that exchanges hold; directed, only where these have one direction, the factor's."""
+    held = elementary.groupBy(F.col("row_idx").alias("col_idx")).agg(F.min("direction").alias("lo"), F.max("direction").alias("hi"))
+    out = factors.join(held, "col_idx")
+    return out.where("lo = hi and lo = direction") if directed else out

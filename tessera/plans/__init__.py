@@ -1,3 +1,3 @@
 """Life-cycle-assessment analytics on Spark."""
 
-from . import audits, registry, solving  # noqa: F401 (the others register their queries)
+from . import audits, compiler, registry, solving  # noqa: F401 (the others register their queries)

@@ -195,18 +195,6 @@ def cp14(n):
     return n.a.select("row_idx", "col_idx", _r("value").alias("value"))
 
 
-@query("cp15", "SELECT row_idx, col_idx, round(value, 6) AS value FROM b")
-def cp15(n):
-    """The biosphere matrix B, gross sign."""
-    return n.b.select("row_idx", "col_idx", _r("value").alias("value"))
-
-
-@query("cp16", "SELECT c.row_idx, c.col_idx, c.value::DOUBLE AS value FROM c WHERE c.col_idx IN (SELECT row_idx FROM b)")
-def cp16(n):
-    """Factors of flows that the biosphere holds."""
-    return n.c.join(n.b.select(F.col("row_idx").alias("col_idx")).distinct(), "col_idx", "left_semi").select("row_idx", "col_idx", "value")
-
-
 _DECISION = """, n AS (SELECT consumer, flow, count(*) AS n_candidates, min(tier) AS tier, count(*) FILTER (WHERE NOT volume_fallback) AS n_valid FROM candidate GROUP BY 1, 2),
 decision AS (SELECT r.consumer, r.flow, coalesce(n_candidates, 0) AS n_candidates, tier, coalesce(n_valid, 0) AS n_valid,
 CASE WHEN n_candidates IS NULL THEN 'no_provider' WHEN n_candidates = 1 THEN 'unique_provider' ELSE 'multi_provider' END AS kind FROM residual r LEFT JOIN n USING (consumer, flow)) """
@@ -246,20 +234,6 @@ def cp11(n):
     return linking.weights(n.candidates, "split_equal").select("consumer", "flow", "provider", _r("weight").alias("weight"))
 
 
-@query("cp13", _DECISION + "SELECT coalesce(CASE tier WHEN 1 THEN 'country' WHEN 2 THEN 'region' WHEN 3 THEN 'global' END, 'none') AS tier, count(*) AS demands FROM decision GROUP BY 1")
-def cp13(n):
-    """Geography tiers of demands."""
-    name = F.when(F.col("tier") == 1, "country").when(F.col("tier") == 2, "region").when(F.col("tier") == 3, "global").otherwise("none")
-    return _decisions(n).groupBy(name.alias("tier")).agg(F.count("*").alias("demands"))
-
-
-@query("ag02", _DECISION + "SELECT count(*) AS total, count(*) FILTER (WHERE kind = 'unique_provider') AS unique_, count(*) FILTER (WHERE kind = 'multi_provider') AS multi, count(*) FILTER (WHERE kind = 'no_provider') AS none FROM decision")
-def ag02(n):
-    """Matching counters."""
-    k = F.col("kind")
-    return _decisions(n).agg(F.count("*").alias("total"), F.count_if(k == "unique_provider").alias("unique_"), F.count_if(k == "multi_provider").alias("multi"), F.count_if(k == "no_provider").alias("none"))
-
-
 @query("ag03", _DECISION + "SELECT round(100.0 * count(*) FILTER (WHERE n_candidates > 0) / nullif(count(*), 0), 2) AS write_pct, round(100.0 * count(*) FILTER (WHERE n_valid > 0) / nullif(count(*) FILTER (WHERE n_candidates > 0), 0), 2) AS usable_pct FROM decision")
 def ag03(n):
     """Percentages with a null-safe division."""
@@ -267,12 +241,6 @@ def ag03(n):
     return _decisions(n).agg(fn.percent(some, F.count("*")).alias("write_pct"), fn.percent(valid, some).alias("usable_pct"))
 
 
-@query("ag04", _DECISION + "SELECT n_candidates, count(*) AS demands FROM decision GROUP BY 1")
-def ag04(n):
-    """Histogram of candidate counts."""
-    return _decisions(n).groupBy("n_candidates").agg(F.count("*").alias("demands"))
-
-
 @query("ag05", _DECISION + "SELECT kind, tier, count(*) AS demands FROM decision GROUP BY ROLLUP (kind, tier)")
 def ag05(n):
     """Two-level histogram with subtotals."""
@@ -286,20 +254,6 @@ def ag06(n):
     return _decisions(n).where(k > 0).agg(F.count_if(v == k).alias("all_valid"), F.count_if((v > 0) & (v < k)).alias("partly_valid"), F.count_if(v == 0).alias("none_valid"))
 
 
-@query("ag07", _DECISION + "SELECT flow, count(*) FILTER (WHERE n_candidates = 0) AS unmatched, round(100.0 * count(*) FILTER (WHERE n_candidates > 0) / count(*), 2) AS write_pct FROM decision GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
-def ag07(n):
-    """The twenty flows with most unmatched demands."""
-    out = _decisions(n).groupBy("flow").agg(F.count_if(F.col("n_candidates") == 0).alias("unmatched"), fn.percent(F.count_if(F.col("n_candidates") > 0), F.count("*")).alias("write_pct"))
-    return out.orderBy(F.desc("unmatched"), "flow").limit(20)
-
-
-@query("ag08", _DECISION + "SELECT flow, count(*) AS demands, count(DISTINCT nation) AS nations, list_aggregate(list_sort(list_distinct(list(location)))[1:5], 'string_agg', ',') AS first_locations FROM decision JOIN process ON process_idx = consumer WHERE n_candidates = 0 GROUP BY 1")
-def ag08(n):
-    """Unmatched demands by flow: counts, distinct nations, the first five locations."""
-    un = _decisions(n).where("n_candidates = 0").join(n.processes, F.col("consumer") == F.col("process_idx"))
-    return un.groupBy("flow").agg(F.count("*").alias("demands"), F.countDistinct("nation").alias("nations"), F.array_join(F.slice(F.array_sort(F.collect_set("location")), 1, 5), ",").alias("first_locations"))
-
-
 @query("ag29", "SELECT count(*) AS demands, count(*) FILTER (WHERE abs(s - 1) > 1e-9) AS broken FROM (SELECT sum(weight) AS s FROM weighted GROUP BY consumer, flow)")
 def ag29(n):
     """Weights of each demand sum to one."""
@@ -312,16 +266,6 @@ def jn06(n):
     return n.residuals.join(n.ports, "flow", "left_anti").select(F.col("process_idx").alias("consumer"), "flow")
 
 
-@query("rd01", _DECISION + "SELECT * FROM (SELECT 'unmatched_demands' AS code, 'blocker' AS severity, count(*) AS k FROM decision WHERE n_candidates = 0 UNION ALL SELECT 'multi_provider', 'warning', count(*) FROM decision WHERE n_candidates > 1 UNION ALL SELECT 'no_input_edges', 'blocker', count(*) FROM process WHERE process_idx NOT IN (SELECT consumer FROM residual)) WHERE k > 0")
-def rd01(n):
-    """Readiness findings from the coverage."""
-    d = _decisions(n)
-    lone = n.processes.join(n.residuals.select("process_idx").distinct(), "process_idx", "left_anti")
-    parts = [(d.where("n_candidates = 0"), "unmatched_demands", "blocker"), (d.where("n_candidates > 1"), "multi_provider", "warning"), (lone, "no_input_edges", "blocker")]
-    rows = [x.agg(F.count("*").alias("k")).select(F.lit(c).alias("code"), F.lit(s).alias("severity"), "k") for x, c, s in parts]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).where("k > 0")
-
-
 # Joins, windows, sets over the supplied tables
 
 
