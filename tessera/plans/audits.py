@@ -248,19 +248,6 @@ def sc02(n):
     return n.residuals.where(c != 0).select("process_idx", "flow", F.round(fn.scale(c), 6).alias("scale"), F.signum(c).alias("coefficient"))
 
 
-@query("sc08", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events", "")
-def sc08(n):
-    """A value by its path in a JSON text."""
-    return n.table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
-@query("sc10", "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'Input' WHEN 'A' THEN 'Output' END AS direction FROM lineitem", "")
-def sc10(n):
-    """Directions from other spellings; an unknown one is null."""
-    text = F.when(F.col("l_returnflag") == "R", " IN").when(F.col("l_returnflag") == "A", "output ").otherwise("none")
-    return n.table("lineitem").select("l_orderkey", "l_linenumber", fn.direction(text).alias("direction"))
-
-
 @query("sc21", "SELECT s_suppkey, s_name AS id, s_nationkey::VARCHAR AS version FROM supplier", "")
 def sc21(n):
     """Roots written as id@version."""

@@ -283,12 +283,6 @@ def wn05(n):
     return top.select("process_idx", F.array_join(F.transform("x", lambda s: s["flow"]), ",").alias("top5"))
 
 
-@query("wn10", "SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS idx FROM nation", "")
-def wn10(n):
-    """Contiguous index over a sorted axis (of nations, whose number is fixed)."""
-    return n.table("nation").select("n_name", (F.row_number().over(W.orderBy("n_name")) - 1).cast("long").alias("idx"))
-
-
 @query("jn04", "SELECT x.l_orderkey AS k, count(*) AS pairs FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber AND abs(x.l_quantity - y.l_quantity) <= 1 GROUP BY 1", "")
 def jn04(n):
     """Pairs of lines of one order with nearly equal quantities (equi-join with a tolerance)."""
@@ -359,19 +353,6 @@ def ag25(n):
     return e.agg(F.median("value").alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), _r(F.avg("value")).alias("mean"), _r(F.var_pop("value"), 4).alias("variance"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
-@query("sc15", "SELECT DISTINCT p_type, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part", "")
-def sc15(n):
-    """Slugs of part types."""
-    return n.table("part").select("p_type", fn.slug(F.col("p_type")).alias("slug")).distinct()
-
-
-@query("sc11", "SELECT p_partkey, lpad((p_partkey % 20)::VARCHAR, 2, '0') || '.' || lpad((p_partkey % 7)::VARCHAR, 2, '0') || '.' || lpad((p_partkey % 300)::VARCHAR, 3, '0') AS version FROM part", "")
-def sc11(n):
-    """Normalised versions."""
-    k = F.col("p_partkey")
-    return n.table("part").select("p_partkey", fn.normal_version(F.concat_ws(".", k % 20, k % 7, k % 300)).alias("version"))
-
-
 @query("sc01", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS signed FROM lineitem", "")
 def sc01(n):
     """Signed coefficients: returned lines count as inputs."""
@@ -379,12 +360,6 @@ def sc01(n):
     return n.table("lineitem").select("l_orderkey", "l_linenumber", fn.signed(d, F.col("l_quantity")).alias("signed"))
 
 
-@query("sc19", "SELECT process_idx, flow, substr(sha256(concat(process_idx::VARCHAR, '/', flow)), 1, 20) AS link FROM port")
-def sc19(n):
-    """Deterministic link ids."""
-    return n.ports.select("process_idx", "flow", F.substring(F.sha2(F.concat_ws("/", "process_idx", "flow"), 256), 1, 20).alias("link"))
-
-
 @query("cp18", "SELECT count(*) AS k, sha256(count(*)::VARCHAR || '|' || max(o_orderkey)::VARCHAR) AS fingerprint FROM orders", "")
 def cp18(n):
     """A source's fingerprint."""

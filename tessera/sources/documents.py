@@ -101,3 +101,44 @@ def residuals(e: DataFrame) -> DataFrame:
     raw = fn.signed(F.col("direction"), F.col("amount"))
     rest = e.where((F.col("exchange_id") != F.col("reference")) & F.col("pivot").isNotNull() & (F.col("share") > 0))
     return rest.select("id", "version", "exchange_id", "flow_id", "flow_version", "location", (raw * fn.scale(F.col("pivot")) * F.col("share")).alias("residual")).where("residual is not null")
+
+
+def amount(m: Column) -> Column:
+    """The calculation amount of an exchange, given as a map of its keys."""
+    return _amount(m)
+
+
+def first_path(json: Column, *paths: str) -> Column:
+    """The value at the first of the paths that holds one."""
+    return F.coalesce(*(F.get_json_object(json, p) for p in paths))
+
+
+def finite(value: Column) -> Column:
+    return F.coalesce(~F.isnan(value) & (F.abs(value) != float("inf")), F.lit(False))
+
+
+def quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+
+
+def canonical(values: dict[str, Column]) -> Column:
+    """JSON of an object with sorted keys; the values are JSON texts."""
+    parts = [x for i, k in enumerate(sorted(values)) for x in (F.lit(("," if i else "{") + f'"{k}":'), values[k])]
+    return F.concat(*parts, F.lit("}"))
+
+
+def vector_fault(entries: Column, known: Column) -> Column:
+    """What is wrong with an allocation vector of (target, share): out_of_range, unknown_target, duplicate, sum, or ok."""
+    share = lambda e: fn.number(e["share"])
+    to = F.transform(entries, lambda e: F.trim(e["target"]))
+    outside = F.exists(entries, lambda e: ~F.coalesce(share(e).between(0, 100), F.lit(False)))
+    unknown = F.exists(to, lambda t: ~F.coalesce(F.array_contains(known, t), F.lit(False)))
+    total = F.aggregate(entries, F.lit(0.0), lambda s, e: s + share(e) / 100)
+    out = F.when(outside, "out_of_range").when(unknown, "unknown_target").when(F.size(F.array_distinct(to)) < F.size(to), "duplicate")
+    return out.when(F.abs(total - 1) > TOLERANCE, "sum").otherwise("ok")
+
+
+def allocated(exchanges: DataFrame) -> DataFrame:
+    """Exchanges whose share of the reference is known and not zero."""
+    return exchanges.where(F.col("share") > 0)

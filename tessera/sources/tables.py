@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -52,3 +53,20 @@ def pages(rows: DataFrame, keys: list[str], limit: int = 1000):
             return
         yield part
         after = tuple(last)
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
+    """Rows with their place (from 0) in the order of ``keys``, which have to be unique, without a task that sees all of them.
+
+    Rows are dealt by ranges of the keys and counted by part; a part's rows are numbered from the sum of those before it. The
+    driver sees one count for each part.
+    """
+    spark = rows.sparkSession
+    parts = written(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("__part", F.spark_partition_id()))
+    before, at = [], 0
+    for part, k in sorted(tuple(r) for r in parts.groupBy("__part").agg(F.count("*")).collect()):
+        before.append((part, at))
+        at += k
+    starts = F.broadcast(spark.createDataFrame(before, "__part int, __before long"))
+    own = F.row_number().over(W.partitionBy("__part").orderBy(*keys))
+    return parts.withColumn("__own", own).join(starts, "__part").withColumn(name, F.col("__own") + F.col("__before") - 1).drop("__part", "__own", "__before")
