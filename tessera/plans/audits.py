@@ -139,15 +139,6 @@ def jn22(n):
 # Aggregates
 
 
-@query("ag11", "SELECT s_nationkey AS grp, count(*) AS refs, count(*) FILTER (WHERE d.id IS NULL) AS version_missing, count(*) FILTER (WHERE s_acctbal < 0) AS negative, count(DISTINCT s_nationkey % 9) AS versions FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey AS id, l_linenumber AS version FROM lineitem) d ON d.id = s_suppkey AND d.version = s_nationkey % 9 GROUP BY 1", "")
-def ag11(n):
-    """Reference counts by group, each under a condition of its own."""
-    exact = _versions(n).withColumn("v", F.lit(True))
-    s = n.table("supplier").select("s_nationkey", "s_acctbal", F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 9).alias("version"))
-    g = s.join(exact, ["id", "version"], "left").groupBy(F.col("s_nationkey").alias("grp"))
-    return g.agg(F.count("*").alias("refs"), F.count_if(F.col("v").isNull()).alias("version_missing"), F.count_if(F.col("s_acctbal") < 0).alias("negative"), F.countDistinct("version").alias("versions"))
-
-
 @query("ag12", "SELECT lang, max(octet_length(encode(coalesce(text, '')))) AS largest, count(*) FILTER (WHERE octet_length(encode(coalesce(text, ''))) > 4096) AS over_limit FROM documents GROUP BY 1", "")
 def ag12(n):
     """Largest document and documents over a limit, by category."""
@@ -168,13 +159,6 @@ def ag19(n):
     return n.table("nation").select("n_nationkey", "n_name").join(many, "n_nationkey", "left").select("n_name", F.coalesce("datasets", F.lit(0)).alias("datasets"))
 
 
-@query("ag21", "SELECT count(*) AS entries, count(DISTINCT (l_suppkey, l_returnflag)) AS distinct_keys, count(*) - count(DISTINCT (l_suppkey, l_returnflag)) AS duplicates FROM lineitem", "")
-def ag21(n):
-    """Factor entries, distinct (flow, direction) keys and duplicates."""
-    t = n.table("lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("k"))
-    return t.agg(F.sum("k").alias("entries"), F.count("*").alias("distinct_keys"), (F.sum("k") - F.count("*")).alias("duplicates"))
-
-
 @query("ag26", "SELECT o_orderstatus AS area, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'expired' WHEN o_totalprice > 300000 THEN 'pinned' ELSE 'kept' END AS reason, count(*) AS results, round(sum(o_totalprice), 2) AS size FROM orders GROUP BY 1, 2", "")
 def ag26(n):
     """Retention by area and reason."""
@@ -276,13 +260,6 @@ def sc25(n):
 # Graph and packages
 
 
-@query("gr09", "WITH RECURSIVE " + NETWORK.strip() + ", reach AS (SELECT 1 AS node UNION SELECT a.col_idx FROM reach JOIN a ON a.row_idx = reach.node) SELECT node FROM reach", "")
-def gr09(n):
-    """Processes that an issue of process 1 affects: all that need it, directly or not."""
-    e = n.a.select(F.col("row_idx").alias("src"), F.col("col_idx").alias("dst"))
-    return graph.closure(e, n.spark.range(1).select(F.lit(1).alias("node"))).select("node")
-
-
 @query("op03", "SELECT coalesce(x.id, y.id) AS id, x.id IS NULL AS not_in_axis, y.id IS NULL AS not_certified FROM (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 5 <> 0) x FULL JOIN (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 3 <> 0) y ON x.id = y.id WHERE x.id IS NULL OR y.id IS NULL", "")
 def op03(n):
     """Where an axis and the certified one differ, with the side that lacks it."""
@@ -344,15 +321,6 @@ def cp04(n):
     return r.select("id", "exchange_id", "flow_id", F.round("residual", 6).alias("residual"))
 
 
-@query("ag20", ", f AS (SELECT DISTINCT row_idx AS flow FROM b) SELECT i.impact, count(c.row_idx) AS matched, count(*) - count(c.row_idx) AS unmatched FROM (SELECT DISTINCT row_idx AS impact FROM c) i CROSS JOIN f LEFT JOIN c ON c.row_idx = i.impact AND c.col_idx = f.flow GROUP BY 1")
-def ag20(n):
-    """Flows of the biosphere with and without a factor, by impact."""
-    flows = n.b.select(F.col("row_idx").alias("col_idx")).distinct()
-    all_ = flows.agg(F.count("*").alias("n"))
-    hit = n.c.join(flows.withColumn("there", F.lit(1)), "col_idx", "left").groupBy(F.col("row_idx").alias("impact")).agg(F.count("there").alias("matched"))
-    return hit.crossJoin(F.broadcast(all_)).select("impact", "matched", (F.col("n") - F.col("matched")).alias("unmatched"))
-
-
 @query("snk06", "SELECT l_suppkey // 16 AS chunk, count(*) AS rows, min(l_suppkey) AS first, max(l_suppkey) AS last FROM lineitem GROUP BY 1", "")
 def snk06(n):
     """A bundle's manifest without its digests."""
