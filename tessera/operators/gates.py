@@ -204,3 +204,9 @@ def probe(model: linear.Prepared, targets: list[int], limit: int, factors: int,
     found = model.solve(y, x=True, g=True)
     bad = found["x"].unionByName(found["g"]).agg(F.count_if(F.isnan("value") | (F.abs("value") == float("inf")))).first()[0]
     return code or ("target_probe_non_finite_result" if bad else None), len(inside), bad
+
+
+def suspicion(comment: Column, flow: Column, quantity: Column, small: str = "PM0.2", particle: str = "particle") -> Column:
+    """The first suspicion that holds of an output: a count of particles on a flow of mass, or a flow that is named like one of particles."""
+    has = lambda c, t: F.coalesce(c.ilike(f"%{t}%"), F.lit(False))
+    return F.when(has(comment, "PN") & has(quantity, "mass"), "pn_comment_but_mass_flow").when(has(flow, small), "pm02_flow_hit").when(has(flow, particle), "particle_flow_hit")

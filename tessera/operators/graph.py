@@ -147,3 +147,18 @@ def branches(edges: DataFrame, scores: DataFrame, roots: DataFrame, depth: int =
     with_providers = e.select(F.col("src").cast("int").alias("node")).distinct().withColumn("on", F.lit(True))
     levels = levels.join(with_providers, "node", "left").withColumn("leaf", F.col("on").isNull()).drop("on")
     return Branches(written(levels.groupBy("root").applyInArrow(_searched(depth, bound["nodes"]), FOUND)), scores)
+
+
+def started(roots: DataFrame) -> DataFrame:
+    """The state of a traversal: (node, depth, done)."""
+    return written(roots.select("node", F.lit(0).alias("depth"), F.lit(False).alias("done")).distinct())
+
+
+def passed(edges: DataFrame, state: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """One pass: at most ``limit`` nodes not done yet, nearest first, are followed. The new state is written; whether any node is left."""
+    now = state.where("not done").orderBy("depth", "node").limit(limit).select("node", F.lit(True).alias("now"))
+    marked = written(state.join(F.broadcast(now), "node", "left"))
+    found = edges.join(F.broadcast(marked.where("now")).select(F.col("node").alias("src"), "depth"), "src").groupBy(F.col("dst").alias("node")).agg((F.min("depth") + 1).alias("depth"))
+    new = found.join(state.select("node"), "node", "left_anti").select("node", "depth", F.lit(False).alias("done"))
+    out = written(marked.select("node", "depth", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")).unionByName(new))
+    return out, bool(out.where("not done").limit(1).count())

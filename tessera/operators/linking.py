@@ -74,9 +74,12 @@ def weights(c: DataFrame, rule: str = "split_by_process_volume") -> DataFrame:
         order = demand.orderBy(F.desc("volume"), "provider")
         c = c.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("volume").over(order))
         return c.where("rank = 1 and (next is null or volume >= 2 * next)").drop("rank", "next").withColumn("weight", F.lit(1.0))
-    if rule == "split_by_evidence_hybrid":  # shares of the score, equal where no score is real
-        real = F.sum(F.when(~F.col("volume_fallback"), F.col("volume")).otherwise(0.0)).over(demand)
-        return c.withColumn("weight", F.when(real > 0, F.when(~F.col("volume_fallback"), F.col("volume")).otherwise(0.0) / real).otherwise(1.0 / n))
+    own = F.when(~F.col("volume_fallback"), F.col("volume")).otherwise(0.0)
+    if rule == "split_by_evidence":  # shares of the score; demands without any real score stay open
+        return c.withColumn("real", F.sum(own).over(demand)).where("real > 0").withColumn("weight", own / F.col("real")).drop("real")
+    if rule == "split_by_evidence_hybrid":  # the same, but equal where no score is real
+        real = F.sum(own).over(demand)
+        return c.withColumn("weight", F.when(real > 0, own / real).otherwise(1.0 / n))
     raise ValueError(f"unknown rule {rule}")
 
 

@@ -121,12 +121,6 @@ def jn08(n):
     return n.residuals.select(F.col("process_idx").alias("consumer"), "flow").join(first, "flow", "left").fillna(-1, ["provider"]).select("consumer", "flow", "provider")
 
 
-@query("jn09", "SELECT word, count(*) AS parts FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1", "")
-def jn09(n):
-    """Rows against their own arrays."""
-    return n.table("part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("parts"))
-
-
 @query("jn22", ", e AS (SELECT process_idx, volume AS expected, CASE WHEN process_idx % 5 = 0 THEN volume + 1 ELSE volume END AS actual FROM process) SELECT process_idx, abs(expected - actual) <= 1e-9 AS ok FROM e WHERE process_idx % 7 <> 0 UNION ALL SELECT process_idx, false FROM e WHERE process_idx % 7 = 0")
 def jn22(n):
     """Expected against actual values within a tolerance; a missing one fails."""
@@ -203,13 +197,6 @@ def st06(n):
     return n.table("part").groupBy("p_brand").agg(F.array_join(F.slice(F.array_sort(F.collect_set("p_name")), 1, 8), ",").alias("examples"))
 
 
-@query("so01", "SELECT 'supplier' AS kind, s_suppkey AS id FROM supplier UNION ALL SELECT 'customer', c_custkey FROM customer UNION ALL SELECT 'part', p_partkey FROM part", "")
-def so01(n):
-    """All documents of several tables, with their kind."""
-    parts = [n.table(t).select(F.lit(t).alias("kind"), F.col(k).alias("id")) for t, k in (("supplier", "s_suppkey"), ("customer", "c_custkey"), ("part", "p_partkey"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 @query("so03", "SELECT id, version FROM datasets UNION SELECT id, version FROM requests", _V)
 def so03(n):
     """The union of two sets of identities."""
@@ -260,14 +247,6 @@ def sc25(n):
 # Graph and packages
 
 
-@query("op03", "SELECT coalesce(x.id, y.id) AS id, x.id IS NULL AS not_in_axis, y.id IS NULL AS not_certified FROM (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 5 <> 0) x FULL JOIN (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 3 <> 0) y ON x.id = y.id WHERE x.id IS NULL OR y.id IS NULL", "")
-def op03(n):
-    """Where an axis and the certified one differ, with the side that lacks it."""
-    s = n.table("supplier").select(F.col("s_suppkey").alias("id"))
-    axis, certified = s.where("id % 5 <> 0").withColumn("x", F.lit(True)), s.where("id % 3 <> 0").withColumn("y", F.lit(True))
-    return axis.join(certified, "id", "full").where("x is null or y is null").select("id", F.col("x").isNull().alias("not_in_axis"), F.col("y").isNull().alias("not_certified"))
-
-
 @query("op07", "SELECT s_nationkey, sha256(string_agg(s_name || ':' || s_suppkey, '|' ORDER BY s_name || ':' || s_suppkey)) AS manifest FROM supplier GROUP BY 1", "")
 def op07(n):
     """The hash of a sorted list of identities."""
@@ -321,7 +300,3 @@ def cp04(n):
     return r.select("id", "exchange_id", "flow_id", F.round("residual", 6).alias("residual"))
 
 
-@query("snk06", "SELECT l_suppkey // 16 AS chunk, count(*) AS rows, min(l_suppkey) AS first, max(l_suppkey) AS last FROM lineitem GROUP BY 1", "")
-def snk06(n):
-    """A bundle's manifest without its digests."""
-    return exports.manifest(n.table("lineitem").select("l_suppkey", "l_quantity"), "l_suppkey", 16).drop("digest")

@@ -141,12 +141,6 @@ def la09(n):
     return t.groupBy("flow", "direction").agg(F.sum("amount").alias("s")).where("s <> 0").select("flow", "direction", _r("s", 4).alias("amount"))
 
 
-@query("ag23", "SELECT round(max(abs(value)), 6) AS abs_inf, round(sqrt(sum(value * value)), 6) AS l2 FROM d")
-def ag23(n):
-    """Norms of the direct impacts."""
-    return _direct(n).agg(_r(F.max(F.abs("value"))).alias("abs_inf"), _r(F.sqrt(F.sum(F.col("value") * F.col("value")))).alias("l2"))
-
-
 @query("ag22", "SELECT round(min(value), 6) AS least, count(*) FILTER (WHERE value < 0) AS negative, count(*) FILTER (WHERE isnan(value) OR isinf(value)) AS not_finite FROM d")
 def ag22(n):
     """Least value, negative and not finite values."""
@@ -204,12 +198,6 @@ def _decisions(n: Network) -> DataFrame:
     return linking.decisions(n.nearest)
 
 
-@query("cp06", _DECISION + "SELECT consumer, flow, n_candidates, kind FROM decision")
-def cp06(n):
-    """Kind of decision for each demand."""
-    return _decisions(n).select("consumer", "flow", "n_candidates", "kind")
-
-
 @query("cp08", "SELECT consumer, flow, provider FROM (SELECT *, count(*) OVER (PARTITION BY consumer, flow) AS k FROM candidate) WHERE k = 1")
 def cp08(n):
     """strict_unique_provider."""
@@ -222,12 +210,6 @@ def cp09(n):
     return linking.weights(n.candidates, "best_provider_strict").select("consumer", "flow", "provider")
 
 
-@query("cp10", ", s AS (SELECT *, sum(CASE WHEN volume_fallback THEN 0 ELSE volume END) OVER p AS real, count(*) OVER p AS k FROM candidate WINDOW p AS (PARTITION BY consumer, flow)) SELECT consumer, flow, provider, round(CASE WHEN real > 0 THEN CASE WHEN volume_fallback THEN 0 ELSE volume END / real ELSE 1.0 / k END, 6) AS weight FROM s")
-def cp10(n):
-    """split_by_evidence_hybrid: shares of the score, equal where there is none."""
-    return linking.weights(n.candidates, "split_by_evidence_hybrid").select("consumer", "flow", "provider", _r("weight").alias("weight"))
-
-
 @query("cp11", "SELECT consumer, flow, provider, round(1.0 / count(*) OVER (PARTITION BY consumer, flow), 6) AS weight FROM candidate")
 def cp11(n):
     """split_equal."""
@@ -299,13 +281,6 @@ def jn05(n):
     return e.groupBy("src").agg(F.count("*").alias("consumers"))
 
 
-@query("gr14", "SELECT col_idx AS src, list_aggregate(list_sort(list(row_idx)), 'string_agg', ',') AS targets FROM a GROUP BY 1")
-def gr14(n):
-    """Sorted adjacency from consumers to providers."""
-    e = n.a.select(F.col("col_idx").alias("src"), F.col("row_idx").alias("dst"))
-    return graph.adjacency(e).select("src", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
-
-
 @query("gr06", "WITH RECURSIVE " + NETWORK.strip() + ", reach AS (SELECT 0 AS node UNION SELECT a.row_idx FROM reach JOIN a ON a.col_idx = reach.node) SELECT node FROM reach", "")
 def gr06(n):
     """Processes that the first one needs, directly or not."""
@@ -313,12 +288,6 @@ def gr06(n):
     return graph.closure(e, n.spark.range(1).select(F.col("id").cast("int").alias("node"))).select("node")
 
 
-@query("ag17", "SELECT node, count(*) AS degree FROM (SELECT row_idx AS node FROM a UNION ALL SELECT col_idx FROM a) GROUP BY 1")
-def ag17(n):
-    """Degree of each process, both ends counted."""
-    return graph.degrees(n.a.select(F.col("col_idx").alias("src"), F.col("row_idx").alias("dst")))
-
-
 _SHARE = ", s AS (SELECT p.process_idx, p.volume * d.value AS direct FROM process p JOIN d ON d.col_idx = p.process_idx AND d.row_idx = 0) "
 
 
@@ -346,13 +315,6 @@ def ag13(n):
     return fp.groupBy("fp").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-@query("ag25", "SELECT event_type, median(value) AS median, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance, min(value) AS least, max(value) AS most FROM events GROUP BY 1", "")
-def ag25(n):
-    """Median, nearest-rank 95th percentile, mean, population variance, extremes."""
-    e = n.table("events").groupBy("event_type")
-    return e.agg(F.median("value").alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), _r(F.avg("value")).alias("mean"), _r(F.var_pop("value"), 4).alias("variance"), F.min("value").alias("least"), F.max("value").alias("most"))
-
-
 @query("sc01", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS signed FROM lineitem", "")
 def sc01(n):
     """Signed coefficients: returned lines count as inputs."""
@@ -360,12 +322,6 @@ def sc01(n):
     return n.table("lineitem").select("l_orderkey", "l_linenumber", fn.signed(d, F.col("l_quantity")).alias("signed"))
 
 
-@query("cp18", "SELECT count(*) AS k, sha256(count(*)::VARCHAR || '|' || max(o_orderkey)::VARCHAR) AS fingerprint FROM orders", "")
-def cp18(n):
-    """A source's fingerprint."""
-    return n.table("orders").agg(F.count("*").alias("k"), F.sha2(F.concat_ws("|", F.count("*"), F.max("o_orderkey")), 256).alias("fingerprint"))
-
-
 @query("so04", "SELECT flow FROM (SELECT DISTINCT p_brand AS flow FROM part EXCEPT ALL SELECT DISTINCT flow FROM port)")
 def so04(n):
     """Brands that no process has as its reference."""

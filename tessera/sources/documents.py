@@ -75,7 +75,10 @@ def _allocation(m: Column, reference: Column, ids: Column, n_references: Column)
     unique = F.size(F.array_distinct(to)) == F.size(to)
     total = F.aggregate(entries, F.lit(0.0), lambda s, e: s + share(e))
     mine = F.transform(F.filter(entries, lambda e: F.trim(e[TARGET]) == reference), share)
-    good = (F.size(entries) > 0) & known & unique & (F.abs(total - 1) <= TOLERANCE)
+    # A target is a text; as a number it names nothing.
+    texts = F.from_json(F.when(raw.startswith("{"), F.concat(F.lit("["), raw, F.lit("]"))).when(raw.startswith("["), raw), "array<string>")
+    named = F.forall(texts, lambda t: F.coalesce(t.rlike(f'"{TARGET}"\\s*:\\s*"'), F.lit(False)))
+    good = (F.size(entries) > 0) & known & named & unique & (F.abs(total - 1) <= TOLERANCE)
 
     def kind(name: str, value: Column | float | None) -> Column:
         return F.struct((value if isinstance(value, Column) else F.lit(value)).cast("double").alias("share"), F.lit(name).alias("kind"))

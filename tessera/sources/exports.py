@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,48 @@ def impact_axis(axis: DataFrame, default: str | None = None) -> DataFrame:
     if not out.where("is_default").limit(1).count():
         raise ValueError(f"the axis has no impact {default or 0}")
     return out
+
+
+def content_manifest(rows: DataFrame, key: str, line: str, size: int = 256) -> DataFrame:
+    """One row per chunk: chunk, rows, first, last and the hash of its lines in order. A chunk is bounded by its keys' lines."""
+    content = F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256)
+    return chunked(rows, key, size).groupBy("chunk").agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"), content.alias("sha256"))
+
+
+def fingerprint(rows: DataFrame, modified: str, config: dict) -> DataFrame:
+    """(k, fingerprint) of a source: its count, its last change and the configuration that it is built with."""
+    from .artifacts import canonical
+
+    text = F.concat_ws("|", F.count("*").cast("string"), F.date_format(F.max(modified), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(canonical(config).decode()))
+    return rows.agg(F.count("*").alias("k"), F.sha2(text, 256).alias("fingerprint"))
+
+
+def axis_faults(axis: DataFrame, certified: DataFrame) -> DataFrame:
+    """(id, fault) where two numbered axes (id, idx) differ: not_in_axis, not_certified, or moved to another place."""
+    both = axis.select("id", F.col("idx").alias("i")).join(certified.select("id", F.col("idx").alias("j")), "id", "full")
+    fault = F.when(F.col("i").isNull(), "not_in_axis").when(F.col("j").isNull(), "not_certified").when(F.col("i") != F.col("j"), "moved")
+    return both.select("id", fault.alias("fault")).where("fault is not null")
+
+
+def binding(snapshot: Column, result: Column) -> Column:
+    """Whether a result's evidence (JSON) is its snapshot's, whatever the order of keys: none, missing_binding, unbound_snapshot, differs, bound."""
+    same = F.to_json(F.parse_json(snapshot)) == F.to_json(F.parse_json(result))
+    return F.when(snapshot.isNull() & result.isNull(), "none").when(result.isNull(), "missing_binding").when(snapshot.isNull(), "unbound_snapshot").when(same, "bound").otherwise("differs")
+
+
+def write_together(tables: dict[str, DataFrame], path: str, bundle: str) -> None:
+    """Writes tables as one bundle: its mark comes last, and without it no reader sees any of them."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/data/{bundle}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(bundle,)], "bundle string").write.mode("overwrite").parquet(f"{path}/marks/{bundle}")
+
+
+def read_together(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """(bundle, part, rows) of the bundles that are whole."""
+    marks = [r.bundle for r in spark.read.parquet(f"{path}/marks/*").select("bundle").distinct().collect()]
+    parts = [spark.read.parquet(f"{path}/data/{b}/{name}").agg(F.lit(b).alias("bundle"), F.lit(name).alias("part"), F.count("*").alias("rows")) for b in sorted(marks) for name in names]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

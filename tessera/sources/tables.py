@@ -39,7 +39,10 @@ def written(df: DataFrame) -> DataFrame:
 def page(rows: DataFrame, keys: list[str], after: tuple | None = None, limit: int = 1000) -> DataFrame:
     """The next ``limit`` rows in the order of ``keys`` after a row's key values: a keyset page, which skips nothing by counting."""
     if after is not None:
-        rows = rows.where(F.struct(*keys) > F.struct(*(F.lit(v) for v in after)))
+        later = F.lit(False)
+        for key, value in reversed(list(zip(keys, after, strict=True))):
+            later = (F.col(key) > F.lit(value)) | ((F.col(key) == F.lit(value)) & later)
+        rows = rows.where(later)
     return rows.orderBy(*keys).limit(limit)
 
 
@@ -55,18 +58,23 @@ def pages(rows: DataFrame, keys: list[str], limit: int = 1000):
         after = tuple(last)
 
 
-def numbered(rows: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
-    """Rows with their place (from 0) in the order of ``keys``, which have to be unique, without a task that sees all of them.
+def running(rows: DataFrame, keys: list[str], weight: str, name: str) -> DataFrame:
+    """Rows with the sum of ``weight`` over those before them in the order of ``keys``, which have to be unique, without a task that sees all.
 
-    Rows are dealt by ranges of the keys and counted by part; a part's rows are numbered from the sum of those before it. The
-    driver sees one count for each part.
+    Rows are dealt by ranges of the keys and summed by part; within a part the sum runs on from those before it. The driver
+    sees one sum for each part.
     """
     spark = rows.sparkSession
     parts = written(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("__part", F.spark_partition_id()))
     before, at = [], 0
-    for part, k in sorted(tuple(r) for r in parts.groupBy("__part").agg(F.count("*")).collect()):
+    for part, k in sorted(tuple(r) for r in parts.groupBy("__part").agg(F.sum(weight)).collect()):
         before.append((part, at))
         at += k
     starts = F.broadcast(spark.createDataFrame(before, "__part int, __before long"))
-    own = F.row_number().over(W.partitionBy("__part").orderBy(*keys))
-    return parts.withColumn("__own", own).join(starts, "__part").withColumn(name, F.col("__own") + F.col("__before") - 1).drop("__part", "__own", "__before")
+    own = F.sum(weight).over(W.partitionBy("__part").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1))
+    return parts.withColumn("__own", F.coalesce(own, F.lit(0))).join(starts, "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
+    """Rows with their place (from 0) in the order of ``keys``, which have to be unique."""
+    return running(rows.withColumn("__one", F.lit(1)), keys, "__one", name).drop("__one")

@@ -209,6 +209,8 @@ def entry(target=None, share="100"):
         ({"allocation": [entry("1", "150"), entry("2", "-50")]}, None, "error"),
         ({"allocation": entry("1", "100%")}, None, "error"),
         ({"allocation": entry("1", None)}, None, "error"),
+        ({"allocation": entry(1)}, None, "error"),
+        ({"allocation": [entry("1", 40), entry(2, 60)]}, None, "error"),
     ],
 )
 def test_allocations(spark, allocations, share, kind):
