@@ -5,7 +5,11 @@ its hash is the axis nearest to the rotated vector, of 2d. A table's code is the
 code, a vector probes the codes that come next by how little they lose. All of a bucket's pairs are verified by
 cosine in double precision, so no link below the threshold is reported.
 
-Equal vectors are one class first, so copies cost nothing. Every pair of classes is counted in the first bucket
+How many rotations make a code follows from the number of classes and the vectors' width; how many tables there are, from
+the chance that two vectors at the threshold meet in one table, which is measured on ``PAIRS`` random pairs of that
+width: so many that all tables miss less than ``MISS`` of these.
+
+Equal vectors are one class first, found in two steps, so that copies of one vector never meet in one place. Every pair of classes is counted in the first bucket
 that both probe and nowhere else; buckets hence report sums of links and a spanning forest, never all pairs. A
 bucket of over ``BLOCK`` classes is cut into blocks that meet in pairs, each in a task of its own.
 
@@ -16,17 +20,21 @@ are ignored.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, components, mix, runs, written
+from .common import Batches, components, dealt_join, mix, runs, written
 
 #: Classes of a bucket that one task compares.
 BLOCK = 2048
-#: Tables, probes of each.
-TABLES, PROBES = 10, 4
+#: Probes of each table; random pairs and tables by which a table's chance is measured; share of pairs at the threshold that may be missed.
+PROBES, PAIRS, TRIED, MISS = 4, 400, 8, 0.005
+#: Classes for each code, about.
+PER_CODE = 32
 OUT = "kind int, a long, b long, k long"
 
 
@@ -41,10 +49,15 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
+def width_of(dim: int) -> int:
+    """Axes of a rotation: a power of two, and enough for short vectors that signs make many rotations."""
+    return max(1 << max(dim - 1, 0).bit_length(), 16)
+
+
 def codes(x: np.ndarray, k: int, tables: int, probes: int, seed: int = 7) -> np.ndarray:
     """Keys (rows, tables, probes) of unit vectors; no key is twice in a row."""
     n, dim = x.shape
-    d = 1 << max(dim - 1, 0).bit_length()
+    d = width_of(dim)
     x = np.pad(x, ((0, 0), (0, d - dim)))
     rng = np.random.Generator(np.random.PCG64([seed, dim]))
     out = np.empty((n, tables, probes), np.uint64)
@@ -73,6 +86,34 @@ def codes(x: np.ndarray, k: int, tables: int, probes: int, seed: int = 7) -> np.
     return out
 
 
+def rotations_for(dim: int, classes: int) -> int:
+    """Rotations of a code, so that there are about ``PER_CODE`` classes for each."""
+    width, k = 2 * width_of(dim), 1
+    while width**k * PER_CODE < classes:
+        k += 1
+    return k
+
+
+@cache
+def tables_for(dim: int, k: int, floor: float, probes: int) -> int:
+    """Tables by which pairs at a cosine of ``floor`` meet but for a share of ``MISS``."""
+    rng = np.random.Generator(np.random.PCG64([11, dim]))
+    a, b = rng.normal(size=(PAIRS, dim)), rng.normal(size=(PAIRS, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+    b = floor * a + np.sqrt(max(1 - floor * floor, 0)) * b
+    x, y = codes(a, k, TRIED, probes, seed=13), codes(b, k, TRIED, probes, seed=13)
+    met = (x[:, :, :, None] == y[:, :, None, :]).any((2, 3)).mean()
+    chance = max(met - 2 * np.sqrt(met * (1 - met) / (PAIRS * TRIED)), 1e-3)
+    n = 1 if chance >= 1 - 1e-9 else max(int(np.ceil(np.log(MISS) / np.log(1 - chance))), 2)
+    while True:  # tables of short vectors are not quite independent, so the choice is tried out
+        x, y = codes(a, k, n, probes), codes(b, k, n, probes)
+        if (x[:, :, :, None] == y[:, :, None, :]).any((2, 3)).any(1).mean() >= 1 - 2 * MISS or n > 4096:
+            return n
+        n += max(n // 4, 1)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length one, safe from overflow."""
     x = x / np.abs(x).max(1, keepdims=True)
@@ -89,7 +130,7 @@ def loaded(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<f4" if b[:1] == b"f" else "<f8", offset=1).astype(np.float64)
 
 
-def _hashed(k: int, tables: int, probes: int):
+def _hashed(plan: dict[int, tuple[int, int]], probes: int):
     def f(batches: Batches) -> Batches:
         for b in batches:
             lists = b.column(1)
@@ -100,7 +141,7 @@ def _hashed(k: int, tables: int, probes: int):
             for dim in np.unique(size):
                 which = np.flatnonzero(size == dim)
                 x = flat[at[which][:, None] + np.arange(dim)]
-                c = codes(unit(x), k, tables, probes).reshape(len(x), -1).view(np.int64)
+                c = codes(unit(x), *plan[int(dim)], probes).reshape(len(x), -1).view(np.int64)
                 rows.append(which)
                 keys += [r for r in c]
                 vecs += [stored(r) for r in x]
@@ -136,7 +177,7 @@ def _linked(x: np.ndarray, y: np.ndarray, kx: np.ndarray, ky: np.ndarray, key: i
                     break
 
 
-def _bucket(floor: float, tables: int, probes: int):
+def _bucket(floor: float, plan: dict[int, tuple[int, int]], probes: int):
     def f(table: pa.Table) -> pa.Table:
         key, i, j, blk = (table[k].to_numpy() for k in ("key", "i", "j", "blk"))
         c, n = table["c"].to_numpy(), table["n"].to_numpy()
@@ -155,7 +196,7 @@ def _bucket(floor: float, tables: int, probes: int):
             for dim in np.unique(size):
                 r = rows[size == dim]
                 x = unit(np.stack([v for v, here in zip(each, size == dim, strict=True) if here]))
-                k = keys.take(pa.array(r)).flatten().to_numpy().reshape(len(r), tables, probes)
+                k = keys.take(pa.array(r)).flatten().to_numpy().reshape(len(r), plan[int(dim)][1], probes)
                 one = i[r[0]] == j[r[0]]
                 a = np.arange(len(r)) if one else np.flatnonzero(blk[r] == i[r[0]])
                 b = a if one else np.flatnonzero(blk[r] == j[r[0]])
@@ -189,31 +230,34 @@ def _bucket(floor: float, tables: int, probes: int):
     return f
 
 
-def near_vectors(vectors: DataFrame, floor: float = 0.95, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def near_vectors(vectors: DataFrame, floor: float = 0.95, probes: int = PROBES) -> DataFrame:
     """One row per vector: vec_id, n_links (others linked), component_id (smallest id reachable), kept."""
     spark = vectors.sparkSession
-    rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    p = int(spark.conf.get("spark.sql.shuffle.partitions"))
     finite = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))) & F.exists("e", lambda v: v != 0)
-    good = rows.where(F.col("e").isNotNull() & F.coalesce(finite, F.lit(False)))
-    classes = written(good.groupBy("e").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.min("row").alias("c")), "classes")
-    count = classes.count()
-    k = 1
-    while (128**k) * 32 < count:  # about 32 classes for each code, by the usual width of 64
-        k += 1
-    hashed = written(classes.select("c", "e", "n").mapInArrow(_hashed(k, tables, probes), "c long, n long, vec binary, keys array<long>"), "codes")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows.withColumn("good", F.coalesce(finite, F.lit(False))).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(p)).cast("int")), "vectors")
+    good = rows.where("good").drop("good")
+    # Equal vectors first by salt, then these together; rows find their class by the numbers of these parts.
+    parts = written(good.groupBy("e", "salt").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.min("row").alias("part")), "parts")
+    classes = written(parts.groupBy("e").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.min("part").alias("c")), "classes")
+    part_of = good.join(parts.select("e", "salt", "part"), ["e", "salt"]).select("vec_id", "row", "part")
+    of = written(part_of.join(parts.select("e", "part").join(classes.select("e", "c"), "e").select("part", "c"), "part").select("vec_id", "row", "c"), "members")
+    widths = {r.d: r.k for r in classes.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("k")).collect()}
+    plan = {d: (k, tables_for(d, k, floor, probes)) for d, k in ((d, rotations_for(d, n)) for d, n in widths.items())}
+    hashed = written(classes.select("c", "e", "n").mapInArrow(_hashed(plan, probes), "c long, n long, vec binary, keys array<long>"), "codes")
     hot = hashed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
     spread = hashed.withColumn("key", F.explode("keys")).join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     spread = spread.withColumn("blk", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
-    b = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * tables * probes // 20_000)
+    b = max(p, sum(n * plan[d][1] * probes for d, n in widths.items()) // 20_000)
     spread = spread.select(F.pmod(F.xxhash64("key", "i", "j"), F.lit(b)).cast("int").alias("bin"), "key", "i", "j", "blk", "c", "n", "vec", "keys")
-    found = written(spread.groupBy("bin").applyInArrow(_bucket(floor, tables, probes), OUT), "links")
+    found = written(spread.groupBy("bin").applyInArrow(_bucket(floor, plan, probes), OUT), "links")
     links = found.where("kind = 0").groupBy(F.col("a").alias("c")).agg(F.sum("k").alias("k"))
     labels = components(found.where("kind = 1").select("a", "b"))
-    comps = classes.select("c", "least", "n", "e").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(links, "c", "left")
+    comps = classes.select("c", "least", "n").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(links, "c", "left")
     ends = comps.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = comps.join(ends, "comp").select("c", "component_id", (F.coalesce("k", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    of = rows.join(classes.select(F.col("e").alias("e2"), "c"), F.col("e") == F.col("e2"), "left").select("vec_id", "row", "c")
-    out = of.join(named, "c", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    named = written(comps.join(ends, "comp").select("c", "component_id", (F.coalesce("k", F.lit(0)) + F.col("n") - 1).alias("n_links")), "named")
+    out = dealt_join(of, named, "c", ["row"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    none = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(none).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
