@@ -7,9 +7,12 @@ however far apart they are. Sum-product messages are passed over this loopy grap
 so a label that one mention has carries over to mentions that no pattern fits. Every text with nodes is inferred, also
 one without base spans or skip edges. Nodes outside base spans whose label is at least ``sure`` become spans too.
 
-Node weights (shapes of words), chain and skip potentials are learned from the base labels of all texts with an at sign
-or digit. Executors count nodes by shape and label, and edges by labels; the driver sees these counts alone. Their number
-is bounded by the shapes that there are, as the share of digits in a word goes into ``BINS`` bins, each with its mean.
+Weights of shapes of words, chain and skip potentials are fitted together, by the pseudo-likelihood of each node's label
+given its neighbours' labels, on the base labels of all texts with an at sign or digit; a node without one counts as
+unlabelled. Weights have a prior of zero; skip potentials one by which alike words agree (``AGREE``, and less so on no
+label, ``OPEN``), which holds where the corpus has no repeated words. Executors count nodes by shape, label and neighbourhood
+(in which a skip neighbour's label counts once); the driver sees these counts alone. Their number is bounded by the shapes
+that there are, as the share of digits in a word goes into ``BINS`` bins, each with its mean.
 
 Defined results: a null text is empty and has no spans. Offsets are code points, ends exclusive. Each row is read on
 its own, so repeated rows get equal spans. Other columns are ignored.
@@ -29,7 +32,10 @@ from .common import Batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bins of a word's share of digits, and the unit in which shares are summed.
-BINS, UNIT = 64, 1 << 20
+BINS, UNIT = 16, 1 << 20
+#: What equal words' labels are worth before any is seen, for kinds and for no label; weights of the priors.
+AGREE, OPEN = 4.0, 2.0
+DECAY, TRUST = 1e-4, 1e-4
 SPAN = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 # A match starts where its run starts or the one before ended; so each pattern is searched in linear time.
@@ -123,7 +129,9 @@ class Graph:
 
 
 class Model:
-    def __init__(self, node: np.ndarray, chain: np.ndarray, skip: float):
+    """Weights of shapes by label, and log potentials of chain (left, right) and skip edges (symmetric)."""
+
+    def __init__(self, node: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.node, self.chain, self.skip = node, chain, skip
 
     def beliefs(self, g: Graph, rounds: int = 8) -> np.ndarray:
@@ -132,16 +140,14 @@ class Model:
         z = shapes(g.words) @ self.node
         phi = np.exp(z - z.max(1, keepdims=True))
         phi /= phi.sum(1, keepdims=True)
+        phi = np.maximum(phi, 1e-300)
         held = g.label > 0
         phi[held] = 1e-9
         phi[held, g.label[held]] = 1
-        agree = np.ones((k, k)) + np.eye(k) * (np.exp(self.skip) - 1)
-        # An unlabelled mention says little: what labelled ones say has to prevail over it.
-        agree[0, 0] = 1 + (np.exp(self.skip) - 1) * 0.1
         edges = np.concatenate([g.chain, g.skip])
         if not len(edges):
             return phi
-        pot = np.concatenate([np.broadcast_to(self.chain, (len(g.chain), k, k)), np.broadcast_to(agree, (len(g.skip), k, k))])
+        pot = np.concatenate([np.broadcast_to(np.exp(self.chain), (len(g.chain), k, k)), np.broadcast_to(np.exp(self.skip), (len(g.skip), k, k))])
         src, dst = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
         pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
         back = np.r_[np.arange(len(edges)) + len(edges), np.arange(len(edges))]
@@ -177,52 +183,61 @@ class Model:
         return sorted(out)
 
 
+_NONE = len(KINDS) + 1
+_AROUND = _NONE * (_NONE + 1) * (_NONE + 1) * (1 << _NONE)
+
+
 def _counts(texts: Iterable[str]) -> np.ndarray:
-    """Rows (what, cell, label, n, ratio): nodes by shape and label with their summed ratios, chain edges and skip edges by labels."""
-    cells, labels, ratios = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    k = len(KINDS) + 1
-    chain, skip = np.zeros((k, k), np.int64), np.zeros(2, np.int64)
+    """Rows (key, n, ratio): nodes by shape, label, labels to the left and right (``_NONE`` without) and which labels alike words have."""
+    keys, ratios = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for text in texts:
         g = Graph(text, base_spans(text))
+        left, right = np.full(len(g.words), _NONE), np.full(len(g.words), _NONE)
+        right[g.chain[:, 0]], left[g.chain[:, 1]] = g.label[g.chain[:, 1]], g.label[g.chain[:, 0]]
+        alike = np.zeros((len(g.words), _NONE), bool)
+        alike[g.skip[:, 0], g.label[g.skip[:, 1]]] = alike[g.skip[:, 1], g.label[g.skip[:, 0]]] = True
+        around = ((g.label * (_NONE + 1) + left) * (_NONE + 1) + right) * (1 << _NONE) + alike @ (1 << np.arange(_NONE))
         for lo in range(0, len(g.words), 1 << 16):  # part by part to bound memory
             x = shapes(g.words[lo : lo + (1 << 16)])
-            cells.append(x[:, :19].astype(np.int64) @ (1 << np.arange(19)) | np.minimum(x[:, 19] * BINS, BINS - 1).astype(np.int64) << 19)
+            cell = x[:, :19].astype(np.int64) @ (1 << np.arange(19)) | np.minimum(x[:, 19] * BINS, BINS - 1).astype(np.int64) << 19
+            keys.append(cell * _AROUND + around[lo : lo + (1 << 16)])
             ratios.append(np.rint(x[:, 19] * UNIT).astype(np.int64))
-        labels.append(g.label)
-        np.add.at(chain, (g.label[g.chain[:, 0]], g.label[g.chain[:, 1]]), 1)
-        skip += np.bincount(g.label[g.skip[:, 0]] == g.label[g.skip[:, 1]], minlength=2)
-    u, at = np.unique(np.concatenate(cells) * k + np.concatenate(labels), return_inverse=True)
+    u, at = np.unique(np.concatenate(keys), return_inverse=True)
     ratio = np.zeros(len(u), np.int64)
     np.add.at(ratio, at, np.concatenate(ratios))
-    node = np.stack([np.zeros_like(u), u // k, u % k, np.bincount(at, minlength=len(u)), ratio], 1)
-    edge = [(1, i, j, chain[i, j], 0) for i in range(k) for j in range(k)] + [(2, 0, i, skip[i], 0) for i in range(2)]
-    return np.concatenate([node, np.array(edge, np.int64)])
-
-
-def _solve(counts: np.ndarray, steps: int = 300, rate: float = 0.5) -> Model:
-    """Weights of nodes by logistic regression on base labels, chain and skip potentials by smoothed counts."""
-    k = len(KINDS) + 1
-    _, cell, y, n, ratio = counts[counts[:, 0] == 0].T
-    w, total = np.zeros((20, k)), n.sum()
-    share = np.ones(k) + np.bincount(y, weights=n, minlength=k)
-    if total:
-        x = np.c_[cell[:, None] >> np.arange(19) & 1, ratio / n / UNIT]
-        target = np.eye(k)[y]
-        for _ in range(steps):
-            z = x @ w
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            w -= rate * (x.T @ ((p - target) * n[:, None]) / total + 1e-4 * w)
-    chain, alike, pairs = np.ones((k, k)), 1.0, 2.0
-    for what, i, j, m, _ in counts[counts[:, 0] > 0]:
-        if what == 1:
-            chain[i, j] += m
-        else:
-            alike, pairs = alike + j * m, pairs + m
-    share /= share.sum()
-    chain = chain / chain.sum() / (share[:, None] * share[None, :])
-    odds = alike / pairs / max(float((share**2).sum()), 1e-3)
-    return Model(w, np.clip(chain, 0.02, 50), float(np.clip(np.log(odds) + 4, 3, 8)))
+    return np.stack([u, np.bincount(at, minlength=len(u)), ratio], 1)
+
+
+def _solve(counts: np.ndarray, steps: int = 400, rate: float = 0.1) -> Model:
+    """Shape weights, chain and skip potentials together, by the pseudo-likelihood of labels and its gradient."""
+    k = _NONE
+    prior = np.eye(k) * AGREE
+    prior[0, 0] = OPEN
+    w, chain, skip = np.zeros((20, k)), np.zeros((k, k)), prior.copy()
+    key, n, ratio = counts.T
+    total = n.sum()
+    if not total:
+        return Model(w, chain, skip)
+    cell, around = key // _AROUND, key % _AROUND
+    alike = (around[:, None] >> np.arange(k) & 1).astype(float)
+    around = around >> k
+    one = np.vstack([np.eye(k), np.zeros(k)])  # a neighbour that is not there has no label
+    right, left, y = one[around % (k + 1)], one[around // (k + 1) % (k + 1)], one[around // (k + 1) ** 2]
+    x = np.c_[cell[:, None] >> np.arange(19) & 1, ratio / n / UNIT]
+    share = n[:, None] / total
+    flat = [w, chain, skip]
+    mean, var = [np.zeros_like(v) for v in flat], [np.zeros_like(v) for v in flat]
+    for step in range(1, steps + 1):  # Adam, in full batches: the same counts give the same model
+        z = x @ w + left @ chain + right @ chain.T + alike @ skip
+        p = np.exp(z - z.max(1, keepdims=True))
+        e = (p / p.sum(1, keepdims=True) - y) * share
+        s = alike.T @ e
+        slopes = [x.T @ e + DECAY * w, left.T @ e + e.T @ right + DECAY * chain, (s + s.T) / 2 + TRUST * (skip - prior)]
+        for v, slope, m, q in zip(flat, slopes, mean, var, strict=True):
+            m += 0.1 * (slope - m)
+            q += 0.001 * (slope * slope - q)
+            v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8)
+    return Model(w, chain, skip)
 
 
 def fit(texts: list[str], **how) -> Model:
@@ -232,15 +247,15 @@ def fit(texts: list[str], **how) -> Model:
 
 def learn(docs: DataFrame) -> Model:
     """Fits the field on all texts, whatever their length; repeated texts count as often as they occur."""
-    names = ["what", "cell", "label", "n", "ratio"]
+    names = ["key", "n", "ratio"]
 
     def f(batches: Batches) -> Batches:
         for b in (part for batch in batches for part in slices(batch, 0)):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(_counts(b.column(0).to_pylist()).T)], names)
 
     have = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    counts = have.mapInArrow(f, ", ".join(f"{c} long" for c in names)).groupBy("what", "cell", "label").agg(F.sum("n").alias("n"), F.sum("ratio").alias("ratio")).where("n > 0")
-    return _solve(np.array(sorted(tuple(r) for r in counts.collect()), np.int64).reshape(-1, 5))
+    counts = have.mapInArrow(f, ", ".join(f"{c} long" for c in names)).groupBy("key").agg(F.sum("n").alias("n"), F.sum("ratio").alias("ratio"))
+    return _solve(np.array(sorted(tuple(r) for r in counts.collect()), np.int64).reshape(-1, 3))
 
 
 def found(docs: DataFrame, model: Model) -> DataFrame:
@@ -249,7 +264,7 @@ def found(docs: DataFrame, model: Model) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def f(batches: Batches) -> Batches:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1)):
             spans = [[{"kind": KINDS[k], "start": s, "end": e, "base": x} for s, k, e, x in shared.value.spans(t or "")] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
