@@ -33,6 +33,8 @@ from .common import Texts, buckets_for, dealt, grouped_texts, groups_for, length
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x57A2757A2757A271)
 #: Steps a decade and the zero of a quantised logarithm; bins of the ratio, of which 0 is a ratio of zero.
 STEPS, ZERO, BINS, BUCKETS = 12, 128, 512, 48
+#: Histograms that one task adds up, about.
+MERGED = 32
 MESSAGE = "g int, kind int, es binary, n long, v long, weights array<double>"
 SCHEMA = pa.schema([("g", pa.int32()), ("kind", pa.int32()), ("es", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("weights", pa.list_(pa.float64()))])
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -245,7 +247,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
     counts = said.where("kind = 0").unionByName(totals)
     two = texts.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(pairs, "b int, g int, hs binary, ks binary, cs binary, xs binary, bins binary")
     heard = two.groupBy("b").applyInArrow(pair_sums, MESSAGE)
-    parts = heard.where("kind = 3").select("es", F.pmod(F.xxhash64("es"), F.lit(16)).alias("part")).groupBy("part").applyInArrow(part_of_hist, "one int, es binary")
+    parts, many = heard.where("kind = 3").select(F.lit(0).alias("one"), "es"), b
+    while many > MERGED:  # level by level, so that no task sees the histograms of all buckets
+        many = -(-many // MERGED)
+        parts = parts.select("es", F.pmod(F.xxhash64("es"), F.lit(many)).alias("part")).groupBy("part").applyInArrow(part_of_hist, "one int, es binary")
     learned = parts.groupBy("one").applyInArrow(learn, "weights array<double>")
     no = F.lit(None).cast("long")
     learned = learned.select(everywhere, F.lit(4).alias("kind"), none, no.alias("n"), no.alias("v"), "weights")
