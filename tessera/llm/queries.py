@@ -100,7 +100,7 @@ h AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_to_string(w[i:
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM h WHERE later),
 g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
 k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN w
-      ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: NOT list_contains(gone, z[2])), lambda z: z[1]) END AS kept
+XX
       FROM d LEFT JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id)
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
 }
