@@ -36,8 +36,15 @@ _M = "m AS (SELECT row_idx, col_idx, sum(value) AS value FROM (SELECT row_idx, c
 _LCI = f"{SOLVED}, {_backward('u', 'b')}"
 
 
+_PREPARED: dict[tuple[str, str], linear.Prepared] = {}
+
+
 def _model(n: Network) -> linear.Prepared:
-    return linear.prepare(n.a, n.b, n.c, n.n)
+    """The network's model, prepared once for each application and data set."""
+    key = (n.spark.sparkContext.applicationId, n.dir)
+    if key not in _PREPARED:
+        _PREPARED[key] = linear.prepare(written(n.a), written(n.b), written(n.c), n.n)
+    return _PREPARED[key]
 
 
 def _demands(n: Network) -> DataFrame:
@@ -126,7 +133,8 @@ def la14(n):
     """x, g and h of the solver against those of a power series, an independent way to them."""
     model, y = _model(n), _demands(n)
     found = model.solve(y, x=True, g=True, h=True)
-    x = linear.neumann(n.a, y)
+    own = F.when(F.col("row_idx") == F.col("col_idx"), 1.0).otherwise(0.0)
+    x = linear.neumann(model.m.select("row_idx", "col_idx", (own - F.col("value")).alias("value")).where("value <> 0"), y)
     g = linear._matvec(model.b, x)
     other = {"x": x, "g": g, "h": linear._matvec(model.c, g)}
     out = None

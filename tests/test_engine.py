@@ -84,8 +84,8 @@ def test_joins_and_sums_agree_with_a_dense_solve(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(0)
-    n = 30
-    data = [(int(i), int(j), float(v)) for i, j, v in zip(rng.integers(n, size=120), rng.integers(n, size=120), rng.normal(size=120), strict=True)]
+    n = 8
+    data = [(int(i), int(j), float(v)) for i, j, v in zip(rng.integers(n, size=30), rng.integers(n, size=30), rng.normal(size=30), strict=True)]
     a, y = triplets(spark, data), vectors(spark, [(k, int(i), 1.0) for k, i in enumerate(rng.integers(n, size=3))])
     m = linear.identity_minus(a, n)
     want = values(linear.solve(m, y, n))
