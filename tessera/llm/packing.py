@@ -115,14 +115,12 @@ class Encoder:
         h = t.hashes()
         raw = t.raw.tobytes()
         odd = np.unique(np.searchsorted(t.starts, np.flatnonzero(t.raw == ord("<")), side="right") - 1)
-        marks = np.flatnonzero(t.raw >= 0xCC)
-        if len(marks):
-            marked = np.unique(np.searchsorted(t.starts, marks, side="right") - 1)
-            capitals = np.flatnonzero(t.raw != t.buf)
-            first = np.searchsorted(capitals, t.starts[marked])
-            has = first < len(capitals)
-            has[has] = capitals[first[has]] < t.ends[marked[has]]
-            odd = np.union1d(odd, marked[has])
+        marks = t.raw >= 0xCC
+        if marks.any():
+            capital = np.searchsorted(t.starts, np.flatnonzero(t.raw != t.buf), side="right") - 1
+            capital = capital[np.r_[True, capital[1:] != capital[:-1]][: len(capital)]]
+            before = np.r_[0, np.cumsum(marks, dtype=np.int32)]
+            odd = np.union1d(odd, capital[before[t.ends[capital]] > before[t.starts[capital]]])
         for i in odd.tolist():
             h[i] = mix(np.frombuffer(hashlib.blake2b(raw[t.starts[i] : t.ends[i]], digest_size=8).digest(), np.uint64))[0]
         u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
