@@ -256,8 +256,9 @@ def near_vectors(vectors: DataFrame, floor: float = 0.95, probes: int = PROBES)
     links = found.where("kind = 0").groupBy(F.col("a").alias("c")).agg(F.sum("k").alias("k"))
     labels = components(found.where("kind = 1").select("a", "b"))
     comps = classes.select("c", "least", "n").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(links, "c", "left")
+    comps = written(comps, "components")
     ends = comps.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = written(comps.join(ends, "comp").select("c", "component_id", (F.coalesce("k", F.lit(0)) + F.col("n") - 1).alias("n_links")), "named")
+    named = written(dealt_join(comps, ends, "comp", ["c"]).select("c", "component_id", (F.coalesce("k", F.lit(0)) + F.col("n") - 1).alias("n_links")), "named")
     out = dealt_join(of, named, "c", ["row"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     none = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(none).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

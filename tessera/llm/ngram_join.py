@@ -358,8 +358,9 @@ class NgramJoin:
         labels, links = self.labelled()
         ids = self.sizes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
         ids = ids.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        ids = written(ids, "ids")
         ends = ids.groupBy("comp").agg(F.min("least").alias("component_id"))
-        named = ids.join(ends, "comp").select("key", "comp", "component_id", "copies")
+        named = dealt_join(ids, ends, "comp", ["key"]).select("key", "comp", "component_id", "copies")
         if self.links:
             ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
             others = ways.join(ids.select(F.col("key").alias("b"), F.col("copies").alias("k")), "b").groupBy(F.col("a").alias("key")).agg(F.sum("k").alias("k"))
