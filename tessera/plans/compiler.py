@@ -417,10 +417,10 @@ def gt01(n):
     return gates.freshness(n.table("supplier").select(F.col("s_suppkey").alias("id"), expected.alias("expected"), actual.alias("actual")))
 
 
-@query("gt02", "SELECT id, array_to_string(list_sort(list(version)), ',') AS versions FROM (SELECT DISTINCT l_suppkey % 60 AS id, (l_suppkey % 3)::VARCHAR AS version FROM lineitem) GROUP BY 1 HAVING count(*) > 1", "")
+@query("gt02", "SELECT id, array_to_string(list_sort(list(version)), ',') AS versions FROM (SELECT DISTINCT l_suppkey % 60 AS id, (l_suppkey % 7)::VARCHAR AS version FROM lineitem) GROUP BY 1 HAVING count(*) > 1", "")
 def gt02(n):
     """Processes that come in several versions."""
-    rows = n.table("lineitem").select((F.col("l_suppkey") % 60).alias("id"), (F.col("l_suppkey") % 3).cast("string").alias("version")).distinct()
+    rows = n.table("lineitem").select((F.col("l_suppkey") % 60).alias("id"), (F.col("l_suppkey") % 7).cast("string").alias("version")).distinct()
     return gates.several_versions(rows)
 
 
