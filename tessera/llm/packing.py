@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import string
 import zlib
 
 import numpy as np
@@ -46,6 +47,14 @@ WORDWISE = {
 }
 
 
+#: Kinds of bytes to the split; what takes more than a byte, apostrophes, '<' and controls are unclear by the byte alone.
+_LETTER, _DIGIT, _OTHER, _UNCLEAR = range(4)
+_KINDS = np.full(256, _UNCLEAR, np.uint8)
+_KINDS[[c for c in range(0x21, 0x7F) if chr(c) not in "'<"]] = _OTHER
+_KINDS[[ord(c) for c in string.ascii_letters]] = _LETTER
+_KINDS[[ord(c) for c in string.digits]] = _DIGIT
+
+
 def _wordwise(path: str) -> bool:
     """Whether the file has exactly the steps of WORDWISE, and added tokens start with '<' only."""
     with open(path, encoding="utf-8") as f:
@@ -78,26 +87,46 @@ class Encoder:
         self.hash, self.at, self.len = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.int32)
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word. Plain words go through the tokenizer many at a time; the ends of their parts tell them apart."""
-        out: list[list[int] | None] = [None] * len(words)
-        texts = [w.decode("utf-8", "replace") for w in words]
-        easy = [i for i, s in enumerate(texts) if "<" not in s and self.plain.fullmatch(s)]
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, where each word's begin and how many they are. Plain words go through the tokenizer many at a time;
+        the ends of their parts tell them apart."""
+        parts = self._parts(words)
+        found, at, n = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int32)
+        size, easy = 0, np.flatnonzero(parts)
         batches = [easy[k : k + 200] for k in range(0, len(easy), 200)]
-        for batch, enc in zip(batches, self.tok.encode_batch_fast([" ".join([texts[i] for i in b]) for b in batches], add_special_tokens=False), strict=True):
-            ids = np.array(enc.ids, np.int64)
-            n = np.array([len(self.parts.findall(texts[i].lower())) for i in batch])
+        texts = [b" ".join([words[i] for i in batch.tolist()]).decode() for batch in batches]
+        for batch, enc in zip(batches, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(enc.ids, np.int32)
+            last = np.cumsum(parts[batch])
             cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != n.sum():
+            if len(cut) != last[-1]:
+                parts[batch] = 0
                 continue
-            bounds = np.r_[0, cut[np.cumsum(n) - 1]].tolist()
-            ids = ids.tolist()
-            for i, s, e in zip(batch, bounds[:-1], bounds[1:], strict=True):
-                out[i] = ids[s:e]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, enc in zip(rest, self.tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = enc.ids
-        return out
+            bounds = np.r_[0, cut[last - 1]]
+            at[batch], n[batch] = size + bounds[:-1], np.diff(bounds)
+            found.append(ids)
+            size += len(ids)
+        rest = np.flatnonzero(parts == 0).tolist()
+        for i, enc in zip(rest, self.tok.encode_batch_fast([words[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False), strict=True):
+            at[i], n[i] = size, len(enc.ids)
+            found.append(np.array(enc.ids, np.int32))
+            size += len(enc.ids)
+        return np.concatenate(found) if found else np.zeros(0, np.int32), at, n
+
+    def _parts(self, words: list[bytes]) -> np.ndarray:
+        """How many parts the split makes of each word; 0 for words that have to go alone. Bytes tell it of ASCII words without
+        apostrophes: a run of letters, a digit and a run of anything else are a part each."""
+        if not words:
+            return np.zeros(0, np.int64)
+        kind = _KINDS[np.frombuffer(b"".join(words), np.uint8)]
+        starts = np.r_[0, np.cumsum([len(w) for w in words])[:-1]]
+        new = (kind == _DIGIT) | np.r_[True, kind[1:] != kind[:-1]]
+        new[starts] = True
+        n = np.add.reduceat(new, starts, dtype=np.int64)
+        for i in np.flatnonzero(np.maximum.reduceat(kind, starts) == _UNCLEAR).tolist():
+            s = words[i].decode("utf-8", "replace")
+            n[i] = len(self.parts.findall(s.lower())) if "<" not in s and self.plain.fullmatch(s) else 0
+        return n
 
     def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts, one text after the other, and how many each text has."""
@@ -132,10 +161,9 @@ class Encoder:
             which = first[new]
             special = set(odd.tolist())
             low = t.buf.tobytes()
-            found = self.encode([(raw if i in special else low)[s:e] for i, s, e in zip(which.tolist(), t.starts[which].tolist(), t.ends[which].tolist(), strict=True)])
-            n = np.array([len(x) for x in found], np.int32)
-            at = len(self.ids) + np.r_[0, np.cumsum(n[:-1], dtype=np.int64)]
-            self.ids = np.concatenate([self.ids, np.array([x for y in found for x in y], np.int32)])
+            ids, at, n = self.encode([(raw if i in special else low)[s:e] for i, s, e in zip(which.tolist(), t.starts[which].tolist(), t.ends[which].tolist(), strict=True)])
+            at += len(self.ids)
+            self.ids = np.concatenate([self.ids, ids])
             key = np.concatenate([self.hash, u[new]])
             order = np.argsort(key, kind="stable")
             self.hash, self.at, self.len = key[order], np.concatenate([self.at, at])[order], np.concatenate([self.len, n])[order]
