@@ -20,6 +20,9 @@ from .tables import table
 FLOWS = ("AF", "AO", "NF", "NO", "RF", "RO")
 FACTORS = ((0, 0, 1.5), (0, 2, 0.7), (0, 3, 0.25), (1, 0, 0.1), (1, 4, 2.0), (2, 2, 0.05), (2, 3, 1.0), (2, 4, 0.5))
 
+#: The tables that the network is derived from.
+TABLES = ("nation", "supplier", "part", "lineitem")
+
 
 class Network:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -32,6 +35,13 @@ class Network:
     def n(self) -> int:
         return self.table("supplier").count()
 
+    @cached_property
+    def state(self) -> str:
+        """Tells states of the tables apart by their files' names, sizes and times; contents are not read."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{self.dir}/{t}.parquet" for t in TABLES])
+        line = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+        return str(files.agg(F.count("*").alias("n"), F.sum(line).alias("h")).first())
+
     @cached_property
     def processes(self) -> DataFrame:
         nation = self.table("nation").select("n_nationkey", "n_regionkey", F.col("n_name").alias("location"))
