@@ -95,12 +95,12 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY t)""",
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1)::BIGINT)) AS i FROM d),
-h AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_to_string(w[i:i + 19], ' ')) ORDER BY doc_id, i) > 1 AS later FROM s),
+each_word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+s AS (SELECT doc_id, i, md5(concat_ws(' ', word, """ + ", ".join(f"lead(word, {k}) OVER p" for k in range(1, 20)) + r""")) AS words, lead(i, 19) OVER p IS NOT NULL AS whole
+      FROM each_word WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) > 1 AS later FROM s WHERE whole),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM h WHERE later),
-g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
-k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN w
-XX
-      FROM d LEFT JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id)
-SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words, count(*) AS n FROM each_word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id IS NOT DISTINCT FROM kept.doc_id""",
 }
