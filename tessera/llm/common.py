@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -270,6 +270,33 @@ def dealt_join(rows: DataFrame, side: DataFrame, key: str, by: list[str], how: s
     return left.join(right, [key, "__part"], how).drop("__part")
 
 
+#: Rows of a table of places that are broadcast at most; beyond that it is joined by a shuffle.
+PLACES = 100_000
+#: Rows of a part that numbered() sorts in one task, about.
+PART_ROWS = 1_000_000
+
+
+def numbered(rows: DataFrame, order: list[Column], group: str | None = None) -> DataFrame:
+    """Rows with ``idx``, their place (from 0) in the order of columns, and ``n``, how many there are, in each value of ``group`` (not null).
+
+    Rows are dealt by ranges and sorted part by part; where each part and group begins follows from counts by part, so no
+    task sees a whole group. ``rows`` should be a written table; of rows with equal order any may come first.
+    """
+    spark = rows.sparkSession
+    by = [F.col("__group")]
+    rows = rows.withColumn("__group", F.col(group) if group else F.lit(0)).withColumn("__row", F.monotonically_increasing_id())
+    p = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
+    parts = rows.repartitionByRange(p, *by, *order, "__row").sortWithinPartitions(*by, *order, "__row").drop("__row")
+    parts = written(parts.withColumn("__id", F.monotonically_increasing_id()), "parts").withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    mine = Window.partitionBy("__group")
+    counts = parts.groupBy("__part", "__group").agg(F.count("*").alias("k"), F.min("__at").alias("first"))
+    before = F.coalesce(F.sum("k").over(mine.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(counts.select("__part", "__group", (before - F.col("first")).alias("__before"), F.sum("k").over(mine).alias("n")), "starts")
+    starts = F.broadcast(starts) if starts.count() <= PLACES else starts
+    out = parts.join(starts, ["__part", "__group"]).withColumn("idx", F.col("__at") + F.col("__before"))
+    return out.drop("__part", "__group", "__id", "__at", "__before")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, comp) for every node with an edge, comp the smallest node that it reaches.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language_id, lm_scoring, mixing, ngram_join, packing, pii, substring_dedup, toxicity
+from . import embedding_dedup, exact_dedup, language_id, lm_scoring, merkle, mixing, ngram_join, packing, permutation_index, pii, resampling, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,13 +78,30 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, percent=25, least_words=20, seed=7)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(fold(7) == 0, merkle.leaf(n_chars=F.col("n_chars") + 1))
+    out = merkle.manifest(docs, tampered).withColumn("folded_root", merkle.fold(F.col("other"), F.col("proof")))
+    proof = F.sha2(F.array_join(merkle.siblings(F.col("proof")), ""), 256)
+    return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_lm_scoring, op4_ngram_join, op5_toxicity, op6_packing, op7_language_id, op8_mixing, op9_embedding_dedup, op10_exact_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_lm_scoring, op4_ngram_join, op5_toxicity, op6_packing, op7_language_id, op8_mixing, op9_embedding_dedup, op10_exact_dedup, op11_resampling, op12_manifest, op13_nearest, pipeline)}
 
 #: The others' rows need a model, a tokenizer or a draw, or are too slow in SQL on whole tables; tests hold them against brute force.
 ORACLES = {
