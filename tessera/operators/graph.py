@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,9 +71,6 @@ def options(depth: int = 4, k: int = 5, cutoff: float = 0.01, nodes: int = 200)
     return {"depth": min(max(depth, 1), 8), "k": min(max(k, 1), 20), "cutoff": share, "nodes": min(max(nodes, 10), 2000)}
 
 
-FOUND = "root int, path array<int>, depth int, score double, reason string"
-
-
 @dataclass
 class Branches:
     """What a path search found: rows (root, path, depth, score, reason); the reason is null for a node that was expanded."""
@@ -97,56 +93,72 @@ class Branches:
         return self.nodes.join(self.scores, F.col("node") == F.col("process_idx")).groupBy("root").agg(F.least(F.sum("share"), F.lit(1.0)).alias("coverage"))
 
 
-def _searched(depth: int, nodes: int):
-    def f(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table[c].to_pylist() for c in ("order", "root", "path", "depth", "score", "cut", "leaf")), strict=True))
-        inner = {tuple(r[0][:-1]) for r in rows if r[0]}
-        expanded, closed, out = set(), None, []
-        for order, root, path, d, score, cut, leaf in rows:  # a node comes before its children, these by rank
-            if closed is not None and order[: len(closed)] == closed:
-                continue
-            closed = None
-            if cut:
-                out.append((root, path, d, score, "cycle_cut"))
-            elif path[-1] not in expanded and len(expanded) >= nodes:
-                out.append((root, path, d, score, "max_nodes"))
-                closed = order
-            else:
-                expanded.add(path[-1])
-                out.append((root, path, d, score, None))
-                if d == depth:
-                    out.append((root, path, d, score, "max_depth"))
-                elif tuple(order) not in inner:
-                    out.append((root, path, d, score, "leaf" if leaf else "cutoff"))
-        kinds = [pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.float64(), pa.string()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["root", "path", "depth", "score", "reason"])
-
-    return f
+STATE = ("root", "node", "path", "order", "depth", "score", "cut")
+
+
+def _grown(front: DataFrame, kids: DataFrame) -> DataFrame:
+    """The children of paths, with their place in the order of a depth-first search: the ranks along the path."""
+    on = front.join(kids, front["node"] == kids["src"])
+    return written(on.select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("order", F.array("rank")).alias("order"), (F.col("depth") + 1).alias("depth"), (F.col("score") + F.col("size")).alias("score"), F.array_contains("path", F.col("dst")).alias("cut")))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def branches(edges: DataFrame, scores: DataFrame, roots: DataFrame, depth: int = 4, k: int = 5, cutoff: float = 0.01, nodes: int = 200) -> Branches:
     """Upstream paths of each root (node), depth first, along contributions (process_idx, direct, share).
 
     A node goes on to the ``k`` providers of largest magnitude with a share of at least ``cutoff``, down to ``depth``. A
-    path that meets itself ends there, and so does one at a new node once ``nodes`` are expanded. Each level is one join, so
-    a root has at most ``k ** depth`` paths; the order of the search, which decides where the bound on nodes falls, is taken
-    from the ranks along each path, root by root.
+    path that meets itself ends there, and so does one at a new node once ``nodes`` are expanded.
+
+    Nothing is cut before ``nodes`` are expanded, so these are the first distinct nodes of the search without that bound. They are
+    found by growing the ``nodes`` foremost open paths of each root, in the order of the search, round by round, until no open path
+    comes before the last of them. Then only paths along these nodes are grown to their ends. So a root makes the paths that it returns and, in a round, children
+    of at most ``nodes`` others; never ``k ** depth``.
     """
     bound = options(depth, k, cutoff, nodes)
-    depth = bound["depth"]
-    e = edges.select("src", "dst").distinct()
+    depth, nodes = bound["depth"], bound["nodes"]
+    e, scores = written(edges.select("src", "dst").distinct()), written(scores)
     likely = scores.where(F.col("share") >= bound["cutoff"])
     kids = written(top_children(e, likely, bound["k"]).select("src", F.col("dst").cast("int").alias("dst"), F.abs("direct").alias("size"), "rank"))
     node = F.col("node").cast("int")
-    front = roots.select(node.alias("root"), node.alias("node"), F.array(node).alias("path"), F.array().cast("array<int>").alias("order"), F.lit(0.0).alias("score"), F.lit(False).alias("cut"))
-    levels = front.withColumn("depth", F.lit(0))
-    for d in range(1, depth + 1):
-        on = front.where(~F.col("cut")).join(kids, front["node"] == kids["src"])
-        front = written(on.select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("order", F.array("rank")).alias("order"), (F.col("score") + F.col("size")).alias("score"), F.array_contains("path", F.col("dst")).alias("cut")))
-        levels = levels.unionByName(front.withColumn("depth", F.lit(d)))
-    with_providers = e.select(F.col("src").cast("int").alias("node")).distinct().withColumn("on", F.lit(True))
-    levels = levels.join(with_providers, "node", "left").withColumn("leaf", F.col("on").isNull()).drop("on")
-    return Branches(written(levels.groupBy("root").applyInArrow(_searched(depth, bound["nodes"]), FOUND)), scores)
+    first = roots.select(node.alias("root"), node.alias("node"), F.array(node).alias("path"), F.array().cast("array<int>").alias("order"), F.lit(0).alias("depth"), F.lit(0.0).alias("score"), F.lit(False).alias("cut")).distinct()
+    made = [written(first)]
+    can = (F.col("depth") < depth) & ~F.col("cut")
+    waiting, open_ = None, made[0]  # open paths that wait, and those that are grown now
+    mine = W.partitionBy("root")
+    while True:
+        new = _grown(open_, kids)
+        made.append(new)
+        left = new.where(can) if waiting is None else waiting.unionByName(new.where(can))
+        left = left.join(kids.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select(*STATE)
+        foremost = left.groupBy("root").agg(F.min("order").alias("open"))
+        seen = _union(made).where("not cut").groupBy("root", "node").agg(F.min("order").alias("at"))
+        known = seen.join(foremost, "root", "left").groupBy("root").agg(F.count_if(F.col("open").isNull() | (F.col("at") <= F.col("open"))).alias("known"))
+        left = written(left.join(known, "root").withColumn("place", F.row_number().over(mine.orderBy("order"))))
+        open_ = left.where((F.col("known") < nodes) & (F.col("place") <= nodes)).select(*STATE)
+        waiting = left.where((F.col("known") >= nodes) | (F.col("place") > nodes)).select(*STATE)
+        if not open_.limit(1).count():
+            break
+    chosen = seen.withColumn("place", F.row_number().over(mine.orderBy("at"))).where(F.col("place") <= nodes)
+    chosen = written(chosen.groupBy("root").agg(F.collect_list("node").alias("chosen")))  # at most ``nodes`` of each root
+    along = lambda rows, n: rows.join(chosen, "root").where(F.forall(F.slice("path", 1, n), lambda x: F.array_contains("chosen", x)))
+    open_ = along(waiting, F.size("path")).select(*STATE)
+    while open_.limit(1).count():
+        made.append(_grown(open_, kids))
+        open_ = along(made[-1].where(can), F.size("path")).select(*STATE)
+    rows = along(_union(made), F.size("path") - 1).withColumn("inside", F.array_contains("chosen", F.col("node")))
+    followed = kids.select(F.col("src").alias("node")).distinct().withColumn("on", F.lit(True))
+    any_ = e.select(F.col("src").cast("int").alias("node")).distinct().withColumn("any", F.lit(True))
+    rows = rows.join(followed, "node", "left").join(any_, "node", "left")
+    reason = F.when(F.col("cut"), "cycle_cut").when(~F.col("inside"), "max_nodes").when(F.col("depth") == depth, "max_depth").when(F.col("on").isNull(), F.when(F.col("any").isNull(), "leaf").otherwise("cutoff"))
+    none = F.when(~F.col("cut") & F.col("inside"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    reasons = F.concat(none, F.filter(F.array(reason), lambda x: x.isNotNull()))
+    return Branches(written(rows.select("root", "path", "depth", "score", F.explode(reasons).alias("reason"))), scores)
 
 
 def started(roots: DataFrame) -> DataFrame:

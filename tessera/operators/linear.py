@@ -1,9 +1,10 @@
 """Sparse linear algebra on long tables (row_idx, col_idx, value).
 
-``solve`` finds x with ``M x = y`` for every right-hand side of a table. Two kernels give the same x for any nonsingular M:
-LU of a dense matrix, in an Arrow task for each ``RHS`` right-hand sides, for at most ``DENSE`` unknowns, which bounds the
-matrix; and beyond that GMRES with rows scaled by the diagonal, each step joins and sums over written tables. Neither
-asks for a spectral radius below one. Both check the residual, and fail where M is singular.
+``solve`` finds x with ``M x = y`` for every right-hand side of a table. At most ``DENSE`` unknowns are solved by LU of a dense
+matrix, in an Arrow task for each ``RHS`` right-hand sides, which bounds the matrix. Beyond that M is factorised once by joins and
+sums (``elimination``), for any number of right-hand sides; a core that stays too large, or has a singular block, is solved by GMRES
+with rows scaled by the diagonal. All kernels give the same x for any nonsingular M, whatever its spectral radius; all check the residual, and fail
+where M is singular.
 
 The driver holds the small projected systems of GMRES: ``RESTART`` numbers squared for each right-hand side.
 """
@@ -11,6 +12,7 @@ The driver holds the small projected systems of GMRES: ``RESTART`` numbers squar
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
+from . import elimination
 
 #: Unknowns of the dense kernel at most; right-hand sides of one of its tasks; steps of GMRES before it starts anew.
 DENSE, RHS, RESTART = 2000, 128, 40
@@ -145,15 +148,51 @@ def _gmres(m: DataFrame, y: DataFrame, tolerance: float, cycles: int) -> DataFra
     raise ValueError("the system is not solved: the matrix may be singular")
 
 
+class Solver:
+    """M of n unknowns, factorised if it is large."""
+
+    def __init__(self, m: DataFrame, n: int, tolerance: float = 1e-12, cycles: int = 25):
+        self.m, self.n, self.tolerance, self.cycles = m.select(F.col("row_idx").cast("int"), F.col("col_idx").cast("int"), F.col("value").cast("double")), n, tolerance, cycles
+        self.factors = None
+        if n > DENSE:
+            self.m = written(self.m)
+            self.factors = elimination.factorised(self.m, DENSE)
+
+    def solve(self, y: DataFrame) -> DataFrame:
+        """x (rhs, idx, value) for each right-hand side of y (rhs, idx, value); zeros have no row."""
+        y = y.groupBy(F.col("rhs").cast("int").alias("rhs"), F.col("idx").cast("int").alias("idx")).agg(F.sum(F.col("value").cast("double")).alias("value"))
+        if self.factors is None:
+            block = F.floor(F.col("rhs") / RHS).cast("int")
+            blocks = F.broadcast(y.select(block.alias("block")).distinct())  # one row for each RHS right-hand sides
+            return self.m.crossJoin(blocks).groupBy("block").cogroup(y.withColumn("part", block).groupBy("part")).applyInArrow(lambda a, b: _lu(a, b), VECTORS)
+        y = written(y)
+        core = lambda m, v: _gmres(m, v, self.tolerance, self.cycles)
+        x = elimination.solved(self.factors, y, core)
+        for again in (True, False):
+            off, r = self._off(x, y)
+            if off <= self.tolerance:
+                return x
+            if again:  # one step of refinement
+                x = written(_added(x, elimination.solved(self.factors, r, core)).where("value <> 0"))
+        if off > 1e-9:
+            raise ValueError("the system is not solved: the matrix may be singular")
+        return x
+
+    def _off(self, x: DataFrame, y: DataFrame) -> tuple[float, DataFrame]:
+        """The largest residual over what rounding allows, and the residuals; x that is out of all proportion is an error."""
+        r = written(_added(y, _matvec(self.m, x), -1.0))
+        largest = lambda v, name: v.groupBy("rhs").agg(F.max(F.abs("value")).alias(name))
+        norm = self.m.groupBy("row_idx").agg(F.sum(F.abs("value")).alias("s")).agg(F.max("s").alias("m"))
+        by = largest(y, "y").join(largest(r, "r"), "rhs", "left").join(largest(x, "x"), "rhs", "left").fillna(0.0).crossJoin(F.broadcast(norm))
+        worst, size = by.agg(F.max(F.col("r") / F.greatest(F.col("m") * F.col("x") + F.col("y"), F.lit(1e-300))), F.max(F.col("x") / F.greatest("y", F.lit(1e-300)))).first()
+        if worst is not None and (worst != worst or size > 1e14):
+            raise elimination.Singular("a solution has no bound")
+        return worst or 0.0, r
+
+
 def solve(m: DataFrame, y: DataFrame, n: int, tolerance: float = 1e-12, cycles: int = 25) -> DataFrame:
     """x (rhs, idx, value) with M x = y for each right-hand side of y (rhs, idx, value); zeros have no row."""
-    m = m.select(F.col("row_idx").cast("int"), F.col("col_idx").cast("int"), F.col("value").cast("double"))
-    y = y.groupBy(F.col("rhs").cast("int").alias("rhs"), F.col("idx").cast("int").alias("idx")).agg(F.sum(F.col("value").cast("double")).alias("value"))
-    if n > DENSE:
-        return _gmres(m, written(y), tolerance, cycles)
-    block = F.floor(F.col("rhs") / RHS).cast("int")
-    blocks = F.broadcast(y.select(block.alias("block")).distinct())  # one row for each RHS right-hand sides
-    return m.crossJoin(blocks).groupBy("block").cogroup(y.withColumn("part", block).groupBy("part")).applyInArrow(lambda a, b: _lu(a, b), VECTORS)
+    return Solver(m, n, tolerance, cycles).solve(y)
 
 
 def transposed(m: DataFrame) -> DataFrame:
@@ -176,9 +215,18 @@ class Prepared:
     n: int
     report: dict
 
+    @cached_property
+    def rows(self) -> Solver:
+        """Solves for activities; factorised once, like the one for all units."""
+        return Solver(self.m, self.n)
+
+    @cached_property
+    def columns(self) -> Solver:
+        return Solver(transposed(self.m), self.n)
+
     def solve(self, demand: DataFrame, x: bool = True, g: bool = False, h: bool = False) -> dict[str, DataFrame]:
         """The vectors asked for (rhs, idx, value): activities x, inventory g = B x, impacts h = C g."""
-        activity = written(solve(self.m, demand, self.n))
+        activity = written(self.rows.solve(demand))
         out = {"x": activity} if x else {}
         if g or h:
             inventory = _matvec(self.b, activity)
@@ -189,7 +237,7 @@ class Prepared:
     def solve_all_units(self) -> DataFrame:
         """h of one unit of every process (rhs the process, idx the impact), by one adjoint solve for each impact."""
         d = product(self.c, self.b).select(F.col("row_idx").alias("rhs"), F.col("col_idx").alias("idx"), "value")
-        return solve(transposed(self.m), d, self.n).select(F.col("idx").alias("rhs"), F.col("rhs").alias("idx"), "value")
+        return self.columns.solve(d).select(F.col("idx").alias("rhs"), F.col("rhs").alias("idx"), "value")
 
 
 def prepare(a: DataFrame, b: DataFrame, c: DataFrame, n: int) -> Prepared:

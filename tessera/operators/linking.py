@@ -1,12 +1,21 @@
-"""Linking residual demands to providers: candidates, geography tiers, rules and their weights."""
+"""Linking residual demands to providers: geography tiers, rules and their weights.
+
+Rules never pair demands with ports. What a rule has to know of ports is summed by place first (how many, whose volume is the
+largest and the next, sums of volumes), demands meet these sums, and the result is kept as two factors (``Factored``): what each
+demand asks of a place, and which part of it each port of that place takes. Pairs are written out where they are the result.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEMAND = ("consumer", "flow")
+PLACE = ["flow", "sign", "tier", "place"]
+#: Rules that look at all ports of a flow, wherever they are; the other one is split_by_process_volume.
+RULES = ("strict_unique_provider", "best_provider_strict", "split_equal", "split_by_evidence", "split_by_evidence_hybrid")
 
 
 def candidates(residuals: DataFrame, ports: DataFrame, processes: DataFrame) -> DataFrame:
@@ -32,55 +41,102 @@ def nearest(demands: DataFrame, offers: DataFrame) -> DataFrame:
     """Demands (consumer, flow, residual, places) with the nearest tier and place that has a port of the opposite sign.
 
     Adds sign, tier, place, tier_volume, n_candidates and n_valid (ports of all places, and those with a volume of their own).
-    Ports are counted by place before any demand meets them, so no demand is paired with the ports of its flow.
+    Ports are counted by place, and the nearest place is found once for all demands of a flow from the same places, so no demand is
+    paired with the ports of its flow or looked up more than once.
     """
-    served = offers.groupBy("flow", "sign", "tier", "place").agg(F.count("*").alias("n"), F.count_if(~F.col("volume_fallback")).alias("valid"), F.sum("volume").alias("tier_volume"))
+    served = offers.groupBy(PLACE).agg(F.count("*").alias("n"), F.count_if(~F.col("volume_fallback")).alias("valid"), F.sum("volume").alias("tier_volume"))
     d = demands.withColumn("sign", -F.signum("residual"))
-    met = d.select("consumer", "flow", "sign", F.inline("places")).join(served, ["flow", "sign", "tier", "place"])
-    best = met.groupBy("consumer", "flow").agg(F.min_by(F.struct("tier", "place", "tier_volume"), "tier").alias("best"), F.max_by(F.struct("n", "valid"), "tier").alias("all"))
-    out = d.join(best, ["consumer", "flow"], "left").select("*", "best.*", F.coalesce("all.n", F.lit(0)).alias("n_candidates"), F.coalesce("all.valid", F.lit(0)).alias("n_valid"))
+    asked = ["flow", "sign", "places"]
+    met = d.select(asked).distinct().select("*", F.inline("places")).join(served, PLACE)
+    best = met.groupBy(asked).agg(F.min_by(F.struct("tier", "place", "tier_volume"), "tier").alias("best"), F.max_by(F.struct("n", "valid"), "tier").alias("all"))
+    out = d.join(best, asked, "left").select("*", "best.*", F.coalesce("all.n", F.lit(0)).alias("n_candidates"), F.coalesce("all.valid", F.lit(0)).alias("n_valid"))
     return out.drop("best", "all")
 
 
+@dataclass
+class Factored:
+    """A as a product of two tables that share a place.
+
+    ``loads`` (consumer, flow, sign, tier, place, residual, per): what a demand asks of a place, for one unit of share;
+    ``shares`` (flow, sign, tier, place, provider, pivot, share): the share of a port. The weight of a pair is share times per.
+    """
+
+    loads: DataFrame
+    shares: DataFrame
+
+    def times(self, x: DataFrame, index: str = "idx") -> DataFrame:
+        """A x for a vector (idx, value), by two joins and two sums."""
+        v = x.select(F.col(index).alias("consumer"), F.col("value").alias("v"))
+        asked = self.loads.join(v, "consumer").groupBy(PLACE).agg(F.sum(-F.col("residual") * F.col("per") * F.col("v")).alias("asked"))
+        made = self.shares.join(asked, PLACE)
+        return made.groupBy(F.col("provider").alias(index)).agg(F.sum(F.col("share") / F.col("pivot") * F.col("asked")).alias("value"))
+
+    def transposed_times(self, x: DataFrame, index: str = "idx") -> DataFrame:
+        """x A for a vector (idx, value)."""
+        v = x.select(F.col(index).alias("provider"), F.col("value").alias("v"))
+        made = self.shares.join(v, "provider").groupBy(PLACE).agg(F.sum(F.col("share") / F.col("pivot") * F.col("v")).alias("made"))
+        asked = self.loads.join(made, PLACE)
+        return asked.groupBy(F.col("consumer").alias(index)).agg(F.sum(-F.col("residual") * F.col("per") * F.col("made")).alias("value"))
+
+    def pairs(self) -> DataFrame:
+        """(consumer, flow, provider, tier, residual, pivot, weight): a row for each entry that A has."""
+        out = self.loads.join(self.shares, PLACE)
+        return out.select("consumer", "flow", "provider", "tier", "residual", "pivot", (F.col("share") * F.col("per")).alias("weight"))
+
+
+def by_volume(near: DataFrame, offers: DataFrame) -> Factored:
+    """split_by_process_volume: a demand meets the ports of its nearest place alone, by their share of its volume."""
+    loads = near.where("tier is not null").select("consumer", *PLACE, "residual", (1 / F.col("tier_volume")).alias("per"))
+    return Factored(loads, offers.select(*PLACE, "provider", "pivot", F.col("volume").alias("share")))
+
+
 def routed(near: DataFrame, offers: DataFrame) -> DataFrame:
-    """split_by_process_volume: each demand meets the ports of its nearest place alone, weighted by their share of its volume."""
-    out = near.where("tier is not null").drop("places", "n_candidates", "n_valid").join(offers, ["flow", "sign", "tier", "place"])
+    """The pairs of split_by_process_volume with the providers' volumes."""
+    out = near.where("tier is not null").drop("places", "n_candidates", "n_valid").join(offers, PLACE)
     return out.withColumn("weight", F.col("volume") / F.col("tier_volume")).drop("tier_volume", "sign", "place")
 
 
-def best_tier(c: DataFrame) -> DataFrame:
-    """The candidates of the nearest tier that a demand has."""
-    return c.withColumn("best", F.min("tier").over(W.partitionBy(*DEMAND))).where("tier = best").drop("best")
-
-
-def same_model_first(c: DataFrame, model: str = "model") -> DataFrame:
-    """Only candidates of the consumer's own model, where a demand has any."""
-    own = F.col("provider_" + model) == F.col("consumer_" + model)
-    return c.withColumn("own", own).withColumn("any_own", F.max("own").over(W.partitionBy(*DEMAND))).where("own or not any_own").drop("any_own")
-
-
-def weights(c: DataFrame, rule: str = "split_by_process_volume") -> DataFrame:
-    """Adds ``weight`` by a rule; demands that the rule leaves unresolved have no rows."""
-    demand = W.partitionBy(*DEMAND)
-    n = F.count("*").over(demand)
-    if rule == "split_by_process_volume":
-        c = best_tier(c)
-        return c.withColumn("weight", F.col("volume") / F.sum("volume").over(demand))
-    if rule == "strict_unique_provider":
-        return c.withColumn("n", n).where("n = 1").drop("n").withColumn("weight", F.lit(1.0))
-    if rule == "split_equal":
-        return c.withColumn("weight", 1.0 / n)
-    if rule == "best_provider_strict":  # one candidate, or a score at least twice the next
-        order = demand.orderBy(F.desc("volume"), "provider")
-        c = c.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("volume").over(order))
-        return c.where("rank = 1 and (next is null or volume >= 2 * next)").drop("rank", "next").withColumn("weight", F.lit(1.0))
-    own = F.when(~F.col("volume_fallback"), F.col("volume")).otherwise(0.0)
-    if rule == "split_by_evidence":  # shares of the score; demands without any real score stay open
-        return c.withColumn("real", F.sum(own).over(demand)).where("real > 0").withColumn("weight", own / F.col("real")).drop("real")
-    if rule == "split_by_evidence_hybrid":  # the same, but equal where no score is real
-        real = F.sum(own).over(demand)
-        return c.withColumn("weight", F.when(real > 0, own / real).otherwise(1.0 / n))
-    raise ValueError(f"unknown rule {rule}")
+def _own() -> Column:
+    return F.when(~F.col("volume_fallback"), F.col("volume")).otherwise(0.0)
+
+
+def by_flow(everywhere: DataFrame) -> DataFrame:
+    """What rules have to know of the ports of a flow and sign: n, real (sum of volumes of their own), top1, top1_provider, top2.
+
+    ``everywhere`` are offers with a row for each port. All of it is sums and maxima, combined before they are shuffled.
+    """
+    key = ["flow", "sign"]
+    first = F.max(F.struct("volume", (-F.col("provider")).alias("last"))).alias("first")
+    top = everywhere.groupBy(key).agg(F.count("*").alias("n"), F.sum(_own()).alias("real"), first)
+    top = top.select(*key, "n", "real", F.col("first.volume").alias("top1"), (-F.col("first.last")).alias("top1_provider"))
+    rest = everywhere.join(top.select(*key, "top1_provider"), key).where("provider <> top1_provider")
+    return top.join(rest.groupBy(key).agg(F.max("volume").alias("top2")), key, "left")
+
+
+def clear() -> Column:
+    """Whether the best port of a flow scores at least twice the next."""
+    return F.col("top2").isNull() | (F.col("top1") >= 2 * F.col("top2"))
+
+
+def by_rule(demands: DataFrame, everywhere: DataFrame, rule: str) -> Factored:
+    """A rule over all ports of a demand's flow (``RULES``) as factors; demands (consumer, flow, residual) that it leaves open have no load."""
+    if rule not in RULES:
+        raise ValueError(f"unknown rule {rule}")
+    top, key = by_flow(everywhere), ["flow", "sign"]
+    n, real, none = F.col("n"), F.col("real"), F.lit(None).cast("double")
+    per = {
+        "strict_unique_provider": F.when(n == 1, 1.0),
+        "best_provider_strict": F.when(clear(), 1.0),
+        "split_equal": 1 / n,
+        "split_by_evidence": F.when(real > 0, 1 / real),
+        "split_by_evidence_hybrid": F.when(real > 0, 1 / real).otherwise(1 / n),
+    }[rule]
+    top = top.withColumn("per", per).where("per is not null")
+    share = {"split_by_evidence": _own(), "split_by_evidence_hybrid": F.when(real > 0, _own()).otherwise(1.0), "best_provider_strict": F.when(F.col("provider") == F.col("top1_provider"), 1.0)}.get(rule, F.lit(1.0))
+    one = (F.lit(0).alias("tier"), F.lit("*").alias("place"))
+    shares = everywhere.drop("tier", "place").join(top, key).select(*key, *one, "provider", "pivot", F.coalesce(share, none).alias("share")).where("share is not null")
+    loads = demands.withColumn("sign", -F.signum("residual")).join(top, key).select("consumer", *key, *one, "residual", "per")
+    return Factored(loads, shares)
 
 
 def decisions(near: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import graph, linear, versions
+from ..operators import graph, linear, linking, versions
 from ..sources import documents, exports
 from ..sources.network import Network
 from .registry import _SHARE, NETWORK, query
@@ -180,9 +180,8 @@ def wn03(n):
 @query("wn12", ", k AS (SELECT consumer, flow, volume, row_number() OVER (PARTITION BY consumer, flow ORDER BY volume DESC, provider) AS rn, lead(volume) OVER (PARTITION BY consumer, flow ORDER BY volume DESC, provider) AS next FROM candidate) SELECT consumer, flow, volume AS top1, next IS NULL OR volume >= 2 * next AS clear FROM k WHERE rn = 1")
 def wn12(n):
     """The best score of each demand, and whether it is twice the next."""
-    order = W.partitionBy("consumer", "flow").orderBy(F.desc("volume"), "provider")
-    k = n.candidates.withColumn("rn", F.row_number().over(order)).withColumn("next", F.lead("volume").over(order)).where("rn = 1")
-    return k.select("consumer", "flow", F.col("volume").alias("top1"), (F.col("next").isNull() | (F.col("volume") >= 2 * F.col("next"))).alias("clear"))
+    d = n.demands.withColumn("sign", -F.signum("residual")).join(linking.by_flow(n.everywhere), ["flow", "sign"])
+    return d.select("consumer", "flow", "top1", linking.clear().alias("clear"))
 
 
 @query("wn11", "SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS place FROM supplier", "")

@@ -141,9 +141,7 @@ FROM residual CROSS JOIN r LEFT JOIN t USING (flow) LEFT JOIN bt USING (consumer
 
 def ruled(n: Network, rules: tuple[str, ...] = RULES) -> DataFrame:
     """Each demand under each rule: kind, strategy, failure reason. Ports are ranked by flow, before demands meet them."""
-    order = W.partitionBy("flow", "sign").orderBy(F.desc("volume"), "provider")
-    top = n.offers.where("tier = 3").withColumn("rn", F.row_number().over(order)).where("rn <= 2")
-    top = top.groupBy("flow", "sign").agg(F.max(F.when(F.col("rn") == 1, F.col("volume"))).alias("top1"), F.max(F.when(F.col("rn") == 2, F.col("volume"))).alias("top2"))
+    top = linking.by_flow(n.everywhere).select("flow", "sign", "top1", "top2")
     d = n.nearest.select("consumer", "flow", "sign", "tier", F.col("n_candidates").alias("k"), F.col("n_valid").alias("valid")).join(top, ["flow", "sign"], "left")
     d = d.withColumn("rule", F.explode(F.array(*map(F.lit, rules))))
     k, rule, close = F.col("k"), F.col("rule"), F.col("top1") < 2 * F.col("top2")

@@ -102,9 +102,9 @@ def la03(n):
 
 @query("la08", "SELECT a.row_idx AS process_idx, round(sum(a.value * p.volume), 4) AS value FROM a JOIN process p ON p.process_idx = a.col_idx GROUP BY 1")
 def la08(n):
-    """Sparse matrix times vector: A times the volumes."""
+    """Sparse matrix times vector: A times the volumes, from A's factors, without its entries."""
     x = n.processes.select(F.col("process_idx").alias("idx"), F.col("volume").alias("value"))
-    return linear.times(n.a, x).select(F.col("idx").alias("process_idx"), _r("value", 4).alias("value"))
+    return n.ruled("split_by_process_volume").times(x).select(F.col("idx").alias("process_idx"), _r("value", 4).alias("value"))
 
 
 @query("la10", "SELECT row_idx AS impact, col_idx AS process_idx, round(value, 6) AS amount FROM h", SOLVED)
@@ -179,8 +179,11 @@ def wn04(n):
 @query("wn07", ", o AS (SELECT *, provider % 7 = consumer % 7 AS own FROM candidate), p AS (SELECT *, bool_or(own) OVER (PARTITION BY consumer, flow) AS any_own FROM o) SELECT consumer, flow, provider, own FROM p WHERE own OR NOT any_own")
 def wn07(n):
     """Candidates of the consumer's own model where there are any; the model is the index modulo 7."""
-    c = n.candidates.withColumn("consumer_model", F.col("consumer") % 7).withColumn("provider_model", F.col("provider") % 7)
-    return linking.same_model_first(c).select("consumer", "flow", "provider", "own")
+    place = lambda tier, c: F.struct(F.lit(tier).alias("tier"), c.cast("string").alias("place"))
+    places = lambda who: F.array(place(1, F.col(who) % 7), place(2, F.lit("*"))).alias("places")
+    offers = linking.offers(n.everywhere.select("provider", "flow", "pivot", "volume", "volume_fallback", places("provider")))
+    near = linking.nearest(n.demands.select("*", places("consumer")), offers)
+    return linking.routed(near, offers).select("consumer", "flow", "provider", (F.col("tier") == 1).alias("own"))
 
 
 @query("cp14", "SELECT row_idx, col_idx, round(value, 6) AS value FROM a")
@@ -201,19 +204,19 @@ def _decisions(n: Network) -> DataFrame:
 @query("cp08", "SELECT consumer, flow, provider FROM (SELECT *, count(*) OVER (PARTITION BY consumer, flow) AS k FROM candidate) WHERE k = 1")
 def cp08(n):
     """strict_unique_provider."""
-    return linking.weights(n.candidates, "strict_unique_provider").select("consumer", "flow", "provider")
+    return n.ruled("strict_unique_provider").pairs().select("consumer", "flow", "provider")
 
 
 @query("cp09", "SELECT consumer, flow, provider FROM (SELECT *, row_number() OVER w AS k, lead(volume) OVER w AS nxt FROM candidate WINDOW w AS (PARTITION BY consumer, flow ORDER BY volume DESC, provider)) WHERE k = 1 AND (nxt IS NULL OR volume >= 2 * nxt)")
 def cp09(n):
     """best_provider_strict: the best, if it scores twice the next (ours)."""
-    return linking.weights(n.candidates, "best_provider_strict").select("consumer", "flow", "provider")
+    return n.ruled("best_provider_strict").pairs().select("consumer", "flow", "provider")
 
 
 @query("cp11", "SELECT consumer, flow, provider, round(1.0 / count(*) OVER (PARTITION BY consumer, flow), 6) AS weight FROM candidate")
 def cp11(n):
     """split_equal."""
-    return linking.weights(n.candidates, "split_equal").select("consumer", "flow", "provider", _r("weight").alias("weight"))
+    return n.ruled("split_equal").pairs().select("consumer", "flow", "provider", _r("weight").alias("weight"))
 
 
 @query("ag03", _DECISION + "SELECT round(100.0 * count(*) FILTER (WHERE n_candidates > 0) / nullif(count(*), 0), 2) AS write_pct, round(100.0 * count(*) FILTER (WHERE n_valid > 0) / nullif(count(*) FILTER (WHERE n_candidates > 0), 0), 2) AS usable_pct FROM decision")

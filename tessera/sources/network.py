@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import weight
 from ..operators import linking
-from .tables import table
+from .tables import table, written
 
 #: Elementary flows in order, and characterisation factors (impact, flow, value); the last flow has none.
 FLOWS = ("AF", "AO", "NF", "NO", "RF", "RO")
@@ -52,7 +52,7 @@ class Network:
     def ranked(self) -> DataFrame:
         qty = self.table("lineitem").join(self.table("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").cast("int").alias("process_idx"), F.col("p_brand").alias("flow")).agg(F.sum("l_quantity").alias("qty"))
         mine = W.partitionBy("process_idx")
-        return qty.withColumn("rn", F.row_number().over(mine.orderBy(F.desc("qty"), "flow"))).withColumn("total", F.sum("qty").over(mine))
+        return written(qty.withColumn("rn", F.row_number().over(mine.orderBy(F.desc("qty"), "flow"))).withColumn("total", F.sum("qty").over(mine)))
 
     @cached_property
     def ports(self) -> DataFrame:
@@ -81,6 +81,19 @@ class Network:
     def nearest(self) -> DataFrame:
         return linking.nearest(self._places(self.residuals).select(F.col("process_idx").alias("consumer"), "flow", F.col("coefficient").alias("residual"), "places"), self.offers)
 
+    @cached_property
+    def demands(self) -> DataFrame:
+        return self.residuals.select(F.col("process_idx").alias("consumer"), "flow", F.col("coefficient").alias("residual"))
+
+    @cached_property
+    def everywhere(self) -> DataFrame:
+        """Offers with a row for each port."""
+        return self.offers.where("tier = 3")
+
+    def ruled(self, rule: str) -> linking.Factored:
+        """A by a rule, as factors."""
+        return linking.by_volume(self.nearest, self.offers) if rule == "split_by_process_volume" else linking.by_rule(self.demands, self.everywhere, rule)
+
     @cached_property
     def weighted(self) -> DataFrame:
         return linking.routed(self.nearest, self.offers)

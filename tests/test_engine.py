@@ -71,7 +71,7 @@ def test_published_case_of_one_demand(spark):
     assert units[0, 0] + 2 * units[1, 0] == pytest.approx(1.22857142857)
 
 
-@pytest.mark.parametrize("dense", [2000, 0])
+@pytest.mark.parametrize("dense", [2000, 1, 0])
 def test_a_spectral_radius_above_one_is_solved(spark, monkeypatch, dense):
     monkeypatch.setattr(linear, "DENSE", dense)
     a, d = triplets(spark, [(0, 1, 2.0), (1, 0, 1.5)]), triplets(spark, [(0, 0, 1.0), (0, 1, 1.0)])
@@ -102,7 +102,7 @@ def test_more_right_hand_sides_than_a_task_takes(spark, monkeypatch):
     assert got == {(k, k % 3): 1.0 for k in range(7)} | {(k, 0): 0.5 for k in (1, 4)} | {(k, 0): 1.0 for k in (0, 3, 6)}
 
 
-@pytest.mark.parametrize("dense", [2000, 0])
+@pytest.mark.parametrize("dense", [2000, 1, 0])
 def test_singular_matrices_fail(spark, monkeypatch, dense):
     monkeypatch.setattr(linear, "DENSE", dense)
     m = triplets(spark, [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 0.5), (1, 1, 1.0)])
@@ -117,13 +117,51 @@ def test_small_entries_go_before_and_after_the_sum(spark):
     assert [tuple(r) for r in linear.merged(t).collect()] == [(1, 1, 3.0)]
 
 
+PORT = "flow string, sign double, tier int, place string, provider int, pivot double, volume double, volume_fallback boolean"
+
+
+def ports(spark, volumes, fallback=()):
+    return spark.createDataFrame([("f", 1.0, 3, "*", k, 1.0 if k % 2 else 2.0, float(v), k in fallback) for k, v in enumerate(volumes, 1)], PORT)
+
+
 def test_weights_balance_a_residual(spark):
-    c = spark.createDataFrame([(0, "f", k, 10.0, -1.0, 1, v, False) for k, v in enumerate((0.2, 0.3, 0.5), 1)], "consumer int, flow string, provider int, residual double, pivot double, tier int, volume double, volume_fallback boolean")
-    got = {r.row_idx: r.value for r in linking.technosphere(linking.weights(c)).collect()}
-    assert got == pytest.approx({1: 2.0, 2: 3.0, 3: 5.0})
-    assert linking.weights(c, "strict_unique_provider").count() == 0
+    near = spark.createDataFrame([(0, "f", -10.0, 1.0, 3, "*", 1.0)], "consumer int, flow string, residual double, sign double, tier int, place string, tier_volume double")
+    offers = ports(spark, (0.2, 0.3, 0.5))
+    got = {r.row_idx: r.value for r in linking.technosphere(linking.by_volume(near, offers).pairs()).collect()}
+    assert got == pytest.approx({1: 2.0, 2: 1.5, 3: 5.0})
     with pytest.raises(ValueError, match="unknown"):
-        linking.weights(c, "other")
+        linking.by_rule(near, offers, "other")
+
+
+@pytest.mark.parametrize(
+    ("volumes", "fallback", "want"),
+    [
+        ((5.0,), (), {"strict_unique_provider": {1: 1}, "best_provider_strict": {1: 1}, "split_equal": {1: 1}, "split_by_evidence": {1: 1}, "split_by_evidence_hybrid": {1: 1}}),
+        ((1.0,), (1,), {"split_equal": {1: 1}, "split_by_evidence": {}, "split_by_evidence_hybrid": {1: 1}}),
+        ((4.0, 2.0, 2.0), (3,), {"strict_unique_provider": {}, "best_provider_strict": {1: 1}, "split_equal": {1: 1 / 3, 2: 1 / 3, 3: 1 / 3}, "split_by_evidence": {1: 2 / 3, 2: 1 / 3, 3: 0}, "split_by_evidence_hybrid": {1: 2 / 3, 2: 1 / 3, 3: 0}}),
+        ((3.0, 3.0), (), {"best_provider_strict": {}, "split_by_evidence": {1: 0.5, 2: 0.5}}),
+        ((1.0, 1.0), (1, 2), {"split_by_evidence": {}, "split_by_evidence_hybrid": {1: 0.5, 2: 0.5}}),
+    ],
+)
+def test_rules_as_factors(spark, volumes, fallback, want):
+    demands = spark.createDataFrame([(10, "f", -4.0), (11, "f", -1.0), (12, "f", 1.0), (13, "g", -1.0)], "consumer int, flow string, residual double")
+    for rule, weights in want.items():
+        made = linking.by_rule(demands, ports(spark, volumes, fallback), rule)
+        assert {(r.consumer, r.provider): r.weight for r in made.pairs().collect()} == pytest.approx({(c, p): w for c in (10, 11) for p, w in weights.items()}), rule
+        a = {(r.row_idx, r.col_idx): r.value for r in linking.technosphere(made.pairs()).collect()}
+        x = spark.createDataFrame([(i, float(i)) for i in range(20)], "idx int, value double")
+        ax = {p: sum(v * c for (q, c), v in a.items() if q == p) for p in {p for p, _ in a}}
+        xa = {c: sum(v * p for (p, q), v in a.items() if q == c) for c in {c for _, c in a}}
+        assert {r.idx: r.value for r in made.times(x).collect()} == pytest.approx(ax)
+        assert {r.idx: r.value for r in made.transposed_times(x).collect()} == pytest.approx(xa)
+
+
+def test_demands_of_equal_places_meet_the_nearest_port(spark):
+    place = "array<struct<tier:int,place:string>>"
+    demands = spark.createDataFrame([(1, "f", -1.0, [(1, "a"), (2, "r"), (3, "*")]), (2, "f", -2.0, [(1, "a"), (2, "r"), (3, "*")]), (3, "f", -1.0, [(1, "b"), (2, "r"), (3, "*")]), (4, "f", 1.0, [(1, "a"), (3, "*")]), (5, "f", -1.0, [(1, "c"), (3, "*")])], f"consumer int, flow string, residual double, places {place}")
+    offers = linking.offers(spark.createDataFrame([(7, "f", 1.0, 2.0, False, [(1, "a"), (2, "r"), (3, "*")]), (8, "f", 1.0, 3.0, True, [(1, "d"), (2, "r"), (3, "*")])], f"provider int, flow string, pivot double, volume double, volume_fallback boolean, places {place}"))
+    got = {r.consumer: (r.tier, r.tier_volume, r.n_candidates, r.n_valid) for r in linking.nearest(demands, offers).collect()}
+    assert got == {1: (1, 2.0, 2, 1), 2: (1, 2.0, 2, 1), 3: (2, 5.0, 2, 1), 4: (None, None, 0, 0), 5: (3, 5.0, 2, 1)}
 
 
 def test_versions_and_fractions(spark):
@@ -277,6 +315,64 @@ def test_branches_end_by_each_bound(spark):
     assert graph.options(0, 99, float("nan"), 5) == {"depth": 1, "k": 20, "cutoff": 0.01, "nodes": 10}
 
 
+def searched(kids, with_providers, root, depth, nodes):
+    """The depth-first search, step by step."""
+    expanded, out = set(), []
+
+    def go(path, score):
+        node = path[-1]
+        if node in path[:-1]:
+            out.append((path, score, "cycle_cut"))
+        elif node not in expanded and len(expanded) >= nodes:
+            out.append((path, score, "max_nodes"))
+        else:
+            expanded.add(node)
+            if len(path) - 1 == depth:
+                out.append((path, score, "max_depth"))
+            elif not kids.get(node):
+                out.append((path, score, "cutoff" if node in with_providers else "leaf"))
+            else:
+                for child, size in kids[node]:
+                    go((*path, child), score + size)
+
+    go((root,), 0.0)
+    return out, expanded
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_branches_are_those_of_a_depth_first_search(spark, seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    n, k, depth, nodes = 40, 3, 5, 12
+    size = {i: float(v) for i, v in enumerate(rng.permutation(n) + 1)}
+    size |= {i: 1e-6 for i in range(5)}
+    total = sum(size.values())
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (150, 2))})
+    e = spark.createDataFrame(pairs, "src int, dst int")
+    s = spark.createDataFrame([(i, v, v / total) for i, v in size.items()], "process_idx int, direct double, share double")
+    kids = {a: sorted(((b, size[b]) for x, b in pairs if x == a and size[b] / total >= 0.001), key=lambda x: (-x[1], x[0]))[:k] for a, _ in pairs}
+    found = graph.branches(e, s, spark.createDataFrame([(0,), (7,)], "node int"), depth, k, 0.001, nodes)
+    ends, least = found.ends.collect(), found.nodes.collect()
+    for root in (0, 7):
+        want, expanded = searched(kids, {a for a, _ in pairs}, root, depth, nodes)
+        assert sorted((tuple(r.path), round(r.score, 6), r.reason) for r in ends if r.root == root) == sorted((p, round(v, 6), why) for p, v, why in want)
+        assert {r.node for r in least if r.root == root} == expanded
+
+
+def test_the_bound_on_nodes_bounds_the_paths_that_are_made(spark, monkeypatch):
+    """Six layers of twenty, each node followed by the whole next layer: 64 million paths, ten nodes."""
+    layers = [[0]] + [list(range(1 + 20 * i, 21 + 20 * i)) for i in range(6)]
+    pairs = [(a, b) for upper, lower in zip(layers, layers[1:], strict=False) for a in upper for b in lower]
+    s = spark.createDataFrame([(i, 1.0, 0.5) for i in range(121)], "process_idx int, direct double, share double")
+    made, whole = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: made.append(whole(df)) or made[-1])
+    found = graph.branches(spark.createDataFrame(pairs, "src int, dst int"), s, spark.createDataFrame([(0,)], "node int"), 6, 20, 0.0, 10)
+    reasons = [r.reason for r in found.ends.collect()]
+    assert reasons.count("max_depth") == 4 and len(reasons) == 4 + 16 + 5 * 19
+    assert max(df.count() for df in made) <= max(10 * 20, len(pairs))
+
+
 def test_survey_ids_are_registered_or_named_in_the_readme():
     root = Path(__file__).resolve().parents[1]
     text = (root / "README.md").read_text().partition("Not built yet")[2].partition("\n## ")[0]
