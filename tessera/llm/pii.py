@@ -1,15 +1,17 @@
 """Personal data by fixed patterns and a skip-chain conditional random field over each document.
 
 Patterns give the base spans (email, ip, card, phone), which always stay. The field's nodes are a text's words that
-hold a digit or an at sign. Neighbouring nodes share chain potentials; nodes whose words are equal or similar (same
+hold a digit, an at sign or one written in brackets (``[at]``). Neighbouring nodes share chain potentials; nodes whose words are equal or similar (same
 letters and digits without case and punctuation; for numbers, the same last nine digits) share skip potentials,
 however far apart they are. Sum-product messages are passed over this loopy graph, base nodes held at their label,
 so a label that one mention has carries over to mentions that no pattern fits. Every text with nodes is inferred, also
 one without base spans or skip edges. Nodes outside base spans whose label is at least ``sure`` become spans too.
+A node can only have kinds whose check its word passes (Luhn's for cards, parts of addresses, numbers of digits, an at sign), so a word
+that failed the pattern's check is never labelled by its neighbours.
 
 Weights of shapes of words, chain and skip potentials are fitted together, by the pseudo-likelihood of each node's label
-given its neighbours' labels, on the base labels of all texts with an at sign or digit; a node without one counts as
-unlabelled. Weights have a prior of zero; skip potentials one by which alike words agree (``AGREE``, and less so on no
+given its neighbours' labels, on the base labels of all texts with such words. A node without a base label counts as one of no kind,
+unless a word that is alike has a label that it may have itself: the patterns can't tell what that one is, so it is left out. Weights have a prior of zero; skip potentials one by which alike words agree (``AGREE``, and less so on no
 label, ``OPEN``), which holds where the corpus has no repeated words. Executors count nodes by shape, label and neighbourhood
 (in which a skip neighbour's label counts once); the driver sees these counts alone. Their number is bounded by the shapes
 that there are, as the share of digits in a word goes into ``BINS`` bins, each with its mean.
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import Batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
+_NONE = len(KINDS) + 1
 #: Bins of a word's share of digits, and the unit in which shares are summed.
 BINS, UNIT = 16, 1 << 20
 #: What equal words' labels are worth before any is seen, for kinds and for no label; weights of the priors.
@@ -44,7 +47,9 @@ _EMAIL_AT, _EMAIL = re.compile(_LOCAL), re.compile(r"(?<![A-Za-z0-9._%+-])" + _L
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]")
+_ANY_TEXT = r"[0-9@]|[\[({]at[\])}]"
+_ANY = re.compile(_ANY_TEXT)
+_AT, _DOT = re.compile(r"[\[({]at[\])}]"), re.compile(r"[\[({]dot[\])}]")
 _NODE = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -99,12 +104,21 @@ def shapes(words: list[str]) -> np.ndarray:
 def same_key(word: str) -> str:
     """What equal or similar words share; empty for words too short to tell."""
     digits = re.sub("[^0-9]", "", word)
-    plain = re.sub(r"[\W_]", "", word.lower())
+    plain = re.sub(r"[\W_]", "", _DOT.sub(".", _AT.sub("@", word.lower())))
     if len(digits) >= 9 and len(digits) == len(plain):
         return digits[-9:]
     return plain if len(plain) >= 7 else ""
 
 
+def kinds_allowed(word: str) -> list[bool]:
+    """Whether a word may have no label, and each kind."""
+    digits = re.sub("[^0-9]", "", word)
+    parts = re.findall("[0-9]+", word)
+    ip = len(parts) == 4 and all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in parts)
+    card = 14 <= len(digits) <= 19 and _luhn(digits)
+    return [True, "@" in word or bool(_AT.search(word.lower())), ip, card, 2 <= len(digits) <= 15]
+
+
 class Graph:
     """A text's nodes, labels that base spans give them (0: none), and edges: chain and skip."""
 
@@ -116,6 +130,8 @@ class Graph:
         ends = np.array([e for _, e in self.nodes], np.int64)
         for s, kind, e in reversed(base):
             self.label[np.searchsorted(ends, s, side="right") : np.searchsorted(starts, e)] = kind + 1
+        self.allowed = np.array([kinds_allowed(w) for w in self.words], bool).reshape(-1, _NONE)
+        self.allowed[np.arange(len(self.words)), self.label] = True
         near = np.flatnonzero(starts[1:] - ends[:-1] <= 2) if len(starts) > 1 else np.zeros(0, np.int64)
         self.chain = np.stack([near, near + 1], 1)
         seen: dict[str, tuple[int, int]] = {}
@@ -140,7 +156,7 @@ class Model:
         z = shapes(g.words) @ self.node
         phi = np.exp(z - z.max(1, keepdims=True))
         phi /= phi.sum(1, keepdims=True)
-        phi = np.maximum(phi, 1e-300)
+        phi = np.where(g.allowed, np.maximum(phi, 1e-300), 1e-300)
         held = g.label > 0
         phi[held] = 1e-9
         phi[held, g.label[held]] = 1
@@ -183,7 +199,6 @@ class Model:
         return sorted(out)
 
 
-_NONE = len(KINDS) + 1
 _AROUND = _NONE * (_NONE + 1) * (_NONE + 1) * (1 << _NONE)
 
 
@@ -192,15 +207,22 @@ def _counts(texts: Iterable[str]) -> np.ndarray:
     keys, ratios = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for text in texts:
         g = Graph(text, base_spans(text))
-        left, right = np.full(len(g.words), _NONE), np.full(len(g.words), _NONE)
-        right[g.chain[:, 0]], left[g.chain[:, 1]] = g.label[g.chain[:, 1]], g.label[g.chain[:, 0]]
-        alike = np.zeros((len(g.words), _NONE), bool)
-        alike[g.skip[:, 0], g.label[g.skip[:, 1]]] = alike[g.skip[:, 1], g.label[g.skip[:, 0]]] = True
+        n = len(g.words)
+        marked = np.zeros((n, _NONE), bool)  # labels but none that alike words have
+        i, j = np.r_[g.skip[:, 0], g.skip[:, 1]], np.r_[g.skip[:, 1], g.skip[:, 0]]
+        marked[i, g.label[j]] = True
+        told = ~((g.label == 0) & (marked[:, 1:] & g.allowed[:, 1:]).any(1))
+        shown = np.where(told, g.label, _NONE)  # the others' labels are not known to their neighbours either
+        left, right = np.full(n, _NONE), np.full(n, _NONE)
+        right[g.chain[:, 0]], left[g.chain[:, 1]] = shown[g.chain[:, 1]], shown[g.chain[:, 0]]
+        alike = np.zeros((n, _NONE), bool)
+        alike[i[told[j]], g.label[j[told[j]]]] = True
         around = ((g.label * (_NONE + 1) + left) * (_NONE + 1) + right) * (1 << _NONE) + alike @ (1 << np.arange(_NONE))
         for lo in range(0, len(g.words), 1 << 16):  # part by part to bound memory
-            x = shapes(g.words[lo : lo + (1 << 16)])
+            part = np.flatnonzero(told[lo : lo + (1 << 16)])
+            x = shapes(g.words[lo : lo + (1 << 16)])[part]
             cell = x[:, :19].astype(np.int64) @ (1 << np.arange(19)) | np.minimum(x[:, 19] * BINS, BINS - 1).astype(np.int64) << 19
-            keys.append(cell * _AROUND + around[lo : lo + (1 << 16)])
+            keys.append(cell * _AROUND + around[lo : lo + (1 << 16)][part])
             ratios.append(np.rint(x[:, 19] * UNIT).astype(np.int64))
     u, at = np.unique(np.concatenate(keys), return_inverse=True)
     ratio = np.zeros(len(u), np.int64)
@@ -253,7 +275,7 @@ def learn(docs: DataFrame) -> Model:
         for b in (part for batch in batches for part in slices(batch, 0)):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(_counts(b.column(0).to_pylist()).T)], names)
 
-    have = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    have = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike(_ANY_TEXT))
     counts = have.mapInArrow(f, ", ".join(f"{c} long" for c in names)).groupBy("key").agg(F.sum("n").alias("n"), F.sum("ratio").alias("ratio"))
     return _solve(np.array(sorted(tuple(r) for r in counts.collect()), np.int64).reshape(-1, 3))
 
