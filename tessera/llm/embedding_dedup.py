@@ -109,8 +109,10 @@ def tables_for(dim: int, k: int, floor: float, probes: int) -> int:
     n = 1 if chance >= 1 - 1e-9 else max(int(np.ceil(np.log(MISS) / np.log(1 - chance))), 2)
     while True:  # tables of short vectors are not quite independent, so the choice is tried out
         x, y = codes(a, k, n, probes), codes(b, k, n, probes)
-        if (x[:, :, :, None] == y[:, :, None, :]).any((2, 3)).any(1).mean() >= 1 - 2 * MISS or n > 4096:
+        if (x[:, :, :, None] == y[:, :, None, :]).any((2, 3)).any(1).mean() >= 1 - 2 * MISS:
             return n
+        if n > 4096:
+            raise ValueError(f"pairs at a cosine of {floor} are not found in {n} tables")
         n += max(n // 4, 1)
 
 

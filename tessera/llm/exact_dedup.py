@@ -5,12 +5,12 @@ which compares whole contents, never digests alone:
 
 1. locally, each input task keeps the row with the smallest doc_id of equal texts and counts them;
 2. the rows that stay are dealt by (digest, salt), the salt taken from the row's own number, so that a group that
-   fills a third of the corpus is merged in ``salts`` places;
+   fills a third of the corpus is merged in ``salts`` places, of which there are more the more turns stage 1 took;
 3. the at most ``salts`` winners of each group are combined globally.
 
 Contents travel compressed (zstd, one level, without a frame checksum): equal bytes are equal contents. Stages 2 and 3
 deal so many partitions as the contents' bytes and rows ask for (``PART_BYTES``, ``PART_ROWS``) and read each sorted by
-digest, so a worker holds the groups of one digest at a time. Stage 1 is a written table, so a lost executor costs no
+digest, so a worker holds the groups of one digest at a time, each content once. Stage 1 is a written table, so a lost executor costs no
 second pass. Which row stays is joined back by row numbers, of which none is hot: a local row speaks for the rows of one
 task, a salted one for one row of each task.
 
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, Batches, slices, text_key, written
 
-#: Contents that stage 1 holds before it starts anew.
-LOCAL_BYTES = 64_000_000
+#: Contents and rows that stage 1 holds before it starts anew.
+LOCAL_BYTES, LOCAL_ROWS = 64_000_000, 200_000
+#: Rows of one content that a place of stage 2 merges at most, about: so many of stage 1's turns.
+TURNS = 1024
 #: Compressed contents and rows of a partition in stages 2 and 3, about.
 PART_BYTES, PART_ROWS = 128_000_000, 1_000_000
 LEVEL = 1
@@ -90,7 +92,7 @@ def _local(batches: Batches) -> Batches:
             group[1] += 1
             row[2] = group
             rows.append(row)
-        if size > LOCAL_BYTES:
+        if size > LOCAL_BYTES or len(rows) > LOCAL_ROWS:
             yield flush()
             size = 0
     if rows:
@@ -102,15 +104,16 @@ def _merged(last: bool):
     names = ["rep", "winner", "doc_id", "n", *([] if last else ["digest", "content"])]
     kinds = [pa.int64()] * 4 + [pa.binary()] * 2
 
-    def of_digest(rows: list[tuple]) -> Iterator[tuple]:
-        groups: dict[bytes, list] = {}
-        for doc_id, rep, n, _, content in rows:
-            group = groups.setdefault(content, [None, None, 0])
+    def of_digest(rows: Iterator[tuple]) -> Iterator[tuple]:
+        groups: dict[bytes, list] = {}  # each content once: [doc_id, rep, n, content]
+        held = []
+        for doc_id, rep, n, digest, content in rows:
+            group = groups.setdefault(content, [None, None, 0, content])
             if group[1] is None or (*_order(doc_id), rep) < (*_order(group[0]), group[1]):
                 group[0], group[1] = doc_id, rep
             group[2] += n
-        for _, rep, _, digest, content in rows:
-            keep_id, winner, n = groups[content]
+            held.append((rep, group))
+        for rep, (keep_id, winner, n, content) in held:
             lead = rep == winner
             yield (rep, winner, keep_id, n) if last else (rep, winner, keep_id, n if lead else 0, digest, content if lead else None)
 
@@ -121,7 +124,7 @@ def _merged(last: bool):
 
         out, size = [], 0
         for _, same in groupby(rows(), key=itemgetter(3)):
-            for row in of_digest(list(same)):
+            for row in of_digest(same):
                 out.append(row)
                 size += 48 + len(row[-1] or b"") if not last else 48
                 if size > SLICE_BYTES:
@@ -133,12 +136,14 @@ def _merged(last: bool):
     return f
 
 
-def exact_groups(docs: DataFrame, salts: int = 16) -> DataFrame:
+def exact_groups(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, digest (SHA-256 of the normalised text, binary), h (the row's key)."""
     spark = docs.sparkSession
     local = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("h")).mapInArrow(_local, "doc_id long, row long, rep long, n long, digest binary, content binary, h long"), "local")
     cols = ("doc_id", "rep", "n", "digest", "content")
-    size, leads = local.where("n > 0").agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)), F.count("*")).first()
+    size, leads, tasks = local.where("n > 0").agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)), F.count("*"), F.coalesce(F.max(F.shiftright("row", 40)) + 1, F.lit(0))).first()
+    turns = tasks + size // LOCAL_BYTES + local.count() // LOCAL_ROWS  # no content has more rows than this in stage 2
+    salts = salts or max(16, -(-turns // TURNS))
     p = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES), -(-leads // PART_ROWS))
     salted = local.where("n > 0").select("doc_id", F.col("row").alias("rep"), "n", "digest", "content").repartition(p, "digest", F.pmod(F.xxhash64("rep"), F.lit(salts))).sortWithinPartitions("digest")
     merged = written(salted.select(*cols).mapInArrow(_merged(False), "rep long, winner long, doc_id long, n long, digest binary, content binary"), "salted")

@@ -42,6 +42,8 @@ KEY, DRAW, SIZE, TARGET = "__mix_key", "__mix_draw", "__mix_size", "__mix_target
 SENT = 1 << 18
 #: Blocks from which a draw is not made by the library's exact sampler, which takes no more.
 LARGE = 10**9
+#: Bytes of a part of a shard, about, and of a word.
+PART_BYTES, WORD_BYTES = 256_000_000, 7
 
 
 def targets(words: list[int], weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -159,10 +161,15 @@ def draws(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, blocks: int = 4096, shards: int = 64, seed: int = 42) -> DataFrame:
     """The mix itself: the rows of docs as often as drawn, with their columns and (mix_shard, mix_order).
 
-    Partition i holds shard i, its rows sorted by mix_order. Texts cross the network once, as often as drawn.
+    A shard is one partition, or several by ranges of mix_order if it is large; partitions come in the order of shards, and rows of
+    a shard in that of mix_order. Texts cross the network once, as often as drawn.
     """
-    _, drawn = _dealing(docs, weights, share, most, blocks, shards, seed)
+    sized, drawn = _dealing(docs, weights, share, most, blocks, shards, seed)
     out = drawn(docs.drop("mix_shard", "mix_order").withColumn(KEY, text_key())).drop(SIZE, TARGET).withColumn(DRAW, F.explode(DRAW))
     shard, turn = F.col(DRAW)["shard"], F.col(DRAW)["pass"]
     out = out.withColumn("mix_shard", shard).withColumn("mix_order", F.xxhash64(F.lit(seed + 2), shard, KEY, turn)).drop(KEY, DRAW)
-    return out.repartitionById(shards, F.col("mix_shard")).sortWithinPartitions("mix_shard", "mix_order")
+    words = sized.agg(F.sum("size")).first()[0] or 0
+    parts = max(1, -(-int(words * share * WORD_BYTES) // (shards * PART_BYTES)))
+    # mix_order is a hash, so equal ranges of it hold about as many rows; its upper half tells the range.
+    part = F.floor((F.shiftright("mix_order", 32) + (1 << 31)) * parts / (1 << 32))
+    return out.repartitionById(shards * parts, (F.col("mix_shard") * parts + part).cast("int")).sortWithinPartitions("mix_shard", "mix_order")

@@ -133,7 +133,7 @@ def solve(words: np.ndarray, held: list[np.ndarray], y: np.ndarray, l2: float =
             gradient += wide.astype(float).T @ (p - y[lo : lo + 1024])
             h += wide.T @ (wide * np.maximum(p * (1 - p), 1e-6)[:, None].astype(np.float32))
         step = np.linalg.solve(h, gradient)
-        step *= min(1, 5 / np.abs(step).max())
+        step /= max(1, np.abs(step).max() / 5)
         w, bias = w - step[:-1], bias - step[-1]
         if np.abs(step).max() < 1e-6:
             break

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import checksums, merkle, permutation_index, queries, resampling
+from tessera.llm import checksums, exact_dedup, merkle, mixing, permutation_index, queries, resampling
 from tessera.llm.common import Texts, numbered
 from tests.llm.test_operators import corpus, rows
 
@@ -232,3 +232,24 @@ def test_footrule_is_that_of_whole_orders():
     inside = np.flatnonzero(rule <= np.sort(rule)[39])
     d = np.sqrt(((x[inside] - query) ** 2).sum(1))
     assert [i for _, _, i in got] == inside[np.argsort(d)][:3].tolist()
+
+
+def test_copies_over_many_turns_are_one_group(spark, monkeypatch):
+    """A hot content in every turn of stage 1: rows, not distinct contents, end a turn, and salts follow the turns."""
+    monkeypatch.setattr(exact_dedup, "LOCAL_ROWS", 20)
+    monkeypatch.setattr(exact_dedup, "TURNS", 1)
+    docs = [(i, "the same  text" if i % 3 else f"own {i}") for i in range(900)]
+    got = rows(exact_dedup.exact_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)))
+    hot = [r for r in got if r["keep_id"] == 1]
+    assert len(hot) == 600 and {r["group_size"] for r in hot} == {600} and [r["doc_id"] for r in hot if r["kept"]] == [1]
+    assert all(r["kept"] and r["group_size"] == 1 for r in got if r["doc_id"] % 3 == 0)
+
+
+def test_a_shard_of_several_parts_keeps_its_order(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} " * (1 + i % 9), f"s{i % 3}", "x") for i in range(600)], "doc_id long, text string, source string, lang string")
+    whole = [tuple(r) for r in mixing.mixed(docs, shards=4).select("mix_shard", "mix_order", "doc_id").collect()]
+    monkeypatch.setattr(mixing, "PART_BYTES", 1000)
+    cut = mixing.mixed(docs, shards=4)
+    sizes = [r["count"] for r in cut.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 12 and max(sizes) < len(whole) / 6
+    assert [tuple(r) for r in cut.select("mix_shard", "mix_order", "doc_id").collect()] == whole
