@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from . import linear
+from ..sources.tables import written
+from . import linear, multisets
 
 #: Examples that a finding shows.
 EXAMPLES = 8
@@ -146,13 +147,15 @@ def invalid_records(exchanges: DataFrame, reference: Column, eps: float = 1e-12)
 def equal_exchanges(exchanges: DataFrame) -> DataFrame:
     """Groups of processes with equal multisets of (flow, direction, amount): the fingerprint, the first process, how many.
 
-    Amounts that are numbers are compared as such, others as texts. The fingerprint is a hash, so what is shuffled is short.
+    Amounts that are numbers are compared as such, others as texts. No process's exchanges are gathered, and equal fingerprints are verified.
     """
     number = fn.number(F.col("amount"))
     amount = F.when(number.isNotNull(), number.cast("string")).otherwise(F.coalesce("amount", F.lit("")))
     line = F.concat_ws(":", "flow", F.lower(F.coalesce(fn.direction(F.col("direction")), F.col("direction"))), amount)
-    each = exchanges.groupBy("id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "|"), 256).alias("fingerprint"))
-    return each.groupBy("fingerprint").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    lines = written(multisets.counted(exchanges, "id", line))
+    same = multisets.classes(lines).groupBy("first").agg(F.count("*").alias("copies")).where("copies > 1")
+    mark = multisets.fingerprints(lines).select(F.col("key").alias("first"), F.sha2(F.concat_ws(":", *multisets.MARK), 256).alias("fingerprint"))
+    return same.join(mark, "first").select("fingerprint", "first", "copies")
 
 
 def loops(exchanges: DataFrame, eps: float = 1e-12) -> DataFrame:
@@ -165,8 +168,8 @@ def loops(exchanges: DataFrame, eps: float = 1e-12) -> DataFrame:
 
 def semantics(flows: DataFrame, elementary: DataFrame, demands: DataFrame, edges: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
     """How often a flow (flow, kind) or elementary flow (flow_idx, kind) is used as its kind does not allow; an unknown one counts."""
-    kind = F.broadcast(flows.select("flow", "kind"))
-    other = F.broadcast(elementary.select(F.col("flow_idx").alias("row_idx"), "kind"))
+    kind = flows.select("flow", "kind")  # both grow with the catalog, so Spark chooses how to join them by their size
+    other = elementary.select(F.col("flow_idx").alias("row_idx"), "kind")
     not_ = lambda k: F.coalesce(F.col("kind") != k, F.lit(True))
     parts = [
         ("provider_decision_non_product_flow", demands.join(kind, "flow", "left").where(not_("product"))),
@@ -182,10 +185,9 @@ def structure(a: DataFrame, n: int, m: DataFrame, eps: float = 1e-12) -> DataFra
     """Places of M's diagonal next to zero, and groups of its columns that are equal."""
     own = linear.merged(a, 0.0).where("row_idx = col_idx").select(F.col("row_idx").alias("id"), "value")
     zero = a.sparkSession.range(n).join(own, "id", "left").where(F.abs(1 - F.coalesce("value", F.lit(0.0))) <= eps)
-    # Columns are compared by a hash of their sorted entries, so that no long signature is shuffled.
     entry = F.concat_ws(":", "row_idx", F.round(F.col("value"), 12))
-    columns = m.where(F.abs("value") > eps).groupBy("col_idx").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ","), 256).alias("s"))
-    equal = columns.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
+    columns = multisets.classes(written(multisets.counted(m.where(F.abs("value") > eps), "col_idx", entry)))
+    equal = columns.groupBy("first").agg(F.count("*").alias("k")).where("k > 1")
     return zero.agg(F.lit("zero_or_near_zero_diagonal").alias("code"), F.count("*").alias("found")).unionByName(equal.agg(F.lit("duplicate_sparse_columns").alias("code"), F.count("*").alias("found")))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import gates, graph, jobs, linear, linking, maps
+from ..operators import gates, graph, jobs, linear, linking, maps, selection
 from ..sources import exports
 from ..sources.network import Network
 from ..sources.tables import numbered, page, pages, running, shared_folder, written
@@ -73,7 +73,7 @@ def so01(n):
     return rows.groupBy("kind").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"))
 
 
-@query("snk06", "SELECT l_suppkey // 16 AS chunk, count(*) AS rows, min(l_suppkey) AS first, max(l_suppkey) AS last, sha256(string_agg(k, chr(10) ORDER BY k)) AS sha256 FROM (SELECT l_suppkey, l_orderkey || ':' || l_linenumber || ':' || l_partkey AS k FROM lineitem) GROUP BY 1", "")
+@query("snk06", "SELECT l_suppkey // 16 AS chunk, count(*) AS rows, min(l_suppkey) AS first, max(l_suppkey) AS last, sha256(count(*) || ':' || sum(('0x' || substr(md5(k), 1, 16))::UBIGINT) || ':' || sum(('0x' || substr(md5(k), 17, 16))::UBIGINT)) AS sha256 FROM (SELECT l_suppkey, l_orderkey || ':' || l_linenumber || ':' || l_partkey AS k FROM lineitem) GROUP BY 1", "")
 def snk06(n):
     """A bundle's manifest: ranges, counts and hashes of its chunks, none of which is missing."""
     rows = n.table("lineitem").select("l_suppkey", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey").alias("line"))
@@ -145,9 +145,9 @@ def jn21(n):
 @query("jn23", ", s AS (SELECT event_type, event_id % 2 = 0 AS base, value FROM events), p AS (SELECT event_type, quantile_disc(value, 0.95) FILTER (WHERE base) AS b, quantile_disc(value, 0.95) FILTER (WHERE NOT base) AS c FROM s GROUP BY 1) SELECT event_type, round((c / b - 1) * 100, 4) AS regression_pct, (c / b - 1) * 100 <= 5 AS passed FROM p", "z AS (SELECT 1)")
 def jn23(n):
     """Paired samples by group: how much the candidate's 95th percentile is above the baseline's, and whether 5 % is kept."""
-    s = n.table("events").withColumn("base", F.col("event_id") % 2 == 0)
-    p95 = lambda cond: F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY value) FILTER (WHERE {cond})")
-    p = s.groupBy("event_type").agg(p95("base").alias("b"), p95("not base").alias("c"))
+    s = n.table("events").withColumn("side", F.struct("event_type", (F.col("event_id") % 2 == 0).alias("base")))
+    p = selection.selected(s, "side", "value", {"p95": selection.nearest_rank(0.95)}).groupBy("side.event_type")
+    p = p.agg(F.max(F.when(F.col("side.base"), F.col("p95"))).alias("b"), F.max(F.when(~F.col("side.base"), F.col("p95"))).alias("c"))
     change = (F.col("c") / F.col("b") - 1) * 100
     return p.select("event_type", F.round(change, 4).alias("regression_pct"), (change <= 5).alias("passed"))
 
@@ -167,9 +167,10 @@ def ag23(n):
 @query("ag25", "SELECT event_type, median(value) AS median, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance, round(stddev_pop(value), 6) AS sd, round(stddev_pop(value) / avg(value), 6) AS cv, min(value) AS least, max(value) AS most FROM events GROUP BY 1", "")
 def ag25(n):
     """Median, nearest-rank 95th percentile, mean, population variance and deviation, also over the mean, extremes."""
-    e, v = n.table("events").groupBy("event_type"), "value"
-    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95")
-    return e.agg(F.median(v).alias("median"), p95, F.round(F.avg(v), 6).alias("mean"), F.round(F.var_pop(v), 4).alias("variance"), F.round(F.stddev_pop(v), 6).alias("sd"), F.round(F.try_divide(F.stddev_pop(v), F.avg(v)), 6).alias("cv"), F.min(v).alias("least"), F.max(v).alias("most"))
+    e, v = n.table("events"), "value"
+    ranks = selection.selected(e, "event_type", v, {"p95": selection.nearest_rank(0.95), **selection.middle()})
+    sums = e.groupBy("event_type").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.var_pop(v), 4).alias("variance"), F.round(F.stddev_pop(v), 6).alias("sd"), F.round(F.try_divide(F.stddev_pop(v), F.avg(v)), 6).alias("cv"), F.min(v).alias("least"), F.max(v).alias("most"))
+    return sums.join(ranks, "event_type").withColumn("median", (F.col("low") + F.col("high")) / 2).drop("low", "high")
 
 
 @query("ag17", "SELECT node, count(*) AS degree, max(count(*)) OVER () AS most FROM (SELECT row_idx AS node FROM a UNION ALL SELECT col_idx FROM a) GROUP BY 1")

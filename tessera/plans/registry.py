@@ -12,8 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import graph, linear, linking
+from ..operators import graph, linear, linking, multisets
 from ..sources.network import FACTORS, FLOWS, Network
+from ..sources.tables import written
 
 _QUERIES: dict[str, Callable[[Network], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -150,9 +151,9 @@ def ag22(n):
 @query("ag15", ", s AS (SELECT col_idx, string_agg(row_idx || ':' || CAST(round(value, 6) * 1000000 AS BIGINT), '|' ORDER BY row_idx) AS sig FROM b GROUP BY 1) SELECT count(*) AS columns, count(DISTINCT sig) AS signatures FROM s")
 def ag15(n):
     """Columns of B with equal signatures."""
-    part = F.struct("row_idx", F.concat_ws(":", "row_idx", (_r("value") * 1_000_000).cast("long")).alias("s"))
-    sig = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["s"]), "|")
-    return n.b.groupBy("col_idx").agg(sig.alias("sig")).agg(F.count("*").alias("columns"), F.countDistinct("sig").alias("signatures"))
+    entry = F.concat_ws(":", "row_idx", (_r("value") * 1_000_000).cast("long"))
+    same = multisets.classes(written(multisets.counted(n.b, "col_idx", entry)))
+    return same.agg(F.count("*").alias("columns"), F.countDistinct("first").alias("signatures"))
 
 
 # Linking
@@ -312,10 +313,16 @@ def wn08(n):
 
 @query("ag13", "SELECT fp, count(*) AS copies FROM (SELECT md5(string_agg(l_returnflag || ':' || l_linestatus, '|' ORDER BY l_returnflag || ':' || l_linestatus)) AS fp FROM lineitem GROUP BY l_orderkey) GROUP BY 1 HAVING count(*) > 1", "")
 def ag13(n):
-    """Fingerprints of an order's multiset of lines that occur more than once."""
-    line = F.concat_ws(":", "l_returnflag", "l_linestatus")
-    fp = n.table("lineitem").groupBy("l_orderkey").agg(F.md5(F.array_join(F.array_sort(F.collect_list(line)), "|")).alias("fp"))
-    return fp.groupBy("fp").agg(F.count("*").alias("copies")).where("copies > 1")
+    """Fingerprints of an order's multiset of lines that occur more than once.
+
+    Orders are told apart by sums of hashes, verified line by line; only the first order of each multiset is written out in order.
+    """
+    lines = written(multisets.counted(n.table("lineitem"), "l_orderkey", F.concat_ws(":", "l_returnflag", "l_linestatus")))
+    same = written(multisets.classes(lines).groupBy("first").agg(F.count("*").alias("copies")).where("copies > 1"))
+    shown = lines.join(same.select(F.col("first").alias("key")), "key", "left_semi")
+    text = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "k"))), lambda x: F.array_repeat(x["line"], x["k"].cast("int")))), "|")
+    fp = shown.groupBy(F.col("key").alias("first")).agg(F.md5(text).alias("fp"))
+    return same.join(fp, "first").select("fp", "copies")
 
 
 @query("sc01", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS signed FROM lineitem", "")

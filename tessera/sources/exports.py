@@ -59,9 +59,10 @@ def impact_axis(axis: DataFrame, default: str | None = None) -> DataFrame:
 
 
 def content_manifest(rows: DataFrame, key: str, line: str, size: int = 256) -> DataFrame:
-    """One row per chunk: chunk, rows, first, last and the hash of its lines in order. A chunk is bounded by its keys' lines."""
-    content = F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256)
-    return chunked(rows, key, size).groupBy("chunk").agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"), content.alias("sha256"))
+    """One row per chunk: chunk, rows, first, last and a hash of the multiset of its lines; sums, so no chunk is gathered."""
+    from ..operators.multisets import digest
+
+    return chunked(rows, key, size).groupBy("chunk").agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"), digest(F.col(line)).alias("sha256"))
 
 
 def fingerprint(rows: DataFrame, modified: str, config: dict) -> DataFrame:

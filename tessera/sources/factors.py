@@ -81,5 +81,5 @@ def lookup(rows: DataFrame, paths: DataFrame, system: str, data_type: str, ids:
     """Rows with the catalog's names (found) for their path, by ids first and by names else; null where it has neither."""
     table = paths.where((F.col("system") == system) & (F.col("data_type") == data_type))
     by = lambda c: table.groupBy(F.array_join(c, "\x1f").alias(f"k_{c}")).agg(F.min(F.array_join("names", " / ")).alias(f"f_{c}"))
-    out = rows.join(F.broadcast(by("ids")), F.array_join(ids, "\x1f") == F.col("k_ids"), "left").join(F.broadcast(by("names")), F.array_join(names, "\x1f") == F.col("k_names"), "left")
+    out = rows.join(by("ids"), F.array_join(ids, "\x1f") == F.col("k_ids"), "left").join(by("names"), F.array_join(names, "\x1f") == F.col("k_names"), "left")
     return out.withColumn("found", F.coalesce("f_ids", "f_names")).drop("k_ids", "k_names", "f_ids", "f_names")
