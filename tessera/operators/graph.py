@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,6 +71,14 @@ def options(depth: int = 4, k: int = 5, cutoff: float = 0.01, nodes: int = 200)
     return {"depth": min(max(depth, 1), 8), "k": min(max(k, 1), 20), "cutoff": share, "nodes": min(max(nodes, 10), 2000)}
 
 
+def bounded(depth: Column, k: Column, cutoff: Column, nodes: Column) -> dict[str, Column]:
+    """The same for requests in a table."""
+    within = lambda c, lo, hi: F.least(F.greatest(c.cast("int"), F.lit(lo)), F.lit(hi))
+    share = cutoff.cast("double")
+    good = (share >= 0) & ~F.isnan(share) & (share != float("inf"))
+    return {"depth": within(depth, 1, 8), "k": within(k, 1, 20), "cutoff": F.when(good, F.least(share, F.lit(1.0))).otherwise(0.01), "nodes": within(nodes, 10, 2000)}
+
+
 @dataclass
 class Branches:
     """What a path search found: rows (root, path, depth, score, reason); the reason is null for a node that was expanded."""

@@ -117,13 +117,11 @@ def batches(candidates: DataFrame, size: int, execute: bool) -> DataFrame:
 PROGRAMS = {"artifact_gc": "artifact_gc", "snapshot_gc": "snapshot_gc", "result_gc": "result_gc", "package_artifact_gc": "package_gc", "process_flow_graph_cache": "process_flow_graph_cache_builder"}
 
 
-def command(kind: str, payload: dict) -> list[str]:
-    """The program and arguments of a maintenance job; it executes only if asked to and not also asked for a dry run."""
-    if kind not in PROGRAMS:
-        raise ValueError(f"unknown maintenance job {kind}")
-    execute = bool(payload.get("execute")) and not (payload.get("dryRun") or payload.get("dry_run"))
-    options = [x for k in sorted(payload) if k not in ("execute", "dryRun", "dry_run") for x in (f"--{k.replace('_', '-')}", str(payload[k]))]
-    return [PROGRAMS[kind], *options, *(["--execute"] if execute else ["--dry-run"])]
+def argv(kind: Column, options: dict[str, Column], execute: Column, dry_run: Column) -> Column:
+    """The program and arguments of a maintenance job; it executes only if asked to and not also asked for a dry run; null for an unknown one."""
+    program = F.try_element_at(F.create_map(*(F.lit(x) for pair in PROGRAMS.items() for x in pair)), kind)
+    given = [F.concat(F.lit(f"--{k.replace('_', '-')} "), options[k].cast("string")) for k in sorted(options)]
+    return F.when(program.isNotNull(), F.concat_ws(" ", program, *given, F.when(execute & ~dry_run, "--execute").otherwise("--dry-run")))
 
 
 def visible(rows: DataFrame, owner: str, role: str, user=None) -> DataFrame:

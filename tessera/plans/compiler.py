@@ -372,18 +372,30 @@ def rd04(n):
     return gates.stability(found).select("sampled", "not_finite", "negative", F.round("least", 6).alias("least"))
 
 
-@query("rd05", "SELECT * FROM (VALUES ('closure first', 'failed', 'repair_provider_closure_then_recheck'), ('compute', 'failed', 'repair_compute_stability_then_recheck'), ('factors', 'failed', 'repair_lcia_factors_then_recheck'), ('graph', 'failed', 'repair_graph_readiness_then_recheck'), ('warning', 'passed', 'manual_review_warnings'), ('info', 'passed', 'publish_ready'), ('none', 'passed', 'publish_ready')) AS t(report, status, next_action)", "")
+#: Findings that orders stand in for: code and severity.
+_FOUND = (("lcia_factors_missing", "blocker"), ("singular_risk_observed", "info"), ("biosphere_entries_missing", "warning"), (None, None), ("provider_closure_unmatched", "blocker"), ("singular_risk_high", "blocker"), ("compute_non_finite_values", "blocker"), ("write_pct_low", "warning"), ("coverage_observed", "info"), (None, None), ("factorization_not_ready", "blocker"))
+_FOUND_SQL = "f AS (SELECT o_custkey, o_orderkey, [" + ", ".join("NULL" if c is None else f"'{c}'" for c, _ in _FOUND) + "][(o_orderkey + o_custkey) % 11 + 1] AS code, [" + ", ".join("NULL" if x is None else f"'{x}'" for _, x in _FOUND) + "][(o_orderkey + o_custkey) % 11 + 1] AS severity FROM orders)"
+_ACTION_SQL = "CASE WHEN bool_or(severity = 'blocker' AND code LIKE 'provider_closure%') THEN 'repair_provider_closure_then_recheck' WHEN bool_or(severity = 'blocker' AND (code LIKE 'factorization%' OR code LIKE 'compute%')) THEN 'repair_compute_stability_then_recheck' WHEN bool_or(severity = 'blocker' AND code LIKE 'lcia%') THEN 'repair_lcia_factors_then_recheck' WHEN bool_or(severity = 'blocker') THEN 'repair_graph_readiness_then_recheck' WHEN bool_or(severity = 'warning') THEN 'manual_review_warnings' ELSE 'publish_ready' END"
+
+
+def _findings(n: Network) -> DataFrame:
+    """Findings of customers' orders; a customer is a report."""
+    x = F.get(F.array(*(F.struct(F.lit(c).cast("string").alias("code"), F.lit(s).cast("string").alias("severity")) for c, s in _FOUND)), ((F.col("o_orderkey") + F.col("o_custkey")) % 11).cast("int"))
+    return n.table("orders").select("o_custkey", "o_orderkey", x.alias("x")).select("o_custkey", "o_orderkey", "x.*")
+
+
+@query("rd05", f"SELECT o_custkey AS report, CASE WHEN bool_or(severity = 'blocker') THEN 'failed' ELSE 'passed' END AS status, {_ACTION_SQL} AS next_action FROM f GROUP BY 1", _FOUND_SQL)
 def rd05(n):
-    """Status and next action of reports from their findings."""
-    rows = [("closure first", "lcia_factors_missing", "blocker"), ("closure first", "provider_closure_unmatched", "blocker"), ("compute", "compute_non_finite_values", "blocker"), ("compute", "lcia_factors_missing", "blocker"), ("factors", "lcia_factors_missing", "blocker"), ("graph", "singular_risk_high", "blocker"), ("warning", "biosphere_entries_missing", "warning"), ("info", "singular_risk_observed", "info"), ("none", None, None)]
-    return gates.status(n.spark.createDataFrame(rows, "report string, code string, severity string"), "report")
+    """Status and next action of each customer's report from its findings."""
+    return gates.status(_findings(n), "o_custkey").withColumnRenamed("o_custkey", "report")
 
 
-@query("sc26", "SELECT * FROM (VALUES ('factorization_not_ready', 'repair_compute_stability_then_recheck'), ('provider_closure_unmatched', 'repair_provider_closure_then_recheck'), ('lcia_factors_missing', 'repair_lcia_factors_then_recheck'), ('singular_risk_high', 'repair_graph_readiness_then_recheck')) AS t(code, next_action)", "")
+@query("sc26", f"SELECT code, next_action, count(*) AS reports FROM (SELECT o_orderkey, any_value(code) AS code, {_ACTION_SQL} AS next_action FROM f WHERE code IS NOT NULL GROUP BY 1) GROUP BY 1, 2", _FOUND_SQL)
 def sc26(n):
-    """What a single blocker asks for."""
-    rows = [(c, c, "blocker") for c in ("factorization_not_ready", "provider_closure_unmatched", "lcia_factors_missing", "singular_risk_high")]
-    return gates.status(n.spark.createDataFrame(rows, "report string, code string, severity string"), "report").select(F.col("report").alias("code"), "next_action")
+    """What a single finding asks for, and how many orders have it."""
+    one = _findings(n).where("code is not null")
+    asked = gates.status(one, "o_orderkey").join(one.select("o_orderkey", "code"), "o_orderkey")
+    return asked.groupBy("code", "next_action").agg(F.count("*").alias("reports"))
 
 
 @query("rq01", _COVER + "SELECT category, findings, CASE WHEN findings > 0 THEN 'findings' ELSE 'clear' END AS status FROM (SELECT 'completeness' AS category, (pct < 100)::BIGINT + (unmatched > 0)::BIGINT AS findings FROM cov UNION ALL SELECT 'numerical_stability', (unresolved > 0)::BIGINT FROM cov)")

@@ -383,16 +383,15 @@ def op12(n):
     return _union([jobs.batches(rows, 1000, execute).groupBy("done", "batch").agg(F.count("*").alias("results")) for execute in (False, True)])
 
 
-@query("op13", "SELECT * FROM (VALUES (0, 'result_gc --max-batches 3 --dry-run'), (1, 'result_gc --max-batches 3 --execute'), (2, 'package_gc --dry-run'), (3, 'unknown')) AS t(i, argv)", "")
+_JOBS = ("result_gc", "package_artifact_gc", "other", "snapshot_gc")
+
+
+@query("op13", "SELECT argv, count(*) AS jobs FROM (SELECT CASE WHEN program IS NOT NULL THEN program || ' --max-batches ' || (o_custkey % 3) || CASE WHEN o_orderstatus <> 'F' AND o_orderkey % 2 = 0 THEN ' --execute' ELSE ' --dry-run' END END AS argv FROM (SELECT *, ['result_gc', 'package_gc', NULL, 'snapshot_gc'][o_orderkey % 4 + 1] AS program FROM orders)) GROUP BY 1", "")
 def op13(n):
-    """Maintenance jobs as programs with arguments; a dry run holds against a wish to execute, an unknown job is an error."""
-    cases = [("result_gc", {"max_batches": 3}), ("result_gc", {"max_batches": 3, "execute": True}), ("package_artifact_gc", {"execute": True, "dryRun": True})]
-    rows = [(i, " ".join(jobs.command(k, p))) for i, (k, p) in enumerate(cases)]
-    try:
-        jobs.command("other", {})
-    except ValueError:
-        rows.append((3, "unknown"))
-    return n.spark.createDataFrame(rows, "i int, argv string")
+    """Maintenance jobs that orders ask for as programs with arguments; a dry run holds against a wish to execute, an unknown job has none."""
+    kind = F.get(F.array(*map(F.lit, _JOBS)), (F.col("o_orderkey") % 4).cast("int"))
+    argv = jobs.argv(kind, {"max_batches": F.col("o_custkey") % 3}, F.col("o_orderstatus") != "F", F.col("o_orderkey") % 2 == 1)
+    return n.table("orders").groupBy(argv.alias("argv")).agg(F.count("*").alias("jobs"))
 
 
 @query("op14", "SELECT 'service' AS role, count(*) AS rows FROM orders UNION ALL SELECT 'authenticated', count(*) FROM orders WHERE o_custkey = 7 UNION ALL SELECT 'anonymous', 0", "")

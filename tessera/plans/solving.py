@@ -346,18 +346,14 @@ def src12(n):
     return exports.read_lines(n.spark, path, "process_idx int, location string", n.n)
 
 
-@query("src13", "SELECT 1 AS kept, 1 AS refused, true AS verified", "")
+@query("src13", "SELECT part, sha256(string_agg(o_orderkey || chr(10), '' ORDER BY o_orderkey)) AS sha256, sum(length(o_orderkey::VARCHAR) + 1)::BIGINT AS length, (sum(length(o_orderkey::VARCHAR) + 1) > 4096) AS refused FROM (SELECT o_orderkey, o_orderkey % 16 AS part FROM orders) GROUP BY 1", "")
 def src13(n):
-    """Objects are read up to a bound and checked by hash; a longer one is refused before it is read."""
+    """Objects with their hashes, and which are longer than a bound and would be refused before they are read."""
     path = shared_folder(n.spark)
-    n.table("region").coalesce(1).write.json(path)
-    found = artifacts.files(n.spark, path, limit=1 << 20).where("name like 'part-%'").collect()
-    try:
-        artifacts.files(n.spark, path, limit=1)
-        refused = 0
-    except ValueError:
-        refused = 1
-    return n.spark.createDataFrame([(len(found), refused, all(len(r.sha256) == 64 for r in found))], "kept int, refused int, verified boolean")
+    rows = n.table("orders").select("o_orderkey", (F.col("o_orderkey") % 16).alias("part"))
+    rows.repartition(16, "part").sortWithinPartitions("part", "o_orderkey").select(F.col("o_orderkey").cast("string").alias("value"), "part").write.partitionBy("part").text(path)
+    found = artifacts.files(n.spark, path, limit=1 << 30, partitions=True).where("name like 'part-%'")
+    return found.select(F.col("part").cast("long").alias("part"), "sha256", "length", (F.col("length") > 4096).alias("refused"))
 
 
 @query("snk14", "SELECT o_custkey AS snapshot_id, o_orderkey AS result_id, strftime(o_orderdate, '%Y-%m-%d') AS computed_at FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1", "")
@@ -462,17 +458,20 @@ def ag24(n):
     return by.agg(F.count("*").alias("groups"), F.round(F.max("m"), 6).alias("abs_inf"), F.round(F.max("l"), 6).alias("l2"), F.bool_and(F.col("m") <= 1e4).alias("passed"), F.max_by("grp", F.struct("m", "grp")).alias("worst"))
 
 
-@query("flt15", "SELECT i AS impact_index, k AS impact_key FROM (VALUES " + ", ".join(str((i, x[0])) for i, x in enumerate(IMPACTS)) + ") AS t(i, k) WHERE k = 'AP'", "")
+@query("flt15", f"SELECT k AS impact_key, list_position({[x[0] for x in IMPACTS]}, k) - 1 AS impact_index, count(*) AS requests FROM (SELECT ['GWP', 'EP', 'AP', 'none'][event_id % 4 + 1] AS k FROM events) GROUP BY 1", "")
 def flt15(n):
-    """An impact's position by its key."""
-    return n.spark.createDataFrame([(i, x[0]) for i, x in enumerate(IMPACTS)], "impact_index int, impact_key string").where("impact_key = 'AP'")
+    """The positions of the impacts that events ask for by key; null for one that the axis lacks."""
+    axis = n.spark.createDataFrame([(i, x[0]) for i, x in enumerate(IMPACTS)], "impact_index int, impact_key string")
+    asked = n.table("events").groupBy(F.get(F.array(*map(F.lit, ("GWP", "EP", "AP", "none"))), (F.col("event_id") % 4).cast("int")).alias("impact_key")).agg(F.count("*").alias("requests"))
+    return asked.join(axis, "impact_key", "left").select("impact_key", "impact_index", "requests")
 
 
-@query("op02", "SELECT i AS impact_index, printf('%08x-0000-4000-8000-%012x', 3, i) AS impact_id, k = 'AP' AS is_default FROM (VALUES " + ", ".join(str((i, x[0])) for i, x in enumerate(IMPACTS)) + ") AS t(i, k)", "")
+@query("op02", "SELECT s_suppkey AS impact_index, printf('%08x-0000-4000-8000-%012x', 3, s_suppkey) AS impact_id, s_suppkey = (SELECT max(s_suppkey) FROM supplier) AS is_default FROM supplier", "")
 def op02(n):
-    """The impact axis of a package and its default, asked for by key or id; one that the axis lacks is an error."""
-    axis = n.spark.createDataFrame([(i, x[0]) for i, x in enumerate(IMPACTS)], "impact_index int, impact_key string").withColumn("impact_id", fn.uuid(3, F.col("impact_index")))
-    return exports.impact_axis(axis, "AP").select("impact_index", "impact_id", "is_default")
+    """The axis of a package, suppliers standing in for impacts, and its default, asked for by key; one that the axis lacks is an error."""
+    s = n.table("supplier")
+    axis = s.select(F.col("s_suppkey").alias("impact_index"), F.col("s_name").alias("impact_key"), fn.uuid(3, F.col("s_suppkey")).alias("impact_id"))
+    return exports.impact_axis(axis, s.agg(F.max_by("s_name", "s_suppkey")).first()[0]).select("impact_index", "impact_id", "is_default")
 
 
 assert len(FLOWS) == 6

@@ -18,6 +18,16 @@ def _k():
     return F.col("l_linenumber")
 
 
+def _sql(values) -> str:
+    """A list of texts in SQL."""
+    return "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in values) + "]"
+
+
+def _of(values, key):
+    """The text of a row, by its key in turn."""
+    return F.get(F.array(*map(F.lit, values)), (key % len(values)).cast("int"))
+
+
 _LINE = "SELECT l_orderkey, l_linenumber, "
 
 
@@ -37,10 +47,14 @@ def sc05(n):
     return n.table("lineitem").select("l_orderkey", "l_linenumber", F.round(fn.fraction(text), 6).alias("fraction"), fn.full_share(text).alias("is_full"))
 
 
-@query("sc06", "SELECT t, CASE WHEN t IN ('closed', 'open', 'cutoff') THEN t END AS policy FROM (VALUES ('closed'), ('open'), ('cutoff'), ('Closed'), (''), ('sealed')) AS v(t)", "")
+_BOUNDARIES = ("closed", "open", "cutoff", "Closed", "", "sealed")
+
+
+@query("sc06", f"SELECT o_orderstatus, t, CASE WHEN t IN ('closed', 'open', 'cutoff') THEN t END AS policy, count(*) AS orders FROM (SELECT o_orderstatus, {_sql(_BOUNDARIES)}[o_custkey % 6 + 1] AS t FROM orders) GROUP BY ALL", "")
 def sc06(n):
-    """Boundary policies from texts; others are none."""
-    return n.spark.createDataFrame([(t,) for t in ("closed", "open", "cutoff", "Closed", "", "sealed")], "t string").select("t", fn.boundary(F.col("t")).alias("policy"))
+    """Boundary policies that orders name; other texts are none."""
+    t = n.table("orders").select("o_orderstatus", _of(_BOUNDARIES, F.col("o_custkey")).alias("t"))
+    return t.groupBy("o_orderstatus", "t", fn.boundary(F.col("t")).alias("policy")).agg(F.count("*").alias("orders"))
 
 
 @query("sc07", _LINE + "(l_quantity * 1000)::BIGINT AS amount FROM lineitem", "")
@@ -84,11 +98,14 @@ def sc11(n):
     return n.table("part").select("p_partkey", fn.normal_version(v).alias("version"), fn.compare_versions(v, F.concat(F.lit("10.03."), F.col("p_size").cast("string"))).alias("compared"))
 
 
-@query("sc12", "SELECT * FROM (VALUES ('process data set', 'processes'), ('Flow', 'flows'), ('flow  property data set', 'flowproperties'), ('lifeCycleModel data set', 'lifecyclemodels'), ('LCIA method', 'lciamethods'), ('unit group', 'unitgroups'), ('other external file', NULL)) AS t(kind, category)", "")
+_DATASETS = {"process data set": "processes", "Flow": "flows", "flow  property data set": "flowproperties", "lifeCycleModel data set": "lifecyclemodels", "LCIA method": "lciamethods", "unit group": "unitgroups", "other external file": None}
+
+
+@query("sc12", f"SELECT p_brand, {_sql(_DATASETS.values())}[p_partkey % 7 + 1] AS category, count(*) AS parts FROM part GROUP BY ALL", "")
 def sc12(n):
-    """Categories of dataset types."""
-    kinds = ("process data set", "Flow", "flow  property data set", "lifeCycleModel data set", "LCIA method", "unit group", "other external file")
-    return n.spark.createDataFrame([(k,) for k in kinds], "kind string").select("kind", fn.category(F.col("kind")).alias("category"))
+    """Categories of the dataset types that parts are declared as, by brand."""
+    kind = _of(tuple(_DATASETS), F.col("p_partkey"))
+    return n.table("part").groupBy("p_brand", fn.category(kind).alias("category")).agg(F.count("*").alias("parts"))
 
 
 _ROLES = (
@@ -104,11 +121,12 @@ _ROLES = (
 )
 
 
-@query("sc13", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _ROLES) + ") AS t(source, target, path, role, action)", "")
+@query("sc13", f"SELECT l_returnflag, role, action, count(*) AS lines FROM (SELECT l_returnflag, {_sql(r[3] for r in _ROLES)}[(l_orderkey + l_linenumber) % {len(_ROLES)} + 1] AS role, {_sql(r[4] for r in _ROLES)}[(l_orderkey + l_linenumber) % {len(_ROLES)} + 1] AS action FROM lineitem) GROUP BY ALL", "")
 def sc13(n):
-    """What references are for and what a calculation does with them."""
-    df = n.spark.createDataFrame([r[:3] for r in _ROLES], "source string, target string, path string").withColumn("role", fn.reference_role(F.col("source"), F.col("target"), F.col("path")))
-    return df.withColumn("action", fn.reference_action(F.col("role"), "review_submit"))
+    """What the references that lines make are for, and what a calculation does with them."""
+    refs = F.get(F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(("source", "target", "path"), r, strict=False))) for r in _ROLES)), ((F.col("l_orderkey") + F.col("l_linenumber")) % len(_ROLES)).cast("int"))
+    role = n.table("lineitem").select("l_returnflag", refs.alias("r")).withColumn("role", fn.reference_role(F.col("r.source"), F.col("r.target"), F.col("r.path")))
+    return role.groupBy("l_returnflag", "role", fn.reference_action(F.col("role"), "review_submit").alias("action")).agg(F.count("*").alias("lines"))
 
 
 @query("sc14", "SELECT s_suppkey, s_suppkey % 3 = 0 AS is_id, s_suppkey % 4 IN (0, 1) AS is_version FROM supplier", "")
@@ -141,11 +159,11 @@ def sc16(n):
 _PLACES = ("CN", "CN-BJ", "cn-xx", "uk", "DE-BY", "RER", "GLO", "FR", "", None)
 
 
-@query("sc17", "SELECT * FROM (VALUES (0, 'CN', NULL), (1, 'CN', 'BJ'), (2, 'CN', NULL), (3, 'GB', NULL), (4, 'DE', NULL), (5, NULL, NULL), (6, NULL, NULL), (7, NULL, NULL), (8, NULL, NULL), (9, NULL, NULL)) AS t(i, country, province)", "")
+@query("sc17", f"SELECT country, province, count(*) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM (SELECT ['CN', 'CN', 'CN', 'GB', 'DE', NULL, NULL, NULL, NULL, NULL][s_suppkey % 10 + 1] AS country, CASE WHEN s_suppkey % 10 = 1 THEN 'BJ' END AS province, s_acctbal FROM supplier) GROUP BY ALL", "")
 def sc17(n):
-    """Countries and provinces of places that a map has; France is not on this one."""
-    df = n.spark.createDataFrame(list(enumerate(_PLACES)), "i int, place string")
-    return df.select("i", fn.region_key(F.col("place"), ["DE", "GB"]).alias("country"), fn.province(F.col("place"), ["BJ", "SH"]).alias("province"))
+    """Suppliers by the country and province of their places that a map has; France is not on this one."""
+    s = n.table("supplier").select("s_acctbal", _of(_PLACES, F.col("s_suppkey")).alias("place"))
+    return s.groupBy(fn.region_key(F.col("place"), ["DE", "GB"]).alias("country"), fn.province(F.col("place"), ["BJ", "SH"]).alias("province")).agg(F.count("*").alias("suppliers"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
 
 
 @query("sc18", """SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 THEN sha256('{"a":' || s_nationkey || ',"name":"' || s_name || '","z":[' || s_suppkey || ',null]}') END AS digest FROM supplier""", "")
@@ -163,11 +181,12 @@ def sc19(n):
     return n.table("part").select("p_partkey", fn.link_id("world", F.col("p_brand"), text("p_partkey"), text("p_size")).alias("link"))
 
 
-@query("sc20", "SELECT * FROM (VALUES (0, 4, 5, 0.01::DOUBLE, 200), (1, 1, 1, 0.01, 10), (2, 8, 20, 1.0, 2000)) AS t(i, depth, k, cutoff, nodes)", "")
+@query("sc20", "SELECT least(greatest(l_linenumber - 1, 1), 8)::INT AS depth, least(greatest(l_quantity::INT - 5, 1), 20)::INT AS k, CASE WHEN l_discount >= 0.05 THEN least(l_discount * 20, 1.0) ELSE 0.01 END::DOUBLE AS cutoff, least(greatest(l_partkey * 3, 10), 2000)::INT AS nodes, count(*) AS requests FROM lineitem GROUP BY ALL", "")
 def sc20(n):
-    """Bounds of a path search brought into their ranges."""
-    found = [graph.options(), graph.options(0, 0, -1.0, 0), graph.options(99, 99, 9.0, 99_999)]
-    return n.spark.createDataFrame([(i, *x.values()) for i, x in enumerate(found)], "i int, depth int, k int, cutoff double, nodes int")
+    """Bounds of path searches that lines ask for, brought into their ranges."""
+    share = F.when(F.col("l_discount") >= 0.05, F.col("l_discount") * 20).otherwise(-F.col("l_discount") - 1)
+    bounds = graph.bounded(F.col("l_linenumber") - 1, F.col("l_quantity").cast("int") - 5, share, F.col("l_partkey") * 3)
+    return n.table("lineitem").groupBy(*(c.alias(name) for name, c in bounds.items())).agg(F.count("*").alias("requests"))
 
 
 def _unit_sql(salt: int) -> str:

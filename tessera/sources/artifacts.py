@@ -102,12 +102,13 @@ def decoded(artifacts: DataFrame, kind: str, schema: str) -> DataFrame:
     return artifacts.where(F.col("format") == kind).mapInArrow(f, schema)
 
 
-def files(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(name, length, sha256) of the files below a path. A file over ``limit`` bytes is an error, found before any is read."""
+def files(spark: SparkSession, path: str, limit: int | None = None, partitions: bool = False) -> DataFrame:
+    """(name, length, sha256) of the files below a path, and the columns that its folders name if ``partitions``. A file over ``limit`` bytes is an error, found before any is read."""
     found = spark.read.format("binaryFile").load(path)
     if limit is not None and (large := found.where(F.col("length") > limit).select("path").first()):
         raise ValueError(f"{large.path} is longer than {limit} bytes")
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    more = [c for c in found.columns if c not in ("path", "modificationTime", "length", "content")] if partitions else []
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"), *more)
 
 
 def check_files(found: DataFrame, expected: DataFrame) -> None:
