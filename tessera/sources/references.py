@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CATEGORIES
-from .tables import written
+from .tables import numbered, written
 
 FOUND = "category string, id string, version string, reference_key string, target_category string, target_id string, requested string, role string, json_path string, empty boolean, issue string"
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}")
@@ -115,16 +115,25 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def affected(edges: DataFrame, sources: DataFrame, roots: DataFrame) -> DataFrame:
     """(source, root) for every root from which a source (a document with an issue) is reached, itself included.
 
-    Each round goes one edge back from all sources together, and a document is visited once for each source.
+    Sources are numbered, and a document holds those that it reaches as bits, 64 to a row. Each round sends the bits that are
+    new one edge back and ors them, so a round has a row for each edge and 64 sources at most, cycles end by themselves, and sources are
+    told apart again for roots alone.
     """
     e = written(edges.select("src", "dst").distinct())
-    seen = front = written(sources.select(F.col("node").alias("source"), "node").distinct())
+    number = written(numbered(sources.select(F.col("node").alias("source")).distinct(), ["source"], "i"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("i", F.lit(64)).cast("int"))
+    front = written(number.select(F.col("source").alias("node"), F.floor(F.col("i") / 64).alias("word"), bit.alias("bits")))
+    front = seen = written(front.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
     while True:
-        back = front.join(e, front["node"] == e["dst"]).select("source", F.col("src").alias("node")).distinct()
-        front = written(back.join(seen, ["source", "node"], "left_anti"))
+        back = front.join(e, front["node"] == e["dst"]).groupBy(F.col("src").alias("node"), "word").agg(F.bit_or("bits").alias("got"))
+        fresh = F.col("got").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("long"))))
+        front = written(back.join(seen, ["node", "word"], "left").select("node", "word", fresh.alias("bits")).where("bits <> 0"))
         if not front.limit(1).count():
-            return seen.join(roots.select("node").distinct(), "node", "left_semi").select("source", F.col("node").alias("root"))
-        seen = seen.unionByName(front)
+            break
+        seen = written(seen.unionByName(front).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    held = seen.join(roots.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("root"), "word", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b"))
+    held = held.where(F.call_function("shiftrightunsigned", F.col("bits"), F.col("b")).bitwiseAND(F.lit(1)) == 1)
+    return held.select("root", (F.col("word") * 64 + F.col("b")).alias("i")).join(number, "i").select("source", "root")
 
 
 def provenance(refs: DataFrame, samples: int = 8) -> DataFrame:

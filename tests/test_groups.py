@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import multisets, selection
 from tessera.plans import registry
+from tessera.sources import references
 from tessera.sources.tables import written
 
 
@@ -72,3 +73,22 @@ def test_answers_follow_rewritten_tables(spark, tmp_path):
     shutil.copytree(tmp_path / "new", tmp_path / "lineitem.parquet")
     after = ask()
     assert {k: v for k, v in after} == pytest.approx({k: 2 * v for k, v in before}, abs=2e-6)
+
+
+def test_affected_roots_by_bits(spark):
+    """More sources than bits of a row, cycles, sources that are roots, and roots that reach nothing, against a search from each root."""
+    rng = np.random.default_rng(5)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 400, (700, 2))} | {(400 + i, 400 + (i + 1) % 50) for i in range(50)}
+    sources, roots = [*range(0, 300, 2), 425, 999], [*range(1, 400, 7), 400, 449, 999, 1000]
+    got = references.affected(spark.createDataFrame(sorted(pairs), "src int, dst int"), spark.createDataFrame([(i,) for i in sources], "node int"), spark.createDataFrame([(i,) for i in roots + roots[:3]], "node int"))
+    want = set()
+    for root in roots:
+        seen, todo = {root}, [root]
+        while todo:
+            at = todo.pop()
+            new = {b for a, b in pairs if a == at} - seen
+            seen |= new
+            todo += new
+        want |= {(i, root) for i in seen & set(sources)}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
