@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import graph
+from ..operators import graph, layout
 from ..sources import documents
 from ..sources.tables import numbered
 from .registry import query
@@ -232,6 +232,15 @@ def gr16(n):
     return rows.select("n_name", F.round(F.cos(t) * ring, 3).alias("x"), F.round(F.sin(t) * ring, 3).alias("y"), F.round(z * 310, 3).alias("z"))
 
 
+@query("gr16_topology", "", "")
+def gr16_topology(n):
+    """Suppliers and the parts that they deliver laid out by who delivers what: 16 of the 72 rounds, as each is a job; a test holds it against a plain version."""
+    edges = n.table("lineitem").select(F.concat(F.lit("p"), "l_suppkey").alias("process"), F.concat(F.lit("f"), "l_partkey").alias("flow")).distinct()
+    ends = edges.select(F.inline(F.array(F.struct(F.lit("process").alias("kind"), F.col("process").alias("id")), F.struct(F.lit("flow").alias("kind"), F.col("flow").alias("id")))))
+    at = layout.expanded(ends.groupBy("kind", "id").agg(F.count("*").alias("degree")), edges, rounds=16)
+    return at.select("id", *(F.round(c, 2).alias(c) for c in "xyz"))
+
+
 @query("wn10", "SELECT s_name, row_number() OVER (ORDER BY s_name) - 1 AS idx FROM supplier", "")
 def wn10(n):
     """The processes' axis: places in the order of their names, numbered part by part."""
