@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import graph, linear
+from ..operators import graph, linear, linking, snapshots
 from ..sources import artifacts, exports, results
 from ..sources.network import FLOWS, Network
 from ..sources.tables import shared_folder, written
@@ -167,6 +167,48 @@ def ss03(n):
     return n.spark.createDataFrame([(v, models.status(v) or "evicted") for v in ("a", "b", "c")], "version string, state string")
 
 
+# Snapshots
+
+
+class _Before(Network):
+    """The tables before their last order came."""
+
+    def table(self, name: str) -> DataFrame:
+        rows = super().table(name)
+        return rows.join(F.broadcast(rows.agg(F.max("l_orderkey").alias("l_orderkey"))), "l_orderkey", "left_anti") if name == "lineitem" else rows
+
+
+def _elementary(n: Network) -> DataFrame:
+    return n.table("lineitem").select("l_suppkey", "l_returnflag", "l_linestatus", "l_extendedprice")
+
+
+def _marks(n: Network) -> tuple[DataFrame, DataFrame]:
+    """Marks of A's and B's columns."""
+    return written(snapshots.technosphere_marks(n.nearest, n.offers)), written(snapshots.column_marks(_elementary(n), "l_suppkey", "l_returnflag", "l_linestatus", "l_extendedprice"))
+
+
+def _followed(old: Network, new: Network) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A and B of the new tables from those of the old, with the changed columns alone built anew: a, b, h and the changed columns of both."""
+    a, b = written(old.a), written(old.b)
+    d = linear.product(old.c, b)
+    solver = linear.Solver(linear.transposed(linear.identity_minus(a, old.n)), old.n)
+    h = written(solver.solve(d.select(F.col("row_idx").alias("rhs"), F.col("col_idx").alias("idx"), "value")).select(F.col("rhs").alias("row_idx"), F.col("idx").alias("col_idx"), "value"))
+    at_a, at_b = (written(snapshots.changed(p, q)) for p, q in zip(_marks(old), _marks(new), strict=True))
+    part = new.nearest.join(at_a.withColumnRenamed("col_idx", "consumer"), "consumer", "left_semi")
+    new_a = written(snapshots.replaced(a, at_a, linking.technosphere(linking.routed(part, new.offers))))
+    new_b = written(snapshots.replaced(b, at_b, new.b.join(at_b, "col_idx", "left_semi")))
+    more_a = snapshots.difference(new_a.join(at_a, "col_idx", "left_semi"), a.join(at_a, "col_idx", "left_semi"))
+    more_d = linear.product(new.c, snapshots.difference(new_b.join(at_b, "col_idx", "left_semi"), b.join(at_b, "col_idx", "left_semi")))
+    return new_a, new_b, snapshots.mended(h, solver, more_a.withColumn("value", -F.col("value")), more_d), at_a, at_b
+
+
+@query("cp18_update", "SELECT row_idx AS impact, col_idx AS process_idx, round(value, 6) AS amount FROM h", SOLVED)
+def cp18_update(n):
+    """Impacts of all units after the last order came, mended from those before it; the columns that it touches alone are built anew."""
+    h = _followed(_Before(n.spark, n.dir), n)[2]
+    return h.select(F.col("row_idx").alias("impact"), F.col("col_idx").alias("process_idx"), F.round("value", 6).alias("amount"))
+
+
 # Stored results
 
 

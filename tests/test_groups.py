@@ -92,3 +92,43 @@ def test_affected_roots_by_bits(spark):
         want |= {(i, root) for i in seen & set(sources)}
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_a_changed_order_rebuilds_its_columns_alone(spark):
+    from tessera.plans import solving
+    from tessera.sources.network import Network
+
+    data = "/root/testdata/sf0.01"
+    old, new = solving._Before(spark, data), Network(spark, data)
+    a, b, h, at_a, at_b = solving._followed(old, new)
+    last = new.table("lineitem").join(new.table("lineitem").agg(F.max("l_orderkey").alias("l_orderkey")), "l_orderkey").select("l_suppkey").distinct()
+    touched = {r.l_suppkey for r in last.collect()}
+    assert {r.col_idx for r in at_b.collect()} == touched and touched <= {r.col_idx for r in at_a.collect()}
+    assert at_a.count() < new.n / 2
+    cells = lambda m: {(r.row_idx, r.col_idx): r.value for r in m.collect()}
+    assert cells(a) == pytest.approx(cells(new.a)) and cells(b) == pytest.approx(cells(new.b))
+    from tessera.operators import linear
+
+    assert cells(h) == pytest.approx(cells(linear.adjoint(new.a, linear.product(new.c, new.b), new.n)), abs=1e-9)
+
+
+def test_mended_impacts_equal_solved_ones(spark, monkeypatch):
+    from tessera.operators import linear, snapshots
+
+    rng = np.random.default_rng(8)
+    n = 12
+    m = np.eye(n) * 3 - rng.random((n, n))
+    u = np.zeros((n, n))
+    u[:, [2, 5, 7]] = rng.random((n, 3)) * 0.3
+    d, more = rng.random((2, n)), np.zeros((2, n))
+    more[:, 4] = 1.0
+    table = lambda x: spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "row_idx int, col_idx int, value double")
+    solver = linear.Solver(linear.transposed(table(m)), n)
+    got = snapshots.mended(table(d @ np.linalg.inv(m)), solver, table(u), table(more))
+    x = np.zeros((2, n))
+    for r in got.collect():
+        x[r.row_idx, r.col_idx] = r.value
+    assert x == pytest.approx((d + more) @ np.linalg.inv(m + u), abs=1e-10)
+    monkeypatch.setattr(snapshots, "MOST", 2)
+    with pytest.raises(ValueError, match="anew"):
+        snapshots.mended(table(d), solver, table(u), table(more))
