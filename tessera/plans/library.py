@@ -336,7 +336,7 @@ def src09(n):
     """Factors from an index, written and read compressed, whose records hold one or a list of them."""
     path = shared_folder(n.spark)
     _index(n).write.option("compression", "gzip").text(path)
-    return factors.parsed(n.spark.read.option("wholetext", False).text(path), "value")
+    return factors.parsed(factors.read(n.spark, path))
 
 
 _CARD = "card AS (SELECT method, count(*) AS entries, count(DISTINCT (p, direction)) AS distinct_keys, count(*) - count(DISTINCT (p, direction)) AS duplicates FROM fac GROUP BY 1)"

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import graph, layout
-from ..sources import documents
-from ..sources.tables import numbered
+from ..sources import documents, tiles
+from ..sources.tables import numbered, shared_folder
 from .registry import query
 
 
@@ -232,6 +232,15 @@ def gr16(n):
     return rows.select("n_name", F.round(F.cos(t) * ring, 3).alias("x"), F.round(F.sin(t) * ring, 3).alias("y"), F.round(z * 310, 3).alias("z"))
 
 
+@query("st07_viewport", "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 950 AND 980", "")
+def st07_viewport(n):
+    """Parts in a window of size and price, from files along a space-filling curve of which only those are opened that the window touches."""
+    points = n.table("part").select("p_partkey", "p_size", "p_retailprice")
+    path = shared_folder(n.spark)
+    tiles.write(points, path, "p_size", "p_retailprice")
+    return tiles.view(n.spark, path, points.schema, 10, 20, 950, 980, "p_size", "p_retailprice")
+
+
 @query("gr16_topology", "", "")
 def gr16_topology(n):
     """Suppliers and the parts that they deliver laid out by who delivers what: 16 of the 72 rounds, as each is a job; a test holds it against a plain version."""

@@ -1,18 +1,98 @@
 """Characterisation factors: a bundle whose parts are checked by hash, size and count, and its index of factors.
 
-The index is one JSON object: keys are a flow's id and a direction, values hold one factor or a list. It is read as a
-relation; its top level is exploded in Spark, so no object of all factors is built.
+The index is one JSON object: keys are a flow's id and a direction, values hold one factor or a list. It is read piece by piece,
+however large it is: Spark's reader cuts the text at commas, and pieces are put together to records of the top level as
+they come. No cell holds more than a record, and the object is never built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIRECTIONS = ("INPUT", "OUTPUT")
 _RECORD = "struct<flow_id: string, flow_version: string, direction: string, factor: string>"
 
 
+def entries(pieces: Iterator[str]) -> Iterator[str]:
+    """The entries of the top level of JSON objects, each with its key, from a text cut at commas; objects may follow each other.
+
+    A text that ends inside an object, or holds anything else, is an error.
+    """
+    depth, quoted, held, any_ = 0, False, [], False
+    for piece in pieces:
+        start, i = 0, 0
+        while i < len(piece):
+            c = piece[i]
+            if quoted:
+                i += c == "\\"
+                quoted = c != '"'
+            elif c == "{" and depth == 0:
+                depth, start, any_ = 1, i + 1, True
+            elif depth == 0:
+                if not c.isspace():
+                    raise ValueError("an index is an object")
+            elif c == '"':
+                quoted = True
+            elif c in "{[":
+                depth += 1
+            elif c in "}]":
+                depth -= 1
+                if depth == 0:
+                    held.append(piece[start:i])
+                    if "".join(held).strip():
+                        yield ",".join(held)
+                    held = []
+            i += 1
+        if i > len(piece):
+            raise ValueError("an escape is cut off")
+        if depth:
+            held.append(piece[start:])
+            if depth == 1 and not quoted:
+                yield ",".join(held)
+                held = []
+    if depth or quoted or not any_:
+        raise ValueError("an index is cut off")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(json) of each record of the indexes at a path, gzip or plain, an object of one entry; files are read as streams.
+
+    A compressed file is one task's stream. A plain one must not be cut by ``spark.sql.files.maxPartitionBytes``, so larger ones have to be compressed.
+    """
+
+    def f(batches):
+        def pieces():
+            for b in batches:
+                yield from b.column(0).to_pylist()
+
+        out, size = [], 0
+        for e in _objects(pieces()):
+            out.append("{" + e + "}")
+            size += len(e)
+            if size > 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["json"])
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["json"])
+
+    return spark.read.option("lineSep", ",").text(path).mapInArrow(f, "json string")
+
+
+def _objects(pieces: Iterator[str]) -> Iterator[str]:
+    """Entries of one object, or none if a task has no text at all."""
+    for first in pieces:
+        yield from entries(_chained(first, pieces))
+
+
+def _chained(first: str, rest: Iterator[str]) -> Iterator[str]:
+    yield first
+    yield from rest
+
+
 def parsed(index: DataFrame, json: str = "json") -> DataFrame:
     """(flow_id, direction, method, value) of an index's texts; a key that differs from its record, or a record without a factor, fails."""
     entries = index.select(F.explode(F.from_json(json, f"map<string, {_RECORD}>")).alias("key", "r"))

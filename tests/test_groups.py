@@ -1,5 +1,7 @@
 """Equal multisets, exact order statistics, and answers that follow rewritten tables."""
 
+import gzip
+import json
 import math
 import shutil
 from collections import Counter, defaultdict
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import multisets, selection
 from tessera.plans import registry
-from tessera.sources import references
+from tessera.sources import factors, references, tiles
 from tessera.sources.tables import written
 
 
@@ -132,3 +134,34 @@ def test_mended_impacts_equal_solved_ones(spark, monkeypatch):
     monkeypatch.setattr(snapshots, "MOST", 2)
     with pytest.raises(ValueError, match="anew"):
         snapshots.mended(table(d), solver, table(u), table(more))
+
+
+def test_a_view_opens_the_files_that_it_touches(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    data = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-500, 500, (5000, 2)))]
+    df = spark.createDataFrame([*data, (5000, None, 1.0)], "id int, x double, y double")
+    index = tiles.write(df, str(tmp_path), size=100)
+    assert index.count() > 40 and index.agg(F.sum("points")).first()[0] == 5000
+    got = tiles.view(spark, str(tmp_path), df.schema, -100.0, 0.0, 50.0, 120.0)
+    want = {i for i, x, y in data if -100 <= x <= 0 and 50 <= y <= 120}
+    assert {r.id for r in got.collect()} == want and len(want) > 20
+    assert len(got.inputFiles()) <= index.count() / 5
+    assert tiles.view(spark, str(tmp_path), df.schema, 900.0, 901.0, 0.0, 1.0).collect() == []
+    none = tmp_path / "none"
+    assert tiles.write(df.limit(0), str(none)).count() == 0 and tiles.view(spark, str(none), df.schema, 0, 1, 0, 1).count() == 0
+
+
+def test_records_of_an_index_are_read_piece_by_piece(spark, tmp_path):
+    index = {f"k{i}": {"flow_id": f'a,"{{[\\{i}', "list": [{"x": [1, 2, {}]}, "}"] * (i % 4), "n": i} for i in range(3000)} | {"plain": 1, "text": "a,b"}
+    for indent in (None, 1):
+        cut = json.dumps(index, indent=indent).split(",")
+        assert [json.loads("{" + e + "}") for e in factors.entries(iter(cut))] == [{k: v} for k, v in index.items()]
+    with gzip.open(tmp_path / "index.json.gz", "wt") as f:
+        json.dump(index, f)
+    rows = factors.read(spark, str(tmp_path / "index.json.gz"))
+    assert rows.count() == len(index) and max(len(r.json) for r in rows.collect()) < 300
+    assert list(factors.entries(iter(["{}"]))) == list(factors.entries(iter([" { } "]))) == []
+    assert list(factors.entries(iter('{"a": 1}\n{"b": 2, "c": {}}'.split(",")))) == ['"a": 1', '"b": 2', ' "c": {}']
+    for bad in ("", "[1", '{"a": 1', '{"a": "b', '{"a": 1} x', '{"a": "\\'):
+        with pytest.raises(ValueError):
+            list(factors.entries(iter(bad.split(","))))
