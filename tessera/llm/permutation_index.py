@@ -33,7 +33,7 @@ from .common import Batches, packed, runs, unpacked, written
 #: Pivots of each width and how many of them represent a vector; rows that pivots are chosen from, about.
 PIVOTS, NEAR, SAMPLE = 256, 64, 4096
 #: Part of a shard's entries that a query reranks, and how many at least.
-SHARE, LEAST = 0.08, 64
+SHARE, LEAST = 0.1, 200
 #: Bytes of vectors in a shard, about; rows in a shard at least, where there are few.
 SHARD_BYTES, SHARD_ROWS = 64_000_000, 1000
 #: Entries in a row of the index.
