@@ -11,10 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import graph, linear, linking, versions
-from ..sources import documents, exports
+from ..operators import linking, versions
+from ..sources import documents
 from ..sources.network import Network
-from .registry import _SHARE, NETWORK, query
+from .registry import query
 
 
 def _versions(n: Network) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import gates, graph, jobs, linear, linking, maps, selection
+from ..operators import gates, graph, jobs, linear, maps, selection
 from ..sources import exports
 from ..sources.network import Network
 from ..sources.tables import numbered, page, pages, running, shared_folder, written
