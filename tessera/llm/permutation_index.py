@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, packed, runs, unpacked, written
+from .common import Batches, packed, runs, written
 
 #: Pivots of each width and how many of them represent a vector; rows that pivots are chosen from, about.
 PIVOTS, NEAR, SAMPLE = 256, 64, 4096
