@@ -69,7 +69,7 @@ def cp07(n):
     offers = linking.offers(_with_models(n, ports, "provider"))
     demands = n.residuals.select(F.col("process_idx").alias("consumer"), "flow", F.col("coefficient").alias("residual"))
     near = linking.nearest(_with_models(n, demands, "consumer").drop("volume", "volume_fallback"), offers)
-    return linking.routed(near, offers).select("consumer", "flow", "provider", (F.col("tier") % 10).alias("tier"), F.round("weight", 6).alias("weight"))
+    return linking.routed(near, offers, 6).select("consumer", "flow", "provider", (F.col("tier") % 10).alias("tier"), "weight")
 
 
 _GEO = f""", loc AS (SELECT process_idx, region, CASE WHEN process_idx % 10 = 0 THEN 'GLO' WHEN process_idx % 17 = 0 THEN NULL ELSE 'C' || lpad(nation::VARCHAR, 2, '0') || '-' || (process_idx % 4) END AS location FROM process),
