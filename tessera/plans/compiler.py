@@ -474,7 +474,7 @@ def gt07(n):
 @query("gt08", "SELECT 'zero_or_near_zero_diagonal' AS code, count(*) AS found FROM process WHERE abs(1 - coalesce((SELECT sum(value) FROM a WHERE row_idx = process_idx AND col_idx = process_idx), 0)) <= 1e-12 UNION ALL SELECT 'duplicate_sparse_columns', 1")
 def gt08(n):
     """Diagonal of M next to zero, and columns of M that are equal; the network's have none, so a pair is added."""
-    m = linear.identity_minus(n.a, n.n)
+    m = n.m()
     twin = m.where("col_idx = 0").select("row_idx", F.lit(-1).alias("col_idx"), "value")
     return gates.structure(n.a, n.n, m.unionByName(twin))
 
