@@ -15,7 +15,7 @@ from ..functions import scalars as fn
 from ..operators import gates, graph, jobs, linear, maps, selection
 from ..sources import exports
 from ..sources.network import Network
-from ..sources.tables import numbered, page, pages, running, shared_folder, written
+from ..sources.tables import numbered, page, running, shared_folder, written
 from .audits import _V, _requests, _versions
 from .compiler import _GEO, _REVIEW, _RULED, _SCOPE, _anchored, _gaps, _review, ruled
 from .registry import NETWORK, query
@@ -42,10 +42,10 @@ def src01(n):
 
 @query("src02", "SELECT (rn - 1) // 4000 AS page, count(*) AS rows, min(id) AS first, max(id) AS last FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'F' OR o_custkey = 7) GROUP BY 1", "")
 def src02(n):
-    """All of a scope, public rows and one user's, page by page along its key."""
+    """All of a scope, public rows and one user's, in pages along its key: rows are numbered once, so no page reads the table anew."""
     rows = n.table("orders").where("o_orderstatus = 'F' or o_custkey = 7").select(F.col("o_orderkey").alias("id"))
-    found = [p.agg(F.lit(i).cast("long").alias("page"), F.count("*").alias("rows"), F.min("id").alias("first"), F.max("id").alias("last")) for i, p in enumerate(pages(rows, ["id"], 4000))]
-    return _union(found)
+    page = F.floor(F.col("idx") / 4000).alias("page")
+    return numbered(rows, ["id"]).groupBy(page).agg(F.count("*").alias("rows"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
 @query("src03", "SELECT id, version, rows FROM (SELECT l_suppkey AS id, l_linenumber AS version, count(*) AS rows FROM lineitem GROUP BY 1, 2) WHERE (id, version) IN (SELECT id, version FROM requests)", _V)
@@ -223,8 +223,9 @@ def gr01(n):
 def gr14(n):
     """Adjacency in compressed rows: each process's sorted providers and where they start among all."""
     e = graph.adjacency(n.a.select(F.col("col_idx").alias("src"), F.col("row_idx").alias("dst")))
-    rows = n.processes.select(F.col("process_idx").alias("src")).join(e, "src", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    return running(rows, ["src"], "degree", "offset").select("src", F.coalesce(F.array_join(F.col("targets").cast("array<string>"), ","), F.lit("")).alias("targets"), "offset")
+    rows = n.processes.select(F.col("process_idx").alias("src")).join(e.select("src", "degree"), "src", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    at = running(rows, ["src"], "degree", "offset").select("src", "offset")  # of numbers alone; the lists stay where they are made
+    return at.join(e, "src", "left").select("src", F.coalesce(F.array_join(F.col("targets").cast("array<string>"), ","), F.lit("")).alias("targets"), "offset")
 
 
 _BIP = "e AS (SELECT DISTINCT l_suppkey AS p, l_partkey % 40 AS f, CASE WHEN l_returnflag = 'R' THEN 'Input' ELSE 'Output' END AS d FROM lineitem)"
