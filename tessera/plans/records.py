@@ -296,13 +296,19 @@ def ss02(n):
 
 @query("ss04", "SELECT node FROM reach", "RECURSIVE " + NETWORK.strip() + ", reach AS (SELECT 0 AS node UNION SELECT a.row_idx FROM reach JOIN a ON a.col_idx = reach.node)")
 def ss04(n):
-    """A traversal in passes of at most twenty nodes whose state lies in a table between them, so that it can go on anywhere."""
-    e = n.a.select(F.col("col_idx").alias("src"), F.col("row_idx").alias("dst"))
-    state, left = graph.started(n.spark.range(1).select(F.col("id").cast("int").alias("node"))), True
-    e = written(e.distinct())
+    """A traversal in passes of at most twenty nodes whose state lies in a table between them, so that it can go on anywhere.
+
+    Processes that demand of a place reach all that make for it, so places are the nodes that are followed: the passes are as many as
+    these need, not as many as there are processes, and entries of A are never made.
+    """
+    made, asked = (m.select("row_idx", "col_idx") for m in (n.product.left, n.product.right))
+    by = asked.select(F.col("row_idx").alias("dst"), F.col("col_idx").alias("process"))
+    e = written(made.select(F.col("col_idx").alias("src"), F.col("row_idx").alias("process")).join(by, "process").select("src", "dst").distinct())
+    state, left = graph.started(asked.where("col_idx = 0").select(F.col("row_idx").alias("node"))), True
     while left:
         state, left = graph.passed(e, state, 20)
-    return state.select("node")
+    reached = made.join(state.select(F.col("node").alias("col_idx")), "col_idx").select(F.col("row_idx").alias("node"))
+    return n.spark.range(1).select(F.col("id").cast("int").alias("node")).unionByName(reached).distinct()
 
 
 @query("ss05", "SELECT fate, count(*) AS objects FROM (SELECT CASE WHEN o_orderkey % 7 = 1 THEN 'kept' ELSE 'deleted' END AS fate FROM orders WHERE o_orderdate + INTERVAL 1 YEAR < TIMESTAMP '1996-12-31 23:59:59' AND o_orderkey % 7 <> 0) GROUP BY 1", "")
