@@ -42,26 +42,29 @@ def _signed(m: Column) -> Column:
     return fn.signed(fn.direction(m["exchangeDirection"]), _amount(m))
 
 
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Adds columns that are evaluated once for each row, however often filters and other columns use them: no expression is moved across a generator."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*columns))))
+
+
 def processes(docs: DataFrame) -> DataFrame:
     """(id, version, items, ids, reference, n_references, pivot) of documents (id, version, json).
 
     ``pivot`` is the signed amount of the reference; null unless the reference is valid.
     """
-    d = docs.select("id", "version", F.coalesce(_items(F.get_json_object("json", "$.processDataSet.exchanges.exchange")), F.array().cast(_MAPS)).alias("items"), F.get_json_object("json", "$.processDataSet.processInformation.quantitativeReference.referenceToReferenceFlow").alias("r"))
+    items, reference = _items(F.get_json_object("json", "$.processDataSet.exchanges.exchange")), F.get_json_object("json", "$.processDataSet.processInformation.quantitativeReference.referenceToReferenceFlow")
+    d = _once(docs.select("id", "version", "json"), items.alias("all"), reference.alias("r"))
     many = F.from_json(F.when(F.col("r").startswith("["), F.col("r")), "array<string>")
     one = F.when(F.col("r").startswith("["), F.when(F.size(many) == 1, F.get(many, F.lit(0)))).otherwise(F.col("r"))
-    d = d.select("id", "version", F.filter("items", lambda m: m.isNotNull()).alias("items"), F.trim(one).alias("reference"))
-    d = d.withColumn("ids", F.transform("items", lambda m: F.trim(m["@dataSetInternalID"])))
+    d = _once(d, F.filter(F.coalesce("all", F.array().cast(_MAPS)), lambda m: m.isNotNull()).alias("items"), F.trim(one).alias("reference"))
     named = F.filter("items", lambda m: F.trim(m["@dataSetInternalID"]) == F.col("reference"))
-    pivot = F.when(F.size(named) == 1, F.get(F.transform(named, _signed), F.lit(0)))
-    return d.withColumn("n_references", F.size(named)).withColumn("pivot", F.when(pivot != 0, pivot))
+    d = _once(d, F.transform("items", lambda m: F.trim(m["@dataSetInternalID"])).alias("ids"), named.alias("named"))
+    d = _once(d, F.size("named").alias("n_references"), F.when(F.size("named") == 1, _signed(F.get("named", F.lit(0)))).alias("p"))
+    return d.select("id", "version", "items", "reference", "ids", "n_references", F.when(F.col("p") != 0, F.col("p")).alias("pivot"))
 
 
-def _allocation(m: Column, reference: Column, ids: Column, n_references: Column) -> Column:
-    """(share, kind); the share of an error is null."""
-    text = m["allocations"]
-    raw = F.when(text.startswith("{"), F.get_json_object(text, "$.allocation"))
-    entries = _items(raw)
+def _allocation(text: Column, raw: Column, entries: Column, declared: Column, reference: Column, ids: Column, n_references: Column) -> Column:
+    """(share, kind) of an exchange's allocations: their text, its list, the entries of this and whether there are any; the share of an error is null."""
 
     def share(e: Column) -> Column:
         x = fn.number(e[SHARE])
@@ -83,7 +86,7 @@ def _allocation(m: Column, reference: Column, ids: Column, n_references: Column)
     def kind(name: str, value: Column | float | None) -> Column:
         return F.struct((value if isinstance(value, Column) else F.lit(value)).cast("double").alias("share"), F.lit(name).alias("kind"))
 
-    out = F.when(~F.map_contains_key(m, "allocations"), kind("undeclared", 1.0)).when(raw == "{}", kind("empty", 1.0))
+    out = F.when(~declared, kind("undeclared", 1.0)).when(raw == "{}", kind("empty", 1.0))
     out = out.when(bare & full, kind("inferred", 1.0)).when(bare, kind("error", None))
     out = out.when(good & (F.size(mine) == 1), kind("explicit", F.get(mine, F.lit(0)))).when(good, kind("sparse", 0.0))
     return out.otherwise(kind("error", None))
@@ -92,18 +95,23 @@ def _allocation(m: Column, reference: Column, ids: Column, n_references: Column)
 def exchanges(docs: DataFrame) -> DataFrame:
     """One row per exchange, with its signed amount, its allocation and its process's reference and pivot."""
     p = processes(docs).select("*", F.explode("items").alias("m"))
-    m = F.col("m")
-    flow = m["referenceToFlowDataSet"]
-    allocation = _allocation(m, F.col("reference"), F.col("ids"), F.col("n_references"))
-    out = p.select("id", "version", "reference", "n_references", "pivot", F.trim(m["@dataSetInternalID"]).alias("exchange_id"), fn.direction(m["exchangeDirection"]).alias("direction"), F.get_json_object(flow, "$['@refObjectId']").alias("flow_id"), F.get_json_object(flow, "$['@version']").alias("flow_version"), _amount(m).alias("amount"), m["location"].alias("location"), allocation.alias("allocation"))
-    return out.select("*", "allocation.share", F.col("allocation.kind").alias("allocation_kind")).drop("allocation")
+    m, text, raw = F.col("m"), F.col("text"), F.col("raw")
+    p = _once(p, m["allocations"].alias("text"), F.map_contains_key(m, "allocations").alias("declared"), m["referenceToFlowDataSet"].alias("flow"))
+    p = _once(p, F.when(text.startswith("{"), F.get_json_object(text, "$.allocation")).alias("raw"))
+    p = _once(p, _items(raw).alias("entries"))
+    allocation = _allocation(text, raw, F.col("entries"), F.col("declared"), F.col("reference"), F.col("ids"), F.col("n_references"))
+    p = _once(p, fn.direction(m["exchangeDirection"]).alias("direction"), _amount(m).alias("amount"), F.trim(m["@dataSetInternalID"]).alias("exchange_id"), allocation.alias("allocation"))
+    out = ("id", "version", "reference", "n_references", "pivot", "exchange_id", "direction")
+    flow = F.get_json_object("flow", "$['@refObjectId']").alias("flow_id"), F.get_json_object("flow", "$['@version']").alias("flow_version")
+    return p.select(*out, *flow, "amount", m["location"].alias("location"), "allocation.share", F.col("allocation.kind").alias("allocation_kind"))
 
 
 def residuals(e: DataFrame) -> DataFrame:
     """Normalised residual coefficients of the exchanges that are not the reference; errors and shares of zero give none."""
     raw = fn.signed(F.col("direction"), F.col("amount"))
     rest = e.where((F.col("exchange_id") != F.col("reference")) & F.col("pivot").isNotNull() & (F.col("share") > 0))
-    return rest.select("id", "version", "exchange_id", "flow_id", "flow_version", "location", (raw * fn.scale(F.col("pivot")) * F.col("share")).alias("residual")).where("residual is not null")
+    rest = _once(rest, (raw * fn.scale(F.col("pivot")) * F.col("share")).alias("residual")).where("residual is not null")
+    return rest.select("id", "version", "exchange_id", "flow_id", "flow_version", "location", "residual")
 
 
 def amount(m: Column) -> Column:

@@ -39,3 +39,10 @@ def test_parts_of_entries_are_counted_without_a_shuffle_of_pairs(spark):
     plan = registry.queries()["ag01"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     at = plan.index("HashAggregate")
     assert "Exchange" not in plan[at : plan.index("BroadcastHashJoin")].replace("BroadcastExchange", ""), plan
+
+
+def test_texts_are_parsed_once(spark):
+    """Filters on what is parsed were evaluated below it, with the parsing anew."""
+    plan = registry.queries()["cp04"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    parsed = [x for x in plan.splitlines() if "from_json(" in x or "get_json_object(" in x or "to_json(" in x]
+    assert parsed and not [x for x in parsed if "Filter " in x], plan
