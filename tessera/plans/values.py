@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from ..operators import graph, layout
 from ..sources import documents, tiles
-from ..sources.tables import numbered, shared_folder
+from ..sources.tables import numbered, shared_folder, written
 from .registry import query
 
 
@@ -244,9 +244,11 @@ def st07_viewport(n):
 @query("gr16_topology", "", "")
 def gr16_topology(n):
     """Suppliers and the parts that they deliver laid out by who delivers what: 16 of the 72 rounds, as each is a job; a test holds it against a plain version."""
-    edges = n.table("lineitem").select(F.concat(F.lit("p"), "l_suppkey").alias("process"), F.concat(F.lit("f"), "l_partkey").alias("flow")).distinct()
-    ends = edges.select(F.inline(F.array(F.struct(F.lit("process").alias("kind"), F.col("process").alias("id")), F.struct(F.lit("flow").alias("kind"), F.col("flow").alias("id")))))
-    at = layout.expanded(ends.groupBy("kind", "id").agg(F.count("*").alias("degree")), edges, rounds=16)
+    pairs = written(n.table("lineitem").select("l_suppkey", "l_partkey").distinct())
+    ends = {"process": F.concat(F.lit("p"), "l_suppkey"), "flow": F.concat(F.lit("f"), "l_partkey")}
+    degree = lambda kind, key: pairs.groupBy(key).agg(F.count("*").alias("degree")).select(ends[kind].alias("id"), F.lit(kind).alias("kind"), "degree")
+    nodes = degree("process", "l_suppkey").unionByName(degree("flow", "l_partkey"))
+    at = layout.expanded(nodes, pairs.select(*(end.alias(kind) for kind, end in ends.items())), rounds=16)
     return at.select("id", *(F.round(c, 2).alias(c) for c in "xyz"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import graph, layout
 from tessera.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +46,26 @@ def test_texts_are_parsed_once(spark):
     plan = registry.queries()["cp04"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     parsed = [x for x in plan.splitlines() if "from_json(" in x or "get_json_object(" in x or "to_json(" in x]
     assert parsed and not [x for x in parsed if "Filter " in x], plan
+
+
+@pytest.mark.parametrize("held", [1_000_000, 7])
+def test_edges_of_a_layout_stay_where_they_are(spark, monkeypatch, held):
+    """A round shuffled every edge; now places and sums alone are, also where edges have to meet places in parts."""
+    monkeypatch.setattr(layout, "HELD", held)
+    pairs = [(i % 20, i * 7 % 90) for i in range(600)]
+    nodes = spark.createDataFrame([(f"p{i}", i, "process") for i in range(20)] + [(f"f{i}", 100 + i, "flow") for i in range(90)], "id string, n long, kind string")
+    edges = layout._dealt(nodes, spark.createDataFrame([(f"p{p}", f"f{f}") for p, f in pairs], "process string, flow string"))
+    placed = nodes.selectExpr("n", "kind", "cast(n as double) as v")
+    for kind, other, ends in (("process", "flow", [(p, 100 + f) for p, f in pairs]), ("flow", "process", [(100 + f, p) for p, f in pairs])):
+        sums = edges.sums(kind, placed.where(placed.kind == other).select("n", "v"))
+        want = {}
+        for a, b in ends:
+            want[a] = want.get(a, 0.0) + b
+        assert {r.n: r.v for r in sums.collect()} == want
+        lines = sums._jdf.queryExecution().executedPlan().toString().splitlines()
+        scans = [i for i, x in enumerate(lines) if "InMemoryTableScan" in x]
+        assert scans
+        for i in scans:
+            above = next(x for x in reversed(lines[:i]) if not any(y in x for y in ("Filter", "Project", "ColumnarToRow", "TableCacheQueryStage")))
+            assert "Exchange hashpartitioning" not in above, lines
+    edges.rows.unpersist()
