@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, layout
-from tessera.plans import registry
+from tessera.operators import graph, layout, linking
+from tessera.plans import registry, solving
+from tessera.sources.network import Network
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +70,19 @@ def test_edges_of_a_layout_stay_where_they_are(spark, monkeypatch, held):
             above = next(x for x in reversed(lines[:i]) if not any(y in x for y in ("Filter", "Project", "ColumnarToRow", "TableCacheQueryStage")))
             assert "Exchange hashpartitioning" not in above, lines
     edges.rows.unpersist()
+
+
+def test_snapshots_keep_factors_not_entries(spark, copies):
+    """Ten times the processes have a hundred times the entries; what a snapshot keeps of A grows with the processes."""
+    kept, entries = [], []
+    for path in (SF, copies):
+        n = Network(spark, path)
+        base = solving._snapshot(n)
+        a = linking.Factored.read(spark, f"{base}/matrices/a")
+        kept.append(a.loads.count() + a.shares.count())
+        entries.append(a.count())
+        got = {(r.row_idx, r.col_idx): r.value for r in linking.activities(a.pairs()).collect()}
+        want = {(r.row_idx, r.col_idx): r.value for r in n.a.collect()}
+        assert len(got) == len(want) == a.count()
+        assert got == pytest.approx(want, rel=1e-12)
+    assert entries[1] == 100 * entries[0] and kept[1] == 10 * kept[0]
