@@ -257,7 +257,7 @@ def snk16(n):
 @query("ag01", "SELECT row_idx, col_idx, round(sum(value), 6) AS value, count(*) AS parts FROM (SELECT provider AS row_idx, consumer AS col_idx, -residual * weight AS value FROM weighted) GROUP BY 1, 2")
 def ag01(n):
     """Entries of A before and after those of one place are added up."""
-    return n.weighted.groupBy(F.col("provider").alias("row_idx"), F.col("consumer").alias("col_idx")).agg(F.round(F.sum(-F.col("residual") / F.col("pivot") * F.col("weight")), 6).alias("value"), F.count("*").alias("parts"))
+    return linking.summed(n.nearest, n.offers).select("row_idx", "col_idx", F.round("value", 6).alias("value"), "parts")
 
 
 @query("flt05", "SELECT k AS row_idx, 0 AS col_idx, sum(v) AS value FROM (SELECT (l_suppkey % 50)::INT AS k, CASE l_linenumber % 3 WHEN 0 THEN 0.0 WHEN 1 THEN l_quantity ELSE -l_quantity END AS v FROM lineitem WHERE l_linenumber < 4) WHERE v <> 0 GROUP BY 1 HAVING sum(v) <> 0", "")
