@@ -86,3 +86,21 @@ def test_snapshots_keep_factors_not_entries(spark, copies):
         assert len(got) == len(want) == a.count()
         assert got == pytest.approx(want, rel=1e-12)
     assert entries[1] == 100 * entries[0] and kept[1] == 10 * kept[0]
+
+
+def test_evidence_keeps_what_edges_follow_from(spark, copies):
+    """Ten times the processes have a hundred times the edges; the evidence, in chunks of bounded length, grows with the processes, and every edge comes back."""
+    kept = []
+    for path in (SF, copies):
+        n = Network(spark, path)
+        rows = spark.read.parquet(solving._evidence(n)).select("version", "format", "records").collect()
+        kept.append(sum(r.records for r in rows))
+        assert {(r.version, r.format) for r in rows} == {(v, f"release-evidence-{k}") for v in (1, 2) for k in ("loads", "shares")}
+        assert max(r.records for r in rows) <= 256 * 24
+    assert kept[1] == 10 * kept[0]
+    want = {(r.row_idx, r.col_idx): r.value for r in Network(spark, copies).a.collect()}
+    got = registry.queries()["src05"](spark, copies).collect()
+    for v in (1, 2):
+        mine = {(r.row_idx, r.col_idx): r.value for r in got if r.version == v}
+        assert mine == pytest.approx(want, abs=1e-6)
+    assert len(got) == 2 * len(want)
