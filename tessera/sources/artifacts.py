@@ -15,7 +15,7 @@ import zipfile
 from xml.sax.saxutils import escape, unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW = "name string, format string, version int, records long, sha256 string, byte_size long, bytes binary"
@@ -66,18 +66,21 @@ def read_document(artifacts: DataFrame, name: str, kind: str):
     return value["payload"]
 
 
-def encoded(df: DataFrame, key: str, kind: str, version: int = 2, size: int = 256) -> DataFrame:
-    """A relation as artifacts, one for each run of ``size`` keys. Version 1 has records with names, version 2 columns."""
-    columns = df.columns
+def encoded(df: DataFrame, key: str, kind: str, version: int = 2, size: int = 256, part: Column | None = None) -> DataFrame:
+    """A relation as artifacts, one for each run of ``size`` keys, or for each ``part`` (a number) of such a run if it may be long.
+
+    Version 1 has records with names, version 2 columns.
+    """
+    columns, parted = df.columns, part is not None
 
     def f(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table[c].to_pylist() for c in columns), strict=True), key=str)
         body = [dict(zip(columns, r, strict=True)) for r in rows] if version == 1 else {c: [r[i] for r in rows] for i, c in enumerate(columns)}
         data = pack({"version": version, "format": kind, "payload": body})
-        name = f"{kind}-{table['chunk'][0].as_py():06}"
+        name = f"{kind}-{table['chunk'][0].as_py():06}" + (f"-{table['part'][0].as_py():06}" if parted else "")
         return pa.table({"name": [name], "format": [kind], "version": pa.array([version], pa.int32()), "records": [len(rows)], "sha256": [digest(data)], "byte_size": [len(data)], "bytes": pa.array([data], pa.binary())})
 
-    return df.withColumn("chunk", F.floor(F.col(key) / size).cast("long")).groupBy("chunk").applyInArrow(f, ROW)
+    return df.withColumn("chunk", F.floor(F.col(key) / size).cast("long")).withColumn("part", F.lit(0) if part is None else part).groupBy("chunk", "part").applyInArrow(f, ROW)
 
 
 def decoded(artifacts: DataFrame, kind: str, schema: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, layout, linking
+from tessera.operators import graph, layout, linear, linking
 from tessera.plans import registry, solving
 from tessera.sources.network import Network
 
@@ -104,3 +104,28 @@ def test_evidence_keeps_what_edges_follow_from(spark, copies):
         mine = {(r.row_idx, r.col_idx): r.value for r in got if r.version == v}
         assert mine == pytest.approx(want, abs=1e-6)
     assert len(got) == 2 * len(want)
+
+
+def test_the_system_that_is_solved_does_not_grow_with_the_processes(spark, copies, monkeypatch):
+    """A matrix of as many unknowns as processes went to one task; now its unknowns are the places that are asked.
+
+    These are the solvers of all queries on solutions: la10 and la11 call the first, the others those of the model.
+    """
+    sizes, made = [], linear.Solver.__init__
+    monkeypatch.setattr(linear.Solver, "__init__", lambda self, m, n, *x: sizes.append(n) or made(self, m, n, *x))
+    n = Network(spark, copies)
+    registry._impacts(n)
+    model = linear.prepare(n.product, n.b, n.c, n.n, n.m())
+    assert model.rows and model.columns
+    assert len(sizes) == 3 and max(sizes) <= n.nearest.select("flow", "sign", "tier", "place").distinct().count() < n.n
+
+
+def test_an_envelope_holds_a_part_of_a_solution(spark, monkeypatch):
+    """A demand's whole solution was one task's group."""
+    monkeypatch.setattr(solving, "PART", 4)
+    seen, encoded = [], solving.artifacts.encoded
+    monkeypatch.setattr(solving.artifacts, "encoded", lambda *x, **y: seen.append(encoded(*x, **y)) or seen[0])
+    got = registry.queries()["snk01"](spark, SF).collect()
+    rows = seen[0].select("name", "records").collect()
+    assert max(r.records for r in rows) <= 4 < max(sum(r.rhs == k for r in got) for k in range(3))
+    assert len({r.name for r in rows}) == len(rows) and sum(r.records for r in rows) == len(got)
