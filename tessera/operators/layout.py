@@ -4,8 +4,8 @@ The flows of highest degree are anchors on rings; processes start about their an
 nodes are drawn towards the means of their neighbours, and every ``PRESSED`` rounds those in a crowded cell of a grid are pushed
 from the cell's centre; anchors stay. What repels is a cell's centre, never a pair of nodes.
 
-Edges are numbered and dealt once, by their end on the side that has more nodes, and stay where they are (``Edges``). A round brings places to
-them: those of the larger side are shuffled by node, those of the smaller one go to all tasks, and what edges add is summed where they lie first.
+Edges are numbered and dealt once, by their end on the side that has more nodes, and stay where they are (``Edges``). The places of that side stay with
+them from round to round, those of the smaller side go to all tasks, and what edges add is summed where they lie first: only the sums of the smaller side are shuffled.
 """
 
 from __future__ import annotations
@@ -28,16 +28,32 @@ GOLDEN_ANGLE = 2.3999631
 CELL, COMFORTABLE, MOST_PRESSURE = 68.0, 18, 2.4
 TURN = 2 * math.pi
 #: Nodes of the smaller side that a task holds at once (more are met one part after the other), and edges of a task.
-HELD, DEALT = 1_000_000, 3_000_000
+HELD, DEALT = 1_000_000, 8_000_000
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """Rows kept where they are made; how they lie is known to later plans only once they are there."""
+    rows = rows.persist()
+    rows.count()
+    return rows
 
 
 @dataclass
 class Edges:
-    """Edges by numbers of their ends (few, many, k), k of each, kept by their end on the side of more nodes, whose kind is ``larger``; the other side has ``parts`` parts."""
+    """Edges by numbers of their ends (few, many, k), k of each, kept by their end on the side of more nodes, whose kind is ``larger``; the other side has ``parts`` parts. They lie in ``tasks`` parts."""
 
     rows: DataFrame
     larger: str
     parts: int
+    tasks: int
+
+    @property
+    def smaller(self) -> str:
+        return "process" if self.larger == "flow" else "flow"
+
+    def beside(self, placed: DataFrame) -> DataFrame:
+        """Nodes of the larger side, where their edges are."""
+        return _held(placed.where(F.col("kind") == self.larger).repartition(self.tasks, "n").sortWithinPartitions("n"))
 
     def sums(self, kind: str, placed: DataFrame) -> DataFrame:
         """(n, *columns): for nodes of a kind, sums over their edges of the columns of the ends on the other side (n, *columns)."""
@@ -57,9 +73,8 @@ def _dealt(nodes: DataFrame, edges: DataFrame) -> Edges:
     ends = lambda kind, n: nodes.where(F.col("kind") == kind).select(F.col("id").alias(kind), F.col("n").alias(n))
     rows = edges.join(ends(larger, "many"), larger).join(ends(smaller, "few"), smaller).select("few", "many")
     tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // DEALT))
-    rows = rows.repartition(tasks, "many").groupBy("few", "many").agg(F.count("*").alias("k")).sortWithinPartitions("many").persist()
-    rows.count()  # how rows lie is known to later plans only once they are there
-    return Edges(rows, larger, -(-count[smaller] // HELD) or 1)
+    rows = _held(rows.repartition(tasks, "many").groupBy("few", "many").agg(F.count("*").alias("k")).sortWithinPartitions("many"))
+    return Edges(rows, larger, -(-count[smaller] // HELD) or 1, tasks)
 
 
 def _seed(node: Column, salt: int) -> list[Column]:
@@ -109,34 +124,52 @@ def _both(edges: Edges, at: DataFrame, *columns: Column) -> DataFrame:
 
 
 def _bound(nodes: DataFrame, edges: Edges, anchors: DataFrame, at: DataFrame) -> DataFrame:
-    """(n, kind, pull, blend, whole, x, y): places with how much a node pulls others, how much of its place its neighbours give it, and the sum of their pulls."""
+    """(n, id, kind, pull, blend, whole, x, y): places with how much a node pulls others, how much of its place its neighbours give it, and the sum of their pulls."""
     degree = F.col("degree")
     pull = F.pow(degree, F.when(F.col("kind") == "flow", -0.48).otherwise(-0.24))
     blend = F.when(F.col("fixed"), 0.0).when(F.col("kind") == "process", 0.34).when(degree > 180, 0.08).when(degree > 72, 0.14).otherwise(0.28)
-    rows = nodes.join(anchors.select("n", F.lit(True).alias("fixed")), "n", "left").select("n", "kind", pull.alias("pull"), blend.alias("blend"))
+    rows = nodes.join(anchors.select("n", F.lit(True).alias("fixed")), "n", "left").select("n", "id", "kind", pull.alias("pull"), blend.alias("blend"))
     whole = _both(edges, rows, F.col("pull").alias("whole"))
     return rows.join(whole, "n", "left").join(at, "n")
 
 
-def _drawn(at: DataFrame, edges: Edges) -> DataFrame:
-    sums = _both(edges, at, *((F.col("pull") * F.col(c)).alias(f"s{c}") for c in "xy"))
+def _drawn(side: DataFrame, sums: DataFrame) -> DataFrame:
+    """Nodes of a side drawn towards what their neighbours add up to (n, sx, sy)."""
     moved = lambda c: F.when(F.col(f"s{c}").isNull(), F.col(c)).otherwise((1 - F.col("blend")) * F.col(c) + F.col("blend") * F.col(f"s{c}") / F.col("whole")).alias(c)
-    return at.join(sums, "n", "left").select("n", "kind", "pull", "blend", "whole", moved("x"), moved("y"))
+    return side.join(sums, "n", "left").select("n", "id", "kind", "pull", "blend", "whole", moved("x"), moved("y"))
+
 
+def _rounds(at: DataFrame, edges: Edges, k: int, turn: int | None) -> DataFrame:
+    """Places after k rounds, and after the push of round ``turn`` if there is one.
 
-def _pressed(at: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    The larger side stays beside its edges; the smaller one is written each round, which keeps plans short.
+    """
+    pulls = lambda side: side.select("n", *((F.col("pull") * F.col(c)).alias(f"s{c}") for c in "xy"))
+    many, few = edges.beside(at), at.where(F.col("kind") == edges.smaller)
+    for _ in range(k):
+        next_few = written(_drawn(few, edges.sums(edges.smaller, pulls(many))))
+        next_many = _held(_drawn(many, edges.sums(edges.larger, pulls(few))))
+        many.unpersist()
+        many, few = next_many, next_few
+    both = many.unionByName(few)
+    out = written(both if turn is None else _pressed(both, turn))
+    many.unpersist()
+    return out
+
+
+def _pressed(at: DataFrame, turn: int) -> DataFrame:
     """Nodes of crowded cells moved away from the cell's centre, the farther the more there are."""
     cell = [F.floor(F.col(c) / CELL).cast("int").alias(f"c{c}") for c in "xy"]
     at = at.select("*", *cell)
     cells = at.groupBy("cx", "cy").agg(F.count("*").alias("many"), F.avg("x").alias("mx"), F.avg("y").alias("my")).where(F.col("many") > COMFORTABLE)
-    rows = at.join(cells, ["cx", "cy"], "left").join(nodes.select("n", "id"), "n")
+    rows = at.join(F.broadcast(cells), ["cx", "cy"], "left")
     dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
     length = F.hypot(dx, dy)
     angle = hash_unit(F.concat("id", F.lit(f":{turn}")), 839) * TURN
     force = F.least((F.col("many") - COMFORTABLE) / COMFORTABLE, F.lit(MOST_PRESSURE)) * F.when(F.col("kind") == "process", 12.0).otherwise(9.0)
     still = F.col("many").isNull() | (F.col("blend") == 0)
     moved = lambda c, d, unit: F.when(still, F.col(c)).otherwise(F.col(c) + F.when(length < 0.001, unit).otherwise(d / length) * force).alias(c)
-    return rows.select("n", "kind", "pull", "blend", "whole", moved("x", dx, F.cos(angle)), moved("y", dy, F.sin(angle)))
+    return rows.select("n", "id", "kind", "pull", "blend", "whole", moved("x", dx, F.cos(angle)), moved("y", dy, F.sin(angle)))
 
 
 def expanded(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, anchors: int = ANCHORS) -> DataFrame:
@@ -150,10 +183,9 @@ def expanded(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, anchors:
     dealt = _dealt(nodes, edges)
     fixed = written(_anchored(nodes, anchors).join(nodes.select("id", "n"), "id"))
     at = written(_bound(nodes, dealt, fixed, _started(nodes, dealt, fixed)))
-    for turn in range(rounds):
-        at = written(_drawn(at, dealt))
-        if turn % PRESSED == PRESSED - 1:
-            at = written(_pressed(at, nodes, turn))
+    for first in range(0, rounds, PRESSED):
+        k = min(PRESSED, rounds - first)
+        at = _rounds(at, dealt, k, first + k - 1 if k == PRESSED else None)
     dealt.rows.unpersist()
     box = at.agg(*(f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("least_", F.min), ("most_", F.max))))
     span = lambda c: F.greatest(F.col(f"most_{c}") - F.col(f"least_{c}"), F.lit(1.0))
@@ -161,4 +193,4 @@ def expanded(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, anchors:
     place = lambda c: ((F.col(c) - (F.col(f"most_{c}") + F.col(f"least_{c}")) / 2) * scale).alias(c)
     log = F.log1p("degree")
     z = F.when(F.col("kind") == "process", 26.0 + F.least(log * 1.6, F.lit(14.0))).otherwise(9.0 + F.least(log * 1.1, F.lit(10.0)))
-    return at.drop("kind").crossJoin(F.broadcast(box)).join(nodes, "n").select("id", place("x"), place("y"), z.alias("z"))
+    return at.drop("kind", "id").crossJoin(F.broadcast(box)).join(nodes, "n").select("id", place("x"), place("y"), z.alias("z"))

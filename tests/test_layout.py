@@ -91,3 +91,16 @@ def test_layout_equals_a_plain_version(spark):
 def test_units_of_hashes(spark):
     df = spark.createDataFrame([("p1",), ("f:77",), ("",)], "id string")
     assert [r.u for r in df.select(fn.hash_unit(df.id, 831).alias("u")).collect()] == pytest.approx([unit(x, 831) for x in ("p1", "f:77", "")], abs=1e-9)
+
+
+def test_the_query_runs_all_rounds_with_all_anchors(spark, monkeypatch):
+    """The query ran 16 of the 72 rounds."""
+    from tessera.plans import registry
+
+    ran = []
+    monkeypatch.setattr(layout, "_rounds", lambda at, edges, k, turn: ran.append((k, turn)) or at)
+    anchored, limits = layout._anchored, []
+    monkeypatch.setattr(layout, "_anchored", lambda nodes, anchors: limits.append(anchors) or anchored(nodes, anchors))
+    registry.queries()["gr16_topology"](spark, "/root/testdata/sf0.001")
+    assert sum(k for k, _ in ran) == layout.ROUNDS == 72 and limits == [96]
+    assert [turn for _, turn in ran] == list(range(7, 72, 8))
