@@ -474,9 +474,10 @@ def gt07(n):
 @query("gt08", "SELECT 'zero_or_near_zero_diagonal' AS code, count(*) AS found FROM process WHERE abs(1 - coalesce((SELECT sum(value) FROM a WHERE row_idx = process_idx AND col_idx = process_idx), 0)) <= 1e-12 UNION ALL SELECT 'duplicate_sparse_columns', 1")
 def gt08(n):
     """Diagonal of M next to zero, and columns of M that are equal; the network's have none, so a pair is added."""
-    m = n.m()
-    twin = m.where("col_idx = 0").select("row_idx", F.lit(-1).alias("col_idx"), "value")
-    return gates.structure(n.a, n.n, m.unionByName(twin))
+    made = n.ruled("split_by_process_volume")
+    ones = n.spark.range(n.n).select(F.col("id").cast("int").alias("col_idx"), F.col("id").cast("int").alias("row_idx"))
+    twin = lambda rows, c: rows.unionByName(rows.where(F.col(c) == 0).withColumn(c, F.lit(-1)))
+    return gates.structure(linking.Factored(twin(made.loads, "consumer"), made.shares), twin(ones, "col_idx"), n.n)
 
 
 @query("gt09", "SELECT * FROM (VALUES ('covered', NULL, 3, 0), ('none asked', 'target_process_not_covered_by_probe', 0, 0), ('outside', 'target_process_not_covered_by_probe', 1, 0), ('too many', 'target_process_not_covered_by_probe', 2, 0), ('without factors', 'lcia_factor_missing_for_impact_submit', 1, 0)) AS t(request, code, probed, not_finite)", "")
